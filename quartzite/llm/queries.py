@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quartzite.llm import bpe, decontaminate, jaccard, language, substrings, token_counts, token_files
-from quartzite.llm.common import table
+from quartzite.llm import ann, bpe, compaction, decontaminate, html_text, jaccard, language, substrings, token_counts, token_files
+from quartzite.llm.common import fresh, table
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -41,13 +42,33 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op8_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = compaction.ShardStore(spark, fresh(spark, "shards"))
+    compaction.append_arrivals(store, table(spark, sf_dir, "documents"), 16, F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(16)))
+    return store.read().select("doc_id", "arrival", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+OP8_SQL = """
+SELECT doc_id, CAST(coalesce(doc_id, 0) % 16 AS INTEGER) AS arrival, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+"""
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_token_counts, op4_jaccard_join, op5_language, op6_token_files, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_token_counts, op4_jaccard_join, op5_language, op6_token_files, op7_nearest, op8_compaction, op9_html_text, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL}
+    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL, "op8_compaction": OP8_SQL}
