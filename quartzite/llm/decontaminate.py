@@ -243,6 +243,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def without_hits(found: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents of contamination() with each span cut out of the text, from its first word's first letter to its last word's last."""
     base = found.drop("n_words", "hit_spans", "hit_items")
+    columns = base.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +259,7 @@ def without_hits(found: DataFrame, text_col: str = "text") -> DataFrame:
                         at = places[s["end"] - 1][1]
                     t = b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
                 out.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text_col else part.column(c) for c in base.columns], base.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text_col else part.column(c) for c in columns], columns)
 
     return found.mapInArrow(run, schema)
 
