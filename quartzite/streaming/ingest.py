@@ -32,19 +32,24 @@ def _names(schema: str) -> list[str]:
     return [c.split(" ")[0] for c in schema.split(", ")]
 
 
-def same_keys(variant: Column, names: list[str]) -> Column:
+def same_keys(text: Column, names: list[str]) -> Column:
     """Does a JSON object have exactly these keys?"""
-    return F.array_sort(F.json_object_keys(F.to_json(variant))) == F.array(*map(F.lit, sorted(names)))
+    return F.array_sort(F.json_object_keys(text)) == F.array(*map(F.lit, sorted(names)))
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once for each row, however often they are used: a generator isn't merged into what uses it."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
 def _payload_ok(event_type: str, schema: str) -> Column:
     """The payload's keys, types and ranges: no more and no fewer fields, whole numbers as such, times with a zone."""
-    p = F.to_json(F.try_variant_get("_v", "$.payload", "variant"))
-    ok = F.array_sort(F.json_object_keys(p)) == F.array(*map(F.lit, sorted(_names(schema))))
+    p = F.col("payload")
+    ok = F.col("_fields") == F.array(*map(F.lit, sorted(_names(schema))))
     for field in schema.split(", "):
         name, kind = field.split(" ")
         text = F.get_json_object(p, f"$.{name}")
-        raw = F.schema_of_variant(F.try_variant_get("_v", f"$.payload.{name}", "variant"))
+        raw = F.schema_of_variant(F.try_variant_get("_p", f"$.{name}", "variant"))
         good = {
             "string": (raw == "STRING") & (F.trim(text) != ""), "bigint": raw == "BIGINT", "int": raw == "BIGINT", "boolean": raw == "BOOLEAN", "double": raw.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"),
             "timestamp": (raw == "STRING") & text.rlike(AWARE), "date": text.try_cast("date").isNotNull(),
@@ -63,10 +68,11 @@ def _payload_ok(event_type: str, schema: str) -> Column:
 
 def classify(messages: DataFrame, contracts: dict[str, tuple[str, str]] = CONTRACTS) -> DataFrame:
     """Messages (key, value, topic, partition, offset) with event_id, event_type, occurred_at, payload and `reason`; NULL where the event is good."""
-    d = messages.withColumn("_text", F.col("value").cast("string")).withColumn("_v", F.try_parse_json("_text"))
-    top = F.schema_of_variant("_v")
     get = lambda path, kind="string": F.try_variant_get("_v", path, kind)
-    d = d.withColumns({"event_id": get("$.event_id"), "event_type": get("$.event_type"), "_version": F.schema_of_variant(get("$.schema_version", "variant")), "schema_version": get("$.schema_version", "int"), "occurred_at": get("$.occurred_at"), "payload": F.to_json(get("$.payload", "variant"))})
+    d = _once(messages, _text=F.col("value").cast("string"), _v=F.try_parse_json(F.col("value").cast("string")))
+    d = _once(d, event_id=get("$.event_id"), event_type=get("$.event_type"), _version=F.schema_of_variant(get("$.schema_version", "variant")), schema_version=get("$.schema_version", "int"), occurred_at=get("$.occurred_at"), _p=get("$.payload", "variant"))
+    d = _once(d, _top=F.schema_of_variant("_v"), payload=F.to_json("_p"), _fields=F.array_sort(F.json_object_keys(F.to_json("_p"))))
+    top = F.col("_top")
     topic = F.lit(None).cast("string")
     good = F.lit(False)
     for name, (where, schema) in contracts.items():
@@ -76,13 +82,13 @@ def classify(messages: DataFrame, contracts: dict[str, tuple[str, str]] = CONTRA
     utf8 = F.is_valid_utf8(F.col("key").cast("string"))
     no = lambda c: ~F.coalesce(c, F.lit(False))
     conditions = [
-        F.col("value").isNull(), F.col("_v").isNull(), no(top.startswith("OBJECT")) | no(same_keys(F.col("_v"), KEYS)), no(F.col("event_type").isin(*contracts)), no((F.col("_version") == "BIGINT") & (F.col("schema_version") == 1)), no(topic == F.col("topic")),
+        F.col("value").isNull(), F.col("_v").isNull(), no(top.startswith("OBJECT")) | no(same_keys(F.col("_text"), KEYS)), no(F.col("event_type").isin(*contracts)), no((F.col("_version") == "BIGINT") & (F.col("schema_version") == 1)), no(topic == F.col("topic")),
         no(envelope) | no(good), F.col("key").isNull(), no(utf8), no(F.get_json_object("payload", "$.application_id") == F.col("key").cast("string")),
     ]
     reason = F.lit(None).cast("string")
     for bad, name in reversed([*zip(conditions, REASONS, strict=True)]):
         reason = F.when(bad, name).otherwise(reason)
-    return d.withColumn("reason", reason).drop("_text", "_v", "_version")
+    return _once(d, reason=reason).drop("_text", "_v", "_version", "_p", "_top", "_fields")
 
 
 def split_invalid(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
