@@ -4,7 +4,7 @@ A suffix array of the whole corpus by column-wise construction would take as man
 bytes, each over all suffixes so far. So the corpus is first cut by content into a collection of short strings, and the
 collections are small and independent:
 
-1. Of the 36 or so anchors (16 bytes) in a window, the one with the smallest hash stands for it. Equal windows have the
+1. Of the anchors (24 bytes each) in a window, the one with the smallest hash stands for it. Equal windows have the
    same anchor. Neighbouring windows with one anchor make a string of at most 64 windows. A document shares a window
    only if it shares an anchor, so each chunk of documents sends its distinct anchors, and gets back those of them that
    occur in a second document.
@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from quartzite.llm.collection_bwt import smallest_owner
 from quartzite.llm.common import partitions, sha256, shared_dir
 
-WINDOW, ANCHOR, RUN = 50, 16, 64
+WINDOW, ANCHOR, RUN = 50, 24, 64
 #: Bytes of text in a chunk, about; and of what is hashed at a time.
-CHUNK, PART = 24_000_000, 2_000_000
+CHUNK, PART = 20_000_000, 1_000_000
+#: Bits of an anchor's hash that are told within its bucket (a clash only makes more strings candidates), and strings of a collection, about.
+TOLD, COLLECTION = 36, 4_096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _NONE = np.iinfo(np.int64).max
@@ -57,10 +59,12 @@ def runs_of(raw: bytes, begin: np.ndarray, window: int = WINDOW) -> tuple[np.nda
     if n < window:
         return none, none, none.astype(np.uint64)
     with np.errstate(over="ignore"):
-        h, power, step = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1), _BASE, 1
-        while step < ANCHOR:
-            h = h[:-step] * power + h[step:]
-            power, step = power * power, step * 2
+        one, power, size = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1), _BASE, 1
+        h = one
+        for bit in bin(ANCHOR)[3:]:  # hashes of twice the length, and of one byte more, up to the anchor's
+            h, power, size = h[:-size] * power + h[size:], power * power, size * 2
+            if bit == "1":
+                h, power, size = h[:-1] * _BASE + one[size:], power * _BASE, size + 1
         h = _mixed(h)
     width, step = window - ANCHOR + 1, 1
     while step * 2 <= width:
@@ -117,8 +121,17 @@ def _parts(docs: pa.Table) -> Iterator[tuple[int, list[bytes], np.ndarray, bytes
             held, size, first = [], 0, k + 1
 
 
-def _binary(*arrays: np.ndarray) -> list[bytes]:
-    return [x.tobytes() for x in arrays]
+def _packed(array: np.ndarray) -> bytes:
+    """Numbers as bytes, compressed with all lowest bytes together, then all second ones and so on."""
+    data = array.view(np.uint8).reshape(len(array), array.itemsize).T.tobytes() if len(array) else b""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], size, codec="zstd", asbytes=True)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, size // width).T).view(kind).ravel()
 
 
 def _each(found: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -159,7 +172,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     chunks = buckets = max(partitions(spark), -(-total // chunk_bytes))
     dealt = _dealt(docs, id_col, text_col, chunks)
-    folder = shared_dir(spark)
+    folder, mask = shared_dir(spark), np.uint64((1 << TOLD) - 1)
 
     def anchors(table: pa.Table) -> pa.Table:
         """The distinct anchors of a chunk, by bucket; those that two of its documents have, apart."""
@@ -175,28 +188,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         twice = np.unique(a[1:][(a[1:] == a[:-1]) & (own[1:] != own[:-1])])
         a = np.unique(a)
         twice = _in(twice, a)
-        rows = [(b, table.column("chunk")[0].as_py(), *_binary(a[o][~twice[o]], a[o][twice[o]])) for b, o in _each(a, buckets)]
+        told = [(b, np.unique(a[o][~twice[o]] // np.uint64(buckets) & mask), np.unique(a[o][twice[o]] // np.uint64(buckets) & mask)) for b, o in _each(a, buckets)]
+        rows = [(b, table.column("chunk")[0].as_py(), *(_packed(np.diff(x, prepend=np.uint64(0))) for x in (once, two))) for b, once, two in told]
         return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("bucket", pa.int32()), ("chunk", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())))})
 
     def answered(table: pa.Table) -> pa.Table:
         """Which anchors of a bucket occur in two documents: told to each chunk that has them."""
-        once = [np.frombuffer(x, np.uint64) for x in table.column("once").to_pylist()]
-        twice = [np.frombuffer(x, np.uint64) for x in table.column("twice").to_pylist()]
+        once, twice = ([np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in table.column(c).to_pylist()] for c in ("once", "twice"))
         a = np.sort(np.concatenate(once))
         known = np.unique(np.concatenate([a[1:][a[1:] == a[:-1]], *twice]))
         # an anchor that one chunk has in two documents is repeated for a chunk that has it once
-        out = [np.concatenate([x[_in(known, x)], y]) for x, y in zip(once, twice, strict=True)]
-        return pa.table({"chunk": table.column("chunk"), "repeated": pa.array(_binary(*out), pa.binary())})
+        out = [np.unique(np.concatenate([x[_in(known, x)], y])) for x, y in zip(once, twice, strict=True)]
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "repeated": pa.array([_packed(np.diff(x, prepend=np.uint64(0))) for x in out], pa.binary())})
 
     def strings(docs: pa.Table, told: pa.Table) -> pa.Table:
         """The distinct strings of a chunk's repeated anchors, by bucket."""
         rows = []
         if docs.num_rows and told.num_rows:
-            known = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in told.column("repeated").to_pylist()]))
+            known = np.unique(np.concatenate([(np.uint64(b) << np.uint64(TOLD)) | np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for b, x in zip(told.column("bucket").to_pylist(), told.column("repeated").to_pylist(), strict=True)]))
             keys, hashes, low, high, texts = [], [], [], [], []
             for _, _, ids, raw, begin in _parts(docs):
                 at, count, a = runs_of(raw, begin, window)
-                take = _in(known, a)
+                take = _in(known, (a % np.uint64(buckets) << np.uint64(TOLD)) | (a // np.uint64(buckets) & mask))
                 at, count, a = at[take], count[take], a[take]
                 own = ids[np.searchsorted(begin, at, side="right") - 1]
                 key, first, group = np.unique(PrefixHash(raw).of(at, count + window - 1), return_index=True, return_inverse=True)
@@ -215,17 +228,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             a, texts = np.concatenate(hashes)[first], [texts[i] for i in first.tolist()]
             size = np.array([len(t) for t in texts], np.uint8)
             chunk = docs.column("chunk")[0].as_py()
-            rows = [(b, chunk, *_binary(a[o], size[o], lo[o], hi[o]), b"".join([texts[i] for i in o.tolist()])) for b, o in _each(a, buckets)]
+            rows = [(b, chunk, *map(_packed, (a[o], size[o], lo[o], hi[o])), _packed(np.frombuffer(b"".join([texts[i] for i in o.tolist()]), np.uint8))) for b, o in _each(a, buckets)]
         kinds = (("bucket", pa.int32()), ("chunk", pa.int32()), ("anchors", pa.binary()), ("sizes", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("texts", pa.binary()))
         return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(kinds)})
 
     def owners(table: pa.Table) -> pa.Table:
         """The smallest id of each window of a bucket's strings: told to each chunk, for the strings of which it has to cut something."""
-        rows = [[np.frombuffer(x, t) for x, t in zip(r, (np.uint64, np.uint8, np.int64, np.int64), strict=True)] for r in zip(*(table.column(c).to_pylist() for c in ("anchors", "sizes", "low", "high")), strict=True)]
+        rows = [[_unpacked(x, t) for x, t in zip(r, (np.uint64, np.uint8, np.int64, np.int64), strict=True)] for r in zip(*(table.column(c).to_pylist() for c in ("anchors", "sizes", "low", "high")), strict=True)]
         number: dict[bytes, int] = {}
         of = []
         for (_, size, _, _), all_ in zip(rows, table.column("texts").to_pylist(), strict=True):
-            edge = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]).tolist()
+            edge, all_ = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]).tolist(), _unpacked(all_, np.uint8).tobytes()
             of.append(np.array([number.setdefault(all_[b:e], len(number)) for b, e in zip(edge[:-1], edge[1:], strict=True)], np.int64))
         every, names = [*number], np.concatenate(of)
         low, anchor = np.full(len(every), _NONE), np.zeros(len(every), np.uint64)
@@ -233,18 +246,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         anchor[names] = np.concatenate([r[0] for r in rows])
         _, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
         mixed = np.flatnonzero(count[group] > 1)
-        found = smallest_owner([every[i] for i in mixed.tolist()], low[mixed], window, folder)
-        place = np.full(len(every), -1)
-        place[mixed] = np.arange(len(mixed))
+        mixed = mixed[np.argsort(group[mixed], kind="stable")]
+        # anchors share no window, so that a collection may end after any anchor
+        ends = np.append(np.flatnonzero(np.diff(group[mixed])) + 1, len(mixed)) if len(mixed) else np.zeros(0, np.int64)
+        found: dict[int, np.ndarray] = {}
+        at = 0
+        for end in ends.tolist():
+            if end - at >= COLLECTION or end == len(mixed):
+                part = mixed[at:end]
+                ids = smallest_owner([every[i] for i in part.tolist()], low[part], window, folder)
+                found.update((i, ids(k)) for k, i in enumerate(part.tolist()))
+                at = end
         # of each string, stretches of windows that have one smallest id
         begin, end, owner, held = [], [], [], np.zeros(len(every) + 1, np.int64)
-        for i, (text, k) in enumerate(zip(every, place.tolist(), strict=True)):
-            if k < 0:
+        for i, text in enumerate(every):
+            if i not in found:
                 begin.append(np.zeros(1, np.int64))
                 end.append(np.array([len(text) - window + 1]))
                 owner.append(low[i : i + 1])
             else:
-                ids = found(k)
+                ids = found[i]
                 edge = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
                 begin.append(edge)
                 end.append(np.append(edge[1:], len(ids)))
@@ -258,12 +279,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             n = first[k + 1] - first[k]
             each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[k], n)
             cut = owner[each] < np.repeat(high, n)
-            out.append(_binary(np.repeat(keys[k], n)[cut], begin[each][cut].astype(np.uint8), end[each][cut].astype(np.uint8), owner[each][cut]))
+            out.append([*map(_packed, (np.repeat(keys[k], n)[cut], begin[each][cut].astype(np.uint8), end[each][cut].astype(np.uint8), owner[each][cut]))])
         return pa.table({"chunk": table.column("chunk"), **{c: pa.array([r[i] for r in out], pa.binary()) for i, c in enumerate(("keys", "begin", "end", "owner"))}})
 
     def applied(docs: pa.Table, told: pa.Table) -> pa.Table:
         if told.num_rows:
-            key, begin, end, owner = (np.concatenate([np.frombuffer(x, t) for x in told.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("begin", np.uint8), ("end", np.uint8), ("owner", np.int64)))
+            key, begin, end, owner = (np.concatenate([_unpacked(x, t) for x in told.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("begin", np.uint8), ("end", np.uint8), ("owner", np.int64)))
         else:
             key, begin, end, owner = (np.zeros(0, t) for t in (np.uint64, np.uint8, np.uint8, np.int64))
         order = np.argsort(key, kind="stable")
@@ -303,7 +324,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = docs.columns
     rest = [c for c in names if c != text_col]
     sent = dealt.groupBy("chunk").applyInArrow(anchors, "bucket int, chunk int, once binary, twice binary")
-    told = sent.groupBy("bucket").applyInArrow(answered, "chunk int, repeated binary")
+    told = sent.groupBy("bucket").applyInArrow(answered, "chunk int, bucket int, repeated binary")
     held = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(strings, "bucket int, chunk int, anchors binary, sizes binary, low binary, high binary, texts binary")
     owned = held.groupBy("bucket").applyInArrow(owners, "chunk int, keys binary, begin binary, end binary, owner binary")
     if cut:
