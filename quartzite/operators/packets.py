@@ -29,26 +29,28 @@ def normalize_packets(raw: DataFrame) -> DataFrame:
     IPv4 counts its own length, IPv6 its payload and 40 bytes of header; a UDP datagram's payload is its length less 8.
     """
     f = lambda c: F.col(f"`{c}`")
-    v4, v6 = _seen("ip.src"), _seen("ipv6.src")
-    tcp, udp, quic = _seen("tcp.srcport"), _seen("udp.srcport"), _seen("quic.version") | _seen("quic.long.packet_type") | _seen("quic.short") | _seen("quic.spin_bit")
-    network = F.when(v4, first_int(f("ip.len"))).when(v6, first_int(f("ipv6.plen")) + 40)
-    payload = F.when(tcp, first_int(f("tcp.len"))).when(udp, F.greatest(F.lit(0), first_int(f("udp.length")) - 8))
-    direction = first_int(f("sll.pkttype")) if "sll.pkttype" in raw.columns else first_int(f("frame.p2p_dir"))
-    ecn = F.when(v4, first_int(f("ip.dsfield.ecn"))).when(v6, first_int(f("ipv6.tclass.ecn")))
-    fragment = flag(f("ip.flags.mf")) | (F.coalesce(first_int(f("ip.frag_offset")), F.lit(0)) > 0) | _seen("ipv6.fragment")
-    icmp = first_int(f("icmp.type")).isin(3, 4, 5, 11, 12) | first_int(f("icmpv6.type")).between(1, 4)
+    n = lambda c: first_int(f(c))
+    v4, v6 = n("ip.len").isNotNull(), n("ipv6.plen").isNotNull()
+    tcp, udp = (n(f"{p}.srcport").isNotNull() & n(f"{p}.dstport").isNotNull() for p in ("tcp", "udp"))
+    quic = F.array_contains(F.split(F.lower(F.coalesce(f("frame.protocols"), F.lit(""))), ":"), "quic") | _seen("quic.version") | _seen("quic.long.packet_type") | _seen("quic.spin_bit")
+    network = F.greatest(F.lit(0), F.when(v4, n("ip.len")).when(v6, n("ipv6.plen") + 40))
+    payload = F.greatest(F.lit(0), F.when(tcp, n("tcp.len")).when(udp, F.coalesce(n("udp.length"), F.lit(0)) - 8))
+    way = F.lower(F.trim(f("frame.packet_flags_direction")))
+    ecn = F.when(v4, n("ip.dsfield.ecn")).when(v6, n("ipv6.tclass").bitwiseAND(3))
+    fragment = flag(f("ip.flags.mf")) | (F.coalesce(n("ip.frag_offset"), F.lit(0)) > 0) | _seen("ipv6.fraghdr.offset")
+    icmp = F.coalesce(n("icmp.type").isin(3, 4, 5, 11, 12), F.lit(False)) | F.coalesce(n("icmpv6.type") < 128, F.lit(False))
     out = raw.select(
         ID, "packet_no", first_float(f("frame.time_epoch")).alias("timestamp"), first_int(f("frame.len")).alias("frame_len"), first_int(f("frame.cap_len")).alias("captured_len"),
-        F.when(direction == 2, "tx").when(direction == 1, "rx").alias("direction"), F.when(v4, 4).when(v6, 6).alias("ip_version"), F.coalesce(network, F.lit(0)).alias("network_bytes"),
+        F.when(way.isin("2", "outbound", "sent"), "tx").when(way.isin("1", "inbound", "received"), "rx").alias("direction"), F.when(v4, 4).when(v6, 6).alias("ip_version"), F.coalesce(network, F.lit(0)).alias("network_bytes"),
         F.when(v4, first_of(f("ip.src"))).when(v6, first_of(f("ipv6.src"))).alias("src_ip"), F.when(v4, first_of(f("ip.dst"))).when(v6, first_of(f("ipv6.dst"))).alias("dst_ip"),
         *(F.when(tcp, first_int(f(f"tcp.{p}port"))).when(udp, first_int(f(f"udp.{p}port"))).cast("int").alias(f"{p}_port") for p in ("src", "dst")),
         F.when(tcp, "tcp").when(udp, "udp").otherwise("other").alias("transport"), F.coalesce(payload, F.lit(0)).alias("l4_payload_bytes"), first_int(f("tcp.stream")).cast("int").alias("tcp_stream"),
-        fragment.alias("ip_fragment"), F.coalesce(ecn == 3, F.lit(False)).alias("ecn_ce"), F.coalesce(icmp, F.lit(False)).alias("icmp_error"),
-        *(flag(f(c)).alias(n) for c, n in (("tcp.flags.syn", "tcp_syn"), ("tcp.flags.ack", "tcp_ack"), ("tcp.flags.reset", "tcp_rst"))),
-        *(_seen(f"tcp.analysis.{c}").alias(f"tcp_{n}") for c, n in (("retransmission", "retransmission"), ("fast_retransmission", "fast_retransmission"), ("spurious_retransmission", "spurious_retransmission"), ("zero_window", "zero_window"), ("window_full", "window_full"), ("out_of_order", "out_of_order"), ("duplicate_ack", "duplicate_ack"), ("lost_segment", "lost_segment"))),
-        first_int(f("tcp.window_size")).cast("int").alias("tcp_window_size"), first_float(f("tcp.analysis.initial_rtt")).alias("tcp_initial_rtt_seconds"), first_float(f("tcp.analysis.ack_rtt")).alias("tcp_ack_rtt_seconds"),
+        fragment.alias("ip_fragment"), F.coalesce(ecn == 3, F.lit(False)).alias("ecn_ce"), icmp.alias("icmp_error"),
+        *(flag(f(c)).alias(o) for c, o in (("tcp.flags.syn", "tcp_syn"), ("tcp.flags.ack", "tcp_ack"), ("tcp.flags.reset", "tcp_rst"))),
+        *(flag(f(f"tcp.analysis.{c}")).alias(f"tcp_{o}") for c, o in (("retransmission", "retransmission"), ("fast_retransmission", "fast_retransmission"), ("spurious_retransmission", "spurious_retransmission"), ("zero_window", "zero_window"), ("window_full", "window_full"), ("out_of_order", "out_of_order"), ("duplicate_ack", "duplicate_ack"), ("lost_segment", "lost_segment"))),
+        n("tcp.window_size_value").cast("int").alias("tcp_window_size"), first_float(f("tcp.analysis.initial_rtt")).alias("tcp_initial_rtt_seconds"), first_float(f("tcp.analysis.ack_rtt")).alias("tcp_ack_rtt_seconds"),
         quic.alias("quic"), F.nullif(first_of(f("quic.version")), F.lit("")).alias("quic_version"), F.nullif(first_of(f("quic.long.packet_type")), F.lit("")).alias("quic_packet_type"), first_int(f("quic.spin_bit")).cast("int").alias("quic_spin_bit"),
-        F.when(_seen("dns.flags.response"), flag(f("dns.flags.response"))).alias("dns_is_response"), first_int(f("dns.flags.rcode")).cast("int").alias("dns_response_code"), first_float(f("dns.time")).alias("dns_time_seconds"),
+        (n("dns.flags.response") != 0).alias("dns_is_response"), first_int(f("dns.flags.rcode")).cast("int").alias("dns_response_code"), first_float(f("dns.time")).alias("dns_time_seconds"),
     )
     return out.where("timestamp is not null and frame_len is not null and captured_len is not null")
 

@@ -24,10 +24,10 @@ EXPERIMENT = "capture_id string, experiment_id string, session_id string, trial_
 RELEASE = "release_event_id string, application_package string, previous_version string, new_version string, release_date date, release_date_precision string, release_date_source string, release_evidence_reference string, release_date_verified boolean, baseline_start date, baseline_end date, followup_start date, followup_end date, transition_period_start date, transition_period_end date, experiment_id_before string, experiment_id_after string, notes string"
 LOG = "timestamp timestamp, level string, service string, logger string, event string, message string, duration_seconds double"
 #: The dissector's fields, in the order of its tab-separated output.
-PACKET_FIELDS = """frame.time_epoch frame.len frame.cap_len frame.p2p_dir sll.pkttype ip.src ip.dst ip.len ip.flags.mf ip.frag_offset ip.dsfield.ecn ipv6.src ipv6.dst ipv6.plen ipv6.fragment ipv6.tclass.ecn icmp.type icmpv6.type
- tcp.srcport tcp.dstport tcp.len tcp.stream tcp.flags.syn tcp.flags.ack tcp.flags.reset tcp.window_size tcp.analysis.initial_rtt tcp.analysis.ack_rtt tcp.analysis.retransmission tcp.analysis.fast_retransmission tcp.analysis.spurious_retransmission
- tcp.analysis.zero_window tcp.analysis.window_full tcp.analysis.out_of_order tcp.analysis.duplicate_ack tcp.analysis.lost_segment udp.srcport udp.dstport udp.length quic.version quic.long.packet_type quic.short quic.spin_bit
- dns.flags.response dns.flags.rcode dns.time""".split()
+PACKET_FIELDS = """frame.time_epoch frame.len frame.cap_len frame.packet_flags_direction frame.protocols ip.version ip.len ip.src ip.dst ip.flags.mf ip.frag_offset ip.dsfield.ecn ipv6.plen ipv6.src ipv6.dst ipv6.tclass ipv6.fraghdr.offset
+ tcp.srcport tcp.dstport tcp.stream tcp.len tcp.flags.syn tcp.flags.ack tcp.flags.reset tcp.window_size_value tcp.analysis.initial_rtt tcp.analysis.ack_rtt tcp.analysis.retransmission tcp.analysis.fast_retransmission tcp.analysis.spurious_retransmission
+ tcp.analysis.zero_window tcp.analysis.window_full tcp.analysis.out_of_order tcp.analysis.duplicate_ack tcp.analysis.lost_segment udp.srcport udp.dstport udp.length quic.version quic.long.packet_type quic.spin_bit
+ dns.flags.response dns.flags.rcode dns.time icmp.type icmpv6.type""".split()
 MAGIC = {"D4C3B2A1": "pcap", "A1B2C3D4": "pcap", "4D3CB2A1": "pcap", "A1B23C4D": "pcap", "0A0D0D0A": "pcapng"}
 
 
