@@ -19,14 +19,15 @@ import pyarrow.fs
 BLOCK = 4_000_000
 #: bwt, common prefix, name of each suffix; a whole string's name is stored as -1 - name.
 Block = tuple[np.ndarray, np.ndarray, np.ndarray]
-_KINDS = (np.dtype("u1"), np.dtype("u1"), np.dtype("<i8"))
+
 
 
 class Column:
     """A sequence of blocks of suffixes that is written once and read in order: in memory up to one block, else in a file."""
 
-    def __init__(self, folder: str | None, block: int):
+    def __init__(self, folder: str | None, block: int, name: np.dtype):
         self.folder, self.block, self.path, self.size = folder, block, None, 0
+        self.kinds = (np.dtype("u1"), np.dtype("u1"), name)
         self.blocks: list[Block] = []
         self.out = None
 
@@ -58,7 +59,7 @@ class Column:
             while left:
                 n = int(np.frombuffer(source.read(8), np.int64)[0])
                 left -= n
-                yield tuple(np.frombuffer(source.read(n * k.itemsize), k) for k in _KINDS), not left
+                yield tuple(np.frombuffer(source.read(n * k.itemsize), k) for k in self.kinds), not left
 
     def drop(self) -> None:
         if self.path is not None:
@@ -78,10 +79,11 @@ def build(strings: list[bytes], cap: int = 255, folder: str | None = None, block
     width = int(size.max(initial=0))
     # right-aligned: column -1 is each string's last symbol
     text = np.frombuffer(b"".join(s.rjust(width, b"\0") for s in strings), np.uint8).reshape(m, width) if m else np.zeros((0, 0), np.uint8)
-    now = Column(folder, block)
+    kind = np.dtype("<i4" if m < 1 << 22 else "<i8")
+    now = Column(folder, block, kind)
     for k in range(0, m, block):
         names = np.arange(k, min(m, k + block)) * 256
-        now.append((text[k : k + block, -1].copy() if width else np.zeros(len(names), np.uint8), np.zeros(len(names), np.uint8), np.where(size[k : k + block] > 0, names, -1 - names)))
+        now.append((text[k : k + block, -1].copy() if width else np.zeros(len(names), np.uint8), np.zeros(len(names), np.uint8), np.where(size[k : k + block] > 0, names, -1 - names).astype(kind)))
     totals = np.bincount(text[size > 0, -1] if width else np.zeros(0, np.uint8), minlength=256).astype(np.int64)  # symbols not yet or already put in front
     live = np.flatnonzero(size > 0)
     place = live.copy()  # of each live string's last suffix, among all
@@ -112,9 +114,12 @@ def build(strings: list[bytes], cap: int = 255, folder: str | None = None, block
             goes[k:j] = first[c] + before[c] + mine - begin[c]
             # common prefixes are needed of the new ones, and of the next of the same symbol after a new one
             heads = begin[:-1][count > 0]
-            need = np.concatenate([mine, mine[mine + 1 < begin[c + 1]] + 1, heads[pending[count > 0]]])
+            wanted = np.zeros(len(spot) + 1, bool)
+            wanted[mine] = True
+            wanted[mine[mine + 1 < begin[c + 1]] + 1] = True
+            wanted[heads[pending[count > 0]]] = True
+            need = np.flatnonzero(wanted)
             if len(need):
-                need = np.unique(need)
                 b = np.searchsorted(begin, need, side="right") - 1
                 head = need == begin[b]
                 start = np.where(head, 0, spot[need - 1] + 1)
@@ -146,7 +151,7 @@ def build(strings: list[bytes], cap: int = 255, folder: str | None = None, block
         by = np.argsort(prefix_at, kind="stable")
         prefix_at, prefix_is = prefix_at[by], prefix_is[by].astype(np.uint8)
         # second reading: old and new, merged
-        then = Column(folder, block)
+        then = Column(folder, block, kind)
         done = k = p = 0
         for (bwt, lcp, name), last in now.read():
             n, j = len(bwt), k
@@ -159,7 +164,7 @@ def build(strings: list[bytes], cap: int = 255, folder: str | None = None, block
             put = goes[k:j] - done
             keep = np.ones(n + j - k, bool)
             keep[put] = False
-            out = tuple(np.empty(len(keep), kind) for kind in _KINDS)
+            out = tuple(np.empty(len(keep), kind) for kind in now.kinds)
             for x, old, new in zip(out, (bwt, lcp, name), (symbols[k:j], 0, names[k:j]), strict=True):
                 x[keep] = old
                 x[put] = new

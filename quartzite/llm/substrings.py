@@ -49,6 +49,46 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _anchors(raw: bytes) -> np.ndarray:
+    """The hash of the ANCHOR bytes from each place on."""
+    with np.errstate(over="ignore"):
+        one, power, size = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1), _BASE, 1
+        h = one
+        for bit in bin(ANCHOR)[3:]:  # hashes of twice the length, and of one byte more, up to the anchor's
+            h, power, size = h[:-size] * power + h[size:], power * power, size * 2
+            if bit == "1":
+                h, power, size = h[:-1] * _BASE + one[size:], power * _BASE, size + 1
+        return _mixed(h)
+
+
+def comparable(strings: list[bytes], anchor: np.ndarray, window: int) -> np.ndarray:
+    """Which strings may share a window with another of the same anchor.
+
+    Equal windows agree in the anchor and in the window - ANCHOR bytes beside it, so in half of those on its left or on
+    its right. A string that shares neither half with another has its windows to itself. (One that holds its anchor
+    more than once is always kept.)
+    """
+    raw = b"".join(strings)
+    size = np.array([len(s) for s in strings], np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    half = (window - ANCHOR) // 2
+    if len(raw) < ANCHOR or half < 1:
+        return np.ones(len(strings), bool)
+    h = _anchors(raw)
+    of = np.repeat(np.arange(len(strings)), size)[: len(h)]
+    at = np.flatnonzero((h == anchor[of]) & (np.arange(len(h)) + ANCHOR <= begin[of + 1]))
+    count = np.bincount(of[at], minlength=len(strings))
+    keep = count != 1
+    at = at[~keep[of[at]]]
+    who, hashes = of[at], PrefixHash(raw)
+    for ok, start in ((at - half >= begin[who], at - half), (at + ANCHOR + half <= begin[who + 1], at + ANCHOR)):
+        with np.errstate(over="ignore"):
+            key = hashes.of(start[ok], np.full(int(ok.sum()), half)) ^ (anchor[who[ok]] * _BASE)
+        _, group, n = np.unique(key, return_inverse=True, return_counts=True)
+        keep[who[ok][n[group] > 1]] = True
+    return keep
+
+
 def runs_of(raw: bytes, begin: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor in documents laid end to end (begin: where each begins, and the end of all).
 
@@ -58,14 +98,7 @@ def runs_of(raw: bytes, begin: np.ndarray, window: int = WINDOW) -> tuple[np.nda
     none = np.zeros(0, np.int64)
     if n < window:
         return none, none, none.astype(np.uint64)
-    with np.errstate(over="ignore"):
-        one, power, size = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1), _BASE, 1
-        h = one
-        for bit in bin(ANCHOR)[3:]:  # hashes of twice the length, and of one byte more, up to the anchor's
-            h, power, size = h[:-size] * power + h[size:], power * power, size * 2
-            if bit == "1":
-                h, power, size = h[:-1] * _BASE + one[size:], power * _BASE, size + 1
-        h = _mixed(h)
+    h = _anchors(raw)
     width, step = window - ANCHOR + 1, 1
     while step * 2 <= width:
         h = np.minimum(h[:-step], h[step:])
@@ -92,14 +125,28 @@ def runs_of(raw: bytes, begin: np.ndarray, window: int = WINDOW) -> tuple[np.nda
     return at, count, h[at]
 
 
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, up to n; kept for the next part, up to a few of them."""
+    if len(_powers[0]) <= n:
+        size = n if n > 8 * PART else max(n, 2 * PART)
+        with np.errstate(over="ignore"):
+            made = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, b)])) for b in (_BASE, _INVERSE)]
+        if size > 8 * PART:
+            return made
+        _powers[:] = made
+    return _powers
+
+
 class PrefixHash:
     """Hashes of any stretches of some bytes."""
 
     def __init__(self, raw: bytes):
         n = len(raw)
         with np.errstate(over="ignore"):
-            self.up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]))
-            down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]))
+            self.up, down = _tables(n)
             self.sum = np.concatenate([[np.uint64(0)], np.cumsum((np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * down[:n])])
 
     def of(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -246,6 +293,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         anchor[names] = np.concatenate([r[0] for r in rows])
         _, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
         mixed = np.flatnonzero(count[group] > 1)
+        mixed = mixed[comparable([every[i] for i in mixed.tolist()], anchor[mixed], window)]
         mixed = mixed[np.argsort(group[mixed], kind="stable")]
         # anchors share no window, so that a collection may end after any anchor
         ends = np.append(np.flatnonzero(np.diff(group[mixed])) + 1, len(mixed)) if len(mixed) else np.zeros(0, np.int64)
