@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL, "op8_compaction": OP8_SQL}
+    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op2_suffix_dedup": substrings.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL, "op8_compaction": OP8_SQL}

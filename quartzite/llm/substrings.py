@@ -416,3 +416,17 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
         if b < e:
             whole.append((b, e))
     return _without(raw, whole)
+
+
+ORACLE_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i - 1, 100) AS s FROM (SELECT doc_id, x, unnest(generate_series(1, len(x) // 2 - 49)) AS i FROM h WHERE len(x) >= 100)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM w JOIN m USING (s) WHERE least < doc_id),
+p AS (SELECT doc_id, min(i) AS b, max(i) + 50 AS e FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r) GROUP BY doc_id, k),
+q AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 1) AS since FROM p),
+g AS (SELECT doc_id, sum(e - b) AS gone, count(*) AS spans, max(e) AS last, string_agg(substr(x, 2 * since - 1, 2 * (b - since)), '' ORDER BY b) AS kept FROM q JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN gone IS NULL THEN x ELSE kept || substr(x, 2 * last - 1) END)) AS kept_sha256
+FROM h LEFT JOIN g USING (doc_id)
+"""
