@@ -75,10 +75,6 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def ordered(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, *(c for c in df.columns if c not in keys))
-
-
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links: (id, component), component being the smallest id that is reached.
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartzite.llm.common import components, row_groups, small_batches, written
@@ -27,8 +27,10 @@ from quartzite.llm.substrings import PrefixHash
 
 #: Largest group of documents with one shingle of which all pairs are candidates; documents that stand for larger ones.
 GROUP, LEADERS = 32, 3
-#: A shingle that more than one in COMMON documents has goes to the end of every order; so there are at most COMMON times a prefix's length of them.
-COMMON = 500
+#: A shingle that more than GROUP and more than one in COMMON documents have goes to the end of every order; so there are at
+#: most COMMON times a mean prefix's length of them, about ten megabytes at any size of the corpus. They are counted in
+#: prefixes STRETCH times as long, as what goes to the end makes room for others.
+COMMON, STRETCH = 20_000, 1.5
 #: Orders besides the first.
 MORE_ORDERS = 2
 #: Documents of a cell of the verification, about.
@@ -82,14 +84,18 @@ def shingle_sets(texts: list[str | None], size: int = 3) -> list[np.ndarray]:
 
 
 def shared_least(n: int) -> int:
-    """How many shingles prefixes must share: a few in a hundred, one at least."""
-    return max(1, n // 50)
+    """How many shingles prefixes must share: a few in a hundred, in short texts up to eight. Grows with n."""
+    return max(n // 32, min(8, -(-n // 4)))
 
 
-def prefix(tokens: np.ndarray, common: np.ndarray, order: int, percent: int) -> np.ndarray:
+def _shared_least(n: Column) -> Column:
+    return F.greatest(F.floor(n / 32), F.least(F.lit(8), F.ceil(n / 4)))
+
+
+def prefix(tokens: np.ndarray, common: np.ndarray, order: int, percent: int, stretch: float = 1) -> np.ndarray:
     """The prefix of a set under an order."""
     n = len(tokens)
-    length = min(n, n - -(-percent * n // 100) + shared_least(n))
+    length = min(n, int(stretch * (n - -(-percent * n // 100) + shared_least(n))))
     rank = tokens if order == 0 else _mix(tokens ^ np.uint64(order * 0x9E3779B97F4A7C15 % (1 << 64)))
     if len(common):
         last = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
@@ -101,26 +107,61 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _last(tokens: np.ndarray, common: np.ndarray) -> tuple[bool, int]:
+    """The rank of the last shingle of a prefix under the first order, as numbers that sort alike."""
+    if not len(tokens):
+        return False, 0
+    last = _in(common, tokens)
+    top = tokens[last].max() if last.any() else tokens.max()
+    return bool(last.any()), int((top ^ np.uint64(1 << 63)).view(np.int64))
+
+
+def _in(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x if len(sorted_) else np.zeros(len(x), bool)
+
+
 def _prefixes(docs: DataFrame, common: np.ndarray, percent: int, size: int, only_tokens: bool) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in row_groups(batches, "text"):
             sets = shingle_sets(texts, size)
-            tokens = pa.array([_signed(prefix(s, sent.value, 0, percent)) for s in sets], pa.list_(pa.int64()))
+            chosen = [prefix(s, sent.value, 0, percent, STRETCH if only_tokens else 1) for s in sets]
+            tokens = pa.array([_signed(c) for c in chosen], pa.list_(pa.int64()))
             if only_tokens:
                 yield pa.RecordBatch.from_arrays([tokens], ["tokens"])
                 continue
             a = [int(_signed(s.sum(keepdims=True))[0]) if len(s) else 0 for s in sets]
             b = [int(_signed(np.bitwise_xor.reduce(_mix(s), keepdims=True))[0]) if len(s) else 0 for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), tokens], ["id", "n", "f1", "f2", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), tokens, *map(pa.array, zip(*(_last(c, sent.value) for c in chosen), strict=True))], ["id", "n", "f1", "f2", "tokens", "late", "last"])
+
+    return docs.mapInArrow(run, "tokens array<bigint>" if only_tokens else "id bigint, n bigint, f1 bigint, f2 bigint, tokens array<bigint>, late boolean, last bigint")
 
-    return docs.mapInArrow(run, "tokens array<bigint>" if only_tokens else "id bigint, n bigint, f1 bigint, f2 bigint, tokens array<bigint>")
+
+#: What is known of a document's prefix: set size, prefix length, how many of its shingles another prefix has, rank of the last.
+MARKS = ("n", "p", "s", "late", "last")
+
+
+def _other(*columns: str) -> list[Column]:
+    """Columns for the other side of a pair, with a y before."""
+    return [F.col(c).alias(f"y{c}") for c in columns]
+
+
+def _needed(percent: int) -> Column:
+    """How many prefix shingles two documents must share at least.
+
+    Of the two, let the one whose prefix ends first in the order have n shingles, p of them in its prefix. Those of the p
+    that the other's prefix lacks the other lacks altogether. So p - shared of the n aren't common, and what is common
+    must reach the share of both sizes that the similarity asks for.
+    """
+    first = F.struct("late", "last") <= F.struct("ylate", "ylast")
+    common = F.ceil(percent * (F.col("n") + F.col("yn")) / (100 + percent))
+    return F.greatest(_shared_least(F.least("n", "yn")), common - F.when(first, F.col("n") - F.col("p")).otherwise(F.col("yn") - F.col("yp")))
 
 
-def _fits(percent: int, a: str = "n", b: str = "m"):
-    """Sizes that allow the similarity."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _may_link(percent: int) -> Column:
+    """What sizes and prefixes of two documents say before anything is compared."""
+    return (100 * F.least("n", "yn") >= percent * F.greatest("n", "yn")) & (F.least("s", "ys") >= _needed(percent))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, common: np.ndarray, percent: int, size: int) -> DataFrame:
@@ -182,46 +223,51 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nothing = np.zeros(0, np.uint64)
     limit = max(GROUP, known.count() // COMMON)
     counts = _prefixes(known.select("text"), nothing, percent, size, True).select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
-    common = np.sort(np.array([r["t"] for r in counts.where(F.col("c") > limit).select("t").collect()], np.int64).view(np.uint64))
+    common = np.sort(counts.where(F.col("c") > limit).select("t").toArrow().column("t").to_numpy().astype(np.int64).view(np.uint64))
     every = written(_prefixes(known, common, percent, size, False), "prefixes")
 
     # classes of equal sets; of each, its smallest id goes on
     same = ["n", "f1", "f2"]
-    classes = every.where("n > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.first("tokens").alias("tokens"))
-    tokens = classes.select(F.col("rep").alias("id"), "n", F.explode("tokens").alias("t"))
-    dice = [F.struct(F.xxhash64("id", F.lit(k)), "id", "n") for k in range(LEADERS)]
-    groups = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), *(F.min(d).alias(f"d{k}") for k, d in enumerate(dice))).where("c > 1")
-    leads = groups.select("t", "c", F.when(F.col("c") > GROUP, F.array(*(F.struct(F.col(f"d{k}.id").alias("b"), F.col(f"d{k}.n").alias("m")) for k in range(LEADERS)))).alias("leaders"))
-    shared = written(tokens.join(leads, "t"), "shared")
-
-    few = shared.where(F.col("c") <= GROUP).select("t", "id", "n")
-    counted = few.join(few.select("t", F.col("id").alias("b"), F.col("n").alias("m")), "t").where((F.col("id") < F.col("b")) & _fits(percent))
-    counted = written(counted.groupBy("id", "b").agg(F.count(F.lit(1)).alias("c"), F.least(F.max("n"), F.max("m")).alias("least")), "counted")
-    hot = shared.where(F.col("c") > GROUP)
-    hot_of = written(hot.groupBy("id").agg(F.count(F.lit(1)).alias("h")), "hot")
-    other = hot_of.select(F.col("id").alias("b"), F.col("h").alias("g"))
-    enough = F.greatest(F.lit(1), F.floor(F.col("least") / 50))
+    rest = ["tokens", "late", "last"]
+    classes = every.where("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.first(F.struct(*rest)).alias("x")).select("id", *same, "x.*")
+    tokens = classes.select("id", F.explode("tokens").alias("t"))
+    twice = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
+    shared = written(tokens.join(twice, "t"), "shared")
+    # a document goes on if others have enough of its prefix
+    marks = classes.select("id", "n", F.size("tokens").alias("p"), "late", "last").join(shared.groupBy("id").agg(F.count(F.lit(1)).alias("s")), "id")
+    marks = written(marks.where(F.col("s") >= _shared_least(F.ceil(F.col("n") * percent / 100))).select("id", *MARKS), "marks")
+    rows = shared.join(marks, "id")
+    # those with the fewest shingles of their own stand for a large group, and those that a hash picks
+    dice = [F.struct(F.col("p") - F.col("s") if k == 0 else F.lit(0), F.xxhash64("id", F.lit(k)), "id", *MARKS) for k in range(LEADERS)]
+    groups = rows.groupBy("t").agg(F.count(F.lit(1)).alias("c"), *(F.min(d).alias(f"d{k}") for k, d in enumerate(dice))).where("c > 1")
+    leaders = F.array(*(F.struct(F.col(f"d{k}.id").alias("yid"), *(F.col(f"d{k}.{c}").alias(f"y{c}") for c in MARKS)) for k in range(LEADERS)))
+    rows = written(rows.join(groups.select("t", "c", F.when(F.col("c") > GROUP, leaders).alias("leaders")), "t"), "grouped")
+
+    few = rows.where(F.col("c") <= GROUP).select("t", "id", *MARKS)
+    hot = rows.where(F.col("c") > GROUP)
+    pairs = few.join(few.select("t", *_other("id", *MARKS)), "t").where((F.col("id") < F.col("yid")) & _may_link(percent))
+    counted = written(pairs.groupBy("id", "yid").agg(F.count(F.lit(1)).alias("c"), F.first(_needed(percent)).alias("needed")), "counted")
     # a pair may share more in large groups than was counted: at most as many shingles as either has there
-    small = counted.join(hot_of, "id", "left").join(other, "b", "left").where(F.col("c") + F.coalesce(F.least("h", "g"), F.lit(0)) >= enough)
-    spread = hot.select("id", "n", F.explode("leaders").alias("l")).select("id", "n", "l.b", "l.m").where((F.col("id") != F.col("b")) & _fits(percent))
-    stars = spread.select(F.col("b").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verified(small.select(F.col("id").alias("a"), "b").unionByName(stars).distinct(), docs, common, percent, size)
+    many = written(hot.groupBy("id").agg(F.count(F.lit(1)).alias("h")), "hot")
+    small = counted.join(many, "id", "left").join(many.select(F.col("id").alias("yid"), F.col("h").alias("yh")), "yid", "left").where(F.col("c") + F.coalesce(F.least("h", "yh"), F.lit(0)) >= F.col("needed"))
+    stars = hot.select("id", *MARKS, F.inline("leaders")).where((F.col("id") != F.col("yid")) & _may_link(percent)).select(F.col("yid").alias("a"), F.col("id").alias("b"))
+    links = _verified(small.select(F.col("id").alias("a"), F.col("yid").alias("b")).unionByName(stars).distinct(), docs, common, percent, size)
 
     # large groups: who is apart from the main component is compared with the rest
     part = components(links)
-    members = hot.join(part, "id", "left").select("t", "id", "n", F.coalesce("component", "id").alias("k"))
+    members = hot.join(part, "id", "left").select("t", "id", *MARKS, F.coalesce("component", "id").alias("k"))
     per = members.groupBy("t", "k").agg(F.count(F.lit(1)).alias("c"))
     main = per.groupBy("t").agg(F.max(F.struct("c", "k"))["k"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("t", "main")
     members = written(members.join(main, "t"), "apart")
-    apart = members.where("k <> main").select("t", F.col("id").alias("a"), F.col("n").alias("m"), F.col("k").alias("j"))
-    rest = members.join(apart, "t").where((F.col("k") != F.col("j")) & _fits(percent) & ((F.col("k") == F.col("main")) | (F.col("id") < F.col("a"))))
-    rest = rest.select(F.least("id", "a").alias("id"), F.greatest("id", "a").alias("b"), F.least("n", "m").alias("least")).groupBy("id", "b").agg(F.count(F.lit(1)).alias("h"), F.first("least").alias("least"))
-    rest = rest.join(counted.select("id", "b", "c"), ["id", "b"], "left").where(F.col("h") + F.coalesce("c", F.lit(0)) >= enough)
-    rest = written(rest.select(F.col("id").alias("a"), "b"), "rest")
+    apart = members.where("k <> main").select("t", *_other("id", "k", *MARKS))
+    rest = members.join(apart, "t").where((F.col("k") != F.col("yk")) & _may_link(percent) & ((F.col("k") == F.col("main")) | (F.col("id") < F.col("yid"))))
+    rest = rest.select(F.least("id", "yid").alias("id"), F.greatest("id", "yid").alias("yid"), _needed(percent).alias("needed")).groupBy("id", "yid").agg(F.count(F.lit(1)).alias("h"), F.first("needed").alias("needed"))
+    rest = rest.join(counted.select("id", "yid", "c"), ["id", "yid"], "left").where(F.col("h") + F.coalesce("c", F.lit(0)) >= F.col("needed"))
+    rest = written(rest.select(F.col("id").alias("a"), F.col("yid").alias("b")), "rest")
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, docs, common, percent, size))
         part = components(links)
-    ids = every.select("id", *same).join(classes.select(*same, "rep"), same, "left").select("id", "n", "rep")
+    ids = every.select("id", *same).join(classes.select(*same, F.col("id").alias("rep")), same, "left").select("id", "n", "rep")
     # a class's smallest id stands for it; rows of one id may be in several classes, which then belong together
     more = ids.where("rep is not null").groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     if not more.isEmpty():
