@@ -25,7 +25,7 @@ from quartzite.llm.common import row_groups, sha256, small_batches
 from quartzite.llm.words import byte_letters, words
 
 #: Words kept with their tokens in a Python worker; when full, the store starts anew.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 150_000
 #: Longer words (bytes) go to the exact merge at once.
 LONGEST = 48
 _NEVER = np.int64(1) << 40

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a task holds as Python objects at a time.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 #: Rows of an Arrow batch between the JVM and Python; long texts make a batch of more rows large.
 ROWS_PER_BATCH = 1_000
 

@@ -34,7 +34,7 @@ from quartzite.llm.common import partitions, sha256, shared_dir
 
 WINDOW, ANCHOR, RUN = 50, 24, 64
 #: Bytes of text in a chunk, about; and of what is hashed at a time.
-CHUNK, PART = 20_000_000, 1_000_000
+CHUNK, PART = 10_000_000, 1_000_000
 #: Bits of an anchor's hash that are told within its bucket (a clash only makes more strings candidates), and strings of a collection, about.
 TOLD, COLLECTION = 36, 4_096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
