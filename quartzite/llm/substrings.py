@@ -65,8 +65,8 @@ def comparable(strings: list[bytes], anchor: np.ndarray, window: int) -> np.ndar
     """Which strings may share a window with another of the same anchor.
 
     Equal windows agree in the anchor and in the window - ANCHOR bytes beside it, so in half of those on its left or on
-    its right. A string that shares neither half with another has its windows to itself. (One that holds its anchor
-    more than once is always kept.)
+    its right. A string that shares neither half with another, at none of the places where it holds its anchor, has its
+    windows to itself.
     """
     raw = b"".join(strings)
     size = np.array([len(s) for s in strings], np.int64)
@@ -77,15 +77,17 @@ def comparable(strings: list[bytes], anchor: np.ndarray, window: int) -> np.ndar
     h = _anchors(raw)
     of = np.repeat(np.arange(len(strings)), size)[: len(h)]
     at = np.flatnonzero((h == anchor[of]) & (np.arange(len(h)) + ANCHOR <= begin[of + 1]))
-    count = np.bincount(of[at], minlength=len(strings))
-    keep = count != 1
-    at = at[~keep[of[at]]]
+    keep = np.bincount(of[at], minlength=len(strings)) == 0
     who, hashes = of[at], PrefixHash(raw)
     for ok, start in ((at - half >= begin[who], at - half), (at + ANCHOR + half <= begin[who + 1], at + ANCHOR)):
         with np.errstate(over="ignore"):
             key = hashes.of(start[ok], np.full(int(ok.sum()), half)) ^ (anchor[who[ok]] * _BASE)
-        _, group, n = np.unique(key, return_inverse=True, return_counts=True)
-        keep[who[ok][n[group] > 1]] = True
+        # of a key's places the strings ascend, so those of two strings are side by side somewhere
+        order = np.argsort(key, kind="stable")
+        key, string = key[order], who[ok][order]
+        edge = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+        end = np.append(edge[1:], len(key))[: len(edge)]
+        keep[string[np.repeat(string[edge] != string[end - 1], end - edge)]] = True
     return keep
 
 

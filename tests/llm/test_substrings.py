@@ -118,3 +118,34 @@ def test_pruning_never_drops_a_shared_window():
             for i in range(len(s) - 49):
                 of.setdefault(s[i : i + 50], set()).add(k)
         assert all(keep[k] for who in of.values() if len(who) > 1 for k in who)
+
+
+def repeated_lines():
+    """Pairs of documents that hold a line a different number of times after the same text."""
+    rng = random.Random(7)
+    some = lambda n: "".join(rng.choices("abcdefghij klmnop", k=n))
+    docs = []
+    for k in range(60):
+        same, line = some(rng.randint(10, 60)), some(rng.randint(3, 26))
+        docs += [(2 * k + j, some(rng.randint(0, 40)) + same + line * rng.randint(1, 6) + some(rng.randint(0, 40))) for j in range(2)]
+    return docs
+
+
+def test_repeated_lines_against_brute_force(spark):
+    docs = repeated_lines()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, S.repeated_spans(df).collect())) == brute(docs)
+
+
+def test_pruning_of_repeated_lines():
+    docs = repeated_lines()
+    for k in range(0, len(docs), 2):
+        texts = [t.encode() for _, t in docs[k : k + 2]]
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+        raw = b"".join(texts)
+        strings = {raw[a : a + n + 49]: h for a, n, h in zip(*(x.tolist() for x in S.runs_of(raw, begin)), strict=True)}
+        keep, of = S.comparable([*strings], np.array([*strings.values()], np.uint64), 50), {}
+        for j, s in enumerate(strings):
+            for i in range(len(s) - 49):
+                of.setdefault(s[i : i + 50], set()).add(j)
+        assert all(keep[j] for who in of.values() if len(who) > 1 for j in who)
