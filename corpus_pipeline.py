@@ -29,8 +29,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that near-duplicate links join, the one of the smallest id."""
-    return jaccard.one_of_each(docs).select(*COLUMNS)
+    """Of each group of documents that near-duplicate links join, the one of the smallest id; a link is four fifths of the five-word shingles or more."""
+    return jaccard.one_of_each(docs, percent=80, size=5).select(*COLUMNS)
 
 
 def cut_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

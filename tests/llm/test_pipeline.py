@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as P
 from quartzite.llm.queries import oracle_sql, queries
 
@@ -23,3 +25,46 @@ def test_stages_keep_columns_and_pass_on_what_they_decide(spark):
 def test_every_operator_has_a_query():
     names = queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and set(oracle_sql()) <= set(names)
+
+
+def near_copies():
+    """Texts of invented words, and copies with edits at even distances, with one stretch changed or with words added; no word is shared else."""
+    rng, docs = random.Random(11), []
+    word = lambda: f"w{rng.randrange(10**9)}"
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(80, 200))]
+        n = len(base)
+        spread, stretch = [*base], [*base]
+        for k in range(2 * n // 100):
+            spread[(k + 1) * n // (2 * n // 100 + 1)] = word()
+        at, size = rng.randrange(n // 2), n * rng.randint(3, 15) // 100
+        stretch[at : at + size] = [word() for _ in range(size)]
+        added = base + [word() for _ in range(n * rng.randint(8, 35) // 100)]
+        docs += [" ".join(t) for t in (base, spread, stretch, added)]
+    docs += ["", None, "one", "one two three four", "ONE two three  four", docs[0]]
+    return [*enumerate(docs)]
+
+
+def links(docs):
+    """Pairs of near copies, with how alike their five-word and three-word shingles are."""
+    def shingles(text, n):
+        w = (text or "").lower().split()
+        return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+    alike = lambda x, y: len(x & y) / len(x | y) if x and y else 0
+    five, three = ({i: shingles(t, n) for i, t in docs} for n in (5, 3))
+    every = [(a, b, alike(five[a], five[b]), alike(three[a], three[b])) for a, _ in docs for b, _ in docs if a < b]
+    return [x for x in every if x[2] >= 0.8]
+
+
+def test_near_duplicates_whole_rows_against_brute_force(spark):
+    docs = near_copies()
+    found, up = links(docs), {i: i for i, _ in docs}
+    assert sum(0.8 <= five < 0.9 and three < 0.9 for _, _, five, three in found) >= 8
+    for _ in docs:
+        for a, b, _, _ in found:
+            up[a] = up[b] = min(up[a], up[b])
+    rows = [(i, t, "en", f"s{i}", len(t or "")) for i, t in docs]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.keep_one_of_each(spark, df, SF).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == [r for r in rows if up[r[0]] == r[0]]
