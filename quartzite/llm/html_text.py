@@ -157,29 +157,22 @@ def main_text(page: str | None) -> str:
     every = blocks(page)
     found = [(e, t) for e, t in every if not e.other]
     chosen = content_paths(found)
-    weight = {id(e): 0 for e, _ in found}
-    for e, t in found:
-        if e.path in chosen:
-            weight[id(e)] += len(t)
-    total = sum(weight.values())
-    if not total:
+    held = [e for e, _ in found if e.path in chosen]
+    if not held:
         return ""
-    # the outermost article or main element with most of the content, else the innermost element with nearly all of it
-    held: dict[int, float] = {}
-    order: dict[int, _Element] = {}
-    for e, t in found:
-        if e.path in chosen:
-            up: _Element | None = e
-            while up is not None:
-                held[id(up)] = held.get(id(up), 0) + len(t)
-                order[id(up)] = up
-                up = up.parent
-    marked = [e for e in order.values() if e.name in ("article", "main") and held[id(e)] >= 0.3 * total]
-    if marked:
-        outer = {id(e) for e in marked if not any(x.name in ("article", "main") for x in _above(e))}
-    else:
-        depth = {k: len(_above(e)) for k, e in order.items()}
-        outer = {max((k for k, e in order.items() if held[k] >= 0.9 * total and e.name != "p"), key=depth.__getitem__)}
+    # the outermost article or main element of each content block; for blocks in none, the innermost element that holds them all
+    outer, rest = set(), None
+    for e in {id(e): e for e in held}.values():
+        line = [*reversed(_above(e)), e]
+        marked = [x for x in line if x.name in ("article", "main")]
+        if marked:
+            outer.add(id(marked[0]))
+        else:
+            rest = line if rest is None else [x for x, y in zip(rest, line, strict=False) if x is y]
+    if rest:
+        while rest[-1].name == "p" and len(rest) > 1:
+            rest.pop()
+        outer.add(id(rest[-1]))
     kept = [t for e, t in found if id(e) in outer or any(id(x) in outer for x in _above(e))]
     return "\n".join(kept)
 

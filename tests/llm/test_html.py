@@ -31,3 +31,15 @@ def test_frame(spark):
     rows = sorted(extract(df).collect(), key=lambda r: (r.page_id, r.text))
     assert [(r.page_id, r.n_chars) for r in rows] == [(1, len(main_text(PAGE))), (2, 0), (2, 0)]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_no_content_is_lost_beside_a_large_block():
+    long = "Long text, with commas, and stops. " * 60
+    assert main_text(f"<body><h1>T</h1><div>{long}</div><p>second, short</p></body>").split("\n") == ["T", long.strip(), "second, short"]
+    paragraphs = "".join(f"<p>Sentence {k}, with commas, and a stop. Another one here.</p>" for k in range(40))
+    small = "<article><h2>Small</h2><p>A sentence, with commas, and a stop. One more here.</p></article>"
+    text = main_text(f"<body><article><h2>Large</h2>{paragraphs}</article>{small}<div class=ad>Buy, now.</div></body>")
+    assert text.count("Sentence") == 40 and "Small\nA sentence" in text and "Buy" not in text
+    outside = "".join(f"<p>Outside {k}, with commas, and a stop. Another one here.</p>" for k in range(40))
+    text = main_text(f"<body><article>{paragraphs}</article><div id=more><h3>More</h3>{outside}</div><ul><li>x</ul></body>")
+    assert text.count("Sentence") == 40 and text.count("Outside") == 40 and "More" in text
