@@ -14,17 +14,60 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from quartzite.operators.temporal import latest_per
+from quartzite.sources.sinks import flatten_analysis
 
 KEYS = ["event_id", "event_type", "occurred_at", "payload", "schema_version"]
-#: event type: (topic, payload schema, integers that JSON may not give as fractions)
+_ANALYSIS = "network.analysis.collected"
+#: The groups of an analysis: fields by kind; a kind with ? may be null, a ratio is in 0 to 1, no number is negative. The last four groups may be null.
+ANALYSIS: dict[str, dict[str, str]] = {
+    "capture": {"format": "capture_format", "positive": "capture_size_bytes transfer_file_size_bytes", "float": "capture_duration_ms", "int": "packet_count truncated_packet_count analysis_warning_count", "texts": "analysis_warnings"},
+    "capabilities": {"bool": "direction_metadata_available payload_plaintext_available handshake_observed tcp_present quic_present other_udp_present tcp_rtt_available quic_initial_rtt_available quic_spin_rtt_available dns_metrics_available comparison_ready"},
+    "traffic": {"int": "network_bytes_total l4_payload_bytes_total ip_transport_header_bytes", "int?": "tx_network_bytes rx_network_bytes tx_l4_payload_bytes rx_l4_payload_bytes tx_packet_count rx_packet_count", "ratio?": "ip_transport_header_overhead_ratio"},
+    "protocol_mix": {"int": "tcp_bytes quic_identified_bytes other_udp_bytes", "ratio?": "tcp_byte_share quic_byte_share other_udp_byte_share ipv4_byte_share ipv6_byte_share"},
+    "ip": {"int": "ip_fragment_count ecn_ce_packet_count icmp_error_count", "ratio?": "ip_fragment_rate ecn_ce_packet_rate"},
+    "flow": {"int": "flow_count flows_for_80pct_payload", "int?": "unique_remote_ip_count", "ratio?": "top_flow_payload_share", "float": "connection_churn_per_mib"},
+    "transfer": {"float?": "observed_primary_payload_span_ms average_network_throughput_mbps peak_1s_network_throughput_mbps p95_1s_network_throughput_mbps effective_file_throughput_mbps primary_direction_amplification_ratio reverse_path_cost_ratio", "float": "total_transfer_amplification_ratio"},
+    "tcp": {
+        "int": "tcp_connection_count tcp_successful_handshake_count tcp_incomplete_handshake_count tcp_data_segment_count tcp_retransmission_count tcp_fast_retransmission_count tcp_spurious_retransmission_count tcp_retransmitted_payload_bytes tcp_zero_window_count tcp_window_full_count tcp_reset_count tcp_out_of_order_count tcp_duplicate_ack_count tcp_lost_segment_indicator_count",
+        "ratio?": "tcp_handshake_success_rate tcp_retransmission_rate tcp_recovery_tax tcp_receiver_stall_ratio tcp_reset_rate", "float": "tcp_zero_window_duration_ms tcp_active_duration_ms",
+        "float?": "tcp_initial_rtt_avg_ms tcp_initial_rtt_p50_ms tcp_initial_rtt_p95_ms tcp_ack_rtt_min_ms tcp_ack_rtt_p50_ms tcp_ack_rtt_p95_ms tcp_rtt_tail_inflation",
+    },
+    "quic": {"int?": "quic_identified_connection_count quic_version_count quic_retry_count quic_version_negotiation_count quic_0rtt_observed_count quic_spin_rtt_sample_count", "texts?": "quic_versions_seen", "float?": "quic_initial_rtt_avg_ms quic_initial_rtt_p50_ms quic_initial_rtt_p95_ms quic_spin_rtt_min_ms quic_spin_rtt_p50_ms quic_spin_rtt_p95_ms"},
+    "udp": {"int": "udp_flow_count udp_datagram_count udp_network_bytes udp_payload_bytes", "float?": "udp_payload_size_p50 udp_payload_size_p95", "ratio?": "udp_bidirectional_byte_ratio"},
+    "dns": {"int": "dns_query_count dns_response_count dns_failure_count", "float?": "dns_rtt_p50_ms dns_rtt_p95_ms"},
+}
+_ANALYSIS_TEXTS = "analysis_id capture_id application_id package_name scenario analyzed_at analyzer_version tshark_version source_analyzer verified_sha256".split()
+#: Fields of an analysis that have a default and may be missing.
+_DEFAULTED = {"source_analyzer", "analysis_warnings"}
+_STORED = {"int": "bigint", "positive": "bigint", "float": "double", "ratio": "double", "bool": "boolean", "format": "string", "texts": "array<string>"}
+
+
+def _fields_of(group: str) -> list[tuple[str, str]]:
+    return [(name, kind) for kind, names in ANALYSIS[group].items() for name in names.split()]
+
+
+_ANALYSIS_SCHEMA = ", ".join([
+    *(f"{c} {'timestamp' if c == 'analyzed_at' else 'string'}" for c in _ANALYSIS_TEXTS),
+    *(f"{g} struct<{', '.join(f'{name}: {_STORED[kind.rstrip("?")]}' for name, kind in _fields_of(g))}>" for g in ANALYSIS),
+])
+_APP_STATS = "crawl_task_id string, application_id string, package_name string, collected_at timestamp, min_installs bigint, score double, ratings_count bigint, reviews_count bigint, store_updated_on date, version string, ad_supported boolean, source_adapter string"
+_REVIEW = "crawl_task_id string, application_id string, package_name string, observed_at timestamp, position int, external_review_id string, source_at timestamp, author_name string, thumbs_up_count bigint, score int, content string, source_adapter string"
+#: event type: (topic, payload schema); the events as they are on the wire, then the short names of messages made from the test tables
 CONTRACTS: dict[str, tuple[str, str]] = {
-    "app_stats_collected": ("app-stats", "crawl_task_id string, application_id string, package_name string, collected_at timestamp, min_installs bigint, score double, ratings_count bigint, reviews_count bigint, store_updated_on date, version string, ad_supported boolean, source_adapter string"),
-    "review_observed": ("reviews", "crawl_task_id string, application_id string, package_name string, observed_at timestamp, position int, external_review_id string, source_at timestamp, author_name string, thumbs_up_count bigint, score int, content string, source_adapter string"),
+    "playstore.app_stats.collected": ("playstore.app-stats.v1", _APP_STATS),
+    "playstore.review.observed": ("playstore.review-observed.v1", _REVIEW),
+    "network.capture.ready": ("network.capture-ready.v1", "capture_id string, analysis_id string, application_id string, package_name string, scenario string, object_key string, capture_format string, capture_size_bytes bigint, transfer_file_size_bytes bigint, expected_sha256 string, uploaded_at timestamp"),
+    _ANALYSIS: ("network.analysis-collected.v1", _ANALYSIS_SCHEMA),
+    "app_stats_collected": ("app-stats", _APP_STATS),
+    "review_observed": ("reviews", _REVIEW),
     "network_capture_ready": ("captures", "capture_id string, application_id string, package_name string, scenario string, capture_format string, capture_sha256 string, capture_size_bytes bigint, transfer_file_size_bytes bigint, object_key string"),
 }
+#: The tables of event types that aren't named as their table is.
+TABLES = {"playstore.app_stats.collected": "app_stats_collected", "playstore.review.observed": "review_observed", "network.capture.ready": "network_capture_ready", _ANALYSIS: "network_analysis_collected"}
 OPTIONAL = {"store_updated_on", "version"}
 #: The reasons for which an event isn't taken, in the order in which they are looked for.
 REASONS = ("missing_value", "invalid_json", "invalid_envelope", "unsupported_event_type", "unsupported_schema_version", "topic_event_mismatch", "invalid_envelope_or_payload", "missing_key", "invalid_utf8_key", "application_key_mismatch")
+UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 AWARE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})$"
 
 
@@ -42,8 +85,38 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
+def _analysis_ok(schema: str) -> Column:
+    """The same of an analysis: one pattern over the types of all its fields, then the ranges."""
+    number = r"(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+, ?\d+\))"
+    kinds = {"int": "BIGINT", "positive": "BIGINT", "float": number, "ratio": number, "bool": "BOOLEAN", "format": "STRING", "texts": "ARRAY<(STRING|VOID)>"}
+
+    def pattern(fields: dict[str, str]) -> str:
+        parts = [f"({name}: {kind}, )?" if name in _DEFAULTED else f"{name}: {kind}, " for name, kind in sorted(fields.items())]
+        return f"OBJECT<{''.join(parts).removesuffix(', ')}>"
+
+    null = lambda kind, may: f"({kind}|VOID)" if may else kind
+    groups = {g: null(pattern({name: null(kinds[kind.rstrip("?")], kind.endswith("?")) for name, kind in _fields_of(g)}), g in ("tcp", "quic", "udp", "dns")) for g in ANALYSIS}
+    shape = F.schema_of_variant("_p").rlike(f"^{pattern(dict.fromkeys(_ANALYSIS_TEXTS, 'STRING') | groups)}$")
+    p = F.col("payload")
+
+    def ranges(v: Column) -> Column:
+        of = lambda *want: F.array(*(v[g][name].cast("double") for g in ANALYSIS for name, kind in _fields_of(g) if kind.rstrip("?") in want))
+        ok = (F.array_min(of("int", "float", "ratio")) >= 0) & (F.array_min(of("positive")) > 0) & F.coalesce(F.array_max(of("ratio")) <= 1, F.lit(True))
+        for c in ("analysis_id", "capture_id", "application_id"):
+            ok = ok & v[c].rlike(UUID)
+        for c in ("package_name", "analyzer_version", "tshark_version"):
+            ok = ok & (F.trim(v[c]) != "")
+        ok = ok & v["scenario"].isin("upload", "download") & v["capture"]["capture_format"].isin("pcap", "pcapng") & v["verified_sha256"].rlike("^[0-9a-f]{64}$") & F.coalesce(v["source_analyzer"] == "tshark", F.lit(True))
+        return ok & v["analyzed_at"].isNotNull() & F.coalesce(F.forall(v["capture"]["analysis_warnings"], lambda x: F.trim(x) != ""), F.lit(True))
+
+    # parsed once, whatever number of fields is looked at
+    return shape & F.get_json_object(p, "$.analyzed_at").rlike(AWARE) & F.transform(F.array(F.from_json(p, schema)), ranges)[0]
+
+
 def _payload_ok(event_type: str, schema: str) -> Column:
     """The payload's keys, types and ranges: no more and no fewer fields, whole numbers as such, times with a zone."""
+    if event_type == _ANALYSIS:
+        return F.coalesce(_analysis_ok(schema), F.lit(False))
     p = F.col("payload")
     ok = F.col("_fields") == F.array(*map(F.lit, sorted(_names(schema))))
     for field in schema.split(", "):
@@ -59,9 +132,12 @@ def _payload_ok(event_type: str, schema: str) -> Column:
         if kind in ("bigint", "int"):
             ok = ok & F.coalesce(text.try_cast("bigint") >= 0, F.lit(True))
     number = lambda name: F.get_json_object(p, f"$.{name}").try_cast("double")
-    if event_type == "app_stats_collected":
+    if event_type == "network.capture.ready":
+        text = lambda name: F.get_json_object(p, f"$.{name}")
+        ok = ok & text("scenario").isin("upload", "download") & text("capture_format").isin("pcap", "pcapng") & text("expected_sha256").rlike("^[0-9a-f]{64}$") & (number("capture_size_bytes") > 0) & (number("transfer_file_size_bytes") > 0)
+    if TABLES.get(event_type, event_type) == "app_stats_collected":
         ok = ok & number("score").between(0, 5)
-    if event_type == "review_observed":
+    if TABLES.get(event_type, event_type) == "review_observed":
         ok = ok & number("score").between(1, 5) & number("position").between(1, 1000)
     return F.coalesce(ok, F.lit(False))
 
@@ -78,7 +154,7 @@ def classify(messages: DataFrame, contracts: dict[str, tuple[str, str]] = CONTRA
     for name, (where, schema) in contracts.items():
         topic = F.when(F.col("event_type") == name, where).otherwise(topic)
         good = F.when(F.col("event_type") == name, _payload_ok(name, schema)).otherwise(good)
-    envelope = F.col("event_id").rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$") & F.col("occurred_at").rlike(AWARE)
+    envelope = F.col("event_id").rlike(UUID) & F.col("occurred_at").rlike(AWARE)
     utf8 = F.is_valid_utf8(F.col("key").cast("string"))
     no = lambda c: ~F.coalesce(c, F.lit(False))
     conditions = [
@@ -105,9 +181,21 @@ def claim(batch: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def decoded(events: DataFrame, event_type: str, contracts: dict[str, tuple[str, str]] = CONTRACTS) -> DataFrame:
-    """The payloads of one event type as typed columns, beside their event's place."""
+    """The payloads of one event type as typed columns, beside their event's place; an analysis as one wide row."""
     d = events.where(F.col("event_type") == event_type)
-    return d.select("event_id", "topic", "partition", "offset", F.from_json("payload", contracts[event_type][1]).alias("p")).select("event_id", "topic", "partition", "offset", "p.*")
+    d = d.select("event_id", "topic", "partition", "offset", F.from_json("payload", contracts[event_type][1]).alias("p")).select("event_id", "topic", "partition", "offset", "p.*")
+    if event_type == _ANALYSIS:
+        return flatten_analysis(d).withColumns({"source_analyzer": F.coalesce("source_analyzer", F.lit("tshark")), "analysis_warnings": F.coalesce("analysis_warnings", F.array().cast("array<string>"))})
+    return d.withColumnRenamed("expected_sha256", "capture_sha256")
+
+
+def routed(events: DataFrame, contracts: dict[str, tuple[str, str]] = CONTRACTS) -> dict[str, DataFrame]:
+    """For each table the typed rows of its event types."""
+    parts: dict[str, DataFrame] = {}
+    for event_type in contracts:
+        table, rows = TABLES.get(event_type, event_type), decoded(events, event_type, contracts)
+        parts[table] = parts[table].unionByName(rows, allowMissingColumns=True) if table in parts else rows
+    return parts
 
 
 def upsert_reviews(batch: DataFrame, current: DataFrame, key: tuple[str, ...] = ("application_id", "external_review_id"), arrival: tuple[str, ...] = ("partition", "offset")) -> DataFrame:
@@ -188,7 +276,7 @@ def dedupe_captures(captures: DataFrame) -> DataFrame:
 
 
 def run_ingest(stream: DataFrame, root: str, checkpoint: str, handlers: dict[str, Callable[[DataFrame], DataFrame]] | None = None, once: bool = True) -> StreamingQuery:
-    """Runs a stream of messages into tables under root: ledger, quarantine and one for each event type.
+    """Runs a stream of messages into tables under root: ledger, quarantine and one for each kind of event (TABLES).
 
     handlers may turn an event type's typed rows into what is stored, and raise to stop the batch before it is written.
     Each batch's rows are in a folder of its number, which a rerun overwrites; the ledger's is written last.
@@ -208,7 +296,8 @@ def run_ingest(stream: DataFrame, root: str, checkpoint: str, handlers: dict[str
                     raise
                 ledger = spark.createDataFrame([], schema)
             fresh = claim(good, ledger).persist()
-            parts = {name: (handlers or {}).get(name, lambda d: d)(decoded(fresh, name)) for name in CONTRACTS}
+            by_table = {TABLES.get(name, name): f for name, f in (handlers or {}).items()}
+            parts = {name: by_table.get(name, lambda d: d)(part) for name, part in routed(fresh).items()}
             bad.drop("payload").write.mode("overwrite").parquet(f"{root}/quarantine/batch={number}")
             for name, part in parts.items():
                 part.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")

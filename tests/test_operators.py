@@ -225,3 +225,43 @@ def test_lifecycle(spark):
     assert {r.object_key for r in I.cleanable(c).collect()} == {"k4"} and {r.id for r in I.claimable(c, now, 60).collect()} == {"c"} and I.retryable(c).count() == 0
     with pytest.raises(ValueError):
         I.require_consistent(c, c.where("id <> 'a'"), ["id"])
+
+
+def analysis(**changes):
+    """The payload of an analysis, as it is sent; changes by group or field."""
+    value = {"int": 3, "positive": 3, "float": 1.5, "ratio": 0.5, "bool": True, "format": "pcap", "texts": ["x"]}
+    groups = {g: {name: None if kind == "ratio?" else value[kind.rstrip("?")] for kind, names in kinds.items() for name in names.split()} for g, kinds in I.ANALYSIS.items()}
+    ids = {c: "00000000-0000-4000-8000-00000000000a" for c in ("analysis_id", "capture_id", "application_id")}
+    p = ids | {"package_name": "com.a", "scenario": "upload", "analyzed_at": "2024-01-01T00:00:00Z", "analyzer_version": "1", "tshark_version": "4", "source_analyzer": "tshark", "verified_sha256": "0" * 64} | groups | {"tcp": None}
+    for k, v in changes.items():
+        p[k] = p[k] | v if isinstance(v, dict) else v
+    return p
+
+
+def test_event_types_and_topics_of_the_wire(spark, tmp_path):
+    app, at = "00000000-0000-4000-8000-00000000000a", "2024-01-01T00:00:00Z"
+    stats = {"crawl_task_id": app, "application_id": app, "package_name": "com.a", "collected_at": at, "min_installs": 5, "score": 4.5, "ratings_count": 1, "reviews_count": 1, "store_updated_on": None, "version": None, "ad_supported": True, "source_adapter": "x"}
+    review = {"crawl_task_id": app, "application_id": app, "package_name": "com.a", "observed_at": at, "position": 1, "external_review_id": "r", "source_at": at, "author_name": "n", "thumbs_up_count": 0, "score": 3, "content": "c", "source_adapter": "x"}
+    ready = {"capture_id": app, "analysis_id": app, "application_id": app, "package_name": "com.a", "scenario": "upload", "object_key": "k", "capture_format": "pcap", "capture_size_bytes": 5, "transfer_file_size_bytes": 5, "expected_sha256": "1" * 64, "uploaded_at": at}
+    short = analysis()
+    del short["source_analyzer"], short["capture"]["analysis_warnings"]
+    lost = analysis()
+    del lost["flow"]["flow_count"]
+    kind, topic = "network.analysis.collected", "network.analysis-collected.v1"
+    sent = [
+        ("playstore.app_stats.collected", "playstore.app-stats.v1", stats), ("playstore.review.observed", "playstore.review-observed.v1", review), ("network.capture.ready", "network.capture-ready.v1", ready),
+        (kind, topic, analysis()), (kind, topic, short), (kind, "captures", analysis()), (kind, topic, lost), (kind, topic, analysis(ip={"ip_fragment_rate": 2})), (kind, topic, analysis(dns={"dns_query_count": -1})),
+        (kind, topic, analysis(flow=None)), (kind, topic, analysis(udp={"more": 1})), (kind, topic, analysis(scenario="other")), (kind, topic, analysis(traffic={"network_bytes_total": "5"})),
+    ]
+    rows = [(app, json.dumps({"event_id": f"00000000-0000-4000-8000-{k:012d}", "event_type": e, "schema_version": 1, "occurred_at": at, "payload": p}), t, 0, k) for k, (e, t, p) in enumerate(sent)]
+    schema, root = "key string, value string, topic string, partition int, offset long", str(tmp_path / "out")
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/in/1")
+    stream = spark.readStream.schema(schema).json(f"{tmp_path}/in/*").withColumns({c: F.col(c).cast("binary") for c in ("key", "value")})
+    I.run_ingest(stream, root, str(tmp_path / "ck")).awaitTermination()
+    bad = {r.offset: r.reason for r in spark.read.parquet(f"{root}/quarantine").collect()}
+    assert bad == {5: "topic_event_mismatch"} | dict.fromkeys(range(6, 13), "invalid_envelope_or_payload")
+    wide = {r.offset: r for r in spark.read.parquet(f"{root}/network_analysis_collected").collect()}
+    assert sorted(wide) == [3, 4] and wide[3].flow_count == 3 and wide[3].tcp_reset_count is None and wide[3].quic_versions_seen == ["x"]
+    assert wide[4].source_analyzer == "tshark" and wide[4].analysis_warnings == []
+    assert [spark.read.parquet(f"{root}/{t}").count() for t in ("app_stats_collected", "review_observed", "network_capture_ready", "ledger")] == [1, 1, 1, 5]
+    assert spark.read.parquet(f"{root}/network_capture_ready").first().capture_sha256 == "1" * 64
