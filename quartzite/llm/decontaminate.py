@@ -117,10 +117,10 @@ class FmIndex:
 class Phrases:
     """The windows of benchmark items: distinct phrases by length, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         cut = [(i, w) for i, w in ((i, word_list(t)) for i, t in items) if w]
         self.number = {w: k + 2 for k, w in enumerate(sorted({x for _, w in cut for x in w}))}  # 0 ends the text, 1 divides
-        of: dict[tuple[int, ...], set[str]] = {}
+        of: dict[tuple[int, ...], set[str | None]] = {}
         for i, w in cut:
             ids = [self.number[x] for x in w]
             n = min(window, len(ids))
@@ -131,7 +131,7 @@ class Phrases:
         self.items: dict[int, list[list[str]]] = {}
         for n in sorted({len(p) for p in of}):
             chosen = sorted(p for p in of if len(p) == n)
-            self.rows[n], self.items[n] = np.array(chosen, np.int64), [sorted(of[p]) for p in chosen]
+            self.rows[n], self.items[n] = np.array(chosen, np.int64), [sorted(of[p] - {None}) for p in chosen]
         self.shortest = min(self.rows, default=0)
 
     def runs(self, words: list[bytes]) -> list[tuple[int, np.ndarray]]:
@@ -181,12 +181,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_
 
     A window is `window` consecutive words of an item; an item of fewer words is one window, one without words none.
     Words are runs of digits, letters and all that is not ASCII, with A-Z lowered. Null and empty texts have no words and
-    no spans; hit_items are distinct item ids as strings, sorted. Columns of docs with the new names are replaced. The
+    no spans; hit_items are distinct item ids as strings, sorted; an
+    item without an id makes spans, but no entry there. Columns of docs with the new names are replaced. The
     benchmark goes to the tasks in blocks of block_bytes, one pass over the documents for each block; no shuffle.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    chosen = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null")
+    chosen = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
     total = chosen.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     new = ("n_words", "hit_spans", "hit_items")
@@ -196,7 +197,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_
     schema = f"{base}, n_words bigint, hit_spans array<struct<begin:int,end:int>>, hit_items array<string>"
     spans_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
     for k in range(blocks):
-        part = chosen.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k) if blocks > 1 else chosen
+        part = chosen.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else chosen
         sent = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in part.collect()])  # block_bytes at most
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, first=k == 0) -> Iterator[pa.RecordBatch]:

@@ -65,3 +65,11 @@ def test_cut_spans(spark):
     df = spark.createDataFrame([(1, f"Before, {item.upper()}! After É", "en"), (2, "clean", "en"), (3, None, "en")], "doc_id long, text string, lang string")
     out = {r.doc_id: r.text for r in D.without_hits(D.contamination(df, spark.createDataFrame([(1, item)], "item_id long, text string"))).collect()}
     assert out == {1: "Before, ! After É", 2: "clean", 3: None}
+
+
+def test_items_without_an_id_make_spans(spark):
+    df = spark.createDataFrame([(1, "x a b c y d e"), (2, "nothing here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b c"), (None, "f"), (5, "d e"), (None, "d e")], "item_id long, text string")
+    for block in (1 << 20, 3):
+        got = {r.doc_id: ([tuple(s) for s in r.hit_spans], r.hit_items) for r in D.contamination(df, bench, block_bytes=block).collect()}
+        assert got == {1: ([(1, 4), (5, 7)], ["5"]), 2: ([], [])}
