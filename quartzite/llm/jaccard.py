@@ -1,19 +1,26 @@
 """N-gram Jaccard join with prefix filters under several global token orders.
 
 A document's set is its distinct word shingles. Under any one order of all shingles, two sets with |A and B| >= t |A or B|
-share at least l of their first |A| - ceil(t |A|) + l shingles. Each order gives such a filter; a pair is verified only
-if it passes all of them. The first order makes the candidates by a join on prefix shingles and a count of how many are
-shared; the filters of the other orders are intersected with it where the sets of a candidate pair meet, and only what
-is left is verified by the whole sets.
+share at least l of their first |A| - ceil(t |A|) + l shingles, and, of the set whose prefix ends first in the order, no
+more of its prefix may be missing in the other's than the similarity leaves room for. Each order gives such a filter; the
+prefixes of all orders are made once for each document. A pair of documents is a candidate if it passes every one of
+them, and only candidates are verified by the whole sets.
 
 Orders are: shingles that very many documents have last, all else by a hash that each order has its own. Documents with
-equal sets are one class from the start. A shingle of more than GROUP documents makes no pairs of all of them: each of
-its documents is compared with LEADERS of them, and then only those that are still apart from the group's main
-component are compared with the rest. Pairs within one component add nothing, so no link between components is lost.
+equal sets are one class from the start. Pairs are rows only where at most GROUP documents have a shingle: there they
+are counted under the first order and looked at under the others. A shingle of more documents makes no pairs at all: each
+of its documents is tied to one of them, a row for a document. Documents that candidates and ties join to each other are
+a unit. A unit's texts meet once, in one task, which holds the filters of all orders against each other, verifies what
+passes and is not linked yet, and gives back the links of a spanning forest only.
+
+A unit that is too large for a task is dealt out in blocks, with some of its documents, LEADERS or so, in all of them.
+What that leaves apart from the unit's largest component is then compared, block by block, with all of it. Pairs within
+one component add nothing, so no link between components is lost, and no step has a row for each pair of a large group.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,21 +30,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartzite.llm.common import components, row_groups, small_batches, written
-from quartzite.llm.substrings import PrefixHash
 
-#: Largest group of documents with one shingle of which all pairs are candidates; documents that stand for larger ones.
-GROUP, LEADERS = 32, 3
+#: Largest group of documents with one shingle of which pairs are rows.
+GROUP = 32
 #: A shingle that more than GROUP and more than one in COMMON documents have goes to the end of every order; so there are at
 #: most COMMON times a mean prefix's length of them, about ten megabytes at any size of the corpus. They are counted in
 #: prefixes STRETCH times as long, as what goes to the end makes room for others.
 COMMON, STRETCH = 20_000, 1.5
-#: Orders besides the first.
-MORE_ORDERS = 2
-#: Documents of a cell of the verification, about.
-CELL = 2_000
-_MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+#: Orders, the first one included.
+ORDERS = 3
+#: Documents and shingles of a block of a unit, at most about; documents that all blocks of a unit have.
+BLOCK_DOCS, BLOCK_SHINGLES, LEADERS = 2_000, 1_000_000, 64
+_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Words of more bytes are digested one by one.
+_LONG = 64
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -47,11 +55,30 @@ def _mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
-def shingle_sets(texts: list[str | None], size: int = 3) -> list[np.ndarray]:
-    """For each text, the sorted 64-bit hashes of its distinct shingles of `size` words.
+def _words(raw: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two independent 64-bit hashes (rows) of each word: eight bytes at a time are put in and mixed."""
+    eight = np.ndarray((len(raw) + 1,), "<u8", raw + b"\0" * 8, strides=(1,))
+    out = np.stack([_mix(size.astype(np.uint64) * k + k) for k in _K[:2]])
+    live = np.flatnonzero(size <= _LONG)
+    for at in range(0, _LONG, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        left = np.minimum(size[live] - at, 8).astype(np.uint64)
+        part = eight[first[live] + at] & (np.uint64(2**64 - 1) >> (np.uint64(64) - left * np.uint64(8)))
+        with np.errstate(over="ignore"):
+            out[0, live] = _mix((out[0, live] ^ part) * _K[2])
+            out[1, live] = _mix((out[1, live] + part) * _K[3] ^ part)
+    for k in np.flatnonzero(size > _LONG).tolist():
+        out[:, k] = np.frombuffer(hashlib.blake2b(raw[first[k] : first[k] + size[k]], digest_size=16).digest(), np.uint64)
+    return out
+
+
+def shingle_sets(texts: list[str | None], size: int = 3) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each text, the sorted 64-bit hashes of its distinct shingles of `size` words; and its set's 128 bits, in a row.
 
     Words are what stands between ASCII white space, with A-Z lowered. A text of fewer words has one shingle of all of
-    them; one without words has none.
+    them; one without words has none. The second half of the 128 bits comes from hashes that the first knows nothing of.
     """
     raws = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     begin = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])])
@@ -59,28 +86,29 @@ def shingle_sets(texts: list[str | None], size: int = 3) -> list[np.ndarray]:
     space = _SPACE[np.frombuffer(raw, np.uint8)]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
     first, last = edge[::2], edge[1::2]
-    word = PrefixHash(raw).of(first, last - first) if len(first) else np.zeros(0, np.uint64)
+    word = _words(raw, first, last - first)
     at = np.searchsorted(first, begin)
     count = np.diff(at)
     with np.errstate(over="ignore"):
-        h = np.zeros(max(0, len(word) - size + 1), np.uint64)
-        for k in range(size):
-            h = (h + word[k : len(word) - size + 1 + k]) * _MULTIPLY[k % 4] if len(h) else h
-            h ^= h >> np.uint64(29)
-        h = _mix(h)
-    out = []
-    for b, n in zip(at[:-1].tolist(), count.tolist(), strict=True):
+        h = np.zeros((2, max(0, word.shape[1] - size + 1)), np.uint64)
+        for k in range(size if h.shape[1] else 0):
+            h = _mix(h * _K[k % 4] + word[:, k : word.shape[1] - size + 1 + k])
+    sets, prints = [], np.zeros((len(raws), 2), np.uint64)
+    for i, (b, n) in enumerate(zip(at[:-1].tolist(), count.tolist(), strict=True)):
         if n >= size:
-            out.append(np.unique(h[b : b + n - size + 1]))
+            s, where = np.unique(h[0, b : b + n - size + 1], return_index=True)
+            more = h[1, b : b + n - size + 1][where]
         elif n:
-            x = np.array([n], np.uint64)
             with np.errstate(over="ignore"):
+                x = np.array([n, n], np.uint64)
                 for k in range(n):
-                    x = _mix(x * _MULTIPLY[3] + word[b + k])
-            out.append(x)
+                    x = _mix(x * _K[3] + word[:, b + k])
+            s, more = x[:1], x[1:]
         else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            s = more = np.zeros(0, np.uint64)
+        sets.append(s)
+        prints[i] = _mix(s).sum(dtype=np.uint64), _mix(more).sum(dtype=np.uint64)
+    return sets, prints
 
 
 def shared_least(n: int) -> int:
@@ -92,54 +120,65 @@ def _shared_least(n: Column) -> Column:
     return F.greatest(F.floor(n / 32), F.least(F.lit(8), F.ceil(n / 4)))
 
 
-def prefix(tokens: np.ndarray, common: np.ndarray, order: int, percent: int, stretch: float = 1) -> np.ndarray:
-    """The prefix of a set under an order."""
+def ranks(tokens: np.ndarray, common: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether tokens stand in the last part of an order, and their place in their part."""
+    late = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens if len(common) else np.zeros(len(tokens), bool)
+    with np.errstate(over="ignore"):
+        return late, _mix(tokens + np.uint64(order) * _K[0]) if order else tokens
+
+
+def prefix(tokens: np.ndarray, common: np.ndarray, order: int, percent: int, stretch: float = 1) -> tuple[np.ndarray, bool, int]:
+    """The prefix of a set under an order; part and place of its last token, as numbers that sort alike."""
     n = len(tokens)
     length = min(n, int(stretch * (n - -(-percent * n // 100) + shared_least(n))))
-    rank = tokens if order == 0 else _mix(tokens ^ np.uint64(order * 0x9E3779B97F4A7C15 % (1 << 64)))
-    if len(common):
-        last = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
-        return tokens[np.lexsort((rank, last))[:length]]
-    return tokens[:length] if order == 0 else tokens[np.argpartition(rank, length - 1)[:length]] if length else tokens[:0]
+    if not length:
+        return tokens[:0], False, 0
+    late, rank = ranks(tokens, common, order)
+    chosen = np.lexsort((rank, late))[:length]
+    end = chosen[-1]
+    return tokens[chosen], bool(late[end]), int((rank[end : end + 1] ^ np.uint64(1 << 63)).view(np.int64)[0])
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _last(tokens: np.ndarray, common: np.ndarray) -> tuple[bool, int]:
-    """The rank of the last shingle of a prefix under the first order, as numbers that sort alike."""
-    if not len(tokens):
-        return False, 0
-    last = _in(common, tokens)
-    top = tokens[last].max() if last.any() else tokens.max()
-    return bool(last.any()), int((top ^ np.uint64(1 << 63)).view(np.int64))
-
+#: What is known of a document's prefix under each order: its tokens, and part and place of the last.
+PREFIXES = [f"{c}{o}" for o in range(ORDERS) for c in ("tokens", "late", "last")]
 
-def _in(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x if len(sorted_) else np.zeros(len(x), bool)
 
-
-def _prefixes(docs: DataFrame, common: np.ndarray, percent: int, size: int, only_tokens: bool) -> DataFrame:
+def _prefixes(docs: DataFrame, common: np.ndarray, percent: int, size: int) -> DataFrame:
+    """id, n, the set's 128 bits f1 and f2, and the prefixes under all orders."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
+    kinds = [pa.list_(pa.int64()), pa.bool_(), pa.int64()] * ORDERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in row_groups(batches, "text"):
-            sets = shingle_sets(texts, size)
-            chosen = [prefix(s, sent.value, 0, percent, STRETCH if only_tokens else 1) for s in sets]
-            tokens = pa.array([_signed(c) for c in chosen], pa.list_(pa.int64()))
-            if only_tokens:
-                yield pa.RecordBatch.from_arrays([tokens], ["tokens"])
-                continue
-            a = [int(_signed(s.sum(keepdims=True))[0]) if len(s) else 0 for s in sets]
-            b = [int(_signed(np.bitwise_xor.reduce(_mix(s), keepdims=True))[0]) if len(s) else 0 for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), tokens, *map(pa.array, zip(*(_last(c, sent.value) for c in chosen), strict=True))], ["id", "n", "f1", "f2", "tokens", "late", "last"])
+            sets, prints = shingle_sets(texts, size)
+            columns: list[list] = [[] for _ in PREFIXES]
+            for s in sets:
+                found = [x for o in range(ORDERS) for x in prefix(s, sent.value, o, percent)]
+                for column, x in zip(columns, found, strict=True):
+                    column.append(_signed(x) if isinstance(x, np.ndarray) else x)
+            f = [pa.array(np.ascontiguousarray(_signed(prints)[:, k])) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), *f, *map(pa.array, columns, kinds)], ["id", "n", "f1", "f2", *PREFIXES])
+
+    each = ", ".join(f"tokens{o} array<bigint>, late{o} boolean, last{o} bigint" for o in range(ORDERS))
+    return docs.mapInArrow(run, f"id bigint, n bigint, f1 bigint, f2 bigint, {each}")
 
-    return docs.mapInArrow(run, "tokens array<bigint>" if only_tokens else "id bigint, n bigint, f1 bigint, f2 bigint, tokens array<bigint>, late boolean, last bigint")
 
+def _common(docs: DataFrame, percent: int, size: int) -> np.ndarray:
+    """The shingles that go to the end of every order, sorted."""
+    nothing = np.zeros(0, np.uint64)
 
-#: What is known of a document's prefix: set size, prefix length, how many of its shingles another prefix has, rank of the last.
-MARKS = ("n", "p", "s", "late", "last")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in row_groups(batches, "text"):
+            chosen = [_signed(prefix(s, nothing, 0, percent, STRETCH)[0]) for s in shingle_sets(texts, size)[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen))], ["t"])
+
+    limit = max(GROUP, docs.count() // COMMON)
+    counts = docs.select("text").mapInArrow(run, "t bigint").groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    return np.sort(counts.where(F.col("c") > limit).select("t").toArrow().column("t").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _other(*columns: str) -> list[Column]:
@@ -147,135 +186,197 @@ def _other(*columns: str) -> list[Column]:
     return [F.col(c).alias(f"y{c}") for c in columns]
 
 
-def _needed(percent: int) -> Column:
+def _needed(percent: int, p: str, late: str, last: str) -> Column:
     """How many prefix shingles two documents must share at least.
 
     Of the two, let the one whose prefix ends first in the order have n shingles, p of them in its prefix. Those of the p
     that the other's prefix lacks the other lacks altogether. So p - shared of the n aren't common, and what is common
     must reach the share of both sizes that the similarity asks for.
     """
-    first = F.struct("late", "last") <= F.struct("ylate", "ylast")
+    first = F.struct(late, last) <= F.struct(f"y{late}", f"y{last}")
     common = F.ceil(percent * (F.col("n") + F.col("yn")) / (100 + percent))
-    return F.greatest(_shared_least(F.least("n", "yn")), common - F.when(first, F.col("n") - F.col("p")).otherwise(F.col("yn") - F.col("yp")))
+    return F.greatest(_shared_least(F.least("n", "yn")), common - F.when(first, F.col("n") - F.col(p)).otherwise(F.col("yn") - F.col(f"y{p}")))
 
 
-def _may_link(percent: int) -> Column:
-    """What sizes and prefixes of two documents say before anything is compared."""
-    return (100 * F.least("n", "yn") >= percent * F.greatest("n", "yn")) & (F.least("s", "ys") >= _needed(percent))
+def _sizes_fit(percent: int) -> Column:
+    """Whether two different sets of n and yn shingles can be similar enough at all."""
+    alike = F.when(F.col("n") == F.col("yn"), 100 * (F.col("n") - 1) >= percent * (F.col("n") + 1))
+    return alike.otherwise(100 * F.least("n", "yn") >= percent * F.greatest("n", "yn"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, common: np.ndarray, percent: int, size: int) -> DataFrame:
-    """Of candidate pairs (a, b), those that pass the other orders' filters and are similar enough."""
-    spark = docs.sparkSession
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts"))
-    salted = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
-    salted = written(salted, "pairs")
-    cells = max(1, -(-2 * salted.count() // CELL))
-    celled = salted.select(F.pmod(F.xxhash64("a", "salt"), F.lit(cells)).cast("int").alias("cell"), "a", "b")
-    places = written(celled.select("cell", F.col("a").alias("id")).unionByName(celled.select("cell", F.col("b").alias("id"))).distinct(), "cells")
-    texts = docs.join(places, "id").select("cell", "id", "text")
-    sent = spark.sparkContext.broadcast(common)
-
-    def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
-        sets: dict[int, list[np.ndarray]] = defaultdict(list)
-        if texts.num_rows and pairs.num_rows:
-            for batch in texts.to_batches():
-                for part, values in row_groups(iter([batch]), "text"):
-                    for i, s in zip(part.column("id").to_pylist(), shingle_sets(values, size), strict=True):
-                        sets[i].append(s)
-        firsts: dict[tuple[int, int, int], np.ndarray] = {}
-
-        def begins(i: int, k: int, order: int) -> np.ndarray:
-            if (i, k, order) not in firsts:
-                firsts[i, k, order] = np.sort(prefix(sets[i][k], sent.value, order, percent))
-            return firsts[i, k, order]
-
-        def alike(a: int, b: int) -> bool:
-            for i, x in enumerate(sets[a]):
-                for j, y in enumerate(sets[b]):
-                    if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                        continue
-                    least = shared_least(min(len(x), len(y)))
-                    if all(len(np.intersect1d(begins(a, i, o), begins(b, j, o), assume_unique=True)) >= least for o in range(1, MORE_ORDERS + 1)):
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        if 100 * both >= percent * (len(x) + len(y) - both):
-                            return True
-            return False
-
-        found = [(a, b) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True) if alike(a, b)]
+class _Side:
+    """Sets of documents as ragged arrays of token numbers: doc k has tokens[edge[k] : edge[k + 1]]."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.size = np.array([len(x) for x in lists], np.int64)
+        self.edge = np.concatenate([[0], np.cumsum(self.size)])
+        self.tokens = np.concatenate(lists)
+
+    def of(self, k: int) -> np.ndarray:
+        return self.tokens[self.edge[k] : self.edge[k + 1]]
+
+    def shared(self, mark: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """How many marked tokens each of docs has; no doc is empty."""
+        if len(docs) == len(self.size):
+            return np.add.reduceat(mark[self.tokens], self.edge[:-1])
+        size = self.size[docs]
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        return np.add.reduceat(mark[self.tokens[np.repeat(self.edge[docs] - start, size) + np.arange(size.sum())]], start)
+
+
+def forest(sets: list[np.ndarray], common: np.ndarray, percent: int, asked: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the documents of a block as far as similar pairs do that have one of `asked` in them.
+
+    sets: sorted, none empty. root: documents of one number are joined already. Pairs that are joined aren't compared;
+    others must pass the filters of all orders before their whole sets are.
+    """
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    whole = _Side(np.split(codes, np.cumsum([len(s) for s in sets])[:-1]))
+    n, root = whole.size, root.copy()
+    least = np.maximum(n // 32, np.minimum(8, -(-n // 4)))
+    length = np.minimum(n, n - -(-percent * n // 100) + least)
+    sides, ends = [], []
+    for o in range(ORDERS):
+        late, rank = ranks(names, common, o)
+        place = np.empty(len(names), np.int64)
+        place[np.lexsort((rank, late))] = np.arange(len(names))
+        begins = [np.sort(place[whole.of(k)])[: length[k]] for k in range(len(n))]
+        sides.append(_Side(begins))
+        ends.append(np.array([b[-1] for b in begins]))
+    mark, found = np.zeros(len(names), np.int32), []
+    is_asked = np.zeros(len(n), bool)
+    is_asked[asked] = True
+    for a in asked.tolist():
+        alike = 100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a])
+        docs = np.flatnonzero(alike & (root != root[a]) & ~(is_asked & (np.arange(len(n)) <= a)))
+        for side, end in zip(sides, ends, strict=True):
+            if not len(docs):
+                break
+            mark[side.of(a)] = 1
+            both = side.shared(mark, docs)
+            mark[side.of(a)] = 0
+            room = np.where(end[docs] <= end[a], n[docs] - length[docs], n[a] - length[a])
+            needed = np.maximum(np.minimum(least[docs], least[a]), -(-percent * (n[docs] + n[a]) // (100 + percent)) - room)
+            docs = docs[both >= needed]
+        if len(docs):
+            mark[whole.of(a)] = 1
+            both = whole.shared(mark, docs)
+            mark[whole.of(a)] = 0
+            for b in docs[100 * both >= percent * (n[a] + n[docs] - both)].tolist():
+                if root[a] != root[b]:
+                    found.append((a, b))
+                    root[root == root[b]] = root[a]
+    return found
+
+
+def _forests(places: DataFrame, docs: DataFrame, common: np.ndarray, percent: int, size: int) -> DataFrame:
+    """Links (a, b) within the blocks of places: unit, block, id, n, asked, root (see forest())."""
+    cells = max(1, (places.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES)
+    placed = places.withColumn("cell", F.pmod(F.xxhash64("unit", "block"), F.lit(cells)).cast("int"))
+    sent = docs.sparkSession.sparkContext.broadcast(common)
+
+    def run(rows: pa.Table) -> pa.Table:
+        held: dict[tuple, list] = defaultdict(list)
+        for batch in rows.to_batches():
+            for part, texts in row_groups(iter([batch]), "text"):
+                plain = [part.column(c).to_pylist() for c in ("unit", "block", "id", "asked", "root")]
+                for unit, block, i, asked, root, s in zip(*plain, shingle_sets(texts, size)[0], strict=True):
+                    if len(s):
+                        held[unit, block].append((i, asked, root, s))
+        found = []
+        for members in held.values():
+            if len(members) > 1:
+                i, asked, root, sets = zip(*members, strict=True)
+                links = forest(list(sets), sent.value, percent, np.flatnonzero(asked), np.unique(root, return_inverse=True)[1])
+                found += [(i[a], i[b]) for a, b in links if i[a] != i[b]]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return written(texts.groupBy("cell").cogroup(celled.groupBy("cell")).applyInArrow(run, "a bigint, b bigint"), "links")
+    return written(docs.join(placed, "id").groupBy("cell").applyInArrow(run, "a bigint, b bigint"), "links")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, size: int = 3) -> DataFrame:
+def _candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents that may be similar, and ties between documents that have a shingle of large groups."""
+    tokens = classes.select("id", F.explode("tokens0").alias("t"))
+    twice = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
+    shared = written(tokens.join(twice, "t"), "shared")
+    # a document goes on if others have enough of its prefix
+    plain = ["n", "p", "late0", "last0"]
+    marks = classes.select("id", "n", F.size("tokens0").alias("p"), "late0", "last0").join(shared.groupBy("id").agg(F.count(F.lit(1)).alias("s")), "id")
+    marks = marks.where(F.col("s") >= _shared_least(F.ceil(F.col("n") * percent / 100))).select("id", *plain)
+    rows = written(shared.join(marks, "id"), "rows")
+    groups = rows.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("least")).where("c > 1")
+    rows = written(rows.join(groups, "t"), "grouped")
+    # a pair that shares a shingle of a large group is in one unit by ties; any other shares enough in small groups
+    few = rows.where(F.col("c") <= GROUP).select("t", "id", *plain)
+    pairs = few.join(few.select("t", *_other("id", *plain)), "t").where((F.col("id") < F.col("yid")) & _sizes_fit(percent))
+    pairs = pairs.groupBy("id", "yid").agg(F.count(F.lit(1)).alias("c"), F.min(_needed(percent, "p", "late0", "last0")).alias("needed"))
+    pairs = written(pairs.where(F.col("c") >= F.col("needed")).select("id", "yid"), "pairs")
+    # the filters of the other orders; rows of one id may be of several sets, of which any will do
+    other = ["n", *PREFIXES[3:]]
+    both = pairs.join(classes.select("id", *other), "id").join(classes.select(*_other("id", *other)), "yid").where(_sizes_fit(percent))
+    for o in range(1, ORDERS):
+        both = both.withColumn(f"p{o}", F.size(f"tokens{o}")).withColumn(f"yp{o}", F.size(f"ytokens{o}"))
+        both = both.where(F.size(F.array_intersect(f"tokens{o}", f"ytokens{o}")) >= _needed(percent, f"p{o}", f"late{o}", f"last{o}"))
+    ties = rows.where((F.col("c") > GROUP) & (F.col("id") > F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
+    return written(both.select(F.col("id").alias("a"), F.col("yid").alias("b")).unionByName(ties).distinct(), "candidates")
+
+
+def _links(classes: DataFrame, docs: DataFrame, common: np.ndarray, percent: int, size: int, block_docs: int) -> DataFrame:
+    """Links (a, b) between documents of different sets that join what is similar."""
+    units = components(_candidates(classes, percent)).select("id", F.col("component").alias("unit"))
+    members = written(units.join(classes.groupBy("id").agg(F.max("n").alias("n")), "id"), "members")
+    blocks = lambda n, docs: F.ceil(F.greatest(F.sum(n) / BLOCK_SHINGLES, F.sum(docs) / block_docs)).cast("int")
+    sizes = members.groupBy("unit").agg(blocks(F.col("n"), F.lit(1)).alias("k"), F.count(F.lit(1)).alias("c"))
+    members = written(members.join(sizes, "unit"), "blocks")
+    one = F.array(F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    leads = (F.col("k") > 1) & (F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("c") / LEADERS)) == 0)
+    places = members.select("unit", "id", "n", F.explode(F.when(leads, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(one)).alias("block"), F.lit(True).alias("asked"), F.col("id").alias("root"))
+    links = _forests(written(places, "places"), docs, common, percent, size)
+    large = members.where("k > 1")
+    if large.isEmpty():
+        return links
+    # of the units in several blocks: what is apart from the largest component is compared with all
+    large = written(large.join(components(links), "id", "left").select("unit", "id", "n", "k", F.coalesce("component", "id").alias("root")), "large")
+    main = large.groupBy("unit", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("unit").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
+    large = large.join(main, "unit").withColumn("asked", F.col("root") != F.col("main"))
+    apart = large.groupBy("unit").agg(blocks(F.when(F.col("asked"), F.col("n")).otherwise(0), F.col("asked").cast("int")).alias("j")).where("j > 0")
+    large = written(large.join(apart, "unit"), "apart")
+    mine = lambda k, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(k)).cast("int")
+    every = large.select("unit", "id", "n", "root", F.lit(False).alias("asked"), mine("k", 0).alias("x"), F.explode(F.sequence(F.lit(0), F.col("j") - 1)).alias("y"))
+    those = large.where("asked").select("unit", "id", "n", "root", "asked", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("x"), mine("j", 2).alias("y"))
+    places = every.unionByName(those).groupBy("unit", F.struct("x", "y").alias("block"), "id", "n", "root").agg(F.max("asked").alias("asked"))
+    places = places.withColumn("block", F.col("block.x").cast("bigint") * (1 << 31) + F.col("block.y"))
+    return links.unionByName(_forests(written(places, "places"), docs, common, percent, size))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, size: int = 3, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """One row for each row of docs: the id, n_shingles (its set's size) and component_id.
 
-    Two documents link if 100 |A and B| >= percent |A or B| of their sets of `size`-word shingles (64-bit hashes).
-    component_id is the smallest id that links reach, its own included. Null and empty texts and texts without words
-    have an empty set and link with nothing. Rows of one id are one document as to links, each row with its own size. A
-    null id stays by itself with a null component. Ids are whole numbers. Other columns don't matter.
+    Two documents link if 100 |A and B| >= percent |A or B| of their sets of `size`-word shingles (64-bit hashes; sets
+    are held to be equal by 128 bits). component_id is the smallest id that links reach, its own included. Null and empty
+    texts and texts without words have an empty set and link with nothing. Rows of one id are one document as to links,
+    each row with its own size. A null id stays by itself with a null component. Ids are whole numbers. Other columns
+    don't matter. block_docs: documents of one comparison inside a task.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
     known = docs.where("id is not null")
-    nothing = np.zeros(0, np.uint64)
-    limit = max(GROUP, known.count() // COMMON)
-    counts = _prefixes(known.select("text"), nothing, percent, size, True).select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
-    common = np.sort(counts.where(F.col("c") > limit).select("t").toArrow().column("t").to_numpy().astype(np.int64).view(np.uint64))
-    every = written(_prefixes(known, common, percent, size, False), "prefixes")
+    common = _common(known, percent, size)
+    every = written(_prefixes(docs, common, percent, size), "prefixes")
 
     # classes of equal sets; of each, its smallest id goes on
     same = ["n", "f1", "f2"]
-    rest = ["tokens", "late", "last"]
-    classes = every.where("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.first(F.struct(*rest)).alias("x")).select("id", *same, "x.*")
-    tokens = classes.select("id", F.explode("tokens").alias("t"))
-    twice = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
-    shared = written(tokens.join(twice, "t"), "shared")
-    # a document goes on if others have enough of its prefix
-    marks = classes.select("id", "n", F.size("tokens").alias("p"), "late", "last").join(shared.groupBy("id").agg(F.count(F.lit(1)).alias("s")), "id")
-    marks = written(marks.where(F.col("s") >= _shared_least(F.ceil(F.col("n") * percent / 100))).select("id", *MARKS), "marks")
-    rows = shared.join(marks, "id")
-    # those with the fewest shingles of their own stand for a large group, and those that a hash picks
-    dice = [F.struct(F.col("p") - F.col("s") if k == 0 else F.lit(0), F.xxhash64("id", F.lit(k)), "id", *MARKS) for k in range(LEADERS)]
-    groups = rows.groupBy("t").agg(F.count(F.lit(1)).alias("c"), *(F.min(d).alias(f"d{k}") for k, d in enumerate(dice))).where("c > 1")
-    leaders = F.array(*(F.struct(F.col(f"d{k}.id").alias("yid"), *(F.col(f"d{k}.{c}").alias(f"y{c}") for c in MARKS)) for k in range(LEADERS)))
-    rows = written(rows.join(groups.select("t", "c", F.when(F.col("c") > GROUP, leaders).alias("leaders")), "t"), "grouped")
-
-    few = rows.where(F.col("c") <= GROUP).select("t", "id", *MARKS)
-    hot = rows.where(F.col("c") > GROUP)
-    pairs = few.join(few.select("t", *_other("id", *MARKS)), "t").where((F.col("id") < F.col("yid")) & _may_link(percent))
-    counted = written(pairs.groupBy("id", "yid").agg(F.count(F.lit(1)).alias("c"), F.first(_needed(percent)).alias("needed")), "counted")
-    # a pair may share more in large groups than was counted: at most as many shingles as either has there
-    many = written(hot.groupBy("id").agg(F.count(F.lit(1)).alias("h")), "hot")
-    small = counted.join(many, "id", "left").join(many.select(F.col("id").alias("yid"), F.col("h").alias("yh")), "yid", "left").where(F.col("c") + F.coalesce(F.least("h", "yh"), F.lit(0)) >= F.col("needed"))
-    stars = hot.select("id", *MARKS, F.inline("leaders")).where((F.col("id") != F.col("yid")) & _may_link(percent)).select(F.col("yid").alias("a"), F.col("id").alias("b"))
-    links = _verified(small.select(F.col("id").alias("a"), F.col("yid").alias("b")).unionByName(stars).distinct(), docs, common, percent, size)
-
-    # large groups: who is apart from the main component is compared with the rest
-    part = components(links)
-    members = hot.join(part, "id", "left").select("t", "id", *MARKS, F.coalesce("component", "id").alias("k"))
-    per = members.groupBy("t", "k").agg(F.count(F.lit(1)).alias("c"))
-    main = per.groupBy("t").agg(F.max(F.struct("c", "k"))["k"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("t", "main")
-    members = written(members.join(main, "t"), "apart")
-    apart = members.where("k <> main").select("t", *_other("id", "k", *MARKS))
-    rest = members.join(apart, "t").where((F.col("k") != F.col("yk")) & _may_link(percent) & ((F.col("k") == F.col("main")) | (F.col("id") < F.col("yid"))))
-    rest = rest.select(F.least("id", "yid").alias("id"), F.greatest("id", "yid").alias("yid"), _needed(percent).alias("needed")).groupBy("id", "yid").agg(F.count(F.lit(1)).alias("h"), F.first("needed").alias("needed"))
-    rest = rest.join(counted.select("id", "yid", "c"), ["id", "yid"], "left").where(F.col("h") + F.coalesce("c", F.lit(0)) >= F.col("needed"))
-    rest = written(rest.select(F.col("id").alias("a"), F.col("yid").alias("b")), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, docs, common, percent, size))
-        part = components(links)
-    ids = every.select("id", *same).join(classes.select(*same, F.col("id").alias("rep")), same, "left").select("id", "n", "rep")
+    classes = every.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("id"), F.first(F.struct(*PREFIXES)).alias("x")).select("id", *same, "x.*")
+    classes = written(classes, "classes")
+    links = _links(classes, known, common, percent, size, block_docs)
+    ids = every.select("id", *same).join(classes.select(*same, F.col("id").alias("rep")), same, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"))
     # a class's smallest id stands for it; rows of one id may be in several classes, which then belong together
     more = ids.where("rep is not null").groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     if not more.isEmpty():
-        several = ids.where("rep is not null").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        part = components(links.unionByName(several))
-    out = ids.join(part.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep", "id").alias("component_id"))
-    alone = docs.where("id is null")
-    out = out.unionByName(_prefixes(alone, common, percent, size, False).select("id", "n", F.lit(None).cast("bigint").alias("component_id")))
+        links = links.unionByName(ids.where("rep is not null").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    part = components(links).withColumnRenamed("id", "rep")
+    out = ids.join(part, "rep", "left").select("id", "n", F.coalesce("component", "rep", "id").alias("component_id"))
     return out.select(F.col("id").cast(docs.schema["id"].dataType).alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 

@@ -73,9 +73,63 @@ def test_prefix_filters_lose_no_pair():
         if 100 * len(np.intersect1d(x, y)) < 90 * len(np.union1d(x, y)):
             continue
         common = np.sort(rng.choice(x, len(x) // 3, replace=False))
-        for order in range(3):
-            both = np.intersect1d(J.prefix(x, common, order, 90), J.prefix(y, common, order, 90))
+        for order in range(J.ORDERS):
+            both = np.intersect1d(J.prefix(x, common, order, 90)[0], J.prefix(y, common, order, 90)[0])
             assert len(both) >= J.shared_least(min(len(x), len(y)))
+        assert J.forest([x, y], common, 90, np.arange(2), np.arange(2)) or np.array_equal(x, y)
+
+
+def family(rng, n):
+    """Near copies of one text, of which few pairs are similar enough: each has edits of its own."""
+    base = [f"b{rng.randrange(10**6)}" for _ in range(150)]
+    docs = []
+    for i in range(n):
+        t = [*base]
+        for _ in range(rng.choice([1, 2, 3, 4, 6])):
+            t[rng.randrange(len(t))] = f"e{rng.randrange(10**6)}"
+        docs.append((i, " ".join(t)))
+    return docs
+
+
+def test_blocks_of_large_units_against_brute_force(spark):
+    docs = family(random.Random(4), 300)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    expected = brute(docs)
+    assert len({c for _, _, c in expected}) > 10
+    for block in (2_000, 40, 7):
+        assert sorted(map(tuple, J.jaccard_components(df, block_docs=block).collect())) == expected
+
+
+def test_a_large_group_makes_no_row_for_each_pair(spark):
+    import numpy as np
+
+    docs = spark.createDataFrame(family(random.Random(5), 400), "id long, text string")
+    J.small_batches(spark)
+    common = J._common(docs, 90, 3)
+    for last in (common, np.zeros(0, np.uint64)):
+        classes = J._prefixes(docs, last, 90, 3).cache()
+        assert J._candidates(classes, 90).count() <= 400 * 40
+        classes.unpersist()
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    word, other = "a", "b"
+    for _ in range(11):
+        word, other = word + other, other + word
+    docs = [(1, word), (2, other), (3, f"{word} x y"), (4, f"{other} x y"), (5, word)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, J.jaccard_components(df).collect())) == brute(docs)
+
+
+def test_words_have_hashes_of_their_bytes():
+    rng, words = random.Random(6), set()
+    for n in [*range(1, 80), 200, 5000] * 3:
+        words.add(bytes(rng.choices(b"ab\xc3\xa9", k=n)).decode("utf-8", "ignore") or "a")
+    one, _ = J.shingle_sets([w for w in sorted(words)], 1)
+    assert len({int(x[0]) for x in one}) == len(words)
+    text = " ".join(sorted(words))
+    together, _ = J.shingle_sets(["x " + text, text + "\t"], 1)
+    assert {int(x[0]) for x in one} == {*map(int, together[1])} and len(together[0]) == len(words) + 1
 
 
 def test_long_chains_are_one_component(spark):
