@@ -2,13 +2,12 @@
 
 A document's set is its distinct word shingles. Under any one order of all shingles, two sets with |A and B| >= t |A or B|
 share at least l of their first |A| - ceil(t |A|) + l shingles, and, of the set whose prefix ends first in the order, no
-more of its prefix may be missing in the other's than the similarity leaves room for. Each order gives such a filter; the
-prefixes of all orders are made once for each document. A pair of documents is a candidate if it passes every one of
-them, and only candidates are verified by the whole sets.
+more of its prefix may be missing in the other's than the similarity leaves room for. Each order gives such a filter. A
+pair of documents is a candidate if it passes every one of them, and only candidates are verified by the whole sets.
 
 Orders are: shingles that very many documents have last, all else by a hash that each order has its own. Documents with
 equal sets are one class from the start. Pairs are rows only where at most GROUP documents have a shingle: there they
-are counted under the first order and looked at under the others. A shingle of more documents makes no pairs at all: each
+are counted under the first order, and what passes is held against the prefixes of the others. A shingle of more documents makes no pairs at all: each
 of its documents is tied to one of them, a row for a document. Documents that candidates and ties join to each other are
 a unit. A unit's texts meet once, in one task, which holds the filters of all orders against each other, verifies what
 passes and is not linked yet, and gives back the links of a spanning forest only.
@@ -143,28 +142,30 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-#: What is known of a document's prefix under each order: its tokens, and part and place of the last.
-PREFIXES = [f"{c}{o}" for o in range(ORDERS) for c in ("tokens", "late", "last")]
+def _columns(orders: list[int]) -> list[str]:
+    """What is known of a document's prefix under each order: its tokens, and part and place of the last."""
+    return [f"{c}{o}" for o in orders for c in ("tokens", "late", "last")]
 
 
-def _prefixes(docs: DataFrame, common: np.ndarray, percent: int, size: int) -> DataFrame:
-    """id, n, the set's 128 bits f1 and f2, and the prefixes under all orders."""
+def _prefixes(docs: DataFrame, common: np.ndarray, percent: int, size: int, orders: list[int], keep_text: bool = False) -> DataFrame:
+    """id, n, the set's 128 bits f1 and f2, and the prefixes under some orders; the text too if it is to be kept."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
-    kinds = [pa.list_(pa.int64()), pa.bool_(), pa.int64()] * ORDERS
+    names, kinds = _columns(orders), [pa.list_(pa.int64()), pa.bool_(), pa.int64()] * len(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in row_groups(batches, "text"):
             sets, prints = shingle_sets(texts, size)
-            columns: list[list] = [[] for _ in PREFIXES]
+            columns: list[list] = [[] for _ in names]
             for s in sets:
-                found = [x for o in range(ORDERS) for x in prefix(s, sent.value, o, percent)]
+                found = [x for o in orders for x in prefix(s, sent.value, o, percent)]
                 for column, x in zip(columns, found, strict=True):
                     column.append(_signed(x) if isinstance(x, np.ndarray) else x)
             f = [pa.array(np.ascontiguousarray(_signed(prints)[:, k])) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), *f, *map(pa.array, columns, kinds)], ["id", "n", "f1", "f2", *PREFIXES])
+            more = [part.column("text")] if keep_text else []
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), *f, *map(pa.array, columns, kinds), *more], ["id", "n", "f1", "f2", *names, *["text"] * keep_text])
 
-    each = ", ".join(f"tokens{o} array<bigint>, late{o} boolean, last{o} bigint" for o in range(ORDERS))
-    return docs.mapInArrow(run, f"id bigint, n bigint, f1 bigint, f2 bigint, {each}")
+    each = "".join(f", tokens{o} array<bigint>, late{o} boolean, last{o} bigint" for o in orders)
+    return docs.mapInArrow(run, f"id bigint, n bigint, f1 bigint, f2 bigint{each}" + ", text string" * keep_text)
 
 
 def _common(docs: DataFrame, percent: int, size: int) -> np.ndarray:
@@ -294,8 +295,8 @@ def _forests(places: DataFrame, docs: DataFrame, common: np.ndarray, percent: in
     return written(docs.join(placed, "id").groupBy("cell").applyInArrow(run, "a bigint, b bigint"), "links")
 
 
-def _candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents that may be similar, and ties between documents that have a shingle of large groups."""
+def _candidates(classes: DataFrame, docs: DataFrame, common: np.ndarray, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of documents that may be similar and ties between those that have a shingle of a large group; and their texts."""
     tokens = classes.select("id", F.explode("tokens0").alias("t"))
     twice = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
     shared = written(tokens.join(twice, "t"), "shared")
@@ -311,19 +312,25 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     pairs = few.join(few.select("t", *_other("id", *plain)), "t").where((F.col("id") < F.col("yid")) & _sizes_fit(percent))
     pairs = pairs.groupBy("id", "yid").agg(F.count(F.lit(1)).alias("c"), F.min(_needed(percent, "p", "late0", "last0")).alias("needed"))
     pairs = written(pairs.where(F.col("c") >= F.col("needed")).select("id", "yid"), "pairs")
+    ties = rows.where((F.col("c") > GROUP) & (F.col("id") > F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    ties = written(ties, "ties")
     # the filters of the other orders; rows of one id may be of several sets, of which any will do
-    other = ["n", *PREFIXES[3:]]
-    both = pairs.join(classes.select("id", *other), "id").join(classes.select(*_other("id", *other)), "yid").where(_sizes_fit(percent))
+    ids = pairs.select("id").unionByName(pairs.select(F.col("yid").alias("id"))).unionByName(ties.select(F.col("a").alias("id"))).unionByName(ties.select(F.col("b").alias("id")))
+    # the ids grow with the corpus: texts and ids are dealt by id at every size
+    texts = docs.join(ids.distinct().hint("merge"), "id")
+    texts = written(_prefixes(texts, common, percent, size, [*range(1, ORDERS)], True).where("n > 0"), "texts")
+    other = ["n", *_columns([*range(1, ORDERS)])]
+    both = pairs.join(texts.select("id", *other), "id").join(texts.select(*_other("id", *other)), "yid").where(_sizes_fit(percent))
     for o in range(1, ORDERS):
         both = both.withColumn(f"p{o}", F.size(f"tokens{o}")).withColumn(f"yp{o}", F.size(f"ytokens{o}"))
         both = both.where(F.size(F.array_intersect(f"tokens{o}", f"ytokens{o}")) >= _needed(percent, f"p{o}", f"late{o}", f"last{o}"))
-    ties = rows.where((F.col("c") > GROUP) & (F.col("id") > F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
-    return written(both.select(F.col("id").alias("a"), F.col("yid").alias("b")).unionByName(ties).distinct(), "candidates")
+    return written(both.select(F.col("id").alias("a"), F.col("yid").alias("b")).unionByName(ties).distinct(), "candidates"), texts.select("id", "text")
 
 
 def _links(classes: DataFrame, docs: DataFrame, common: np.ndarray, percent: int, size: int, block_docs: int) -> DataFrame:
     """Links (a, b) between documents of different sets that join what is similar."""
-    units = components(_candidates(classes, percent)).select("id", F.col("component").alias("unit"))
+    candidates, docs = _candidates(classes, docs, common, percent, size)
+    units = components(candidates).select("id", F.col("component").alias("unit"))
     members = written(units.join(classes.groupBy("id").agg(F.max("n").alias("n")), "id"), "members")
     blocks = lambda n, docs: F.ceil(F.greatest(F.sum(n) / BLOCK_SHINGLES, F.sum(docs) / block_docs)).cast("int")
     sizes = members.groupBy("unit").agg(blocks(F.col("n"), F.lit(1)).alias("k"), F.count(F.lit(1)).alias("c"))
@@ -363,11 +370,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
     known = docs.where("id is not null")
     common = _common(known, percent, size)
-    every = written(_prefixes(docs, common, percent, size), "prefixes")
+    every = written(_prefixes(docs, common, percent, size, [0]), "prefixes")
 
     # classes of equal sets; of each, its smallest id goes on
     same = ["n", "f1", "f2"]
-    classes = every.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("id"), F.first(F.struct(*PREFIXES)).alias("x")).select("id", *same, "x.*")
+    classes = every.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("id"), F.first(F.struct(*_columns([0]))).alias("x")).select("id", *same, "x.*")
     classes = written(classes, "classes")
     links = _links(classes, known, common, percent, size, block_docs)
     ids = every.select("id", *same).join(classes.select(*same, F.col("id").alias("rep")), same, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"))
