@@ -95,11 +95,16 @@ def _matrix(col: pa.ListArray, kind: type = np.float64) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): vectors of the commonest dimension (of equals the smallest) without null, NaN or infinite components, and not zero."""
+    """(id, v): vectors without null, NaN or infinite components, and not zero."""
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    found = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("v")).where("id is not null and v is not null").where(~odd & F.exists("v", lambda x: x != 0))
+    found = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("v")).where("id is not null and v is not null")
+    return found.where(~odd & F.exists("v", lambda x: x != 0))
+
+
+def dimension(found: DataFrame) -> int:
+    """The commonest size of v, of equals the smallest; 0 without any."""
     size = found.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), "s").first()
-    return found.where(F.size("v") == (size["s"] if size else 0))
+    return size["s"] if size else 0
 
 
 def build_index(vectors: DataFrame, sample: int = SAMPLE, **options) -> tuple[DataFrame, AdditiveQuantiser | None]:
@@ -171,16 +176,18 @@ def candidates(queries: DataFrame, index: DataFrame, model: AdditiveQuantiser |
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding", **options) -> DataFrame:
     """query_id, rank, id, score: the k vectors of the largest inner product with each query, its own row left out.
 
-    queries is a part of the rows of vectors. Vectors that are null, zero, of another dimension than most or hold null
-    or non-finite components take no part, as queries or otherwise. Equal vectors are one entry of the index, which
+    queries is a part of the rows of vectors. Vectors that are null, zero, of another dimension than most of vectors or
+    hold null or non-finite components take no part, as queries or otherwise. Equal vectors are one entry of the index, which
     stands for the k + 1 smallest of their ids (no more of them can be among the k nearest), so that many copies crowd
     nothing out. score is the product of the original vectors in double precision; ties go to the smaller id.
     """
-    rows = written(usable(vectors, id_col, vector_col).select(F.col("id").cast("bigint").alias("id"), "v").withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("copy") <= k + 1), "vectors")
+    every = usable(vectors, id_col, vector_col)
+    size = dimension(every)
+    rows = written(every.where(F.size("v") == size).select(F.col("id").cast("bigint").alias("id"), "v").withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("copy") <= k + 1), "vectors")
     first = rows.where("copy = 1").select("id", "v")
     members = rows.join(first.select(F.col("id").alias("entry"), "v"), "v").select("entry", "id", "v")
     index, model = build_index(first, **options)
-    asked = usable(queries, id_col, vector_col).select(F.col("id").cast("bigint").alias("id"), "v")
+    asked = usable(queries, id_col, vector_col).where(F.size("v") == size).select(F.col("id").cast("bigint").alias("id"), "v")
     found = candidates(asked, index, model, rerank)
     product = F.aggregate(F.zip_with("v", "w", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
     scored = found.withColumnRenamed("id", "entry").join(members, "entry").where("id <> query")

@@ -37,6 +37,13 @@ def test_few_and_no_rows(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_the_tables_dimension_counts_not_that_of_the_queries(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 40)] + [(40, [1.0]), (60, [2.0]), (80, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), k=3).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(20, 1, 39), (20, 2, 38), (20, 3, 37)]
+
+
 def test_code_of_a_vector_hangs_on_it_alone():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 8)).astype(np.float32)
