@@ -48,9 +48,9 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = compaction.ShardStore(spark, fresh(spark, "shards"))
-    compaction.append_arrivals(store, table(spark, sf_dir, "documents"), 16, F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(16)))
-    return store.read().select("doc_id", "arrival", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    store, docs = compaction.ShardStore(spark, fresh(spark, "shards")), table(spark, sf_dir, "documents")
+    compaction.append_arrivals(store, docs, F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(16)))
+    return store.read(like=docs.withColumn("arrival", F.lit(0))).select("doc_id", "arrival", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 OP8_SQL = """
