@@ -1,5 +1,6 @@
 """Token ids as Arrow stream files of fixed-size-list batches: every row is one sequence of the same length with its
-masks, so a reader maps a file and takes sequence k of a batch at a fixed offset, without parsing or copying."""
+masks, and all batches but the last have the same number of rows. So every batch has the same size in the file, and a
+reader maps the file and takes sequence k at an offset that follows from k, without an index, parsing or copying."""
 
 from __future__ import annotations
 
@@ -43,7 +44,7 @@ class SequenceWriter:
         self.held += len(ids)
         self.ends.append(self.held - 1)
         if self.held >= self.length * BATCH:
-            self._write(self.held // self.length * self.length)
+            self._write(self.held // (self.length * BATCH) * self.length * BATCH)
 
     def _write(self, n: int) -> None:
         flat = np.concatenate(self.ids) if self.ids else np.zeros(0, self.kind)
@@ -66,7 +67,7 @@ class SequenceWriter:
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = 1, length: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the tokens of all documents in ascending id order; returns the manifest (shard, path, docs_path, n_docs, n_tokens).
+    """Writes the tokens of all documents in ascending id order; returns the manifest (shard, path, docs_path, n_docs, n_tokens, id_type).
 
     Documents are dealt by range of id, so shard k holds smaller ids than shard k + 1 (repeated ids stay together, by
     text). Each text is encoded whole, a null one as empty, and end_id is appended. A task that runs again writes new
@@ -101,7 +102,48 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = Non
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/{name}.arrows"], "docs_path": [f"{folder}/{name}.docs.arrows"], "n_docs": [n_docs], "n_tokens": [n_tokens]}, pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs_path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     dealt = docs.select(id_col, text_col).repartitionByRange(partitions(spark), id_col).sortWithinPartitions(id_col, text_col)
-    return written(dealt.mapInArrow(run, "shard int, path string, docs_path string, n_docs bigint, n_tokens bigint"), "token-manifest")
+    made = dealt.mapInArrow(run, "shard int, path string, docs_path string, n_docs bigint, n_tokens bigint")
+    return written(made.withColumn("id_type", F.lit(docs.schema[id_col].dataType.simpleString())), "token-manifest")
+
+
+class SequenceFile:
+    """Random access to the sequences of one file. A local file is mapped, so that nothing is copied; of others the batch
+    that holds a sequence is read by its range."""
+
+    def __init__(self, path: str):
+        fs, at = pa.fs.FileSystem.from_uri(path)
+        self.source = pa.memory_map(at) if isinstance(fs, pa.fs.LocalFileSystem) else fs.open_input_file(at)
+        self.schema = pa.ipc.read_schema(self.source)
+        self.length = self.schema.field("ids").type.list_size
+        self.begin, self.held = self.source.tell(), (-1, None)
+        body = self.source.size() - self.begin - 8  # eight bytes end the stream
+        self.rows = self.step = self.size = 0
+        if body > 0:
+            first = self._at(self.begin)
+            self.rows, self.step = first.num_rows, self.source.tell() - self.begin
+            full, rest = divmod(body, self.step)
+            self.size = full * self.rows + (self._at(self.begin + full * self.step).num_rows if rest else 0)
+
+    def _at(self, offset: int) -> pa.RecordBatch:
+        self.source.seek(offset)
+        return pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray, pa.BooleanArray]:
+        """ids, mask and ends of sequence k: views of the file (masks as Arrow arrays, as they are bits)."""
+        if not 0 <= k < self.size:
+            raise IndexError(k)
+        batch, row = divmod(k, self.rows)
+        if self.held[0] != batch:
+            self.held = batch, self._at(self.begin + batch * self.step)
+        ids, mask, ends = (self.held[1].column(c).values.slice(row * self.length, self.length) for c in ("ids", "mask", "ends"))
+        return ids.to_numpy(zero_copy_only=True), mask, ends
+
+    def close(self) -> None:
+        self.held = (-1, None)
+        self.source.close()
 
 
 def sequences(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -113,9 +155,10 @@ def sequences(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             yield tuple(batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c in ("ids", "mask", "ends"))
 
 
-def read_token_files(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
+def read_token_files(manifest: DataFrame) -> DataFrame:
     """One row for each document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, shard."""
-    shards = max(1, manifest.count())
+    shards, kind = max(1, manifest.count()), manifest.select("id_type").first()
+    id_type = kind["id_type"] if kind else "bigint"
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
