@@ -9,6 +9,7 @@ kernel x weights.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,13 +27,18 @@ RIDGE = 1e-3
 UNKNOWN = "und"
 
 
+@functools.lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """1 for each code point that is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.uint8, 0x110000)
+
+
 class Grams:
     """Presence of letter n-grams, n = 1 to 3, over an alphabet of classes: 0 for what is no letter, 1 for rare letters."""
 
     def __init__(self, alphabet: str):
         self.size = len(alphabet) + 2
-        self.classes = np.zeros(0x110000, np.uint8)
-        self.classes[[i for i in range(0x20000) if chr(i).isalpha()]] = 1
+        self.classes = _letters().copy()
         for k, c in enumerate(alphabet):
             self.classes[ord(c)] = k + 2
         self.width = self.size + self.size**2 + self.size**3

@@ -38,6 +38,51 @@ def test_nothing_to_learn_and_no_rows(spark):
     assert L.identify(df.limit(0)).count() == 0
 
 
+def test_letters_of_all_planes(spark):
+    df = labelled(spark).select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(900, "\U00020000\U00020001 \U00020002"), (901, "\U0001f600 12"), (902, "\U00031350")], "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) as lang")
+    by = {r.doc_id: r.lang_pred for r in L.identify(df.unionByName(rare), sample=300, landmarks=60).where("doc_id >= 900").collect()}
+    assert by[901] == "und" and by[900] != "und" and by[902] != "und"
+
+
+def test_against_a_plain_kernel_machine():
+    """The same landmarks and ridge with sets in place of matrices: kernel values, features and scores one by one."""
+    import numpy as np
+
+    rng, alphabet = random.Random(3), "abcdefgh"
+    words = {"x": ["ab", "abc", "cab", "bad"], "y": ["fe", "feg", "hef", "gab"], "z": ["dada", "hd", "ch", "ea"]}
+    texts = [(lang, " ".join(rng.choices(words[lang], k=rng.randint(2, 9)))) for lang in words for _ in range(12)]
+
+    def grams(t):
+        c = "".join(x if x in alphabet else " " for x in t.lower())
+        return {c[k : k + n] for n in (1, 2, 3) for k in range(len(c) - n + 1) if c[k : k + n].strip()}
+
+    machine, codes = L.Grams(alphabet), []
+    for _, t in texts:
+        flags = np.zeros(machine.width, bool)
+        machine.fill(t, flags)
+        codes.append(np.flatnonzero(flags))
+        assert len(codes[-1]) == len(grams(t))
+    labels = [lang for lang, _ in texts]
+    model = L.LanguageModel(alphabet, codes, labels, 9, L.RIDGE)
+    order = sorted(range(len(texts)), key=L.hash_of)
+    marks = [[i for i in order if labels[i] == lang][k] for k in range(3) for lang in sorted(words)]
+    alike = lambda s, t: len(grams(s) & grams(t)) / (len(grams(s)) * len(grams(t))) ** 0.5
+    kernel = np.array([[alike(texts[i][1], texts[j][1]) for j in marks] for i in marks])
+    value, vector = np.linalg.eigh(kernel)
+    root = vector[:, value > 1e-6 * value[-1]] / np.sqrt(value[value > 1e-6 * value[-1]])
+    features = lambda t: np.array([alike(t, texts[j][1]) for j in marks]) @ root
+    left = np.array([features(t) for _, t in texts]) / 12**0.5
+    right = np.array([[lang == x for x in sorted(words)] for lang, _ in texts]) / 12**0.5
+    solved = np.linalg.solve(left.T @ left + L.RIDGE * np.eye(left.shape[1]), left.T @ right)
+    new = [" ".join(rng.choices(words[lang], k=4)) for lang in words for _ in range(5)]
+    langs, scores = model.predict([*new, None, "", "12"], machine)
+    assert langs[-3:] == ["und"] * 3
+    for t, lang, score in zip(new, langs, scores, strict=False):
+        plain = features(t) @ solved
+        assert lang == sorted(words)[plain.argmax()] and abs(score - min(1, max(0, plain.max()))) < 1e-3
+
+
 def test_presence_kernel_counts_distinct_grams():
     import numpy as np
 
