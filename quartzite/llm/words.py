@@ -1,7 +1,12 @@
-"""How the public word-end vocabulary cuts a text into words, before its BPE."""
+"""How the public word-end vocabulary cuts a text into words, before its BPE.
+
+Python and the tokenizers library know different versions of Unicode. A text with a code point that this Python has not
+assigned (new letters, private planes) is cut by the library's own normaliser and splitter; all others are cut here.
+"""
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -28,8 +33,28 @@ def normalized(text: str) -> str:
     return text.lower()
 
 
+@functools.lru_cache(maxsize=1)
+def _unassigned() -> re.Pattern:
+    """Any code point that this Python's Unicode has not assigned."""
+    codes = [i for i in range(0x110000) if unicodedata.category(chr(i)) == "Cn"]
+    edges = [k for k, i in enumerate(codes) if not k or codes[k - 1] != i - 1]
+    return re.compile("[" + "".join(f"{chr(codes[a])}-{chr(codes[b - 1])}" for a, b in zip(edges, [*edges[1:], len(codes)], strict=True)) + "]")
+
+
+@functools.lru_cache(maxsize=1)
+def _library():
+    """The library's normaliser and splitter, as the vocabulary's file sets them."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    steps = [normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()]
+    return normalizers.Sequence(steps), pre_tokenizers.Split(Regex(rf"{_ENDS}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+"), "removed", invert=True)
+
+
 def words(text: str) -> list[str]:
     """The words of a text without special tokens, in order; white space is dropped."""
+    if _BEYOND.search(text) and _unassigned().search(text):
+        normaliser, splitter = _library()
+        return [w for w, _ in splitter.pre_tokenize_str(normaliser.normalize_str(text))]
     text = normalized(text)
     return (_WIDE if _BEYOND.search(text) else _NARROW).findall(text)
 
