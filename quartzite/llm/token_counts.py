@@ -95,4 +95,5 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """
     files, order, separator = write_flat_files(docs, vocabulary, None, id_col, text_col)
     counts = scan_counts(files, separator, library_encoder(vocabulary).kind.str)
-    return order.join(counts, ["path", "number"]).select(id_col, "n_tokens")
+    # both sides have a row for each document: dealt by file and number at any size, never broadcast
+    return order.join(counts.hint("merge"), ["path", "number"]).select(id_col, "n_tokens")
