@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +19,13 @@ ROWS_PER_BATCH = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local session, of one machine
+    alone, gets a temporary one; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="quartzite-")
         spark.sparkContext.setCheckpointDir(found)
