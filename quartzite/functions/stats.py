@@ -31,6 +31,17 @@ def distinct_where(value: Column | str, where: Column) -> Column:
     return F.count_distinct(F.when(where, col(value)))
 
 
+def once(df: DataFrame, keys: list[str], value: str, flags: dict[str, Column]) -> DataFrame:
+    """df with flags: each true in one row of each value within keys for which it holds in any row; never for a NULL value.
+
+    So a distinct count is a plain count of a flag. The rows are dealt by keys and value once, where distinct counts
+    side by side would multiply each row by their number.
+    """
+    same = Window.partitionBy(*keys, value)
+    first = (F.row_number().over(same.orderBy(value)) == 1) & F.col(value).isNotNull()
+    return df.withColumns({name: first & F.coalesce(F.max(flag).over(same), F.lit(False)) for name, flag in flags.items()})
+
+
 def reasons(value: Column | str, where: Column | None = None) -> Column:
     """Distinct values that pass, sorted and comma-separated; NULL of none."""
     v = col(value) if where is None else F.when(where, col(value))

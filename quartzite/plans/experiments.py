@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartzite.functions.exprs import ladder, newest, oldest, share, utc_day
-from quartzite.functions.stats import count_where, distinct_where, gated, median_where, ordered_values, reasons, sample_label, side, uniform
+from quartzite.functions.stats import count_where, gated, median_where, once, ordered_values, reasons, sample_label, side, uniform
 from quartzite.operators import filters as E
 from quartzite.operators.temporal import LOCALE, daily_last, latest_per, number_sides
 from quartzite.plans.reviews import as_of_day_end, last_scores
@@ -48,37 +48,46 @@ def network_readiness(t: Tables) -> DataFrame:
     return t["capabilities"].crossJoin(F.broadcast(m)).withColumn("operator_interpretation", text)
 
 
-def unpivot_metrics(df: DataFrame) -> DataFrame:
-    """A row for each capture and metric, with whether the capture counts for it."""
+def metric_flags() -> dict[str, Column]:
+    """For each metric, whether a capture counts for it."""
     ready = F.col("comparison_ready") & F.col("direction_metadata_available") & (F.col("truncated_packet_count") == 0) & (F.col("observed_primary_payload_span_ms") > 0) & F.col("effective_file_throughput_mbps").isNotNull()
     base = (F.col("capture_status") == "analyzed") & E.proven() & F.col("analysis_available")
-    flags = {
+    return {
         "effective_file_throughput_mbps": base & ready,
         "total_transfer_amplification_ratio": base & F.col("total_transfer_amplification_ratio").isNotNull(),
         "ip_transport_header_overhead_ratio": F.col("analysis_available") & F.col("ip_transport_header_overhead_ratio").isNotNull(),
         "tcp_recovery_tax": F.col("analysis_available") & F.col("tcp_present") & F.col("tcp_recovery_tax").isNotNull(),
     }
-    return df.select("*", F.inline(F.array(*(F.struct(F.lit(k).alias("metric_name"), v.alias("eligible")) for k, v in flags.items()))))
 
 
-def exclusion_reason():
-    speed = F.col("metric_name") == "effective_file_throughput_mbps"
-    return F.when(F.col("eligible"), F.lit(None)).otherwise(ladder(
+def unpivot_metrics(df: DataFrame) -> DataFrame:
+    """A row for each capture and metric, with whether the capture counts for it."""
+    return df.select("*", F.inline(F.array(*(F.struct(F.lit(k).alias("metric_name"), v.alias("eligible")) for k, v in metric_flags().items()))))
+
+
+def exclusion_reason(metric: str, eligible: Column) -> Column:
+    """Why a capture doesn't count for a metric; NULL if it does."""
+    speed, recovery = F.lit(metric == "effective_file_throughput_mbps"), F.lit(metric == "tcp_recovery_tax")
+    return F.when(eligible, F.lit(None)).otherwise(ladder(
         (F.col("capture_status").isNull(), "capture_not_found"), (F.col("capture_status") != "analyzed", "capture_not_analyzed"), (~F.col("transfer_completed"), "transfer_incomplete"),
         (F.col("captured_size_bytes") != F.col("test_file_size_bytes"), "transfer_size_mismatch"), (~F.col("capture_isolation_confirmed"), "capture_isolation_unconfirmed"),
         (~F.col("cache_cleared_or_download_verified"), "cache_or_download_verification_missing"), (~F.col("analysis_available"), "analysis_missing"), (F.col("truncated_packet_count") > 0, "truncated_packets"),
         (speed & ~F.col("direction_metadata_available"), "direction_metadata_missing"), (speed & F.col("observed_primary_payload_span_ms").isNull(), "primary_payload_span_missing"),
-        ((F.col("metric_name") == "tcp_recovery_tax") & ~F.col("tcp_present"), "tcp_not_present"), otherwise="metric_unavailable",
+        (recovery & ~F.col("tcp_present"), "tcp_not_present"), otherwise="metric_unavailable",
     ))
 
 
 def experiment_coverage(t: Tables, **f) -> DataFrame:
-    """Q26: for each condition and metric, how many captures count, and why the others don't."""
-    d = unpivot_metrics(trials(t, **f)).withColumn("exclusion_reason", exclusion_reason())
-    return d.groupBy("experiment_id", "session_id", "application_name", "application_package", "scenario", "network_profile", "metric_name").agg(
-        F.count_distinct("capture_id").alias("manifest_capture_count"), distinct_where("capture_id", F.col("analysis_available")).alias("analyzed_capture_count"), distinct_where("capture_id", F.col("eligible")).alias("eligible_capture_count"),
-        reasons("exclusion_reason").alias("exclusion_reasons"), F.min("capture_started_at_utc").alias("first_capture_at_utc"), F.max("capture_finished_at_utc").alias("last_capture_at_utc"),
+    """Q26: for each condition and metric, how many captures count, and why the others don't. Metrics become rows after the counting."""
+    keys, flags = ["experiment_id", "session_id", "application_name", "application_package", "scenario", "network_profile"], metric_flags()
+    d = once(trials(t, **f), keys, "capture_id", {"_total": F.lit(True), "_analyzed": F.col("analysis_available")} | {f"_ok_{k}": ok for k, ok in flags.items()})
+    g = d.groupBy(*keys).agg(
+        F.count_if("_total").alias("manifest_capture_count"), F.count_if("_analyzed").alias("analyzed_capture_count"), F.min("capture_started_at_utc").alias("first_capture_at_utc"), F.max("capture_finished_at_utc").alias("last_capture_at_utc"),
+        *(F.count_if(f"_ok_{k}").alias(f"_n_{k}") for k in flags), *(reasons(exclusion_reason(k, ok)).alias(f"_why_{k}") for k, ok in flags.items()),
     )
+    rows = F.inline(F.array(*(F.struct(F.lit(k).alias("metric_name"), F.col(f"_n_{k}").alias("eligible_capture_count"), F.col(f"_why_{k}").alias("exclusion_reasons")) for k in flags)))
+    g = g.select(*keys, "manifest_capture_count", "analyzed_capture_count", "first_capture_at_utc", "last_capture_at_utc", rows)
+    return g.select(*keys, "metric_name", "manifest_capture_count", "analyzed_capture_count", "eligible_capture_count", "exclusion_reasons", "first_capture_at_utc", "last_capture_at_utc")
 
 
 def trial_transfer(t: Tables, **f) -> DataFrame:
@@ -138,9 +147,9 @@ def benchmark_summary(t: Tables, **f) -> DataFrame:
     keys = ["experiment_id", "session_id", "application_name", "application_package", "scenario", "comparison_cohort_id", *CONDITION]
     d = trials(t, **f).withColumns({f"{k}_ok": e() for k, (e, _, _) in BENCHMARKS.items()})
     speed, ok = "effective_file_throughput_mbps", F.col("throughput_ok")
+    d = once(d, keys, "capture_id", {"_total": F.lit(True), "_analyzed": F.col("analysis_available")} | {f"_{k}_once": F.col(f"{k}_ok") for k in BENCHMARKS})
     g = d.groupBy(*keys).agg(
-        F.count_distinct("capture_id").alias("n_total"), distinct_where("capture_id", F.col("analysis_available")).alias("n_analyzed"),
-        *(distinct_where("capture_id", F.col(f"{k}_ok")).alias(f"{k}_eligible_n") for k in BENCHMARKS), *(median_where(v, F.col(f"{k}_ok")).alias(f"_{k}") for k, (_, v, _) in BENCHMARKS.items()),
+        F.count_if("_total").alias("n_total"), F.count_if("_analyzed").alias("n_analyzed"), *(F.count_if(f"_{k}_once").alias(f"{k}_eligible_n") for k in BENCHMARKS), *(median_where(v, F.col(f"{k}_ok")).alias(f"_{k}") for k, (_, v, _) in BENCHMARKS.items()),
         F.min(F.when(ok, F.col(speed))).alias("_min"), F.max(F.when(ok, F.col(speed))).alias("_max"), ordered_values(speed, ["trial_number", "capture_id"], ok).alias("_values"),
     )
     n = "throughput_eligible_n"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartzite.functions.exprs import join_reasons, known_true, ladder, share, utc_day
-from quartzite.functions.stats import distinct_where, median_where, reasons, side
+from quartzite.functions.stats import distinct_where, median_where, once, reasons, side
 from quartzite.operators import filters as E
 from quartzite.operators.temporal import daily_last, endpoints, label_period, latest_per, periods
 from quartzite.plans.experiments import trials
@@ -69,9 +69,12 @@ def release_network_before_after(t: Tables, scenario=None, network_profile=None,
     """Q38: three medians on each side of a release, shown where both sides have three captures."""
     keys = [*RELEASE, *NETWORK_CONDITION]
     both = [(p, m) for m in METRICS for p in ("before", "after")]
-    g = period_captures(t).groupBy(*keys).agg(
-        *(distinct_where(c, _at(p)).alias(f"{p}_{n}_n") for c, n in (("capture_id", "manifest"), ("source_capture_id", "observed"), ("analyzed_capture_id", "analyzed")) for p in ("before", "after")),
-        *(distinct_where("capture_id", _at(p) & F.col(f"{m}_eligible")).alias(f"{p}_{m}_eligible_n") for p, m in both), *(reasons(f"{m}_exclusion_reason", _at(p) & ~F.col(f"{m}_eligible")).alias(f"{p}_{m}_exclusion_reasons") for p, m in both),
+    # a capture's source and analysis bear its own id, so that all counts are of captures
+    counts = {f"{p}_{n}_n": _at(p) & F.col(c).isNotNull() for c, n in (("capture_id", "manifest"), ("source_capture_id", "observed"), ("analyzed_capture_id", "analyzed")) for p in ("before", "after")}
+    counts |= {f"{p}_{m}_eligible_n": _at(p) & F.col(f"{m}_eligible") for p, m in both}
+    d = once(period_captures(t), keys, "capture_id", {f"_{k}": flag for k, flag in counts.items()})
+    g = d.groupBy(*keys).agg(
+        *(F.count_if(f"_{k}").alias(k) for k in counts), *(reasons(f"{m}_exclusion_reason", _at(p) & ~F.col(f"{m}_eligible")).alias(f"{p}_{m}_exclusion_reasons") for p, m in both),
         *(median_where(METRICS[m][0], _at(p) & F.col(f"{m}_eligible")).alias(f"{p}_{m}_raw") for p, m in both),
     )
     ready = {m: (F.col(f"before_{m}_eligible_n") >= 3) & (F.col(f"after_{m}_eligible_n") >= 3) for m in METRICS}

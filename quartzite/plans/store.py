@@ -71,10 +71,23 @@ def rating_vs_category(t: Tables, as_of: Column, application=None, category=None
     last = latest_per(eligible(t, **f), LOCALE, ["collected_at", "snapshot_id"]).withColumn("comparator_day_utc", F.to_date("collected_at"))
     last = last.join(primary_category(t), "application_id", "left")
     same = ["primary_category_id", "crawl_country_code", "crawl_language_code", "comparator_day_utc"]
-    focal = last.select("application_id", *same)
-    peer = last.select(F.col("application_id").alias("peer_id"), F.col("score").alias("peer_score"), *same)
-    peers = focal.join(peer, same).where("peer_id <> application_id").groupBy("application_id", *same).agg(F.count_distinct("peer_id").alias("peer_app_count"), F.median("peer_score").alias("peer_median"))
-    out = last.join(peers.drop("primary_category_id"), ["application_id", "crawl_country_code", "crawl_language_code", "comparator_day_utc"], "left").withColumn("peer_app_count", F.coalesce("peer_app_count", F.lit(0)))
+    # an application has one row in each group: its peers are the rest, and their median is that of the sorted scores without its own
+    known = F.lit(True)
+    for c in same:
+        known = known & F.col(c).isNotNull()
+    w = Window.partitionBy(*same)
+    last = last.withColumns({"_n": F.count(F.lit(1)).over(w), "_m": F.count("score").over(w), "_k": F.row_number().over(w.orderBy(F.col("score").asc_nulls_last(), "application_id")) - 1})
+    middle = {f"_at{k}": F.max(F.when(F.col("_k") == F.floor((F.col("_m") + k) / 2) - 1, F.col("score"))).over(w) for k in range(4)}
+    last = last.withColumns(middle)
+
+    def without_own(k: int) -> Column:
+        """Of the others' sorted scores, the one before (k = 0) or after (k = 1) the middle."""
+        before = F.floor((F.col("_m") + k) / 2) - 1 < F.col("_k")
+        return F.when(F.col("score").isNull(), F.col(f"_at{k + 1}")).when(before, F.col(f"_at{k}")).otherwise(F.col(f"_at{k + 2}"))
+
+    low, high = without_own(0), without_own(1)
+    median = F.when(low == high, low).otherwise(0.5 * low + 0.5 * high)
+    out = last.withColumns({"peer_app_count": F.when(known, F.col("_n") - 1).otherwise(0), "peer_median": F.when(known, median)})
     enough = F.col("peer_app_count") >= 2
     status = ladder((F.col("primary_category_id").isNull(), "no_primary_category"), (F.col("peer_app_count") == 0, "no_same_date_locale_peers"), (F.col("peer_app_count") == 1, "insufficient_one_peer"), (F.col("peer_app_count") == 2, "limited_two_peer_sample"), otherwise="three_plus_peers")
     out = opt(opt(out, "package_name", application), "primary_category_code", category)

@@ -117,24 +117,24 @@ def _payload_ok(event_type: str, schema: str) -> Column:
     """The payload's keys, types and ranges: no more and no fewer fields, whole numbers as such, times with a zone."""
     if event_type == _ANALYSIS:
         return F.coalesce(_analysis_ok(schema), F.lit(False))
-    p = F.col("payload")
+    # _p is parsed already: a field is a look-up in it
+    get = lambda name, kind="string": F.try_variant_get("_p", f"$.{name}", kind)
     ok = F.col("_fields") == F.array(*map(F.lit, sorted(_names(schema))))
     for field in schema.split(", "):
         name, kind = field.split(" ")
-        text = F.get_json_object(p, f"$.{name}")
-        raw = F.schema_of_variant(F.try_variant_get("_p", f"$.{name}", "variant"))
+        text = get(name)
+        raw = F.schema_of_variant(get(name, "variant"))
         good = {
             "string": (raw == "STRING") & (F.trim(text) != ""), "bigint": raw == "BIGINT", "int": raw == "BIGINT", "boolean": raw == "BOOLEAN", "double": raw.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"),
-            "timestamp": (raw == "STRING") & text.rlike(AWARE), "date": text.try_cast("date").isNotNull(),
+            "timestamp": (raw == "STRING") & text.rlike(AWARE), "date": (raw == "STRING") & text.try_cast("date").isNotNull(),
         }[kind]
         good = F.coalesce(good, F.lit(False))
         ok = ok & ((good | text.isNull()) if name in OPTIONAL else good)
         if kind in ("bigint", "int"):
-            ok = ok & F.coalesce(text.try_cast("bigint") >= 0, F.lit(True))
-    number = lambda name: F.get_json_object(p, f"$.{name}").try_cast("double")
+            ok = ok & F.coalesce(get(name, "bigint") >= 0, F.lit(True))
+    number = lambda name: get(name, "double")
     if event_type == "network.capture.ready":
-        text = lambda name: F.get_json_object(p, f"$.{name}")
-        ok = ok & text("scenario").isin("upload", "download") & text("capture_format").isin("pcap", "pcapng") & text("expected_sha256").rlike("^[0-9a-f]{64}$") & (number("capture_size_bytes") > 0) & (number("transfer_file_size_bytes") > 0)
+        ok = ok & get("scenario").isin("upload", "download") & get("capture_format").isin("pcap", "pcapng") & get("expected_sha256").rlike("^[0-9a-f]{64}$") & (number("capture_size_bytes") > 0) & (number("transfer_file_size_bytes") > 0)
     if TABLES.get(event_type, event_type) == "app_stats_collected":
         ok = ok & number("score").between(0, 5)
     if TABLES.get(event_type, event_type) == "review_observed":
