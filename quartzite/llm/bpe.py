@@ -11,7 +11,6 @@ leftmost, so the left token's own merge wins) and not after the one that makes b
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import re
@@ -21,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quartzite.llm.common import row_groups, sha256, small_batches
+from quartzite.llm.common import row_groups, sha256, small_batches, stage_state
 from quartzite.llm.words import byte_letters, words
 
 #: Words kept with their tokens in a Python worker; when full, the store starts anew.
@@ -251,10 +250,9 @@ class SpeculativeBpe:
         return " ".join(self.text[i] for i in ids if 0 <= i < self.size and self.text[i])
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> SpeculativeBpe:
-    """One encoder for each Python worker and file, with the words it knows."""
-    return SpeculativeBpe(path)
+    """One encoder for each Python worker and stage, with the words it knows."""
+    return stage_state(("encoder", path), lambda: SpeculativeBpe(path))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", arrays: bool = False) -> DataFrame:

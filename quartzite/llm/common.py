@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +61,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict = {}
+
+
+def _stage() -> int | None:
+    task = TaskContext.get()
+    return task.stageId() if task else None
+
+
+def stage_state(key: tuple, make: Callable):
+    """What make() gives, made once for each Python worker and stage: a worker holds one such thing, not those of stages before."""
+    name = (_stage(), key)
+    if _kept.get("name") != name:
+        _kept.clear()
+        _kept.update(name=name, value=make())
+    return _kept["value"]
+
+
+def give_back() -> None:
+    """Ends a task in a Python worker that others will use: drops what an earlier stage kept, and returns free memory to the system."""
+    if _kept and _kept["name"][0] != _stage():
+        _kept.clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def row_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches of about GROUP_CHARS characters, with the column's values; longer single values stand alone."""
+    if _kept and _kept["name"][0] != _stage():
+        _kept.clear()
     for batch in batches:
         col = batch.column(column)
         start, held, values = 0, 0, []
@@ -73,6 +104,7 @@ def row_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple
             held += n
         if values:
             yield batch.slice(start, len(values)), values
+    give_back()
 
 
 def sha256(data: bytes) -> str:

@@ -6,12 +6,12 @@ words' ids in order; encoding words that a worker has met before anew is what ma
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 
 import numpy as np
 
+from quartzite.llm.common import stage_state
 from quartzite.llm.words import words
 
 #: Words kept with their ids in a Python worker; when full, the store starts anew.
@@ -61,6 +61,5 @@ class LibraryEncoder:
         return [b"".join(map(self.ids.__getitem__, c)) for c in cut]
 
 
-@functools.lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+    return stage_state(("library_encoder", path), lambda: LibraryEncoder(path))
