@@ -79,6 +79,28 @@ ROLES: dict[str, str] = {
         CAST(CASE WHEN k % 3 <> 0 THEN k % 2 END AS INT) AS quic_spin_bit, CASE WHEN event_type = 'signup' AND k % 3 = 0 THEN k % 2 = 0 END AS dns_is_response, CAST(CASE WHEN k % 12 = 0 THEN 3 ELSE 0 END AS INT) AS dns_response_code, CASE WHEN k % 4 = 0 THEN CAST(k AS DOUBLE) / 2048 END AS dns_time_seconds FROM {ev}""",
     "packet_captures": """SELECT 'cap' || CAST(user_id AS STRING) AS capture_id, CASE WHEN user_id % 2 = 0 THEN 'upload' ELSE 'download' END AS scenario, 1048576 * (1 + user_id % 3) AS transfer_file_size_bytes, count(*) AS events FROM {ev} GROUP BY user_id
         UNION ALL SELECT 'empty' || CAST(n_nationkey AS STRING), 'upload', 1048576, 0 FROM {nation}""",
+    "texts": """SELECT event_id, user_id, event_type, k, CASE k % 7 WHEN 0 THEN 'Never updated' WHEN 1 THEN CAST(1700000000 + event_id * 3600 AS STRING) WHEN 2 THEN 'Jan 2, 2024' WHEN 3 THEN '2024-02-' || lpad(CAST(1 + k % 28 AS STRING), 2, '0') || 'T10:00:00'
+        WHEN 4 THEN 'Dec 31, 2023' WHEN 5 THEN '' END AS updated, CASE k % 5 WHEN 0 THEN 'com.app.n' || CAST(k AS STRING) WHEN 1 THEN 'app' WHEN 2 THEN '1com.app' WHEN 3 THEN 'com..x' ELSE 'Org.a_b.C9' END AS package,
+        CASE k % 3 WHEN 0 THEN repeat('0a', 32) WHEN 1 THEN repeat('0A', 32) ELSE 'zz' END AS digest, CASE k % 6 WHEN 0 THEN '17,4' WHEN 1 THEN '0x1f' WHEN 2 THEN '' WHEN 3 THEN 'x' WHEN 4 THEN ' 25 ,1' END AS whole,
+        CASE k % 4 WHEN 0 THEN '2.5,1' WHEN 1 THEN 'False' WHEN 2 THEN '0' END AS part, CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'fa' END AS language, CAST(k AS DOUBLE) / 50 - 1 AS compound,
+        CASE WHEN k % 9 = 0 THEN NULL ELSE 'né' || event_type || CAST(k AS STRING) END AS note,
+        CASE k % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'hello there' WHEN 2 THEN 'salam donya' WHEN 3 THEN '12 34 a' WHEN 4 THEN 'guten tag' ELSE 'hmm maybe' END AS said FROM {ev}""",
+    "outcomes": """SELECT crawl_task_id, review_id, CASE WHEN review_id % 7 = 0 THEN NULL ELSE 'text ' || CAST(position % 3 AS STRING) END AS content, sentiment_status, sentiment_label, sentiment_language, observed_at AS sentiment_processed_at,
+        CAST(position % 3 AS INT) AS sentiment_attempt_count FROM {review_observations}""",
+    "faulty_manifest": """SELECT '00000000-0000-4000-8000-' || lpad(CAST(o AS STRING), CASE WHEN o % 103 = 0 THEN 11 ELSE 12 END, '0') AS capture_id, '10000000-0000-4000-8000-' || lpad(CAST(e AS STRING), 12, '0') AS experiment_id,
+        CASE WHEN o % 109 = 0 THEN '' ELSE '30000000-0000-4000-8000-' || lpad(CAST(CAST(floor(o / 480) AS BIGINT) % 5 AS STRING), 12, '0') END AS session_id, CAST(CASE WHEN o % 113 = 0 THEN 0 ELSE 1 + g % 20 END AS INT) AS trial_number,
+        CASE WHEN a < 6 THEN '20000000-0000-4000-8000-' || lpad(CAST(g * 3 + CAST(floor(a / 2) AS BIGINT) AS STRING), 12, '0') END AS pair_id, CASE WHEN o % 127 = 0 THEN 'bad' ELSE 'com.app.n' || CAST(CASE WHEN o % 12 = 1 AND g % 5 = 0 THEN a - 1 ELSE a END AS STRING) END AS application_package,
+        CASE WHEN o % 131 = 0 THEN 'sideload' WHEN g % 2 = 0 THEN 'upload' ELSE 'download' END AS scenario, seen AS capture_started_at_utc, CASE WHEN o % 137 = 0 THEN seen ELSE seen + INTERVAL '10' MINUTE END AS capture_finished_at_utc,
+        CASE WHEN o % 139 = 0 THEN 'abc' ELSE repeat('0a', 32) END AS test_file_sha256, 1048576 * (1 + g % 2) AS test_file_size_bytes, CASE WHEN o % 149 = 0 THEN ' ' ELSE 'device_' || CAST(g % 3 AS STRING) END AS device_model, 'profile_' || CAST(g % 4 AS STRING) AS network_profile,
+        o % 59 <> 0 AS transfer_completed, CASE WHEN o % 151 <> 0 THEN o % 89 <> 0 END AS capture_isolation_confirmed, o % 97 <> 0 AS cache_cleared_or_download_verified, CASE WHEN o % 157 = 0 THEN NULL ELSE '1.0' END AS app_version, CASE WHEN o % 83 = 0 THEN '13' ELSE '14' END AS android_version,
+        'wifi' AS network_type, 'tool' AS capture_tool, '1' AS capture_tool_version, CASE WHEN e % 2 = 0 THEN 'before' ELSE 'after' END AS experiment_phase FROM {ord}""",
+    "faulty_releases": """SELECT 'rel' || CAST(c_custkey - CASE WHEN c_custkey % 20 = 1 THEN 1 ELSE 0 END AS STRING) AS release_event_id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 'com.app.n' || CAST(c_custkey % 10 AS STRING) END AS application_package, '1.0' AS previous_version,
+        CASE WHEN c_custkey % 7 = 0 THEN '1.0' WHEN c_custkey % 17 = 0 THEN ' ' ELSE '2.0' END AS new_version, DATE '2024-01-15' AS release_date, CASE WHEN c_custkey % 6 = 0 THEN 'month' WHEN c_custkey % 13 = 0 THEN 'week' ELSE 'day' END AS release_date_precision,
+        c_custkey % 8 <> 0 AS release_date_verified, CASE WHEN c_custkey % 5 = 0 THEN DATE '2024-01-16' END AS baseline_start, CASE WHEN c_custkey % 11 = 0 THEN DATE '2024-01-15' END AS baseline_end,
+        CASE WHEN c_custkey % 10 = 3 THEN DATE '2024-01-15' END AS followup_start, CASE WHEN c_custkey % 12 = 7 THEN DATE '2024-01-10' END AS followup_end FROM {customer}""",
+    "lifecycle": """SELECT id, application_id, scenario, capture_sha256, capture_size_bytes, transfer_file_size_bytes, object_key, CASE CAST(substr(id, 2) AS BIGINT) % 6 WHEN 0 THEN 'pending_upload' WHEN 1 THEN 'uploaded' WHEN 2 THEN 'analyzing' WHEN 3 THEN 'failed' WHEN 4 THEN 'analyzed' ELSE 'expired' END AS status,
+        created_at + INTERVAL '1' DAY AS expires_at, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 4 <> 0 THEN created_at + INTERVAL '2' DAY END AS analysis_started_at, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 5 = 0 THEN created_at END AS object_deleted_at FROM {network_captures}""",
+    "objects": "SELECT object_key, min(capture_size_bytes) AS size FROM {network_captures} WHERE CAST(substr(object_key, 2) AS BIGINT) % 3 <> 0 GROUP BY object_key",
 }
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations")
 

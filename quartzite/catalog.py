@@ -155,11 +155,14 @@ def bound(make: Callable[[Bound], DataFrame]) -> Callable[[SparkSession, str], D
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: bound(make) for name, make in (QUESTIONS | PANELS | OTHERS).items()}
+    from quartzite.catalog_rules import RULES
+
+    return {name: bound(make) for name, make in (QUESTIONS | PANELS | OTHERS | RULES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
     from quartzite.oracles import question_sql
     from quartzite.oracles_more import more_sql
+    from quartzite.oracles_rules import rules_sql
 
-    return question_sql() | more_sql()
+    return question_sql() | more_sql() | rules_sql()

@@ -21,9 +21,12 @@ def normalize_reviews(df: DataFrame) -> DataFrame:
     return df.withColumn("issues", F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in bad.items()))))
 
 
-def batch_diagnostics(df: DataFrame) -> DataFrame:
-    """Received, accepted and skipped records of each batch."""
+def batch_diagnostics(df: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+    """Received, accepted and skipped records of each batch; with requested (batch_id, requested) also how many were asked for, and batches of which nothing came."""
     ok = F.size("issues") == 0
+    if requested is not None:
+        found = requested.join(batch_diagnostics(df), "batch_id", "left")
+        return found.select("batch_id", "requested", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("received", "accepted", "skipped")))
     return df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("received"), F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("skipped"))
 
 
@@ -113,6 +116,10 @@ def record_failures(obs: DataFrame, failed: DataFrame, max_attempts: int = 3) ->
     return d.withColumns({"sentiment_status": F.when(hit & (tries >= max_attempts), "failed").otherwise(F.col("sentiment_status")), "sentiment_attempt_count": tries}).drop("_f")
 
 
-def run_stats(df: DataFrame) -> DataFrame:
-    """ENR-10: counters of a run."""
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(*IDENTITY).alias("identities"), *(F.count_if(F.col("sentiment_status") == s).alias(s) for s in ("pending", "done", "skipped", "failed")))
+def run_stats(pending: DataFrame, after: DataFrame, seconds: Column) -> DataFrame:
+    """ENR-10: the eight counters of a run, in one row, from its pending rows (as of reuse()) and the same rows after it."""
+    fresh = F.when(F.col("reused_status").isNull(), F.struct(*IDENTITY))
+    before = pending.agg(F.count(F.lit(1)).alias("pending_observations"), F.count("reused_status").alias("reused_results"), F.count_distinct(fresh).alias("newly_analyzed_texts"))
+    state = {"done_observations": "done", "skipped_observations": "skipped", "failed_observations": "failed", "retry_pending_observations": "pending"}
+    now = after.agg(*(F.count_if(F.col("sentiment_status") == s).alias(name) for name, s in state.items()))
+    return before.crossJoin(F.broadcast(now)).withColumn("duration_seconds", seconds)

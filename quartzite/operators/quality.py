@@ -12,6 +12,7 @@ from quartzite.functions.exprs import fingerprint, opaque_id, valid_package, val
 from quartzite.functions.stats import uniform
 from quartzite.operators.temporal import overlaps
 
+#: What identifies records, what the captures of a pair must have alike, and what tells trials apart.
 UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 PAIR_SAME = ["experiment_id", "session_id", "scenario", "trial_number", "test_file_sha256", "test_file_size_bytes", "device_model", "android_version", "network_type", "network_profile", "capture_tool", "capture_tool_version", "experiment_phase"]
 TRIAL = ["experiment_id", "session_id", "application_package", "scenario", "app_version", "device_model", "android_version", "network_type", "network_profile", "test_file_sha256", "trial_number"]
@@ -171,7 +172,7 @@ def manifest_fingerprint(df: DataFrame, key: str) -> DataFrame:
 def backfill_locale(tasks: DataFrame, applications: DataFrame, language: str, country: str) -> DataFrame:
     """DQ-19: a task without a locale takes its application's, else the default."""
     a = applications.select(F.col("id").alias("application_id"), F.col("language_code").alias("_l"), F.col("country_code").alias("_c"))
-    d = tasks.join(F.broadcast(a), "application_id", "left")
+    d = tasks.join(a, "application_id", "left")
     return d.withColumns({"language_code": F.coalesce("language_code", "_l", F.lit(language)), "country_code": F.coalesce("country_code", "_c", F.lit(country))}).drop("_l", "_c")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Columns that may be read of each table; what isn't named is private.
+#: Columns that may be read of each table (what isn't named is private), and the fields of manifests and logs.
 ALLOWED: dict[str, tuple[str, ...]] = {
     "applications": ("id", "name", "package_name", "is_active", "language_code", "country_code", "created_at"),
     "categories": ("id", "code", "name"),
@@ -28,6 +28,7 @@ PACKET_FIELDS = """frame.time_epoch frame.len frame.cap_len frame.packet_flags_d
  tcp.srcport tcp.dstport tcp.stream tcp.len tcp.flags.syn tcp.flags.ack tcp.flags.reset tcp.window_size_value tcp.analysis.initial_rtt tcp.analysis.ack_rtt tcp.analysis.retransmission tcp.analysis.fast_retransmission tcp.analysis.spurious_retransmission
  tcp.analysis.zero_window tcp.analysis.window_full tcp.analysis.out_of_order tcp.analysis.duplicate_ack tcp.analysis.lost_segment udp.srcport udp.dstport udp.length quic.version quic.long.packet_type quic.spin_bit
  dns.flags.response dns.flags.rcode dns.time icmp.type icmpv6.type""".split()
+#: The first four bytes of capture files.
 MAGIC = {"D4C3B2A1": "pcap", "A1B2C3D4": "pcap", "4D3CB2A1": "pcap", "A1B23C4D": "pcap", "0A0D0D0A": "pcapng"}
 
 
