@@ -179,6 +179,20 @@ def read_tasks(t: Bound) -> DataFrame:
     return readers.allowlisted(t["reviews"], "reviews")
 
 
+def analyses(t: Bound) -> DataFrame:
+    """Violations of analysis results that were spoiled a little."""
+    d = t["network_analysis_results"].withColumns({"tcp_byte_share": F.col("tcp_byte_share") * 1.2, "tcp_connection_count": F.col("tcp_connection_count") - 1, "capture_size_bytes": F.col("network_bytes_total") - 1, "network_bytes_total": F.col("network_bytes_total") - 2, "tcp_reset_rate": -F.col("tcp_reset_rate")})
+    return quality.check_analysis_results(d)
+
+
+def state_of_reviews(t: Bound) -> DataFrame:
+    """The reviews' state read from what two batches left: even offsets, then odd ones."""
+    from quartzite.catalog import ingested
+
+    seen = ingest.decoded(ingested(t)[0], "review_observed").withColumn("batch", F.col("offset") % 2)
+    return ingest.current_reviews(seen).select("application_id", "external_review_id", "score", "content", "first_observed_at", "last_observed_at")
+
+
 def claimed(t: Bound) -> DataFrame:
     from quartzite.catalog import ingested
 
@@ -212,5 +226,5 @@ RULES: dict[str, Callable[[Bound], DataFrame]] = {
     "dq_cohort_ids": lambda t: quality.with_cohorts(t["faulty_manifest"]).select("capture_id", "file_cohort_id", "comparison_cohort_id"), "dq_default_windows": default_windows, "dq_release_rules": lambda t: quality.check_releases(quality.default_windows(t["faulty_releases"])),
     "dq_release_overlaps": lambda t: quality.check_overlaps(quality.default_windows(t["faulty_releases"])), "dq_gates": gates, "dq_optional_columns": without_sentiment, "dq_fingerprint": fingerprinted,
     "str_consistent": consistent, "str_match_ready": ready, "str_claimable": lambda t: ingest.claimable(t["lifecycle"], now(), 86_400).select("id", "status"), "str_retryable": lambda t: ingest.retryable(t["lifecycle"]).select("id"), "str_reconcile": reconciled, "str_append_observations": appended,
-    "dsh_ledger": claimed,
+    "dsh_ledger": claimed, "dq_analysis_results": analyses, "str_current_reviews": state_of_reviews,
 }

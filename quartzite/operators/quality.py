@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from quartzite.functions.exprs import fingerprint, opaque_id, valid_package, valid_sha256
 from quartzite.functions.stats import uniform
 from quartzite.operators.temporal import overlaps
+from quartzite.streaming.ingest import ANALYSIS
 
 #: What identifies records, what the captures of a pair must have alike, and what tells trials apart.
 UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -28,6 +29,12 @@ def _missing(c: str) -> Column:
     return F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
 
 
+def _template(df: DataFrame) -> list[tuple[str, Column, str]]:
+    """No text may hold what the queries' templates are controlled by."""
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    return [("template", F.col(c).rlike(r"\{\{|\}\}|\[\[|\]\]|\x00"), f"{c} holds a template control") for c in texts]
+
+
 def check_experiment(df: DataFrame) -> DataFrame:
     """DQ-01 to DQ-03: fields, types, order and provenance of an experiment manifest."""
     rules = [("required", _missing(c), f"{c} is missing") for c in ("capture_id", "experiment_id", "session_id", "trial_number", "application_package", "scenario", "capture_started_at_utc", "capture_finished_at_utc", "test_file_sha256", "test_file_size_bytes", "device_model", "network_profile")]
@@ -36,7 +43,7 @@ def check_experiment(df: DataFrame) -> DataFrame:
     rules += [("package", ~valid_package("application_package"), "application_package is no package name"), ("hash", ~valid_sha256("test_file_sha256"), "test_file_sha256 is no SHA-256"), ("enum", ~F.col("scenario").isin("upload", "download"), "scenario is unknown")]
     rules += [("order", F.col("capture_finished_at_utc") <= F.col("capture_started_at_utc"), "capture must finish after its start")]
     rules += [("provenance", ~F.coalesce(F.col(c), F.lit(False)), f"{c} must be true") for c in ("transfer_completed", "capture_isolation_confirmed", "cache_cleared_or_download_verified")]
-    return violations(df, "capture_id", rules)
+    return violations(df, "capture_id", rules + _template(df))
 
 
 def check_catalogues(df: DataFrame, catalogues: dict[str, DataFrame], record: str = "capture_id") -> DataFrame:
@@ -101,7 +108,7 @@ def check_releases(df: DataFrame) -> DataFrame:
         ("order", F.col("baseline_start") > F.col("baseline_end"), "baseline ends before it starts"), ("order", F.col("followup_start") > F.col("followup_end"), "follow-up ends before it starts"),
         ("around", F.col("baseline_end") >= at, "baseline must end before the release"), ("around", F.col("followup_start") <= at, "follow-up must start after the release"),
     ]
-    return violations(df, "release_event_id", rules).unionByName(check_unique(df, ["release_event_id"], "release_event_id"))
+    return violations(df, "release_event_id", rules + _template(df)).unionByName(check_unique(df, ["release_event_id"], "release_event_id"))
 
 
 def check_overlaps(df: DataFrame) -> DataFrame:
@@ -124,6 +131,14 @@ def check_constraints(df: DataFrame, record: str, ranges: dict[str, tuple[float
     return violations(df, record, rules)
 
 
+def check_analysis_results(df: DataFrame, record: str = "capture_id") -> DataFrame:
+    """DQ-11 on analysis results: of the columns of an analysis that df has, counts, durations and rates aren't negative, shares lie within 0 and 1, sizes are above zero."""
+    kinds = {name: kind.rstrip("?") for group in ANALYSIS.values() for kind, names in group.items() for name in names.split() if name in df.columns}
+    of = lambda *want: [c for c, kind in kinds.items() if kind in want]
+    found = check_constraints(df, record, enums={c: ("pcap", "pcapng") for c in of("format")} | ({"scenario": ("upload", "download")} if "scenario" in df.columns else {}), non_negative=of("int", "float"), shares=of("ratio"))
+    return found.unionByName(violations(df, record, [("range", F.col(c) <= 0, f"{c} is out of range") for c in of("positive")]))
+
+
 def check_categories(assigned: DataFrame) -> DataFrame:
     """DQ-13: an application has categories, each once, and one of them is primary."""
     g = assigned.groupBy("application_id").agg(F.count("category_id").alias("n"), F.count_distinct("category_id").alias("d"), F.count_if("is_primary").alias("p"))

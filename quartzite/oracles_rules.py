@@ -37,6 +37,10 @@ RELEASES = [
 REUSED = """b AS (SELECT review_id, content, sentiment_status AS st, sentiment_label AS lb, sentiment_language AS lg FROM {outcomes} WHERE sentiment_status IN ('done', 'skipped')
  QUALIFY row_number() OVER (PARTITION BY review_id, content ORDER BY (sentiment_status = 'done') DESC, sentiment_processed_at DESC NULLS LAST, crawl_task_id) = 1),
  p AS (SELECT o.*, b.st, b.lb, b.lg FROM {outcomes} o LEFT JOIN b ON b.review_id = o.review_id AND b.content IS NOT DISTINCT FROM o.content WHERE o.sentiment_status = 'pending')"""
+SPOILED = """s AS (SELECT * REPLACE (tcp_byte_share * 1.2 AS tcp_byte_share, tcp_connection_count - 1 AS tcp_connection_count, network_bytes_total - 2 AS network_bytes_total, -tcp_reset_rate AS tcp_reset_rate), network_bytes_total - 1 AS capture_size_bytes FROM {network_analysis_results})"""
+COUNTS = "capture_duration_ms truncated_packet_count analysis_warning_count network_bytes_total tcp_connection_count tcp_retransmission_count total_transfer_amplification_ratio observed_primary_payload_span_ms average_network_throughput_mbps effective_file_throughput_mbps primary_direction_amplification_ratio reverse_path_cost_ratio tcp_initial_rtt_avg_ms tcp_initial_rtt_p50_ms tcp_ack_rtt_p95_ms".split()
+SHARES = "ip_transport_header_overhead_ratio tcp_byte_share quic_byte_share other_udp_byte_share tcp_handshake_success_rate tcp_retransmission_rate tcp_recovery_tax tcp_receiver_stall_ratio tcp_reset_rate".split()
+ANALYSES = [("enum", "scenario NOT IN ('upload', 'download')", "scenario is unknown"), ("range", "capture_size_bytes <= 0", "capture_size_bytes is out of range"), *(("range", f"{c} < 0", f"{c} is out of range") for c in COUNTS), *(("range", f"{c} NOT BETWEEN 0 AND 1", f"{c} is out of range") for c in SHARES)]
 LATE = "status = 'pending_upload' AND coalesce(expires_at <= TIMESTAMP '2024-01-16', FALSE)"
 STALE = "status = 'analyzing' AND coalesce(date_diff('second', analysis_started_at, TIMESTAMP '2024-01-16') > 86400, TRUE)"
 
@@ -84,6 +88,7 @@ SQL: dict[str, str] = {
     "dq_release_rules": f"WITH {WINDOWED} {broken('w', 'release_event_id', RELEASES)} UNION ALL SELECT record, 'unique', 'release_event_id must be unique' FROM (SELECT release_event_id AS record, count(*) OVER (PARTITION BY release_event_id) AS n FROM w) WHERE n > 1",
     "dq_release_overlaps": f"""WITH {WINDOWED} SELECT release_event_id AS record, 'overlap' AS rule, 'analysis windows overlap' AS message FROM (SELECT *, max(followup_end) OVER (PARTITION BY application_package ORDER BY baseline_start, followup_end, release_event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest
  FROM w WHERE baseline_start IS NOT NULL AND followup_end IS NOT NULL) WHERE latest >= baseline_start""",
+    "dq_analysis_results": f"WITH {SPOILED} {broken('s', 'capture_id', ANALYSES)}",
     "dq_gates": "SELECT unnest(['base', 'network', 'experiment', 'release', 'sentiment']) AS capability, unnest([TRUE, network_state NOT IN ('NETWORK_SCHEMA_MISSING', 'NETWORK_GRANTS_MISSING'), experiment_state = 'VERIFIED_EXPERIMENT_AVAILABLE', release_state = 'RELEASE_METADATA_AVAILABLE', sentiment_state = 'SENTIMENT_DATA_AVAILABLE']) AS enabled FROM {capabilities}",
     "dq_optional_columns": "SELECT crawl_task_id, review_id, CAST(NULL AS VARCHAR) AS sentiment_status, CAST(NULL AS VARCHAR) AS sentiment_label, CAST(NULL AS VARCHAR) AS sentiment_language FROM {review_observations}",
     "dq_fingerprint": """SELECT sha256(string_agg(sha256('{{"new_version":"' || new_version || '","previous_version":"' || previous_version || '","release_event_id":"' || release_event_id || '"}}'), chr(10) ORDER BY release_event_id)) AS fingerprint FROM {release_manifest}""",
@@ -100,9 +105,10 @@ SQL: dict[str, str] = {
 
 def rules_sql() -> dict[str, str]:
     from quartzite.oracles import question_sql
-    from quartzite.oracles_more import REASON
+    from quartzite.oracles_more import MORE, REASON
 
     out = {name: with_roles(sql) for name, sql in SQL.items()}
     out["flt_either_side"] = f"SELECT pair_id, application_a, application_b, pair_status FROM ({question_sql()['q32_paired_comparison']}) WHERE application_a = 'com.app.n1' OR application_b = 'com.app.n1'"
+    out["str_current_reviews"] = with_roles(MORE["str_upsert_reviews"])
     out["dsh_ledger"] = with_roles(f"WITH {REASON} SELECT CASE WHEN event_type IN ('click', 'view', 'error') THEN 'app_stats_collected' ELSE 'review_observed' END AS event_type, count(*) AS events, max(make_timestamp((\"offset\" + 1700000000) * 1000000)) AS last_ingested_at FROM cl GROUP BY 1")
     return out

@@ -64,7 +64,8 @@ def _manifest(spark: SparkSession, path: str | None, field: str, schema: str) ->
     if path is None:
         return typed_empty(spark, schema)
     found = spark.read.schema(f"schema_version int, {field} array<struct<{', '.join(':'.join(c.split(' ')) for c in schema.split(', '))}>>").option("multiLine", "true").json(path)
-    return found.select(F.explode(field).alias("x")).select("x.*")
+    rows = F.when(F.col("schema_version") == 1, F.col(field)).otherwise(F.raise_error(F.lit("the manifest's schema_version must be 1")))
+    return found.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def read_experiment_manifest(spark: SparkSession, path: str | None) -> DataFrame:
@@ -72,6 +73,13 @@ def read_experiment_manifest(spark: SparkSession, path: str | None) -> DataFrame
     return _manifest(spark, path, "captures", EXPERIMENT)
 
 
+def read_catalogues(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """What an experiment manifest allows: devices and network profiles by the column they are for (see check_catalogues), and cohorts (a, b)."""
+    found = spark.read.schema("allowed_device_models array<string>, allowed_network_profiles array<string>, allowed_comparison_cohorts array<array<string>>").option("multiLine", "true").json(path)
+    out = {column: found.select(F.explode(field).alias("v")) for column, field in (("device_model", "allowed_device_models"), ("network_profile", "allowed_network_profiles"))}
+    return out | {"cohorts": found.select(F.explode("allowed_comparison_cohorts").alias("c")).select(F.col("c")[0].alias("a"), F.col("c")[1].alias("b"))}
+
+
 def read_release_manifest(spark: SparkSession, path: str | None) -> DataFrame:
     return _manifest(spark, path, "release_events", RELEASE)
 

@@ -220,6 +220,18 @@ def append_observations(batch: DataFrame, observations: DataFrame) -> DataFrame:
     return latest_per(batch, keys, ["offset"]).join(observations.select(*keys), keys, "left_anti")
 
 
+def current_reviews(observed: DataFrame) -> DataFrame:
+    """The state of reviews after all batches of run_ingest's review_observed table, merged as it is read: what upsert_reviews makes of one batch after the other."""
+    empty = observed.limit(0).withColumns({"first_observed_at": F.col("observed_at"), "last_observed_at": F.col("observed_at")}).drop("observed_at", "event_id", "topic", "partition", "offset", "batch")
+    return upsert_reviews(observed, empty, arrival=("batch", "partition", "offset"))
+
+
+def kept_observations(observed: DataFrame) -> DataFrame:
+    """The observations of all batches of run_ingest's review_observed table, each task and review once, as append_observations keeps them."""
+    w = Window.partitionBy("crawl_task_id", "external_review_id").orderBy("batch", F.desc("offset"))
+    return observed.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
 def require_consistent(batch: DataFrame, reference: DataFrame, on: list[str]) -> DataFrame:
     """The batch, if every row has its reference; else an error, before anything is written."""
     lost = batch.join(reference.select(*on).distinct(), on, "left_anti")
@@ -275,10 +287,14 @@ def dedupe_captures(captures: DataFrame) -> DataFrame:
     return d.where("_k = 1").drop("_k")
 
 
-def run_ingest(stream: DataFrame, root: str, checkpoint: str, handlers: dict[str, Callable[[DataFrame], DataFrame]] | None = None, once: bool = True) -> StreamingQuery:
+def run_ingest(
+    stream: DataFrame, root: str, checkpoint: str, handlers: dict[str, Callable[[DataFrame], DataFrame]] | None = None, once: bool = True, references: dict[str, tuple[Callable[[], DataFrame], list[str]]] | None = None
+) -> StreamingQuery:
     """Runs a stream of messages into tables under root: ledger, quarantine and one for each kind of event (TABLES).
 
     handlers may turn an event type's typed rows into what is stored, and raise to stop the batch before it is written.
+    references: for a table, what gives the rows that each of its own must have, and the columns on which; a row without
+    one stops the batch, and leaves no claim. Tables only grow; current_reviews() and kept_observations() are the state.
     Each batch's rows are in a folder of its number, which a rerun overwrites; the ledger's is written last.
     """
 
@@ -298,6 +314,9 @@ def run_ingest(stream: DataFrame, root: str, checkpoint: str, handlers: dict[str
             fresh = claim(good, ledger).persist()
             by_table = {TABLES.get(name, name): f for name, f in (handlers or {}).items()}
             parts = {name: by_table.get(name, lambda d: d)(part) for name, part in routed(fresh).items()}
+            for name, (rows, on) in (references or {}).items():
+                if name in parts:
+                    require_consistent(parts[name], rows(), on)
             bad.drop("payload").write.mode("overwrite").parquet(f"{root}/quarantine/batch={number}")
             for name, part in parts.items():
                 part.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")

@@ -265,3 +265,43 @@ def test_event_types_and_topics_of_the_wire(spark, tmp_path):
     assert wide[4].source_analyzer == "tshark" and wide[4].analysis_warnings == []
     assert [spark.read.parquet(f"{root}/{t}").count() for t in ("app_stats_collected", "review_observed", "network_capture_ready", "ledger")] == [1, 1, 1, 5]
     assert spark.read.parquet(f"{root}/network_capture_ready").first().capture_sha256 == "1" * 64
+
+
+def test_manifest_version_and_what_it_allows(spark, tmp_path):
+    import json
+
+    one = {"schema_version": 1, "allowed_device_models": ["d1"], "allowed_network_profiles": ["p1", "p2"], "allowed_comparison_cohorts": [["com.a.x", "com.b.x"]], "captures": [{"capture_id": "c1", "device_model": "d1", "network_profile": "p9", "protocol_notes": "a {{b}}"}]}
+    (tmp_path / "one.json").write_text(json.dumps(one))
+    (tmp_path / "two.json").write_text(json.dumps(one | {"schema_version": 2}))
+    captures = R.read_experiment_manifest(spark, f"file://{tmp_path}/one.json")
+    allowed = R.read_catalogues(spark, f"file://{tmp_path}/one.json")
+    assert [tuple(r) for r in allowed.pop("cohorts").collect()] == [("com.a.x", "com.b.x")]
+    assert [r.message for r in Q.check_catalogues(captures, allowed).collect()] == ["network_profile isn't allowed: p9"]
+    assert [r.message for r in Q.check_experiment(captures).where("rule = 'template'").collect()] == ["protocol_notes holds a template control"]
+    with pytest.raises(Exception, match="schema_version must be 1"):
+        R.read_experiment_manifest(spark, f"file://{tmp_path}/two.json").collect()
+
+
+def test_state_after_batches_and_rows_without_reference(spark, tmp_path):
+    schema, root = "key string, value string, topic string, partition int, offset long", str(tmp_path / "out")
+    apps = lambda *ids: {"review_observed": (lambda: spark.createDataFrame([(i,) for i in ids], "application_id string"), ["application_id"])}
+
+    def run(number, rows, references):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/in/{number}")
+        resume(references)
+
+    def resume(references):
+        stream = spark.readStream.schema(schema).json(f"{tmp_path}/in/*").withColumns({c: F.col(c).cast("binary") for c in ("key", "value")})
+        I.run_ingest(stream, root, str(tmp_path / "ck"), references=references).awaitTermination()
+
+    run(1, [message(1, "2024-01-02T00:00:00Z", "x", score=1), message(2, "2024-01-02T00:00:00Z", "y", score=2)], apps("a"))
+    with pytest.raises(Exception, match="reference"):
+        run(2, [message(3, "2024-01-02T00:00:00Z", "tie", score=5)], apps("b"))
+    assert spark.read.parquet(f"{root}/ledger").count() == 2
+    resume(apps("a"))  # the batch runs again
+    run(3, [message(4, "2024-01-01T00:00:00Z", "late", score=4)], apps("a"))
+    observed = spark.read.parquet(f"{root}/review_observed")
+    now = I.current_reviews(observed).collect()
+    assert [(r.content, r.score, str(r.first_observed_at)[:10], str(r.last_observed_at)[:10]) for r in now] == [("tie", 5, "2024-01-01", "2024-01-02")]
+    again = observed.where("offset = 1").withColumn("batch", F.lit(9)).withColumn("content", F.lit("again"))
+    assert sorted(r.content for r in I.kept_observations(observed.unionByName(again)).collect()) == ["late", "tie", "x", "y"]
