@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from quartzite.functions.exprs import first_float, first_int, first_of, flag, flow_key, ratio
 from quartzite.functions.stats import nearest_rank
-from quartzite.operators.temporal import count_to_share, flips, islands, union_length
+from quartzite.operators.temporal import flips, islands, ranked_to_share, union_length
 
 SUPPORTED = frozenset({"quic.version", "quic.long.packet_type", "quic.spin_bit"})
 MIB = 1_048_576
@@ -55,10 +55,6 @@ def normalize_packets(raw: DataFrame) -> DataFrame:
     return out.where("timestamp is not null and frame_len is not null and captured_len is not null")
 
 
-def _ip(packets: DataFrame) -> DataFrame:
-    return packets.where("ip_version in (4, 6)")
-
-
 def _n(where: Column | str) -> Column:
     return F.count_if(F.expr(where) if isinstance(where, str) else where)
 
@@ -67,44 +63,102 @@ def _sum(value: str, where: str | None = None) -> Column:
     return F.coalesce(F.sum(F.when(F.expr(where), F.col(value)) if where else F.col(value)), F.lit(0))
 
 
-def capture_basics(packets: DataFrame) -> DataFrame:
+def _kinds(packets: DataFrame) -> DataFrame:
+    """Packets with what they count for: _ip, and of those _tcp, _quic and _udp (datagrams that aren't QUIC); _dns over all packets."""
+    ip = F.coalesce(F.col("ip_version").isin(4, 6), F.lit(False))
+    kinds = {"_ip": ip, "_tcp": ip & (F.col("transport") == "tcp"), "_quic": ip & F.col("quic"), "_udp": ip & (F.col("transport") == "udp") & ~F.col("quic"), "_dns": F.col("dns_is_response").isNotNull()}
+    return packets.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in kinds.items()})
+
+
+def _basics() -> dict[str, Column]:
     """NET-01, NET-02: duration, counts, and whether every IP packet has a direction."""
-    ip = F.col("ip_version").isin(4, 6)
-    return packets.groupBy(ID).agg(
-        ((F.max("timestamp") - F.min("timestamp")) * 1000).alias("capture_duration_ms"), F.count(F.lit(1)).alias("packet_count"), _n("captured_len < frame_len").alias("truncated_packet_count"),
-        F.coalesce(F.bool_and(F.when(ip, F.col("direction").isNotNull())), F.lit(False)).alias("direction_metadata_available"), _n("icmp_error").alias("icmp_error_count"),
-    )
+    return {
+        "capture_duration_ms": (F.max("timestamp") - F.min("timestamp")) * 1000, "packet_count": F.count(F.lit(1)), "truncated_packet_count": _n("captured_len < frame_len"), "icmp_error_count": _n("icmp_error"),
+        "direction_metadata_available": F.coalesce(F.bool_and(F.when(F.col("_ip"), F.col("direction").isNotNull())), F.lit(False)),
+    }
+
+
+def _totals() -> dict[str, Column]:
+    """NET-03 to NET-05 and what NET-08 needs."""
+    out = {"network_bytes_total": _sum("network_bytes", "_ip"), "l4_payload_bytes_total": _sum("l4_payload_bytes", "_ip")}
+    for d in ("tx", "rx"):
+        way = f"_ip and direction = '{d}'"
+        at = F.expr(f"if({way} and l4_payload_bytes > 0, timestamp, null)")
+        out |= {f"{d}_network_bytes": _sum("network_bytes", way), f"{d}_l4_payload_bytes": _sum("l4_payload_bytes", way), f"{d}_packet_count": _n(way), f"_{d}_first": F.min(at), f"_{d}_last": F.max(at)}
+    out |= {"tcp_bytes": _sum("network_bytes", "_tcp"), "quic_identified_bytes": _sum("network_bytes", "_quic"), "other_udp_bytes": _sum("network_bytes", "_udp")} | {f"_ipv{v}": _sum("network_bytes", f"_ip and ip_version = {v}") for v in (4, 6)}
+    remote = F.nullif(F.expr("if(_ip, if(direction = 'tx', dst_ip, src_ip), null)"), F.lit(""))
+    return out | {"_ip_packets": _n("_ip"), "ip_fragment_count": _n("_ip and ip_fragment"), "ecn_ce_packet_count": _n("_ip and ecn_ce"), "unique_remote_ip_count": F.size(F.collect_set(remote)).cast("bigint")}
+
+
+def _tcp_totals() -> dict[str, Column]:
+    again, ack = "_tcp and (tcp_retransmission or tcp_fast_retransmission or tcp_spurious_retransmission)", "tcp_ack_rtt_seconds * 1000"
+    flags = (("zero_window", "zero_window_count"), ("window_full", "window_full_count"), ("out_of_order", "out_of_order_count"), ("duplicate_ack", "duplicate_ack_count"), ("lost_segment", "lost_segment_indicator_count"))
+    return {
+        "tcp_ack_rtt_min_ms": F.min(F.expr(f"if(_tcp, {ack}, null)")), "tcp_ack_rtt_p50_ms": nearest_rank(ack, 50, "_tcp"), "tcp_ack_rtt_p95_ms": nearest_rank(ack, 95, "_tcp"), "tcp_data_segment_count": _n("_tcp and l4_payload_bytes > 0"),
+        "tcp_retransmission_count": _n(again), "tcp_fast_retransmission_count": _n("_tcp and tcp_fast_retransmission"), "tcp_spurious_retransmission_count": _n("_tcp and tcp_spurious_retransmission"), "tcp_retransmitted_payload_bytes": _sum("l4_payload_bytes", again),
+        "_payload": _sum("l4_payload_bytes", "_tcp"), **{f"tcp_{o}": _n(f"_tcp and tcp_{c}") for c, o in flags},
+    }
+
+
+def _quic_totals(supported: frozenset[str]) -> dict[str, Column]:
+    """NET-18; what the dissector can't tell is NULL."""
+    known = lambda field, c: c if field in supported else F.lit(None).cast("bigint")
+    kind = F.lower("quic_packet_type")
+    seen = F.array_sort(F.collect_set(F.when(F.col("_quic") & ~F.col("quic_version").isin("", "0", "0x00000000"), F.col("quic_version"))))
+    return {
+        "quic_version_count": known("quic.version", F.size(seen).cast("bigint")), "quic_versions_seen": seen if "quic.version" in supported else F.lit(None).cast("array<string>"),
+        "quic_retry_count": known("quic.long.packet_type", _n(F.col("_quic") & kind.isin("3", "retry"))), "quic_version_negotiation_count": known("quic.version", _n(F.col("_quic") & F.col("quic_version").isin("0", "0x00000000"))),
+        "quic_0rtt_observed_count": known("quic.long.packet_type", _n(F.col("_quic") & kind.isin("1", "0-rtt", "0rtt", "0_rtt"))),
+    }
 
 
-def ip_totals(packets: DataFrame) -> DataFrame:
-    """NET-03 to NET-05 and what NET-08 needs, in one aggregation."""
-    return _ip(packets).groupBy(ID).agg(
-        _sum("network_bytes").alias("network_bytes_total"), _sum("l4_payload_bytes").alias("l4_payload_bytes_total"),
-        *(x for d in ("tx", "rx") for x in (_sum("network_bytes", f"direction = '{d}'").alias(f"{d}_network_bytes"), _sum("l4_payload_bytes", f"direction = '{d}'").alias(f"{d}_l4_payload_bytes"), _n(f"direction = '{d}'").alias(f"{d}_packet_count"),
-          F.min(F.expr(f"if(direction = '{d}' and l4_payload_bytes > 0, timestamp, null)")).alias(f"_{d}_first"), F.max(F.expr(f"if(direction = '{d}' and l4_payload_bytes > 0, timestamp, null)")).alias(f"_{d}_last"))),
-        _sum("network_bytes", "transport = 'tcp'").alias("tcp_bytes"), _sum("network_bytes", "quic").alias("quic_identified_bytes"), _sum("network_bytes", "transport = 'udp' and not quic").alias("other_udp_bytes"),
-        *(_sum("network_bytes", f"ip_version = {v}").alias(f"_ipv{v}") for v in (4, 6)), F.count(F.lit(1)).alias("_ip_packets"), _n("ip_fragment").alias("ip_fragment_count"), _n("ecn_ce").alias("ecn_ce_packet_count"),
-        F.count_distinct(F.nullif(F.expr("if(direction = 'tx', dst_ip, src_ip)"), F.lit(""))).alias("unique_remote_ip_count"),
-    )
+def _udp_totals() -> dict[str, Column]:
+    """NET-21: sides follow the smaller endpoint of each flow, summed over flows."""
+    mine, size = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")) == F.col("flow.a"), "cast(l4_payload_bytes as double)"
+    return {
+        "udp_datagram_count": _n("_udp"), "udp_network_bytes": F.sum(F.expr("if(_udp, network_bytes, null)")), "udp_payload_bytes": F.sum(F.expr("if(_udp, l4_payload_bytes, null)")), "udp_payload_size_p50": nearest_rank(size, 50, "_udp"), "udp_payload_size_p95": nearest_rank(size, 95, "_udp"),
+        "_a": F.coalesce(F.sum(F.when(F.col("_udp") & mine, F.col("network_bytes"))), F.lit(0)), "_b": F.coalesce(F.sum(F.when(F.col("_udp") & ~mine, F.col("network_bytes"))), F.lit(0)),
+    }
+
+
+def _dns_totals() -> dict[str, Column]:
+    """NET-22: over all packets."""
+    ms = "dns_time_seconds * 1000"
+    return {"dns_query_count": _n("_dns and not dns_is_response"), "dns_response_count": _n("_dns and dns_is_response"), "dns_failure_count": _n("_dns and dns_is_response and dns_response_code <> 0"), "dns_rtt_p50_ms": nearest_rank(ms, 50, "_dns"), "dns_rtt_p95_ms": nearest_rank(ms, 95, "_dns")}
+
+
+def capture_totals(packets: DataFrame, supported: frozenset[str] = SUPPORTED) -> DataFrame:
+    """Everything that is summed over the packets of a capture, in one aggregation; a protocol's columns are NULL where it doesn't occur."""
+    groups = {"tcp": _tcp_totals(), "quic": _quic_totals(supported), "udp": _udp_totals(), "dns": _dns_totals()}
+    flat = _basics() | _totals() | {k: c for g in groups.values() for k, c in g.items()} | {f"_n_{k}": _n(f"_{k}") for k in groups}
+    d = packets.withColumn("flow", flow_key()).groupBy(ID).agg(*(c.alias(k) for k, c in flat.items()))
+    d = d.withColumns({c: F.when(F.col(f"_n_{k}") > 0, F.col(c)) for k, g in groups.items() for c in g})
+    return d.withColumn("udp_bidirectional_byte_ratio", ratio(F.least("_a", "_b"), F.greatest("_a", "_b"))).drop("_a", "_b")
 
 
 def flows(packets: DataFrame, totals: DataFrame) -> DataFrame:
-    """NET-06: flows, the largest one's payload, and how many reach 80 % of the whole payload."""
-    per = _ip(packets).withColumn("flow", flow_key()).where("flow is not null").groupBy(ID, "flow").agg(F.sum("l4_payload_bytes").alias("payload"))
-    per = per.join(totals.select(ID, "l4_payload_bytes_total"), ID)
-    many = count_to_share(per, [ID], "payload", "l4_payload_bytes_total", 0.8, "_needed")
-    return per.groupBy(ID).agg(F.count(F.lit(1)).alias("flow_count"), F.max("payload").alias("_largest")).join(many, ID)
+    """NET-06: flows, the largest one's payload, and how many reach 80 % of the whole payload; flows of QUIC and of other datagrams, and NET-19: QUIC's first round trips."""
+    first = [F.min(F.when(F.col("_quic") & (F.col("direction") == s) & F.lower("quic_packet_type").isin("0", "initial"), F.col("timestamp"))) for s in ("rx", "tx")]
+    per = packets.where("_ip").withColumn("flow", flow_key()).where("flow is not null").groupBy(ID, "flow").agg(
+        F.sum("l4_payload_bytes").alias("payload"), (F.abs(first[0] - first[1]) * 1000).alias("rtt"), F.bool_or("_quic").alias("_of_quic"), F.bool_or("_udp").alias("_of_udp")
+    )
+    per = per.repartition(ID).join(totals.select(ID, "l4_payload_bytes_total"), ID)
+    many = ranked_to_share(per, [ID], "payload", "l4_payload_bytes_total", 0.8)
+    return many.groupBy(ID).agg(
+        F.count(F.lit(1)).alias("flow_count"), F.max("payload").alias("_largest"), F.coalesce(F.min("_reached"), F.count(F.lit(1))).alias("_needed"), _n("_of_quic").alias("_quic_flows"), _n("_of_udp").alias("_udp_flows"),
+        F.avg("rtt").alias("quic_initial_rtt_avg_ms"), nearest_rank("rtt", 50).alias("quic_initial_rtt_p50_ms"), nearest_rank("rtt", 95).alias("quic_initial_rtt_p95_ms"),
+    )
 
 
 def throughput_buckets(packets: DataFrame) -> DataFrame:
     """NET-07: bits of each wall-clock second."""
-    per = _ip(packets).groupBy(ID, F.floor("timestamp").alias("second")).agg((F.sum("network_bytes") * 8 / 1e6).alias("mbps"))
+    per = packets.where("_ip").groupBy(ID, F.floor("timestamp").alias("second")).agg((F.sum("network_bytes") * 8 / 1e6).alias("mbps"))
     return per.groupBy(ID).agg(F.max("mbps").alias("peak_1s_network_throughput_mbps"), nearest_rank("mbps", 95).alias("p95_1s_network_throughput_mbps"))
 
 
 def _connections(packets: DataFrame) -> DataFrame:
     """TCP packets with their connection: the stream, else the flow; NULL if there is neither."""
-    return _ip(packets).where("transport = 'tcp'").withColumn("conn", F.coalesce(F.concat(F.lit("s"), F.col("tcp_stream")), F.concat(F.lit("f"), F.to_json(flow_key()))))
+    return packets.where("_tcp").withColumn("conn", F.coalesce(F.concat(F.lit("s"), F.col("tcp_stream")), F.concat(F.lit("f"), F.to_json(flow_key()))))
 
 
 ORDER = ["timestamp", "packet_no"]
@@ -135,76 +189,49 @@ def tcp_stalls(tcp: DataFrame) -> DataFrame:
     return found.groupBy(ID, "conn").agg(F.bool_or("open").alias("open")).join(length, [ID, "conn"], "left")
 
 
-def tcp(packets: DataFrame) -> DataFrame:
-    """NET-10 to NET-17: one row for each capture with TCP."""
-    d = _connections(packets)
-    per = d.where("conn is not null").groupBy(ID, "conn").agg((F.max("timestamp") - F.min("timestamp")).alias("active"), F.bool_or("tcp_rst").alias("rst"), F.min_by(F.col("tcp_initial_rtt_seconds") * 1000, F.when(F.col("tcp_initial_rtt_seconds").isNotNull(), F.struct(*ORDER))).alias("rtt"))
+def tcp_connections(packets: DataFrame) -> DataFrame:
+    """NET-10 to NET-12, NET-15 and NET-16: one row for each capture with TCP connections. All that looks at a connection's packets in order finds them dealt by connection."""
+    d = _connections(packets).where("conn is not null").repartition(ID, "conn")
+    per = d.groupBy(ID, "conn").agg((F.max("timestamp") - F.min("timestamp")).alias("active"), F.bool_or("tcp_rst").alias("rst"), F.min_by(F.col("tcp_initial_rtt_seconds") * 1000, F.when(F.col("tcp_initial_rtt_seconds").isNotNull(), F.struct(*ORDER))).alias("rtt"))
     per = per.join(tcp_handshakes(d), [ID, "conn"], "left").join(tcp_stalls(d), [ID, "conn"], "left")
-    conns = per.groupBy(ID).agg(
+    return per.groupBy(ID).agg(
         F.count(F.lit(1)).alias("tcp_connection_count"), _n("done").alias("tcp_successful_handshake_count"), F.avg("rtt").alias("tcp_initial_rtt_avg_ms"), nearest_rank("rtt", 50).alias("tcp_initial_rtt_p50_ms"), nearest_rank("rtt", 95).alias("tcp_initial_rtt_p95_ms"),
         (F.sum(F.coalesce("seconds", F.lit(0.0))) * 1000).alias("tcp_zero_window_duration_ms"), (F.sum("active") * 1000).alias("tcp_active_duration_ms"), _n("rst").alias("tcp_reset_count"), F.coalesce(F.bool_or("open"), F.lit(False)).alias("_open"),
     )
-    again = "(tcp_retransmission or tcp_fast_retransmission or tcp_spurious_retransmission)"
-    ack = "tcp_ack_rtt_seconds * 1000"
-    all_ = d.groupBy(ID).agg(
-        F.min(F.expr(ack)).alias("tcp_ack_rtt_min_ms"), nearest_rank(ack, 50).alias("tcp_ack_rtt_p50_ms"), nearest_rank(ack, 95).alias("tcp_ack_rtt_p95_ms"), _n("l4_payload_bytes > 0").alias("tcp_data_segment_count"), _n(again).alias("tcp_retransmission_count"),
-        _n("tcp_fast_retransmission").alias("tcp_fast_retransmission_count"), _n("tcp_spurious_retransmission").alias("tcp_spurious_retransmission_count"), _sum("l4_payload_bytes", again).alias("tcp_retransmitted_payload_bytes"), _sum("l4_payload_bytes").alias("_payload"),
-        *(_n(f"tcp_{c}").alias(f"tcp_{o}") for c, o in (("zero_window", "zero_window_count"), ("window_full", "window_full_count"), ("out_of_order", "out_of_order_count"), ("duplicate_ack", "duplicate_ack_count"), ("lost_segment", "lost_segment_indicator_count"))),
-    )
-    t = all_.join(conns, ID, "left").fillna(0, ["tcp_connection_count", "tcp_successful_handshake_count", "tcp_reset_count", "tcp_zero_window_duration_ms", "tcp_active_duration_ms"])
-    return t.withColumns({
-        "tcp_incomplete_handshake_count": F.col("tcp_connection_count") - F.col("tcp_successful_handshake_count"), "tcp_handshake_success_rate": ratio("tcp_successful_handshake_count", "tcp_connection_count"),
-        "tcp_rtt_tail_inflation": F.when(F.col("tcp_ack_rtt_p50_ms") != 0, F.col("tcp_ack_rtt_p95_ms") / F.col("tcp_ack_rtt_p50_ms")), "tcp_retransmission_rate": ratio("tcp_retransmission_count", "tcp_data_segment_count"),
-        "tcp_recovery_tax": ratio("tcp_retransmitted_payload_bytes", "_payload"), "tcp_receiver_stall_ratio": ratio("tcp_zero_window_duration_ms", "tcp_active_duration_ms"), "tcp_reset_rate": ratio("tcp_reset_count", "tcp_connection_count"),
-        "tcp_rtt_available": F.col("tcp_initial_rtt_avg_ms").isNotNull() | F.col("tcp_ack_rtt_min_ms").isNotNull(), "_open": F.coalesce("_open", F.lit(False)),
-    }).drop("_payload")
 
 
-def quic(packets: DataFrame, supported: frozenset[str] = SUPPORTED) -> DataFrame:
-    """NET-18 to NET-20: one row for each capture with QUIC; what the dissector can't tell is NULL."""
-    d = _ip(packets).where("quic").withColumn("flow", flow_key()).withColumn("kind", F.lower("quic_packet_type"))
-    known = lambda field, c: c if field in supported else F.lit(None).cast("bigint")
-    none = F.col("quic_version").isin("", "0", "0x00000000")
-    seen = F.array_sort(F.collect_set(F.when(~none, F.col("quic_version"))))
-    base = d.groupBy(ID).agg(
-        F.count_distinct("flow").alias("quic_identified_connection_count"), known("quic.version", F.size(seen).cast("bigint")).alias("quic_version_count"),
-        (seen if "quic.version" in supported else F.lit(None).cast("array<string>")).alias("quic_versions_seen"), known("quic.long.packet_type", _n(F.col("kind").isin("3", "retry"))).alias("quic_retry_count"),
-        known("quic.version", _n(F.col("quic_version").isin("0", "0x00000000"))).alias("quic_version_negotiation_count"), known("quic.long.packet_type", _n(F.col("kind").isin("1", "0-rtt", "0rtt", "0_rtt"))).alias("quic_0rtt_observed_count"),
-    )
-    first = [F.min(F.when((F.col("direction") == s) & F.col("kind").isin("0", "initial"), F.col("timestamp"))) for s in ("rx", "tx")]
-    rtt = d.where("flow is not null").groupBy(ID, "flow").agg((F.abs(first[0] - first[1]) * 1000).alias("rtt")).groupBy(ID).agg(F.avg("rtt").alias("quic_initial_rtt_avg_ms"), nearest_rank("rtt", 50).alias("quic_initial_rtt_p50_ms"), nearest_rank("rtt", 95).alias("quic_initial_rtt_p95_ms"))
-    spin = flips(d.where("flow is not null and direction is not null"), [ID, "flow", "direction"], ORDER, "quic_spin_bit", "timestamp", "gap").withColumn("ms", F.col("gap") * 1000)
-    spin = spin.groupBy(ID).agg(F.count(F.lit(1)).alias("_samples"), F.min("ms").alias("quic_spin_rtt_min_ms"), nearest_rank("ms", 50).alias("quic_spin_rtt_p50_ms"), nearest_rank("ms", 95).alias("quic_spin_rtt_p95_ms"))
-    out = base.join(rtt, ID, "left").join(spin, ID, "left")
-    return out.withColumns({"quic_spin_rtt_sample_count": known("quic.spin_bit", F.coalesce("_samples", F.lit(0))), "quic_initial_rtt_available": F.col("quic_initial_rtt_avg_ms").isNotNull(), "quic_spin_rtt_available": F.col("_samples").isNotNull()}).drop("_samples")
-
-
-def udp(packets: DataFrame) -> DataFrame:
-    """NET-21: datagrams that aren't QUIC; sides follow the smaller endpoint of each flow, summed over flows."""
-    d = _ip(packets).where("transport = 'udp' and not quic").withColumn("flow", flow_key())
-    mine = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")) == F.col("flow.a")
-    d = d.groupBy(ID).agg(
-        F.count_distinct("flow").alias("udp_flow_count"), F.count(F.lit(1)).alias("udp_datagram_count"), F.sum("network_bytes").alias("udp_network_bytes"), F.sum("l4_payload_bytes").alias("udp_payload_bytes"),
-        nearest_rank("cast(l4_payload_bytes as double)", 50).alias("udp_payload_size_p50"), nearest_rank("cast(l4_payload_bytes as double)", 95).alias("udp_payload_size_p95"),
-        F.coalesce(F.sum(F.when(mine, F.col("network_bytes"))), F.lit(0)).alias("_a"), F.coalesce(F.sum(F.when(~mine, F.col("network_bytes"))), F.lit(0)).alias("_b"),
-    )
-    return d.withColumn("udp_bidirectional_byte_ratio", ratio(F.least("_a", "_b"), F.greatest("_a", "_b"))).drop("_a", "_b")
+def quic_spins(packets: DataFrame) -> DataFrame:
+    """NET-20: the times between flips of the spin bit in each direction of a flow."""
+    d = packets.where("_quic").withColumn("flow", flow_key()).where("flow is not null and direction is not null")
+    spin = flips(d, [ID, "flow", "direction"], ORDER, "quic_spin_bit", "timestamp", "gap").withColumn("ms", F.col("gap") * 1000)
+    return spin.groupBy(ID).agg(F.count(F.lit(1)).alias("_samples"), F.min("ms").alias("quic_spin_rtt_min_ms"), nearest_rank("ms", 50).alias("quic_spin_rtt_p50_ms"), nearest_rank("ms", 95).alias("quic_spin_rtt_p95_ms"))
 
 
-def dns(packets: DataFrame) -> DataFrame:
-    """NET-22: over all packets."""
-    ms = "dns_time_seconds * 1000"
-    return packets.where("dns_is_response is not null").groupBy(ID).agg(
-        _n("not dns_is_response").alias("dns_query_count"), _n("dns_is_response").alias("dns_response_count"), _n("dns_is_response and dns_response_code <> 0").alias("dns_failure_count"), nearest_rank(ms, 50).alias("dns_rtt_p50_ms"), nearest_rank(ms, 95).alias("dns_rtt_p95_ms"),
-    )
+def _with_protocols(d: DataFrame, supported: frozenset[str]) -> DataFrame:
+    """What follows from totals, connections and flows of TCP, QUIC and other datagrams; NULL where they don't occur."""
+    has = {k: F.col(f"_n_{k}") > 0 for k in ("tcp", "quic", "udp")}
+    d = d.withColumns({c: F.when(has["tcp"], F.coalesce(c, F.lit(0))) for c in ("tcp_connection_count", "tcp_successful_handshake_count", "tcp_reset_count", "tcp_zero_window_duration_ms", "tcp_active_duration_ms")})
+    d = d.withColumns({
+        "tcp_incomplete_handshake_count": F.col("tcp_connection_count") - F.col("tcp_successful_handshake_count"), "tcp_handshake_success_rate": ratio("tcp_successful_handshake_count", "tcp_connection_count"),
+        "tcp_rtt_tail_inflation": F.when(F.col("tcp_ack_rtt_p50_ms") != 0, F.col("tcp_ack_rtt_p95_ms") / F.col("tcp_ack_rtt_p50_ms")), "tcp_retransmission_rate": ratio("tcp_retransmission_count", "tcp_data_segment_count"),
+        "tcp_recovery_tax": ratio("tcp_retransmitted_payload_bytes", "_payload"), "tcp_receiver_stall_ratio": ratio("tcp_zero_window_duration_ms", "tcp_active_duration_ms"), "tcp_reset_rate": ratio("tcp_reset_count", "tcp_connection_count"),
+        "tcp_rtt_available": F.col("tcp_initial_rtt_avg_ms").isNotNull() | F.col("tcp_ack_rtt_min_ms").isNotNull(), "_open": F.coalesce("_open", F.lit(False)),
+    })
+    samples = F.when(has["quic"], F.coalesce("_samples", F.lit(0))) if "quic.spin_bit" in supported else F.lit(None).cast("bigint")
+    return d.withColumns({
+        "quic_identified_connection_count": F.when(has["quic"], F.coalesce("_quic_flows", F.lit(0))), "udp_flow_count": F.when(has["udp"], F.coalesce("_udp_flows", F.lit(0))),
+        "quic_spin_rtt_sample_count": samples, "quic_initial_rtt_available": F.col("quic_initial_rtt_avg_ms").isNotNull(), "quic_spin_rtt_available": F.col("_samples").isNotNull(),
+    })
 
 
 def capture_metrics(packets: DataFrame, captures: DataFrame, supported: frozenset[str] = SUPPORTED) -> DataFrame:
     """One row for each capture (capture_id, scenario, transfer_file_size_bytes), also of one without packets."""
-    totals = ip_totals(packets)
+    packets = _kinds(packets)
+    totals = capture_totals(packets, supported)
     d = captures.select(ID, "scenario", "transfer_file_size_bytes")
-    for part in (capture_basics(packets), totals, flows(packets, totals), throughput_buckets(packets), tcp(packets), quic(packets, supported), udp(packets), dns(packets)):
+    for part in (totals, flows(packets, totals), throughput_buckets(packets), tcp_connections(packets), quic_spins(packets)):
         d = d.join(part, ID, "left")
+    d = _with_protocols(d, supported)
     d = d.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("capture_duration_ms", "packet_count", "truncated_packet_count", "icmp_error_count", "network_bytes_total", "l4_payload_bytes_total", "tcp_bytes", "quic_identified_bytes", "other_udp_bytes", "_ipv4", "_ipv6", "_ip_packets", "ip_fragment_count", "ecn_ce_packet_count", "flow_count", "_needed")} | {"direction_metadata_available": F.coalesce("direction_metadata_available", F.lit(False))})
     way = F.col("direction_metadata_available")
     d = d.withColumns({c: F.when(way, F.coalesce(c, F.lit(0))) for s in ("tx", "rx") for c in (f"{s}_network_bytes", f"{s}_l4_payload_bytes", f"{s}_packet_count")} | {"unique_remote_ip_count": F.when(way, F.coalesce("unique_remote_ip_count", F.lit(0)))})

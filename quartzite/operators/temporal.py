@@ -91,11 +91,16 @@ def running_total(df: DataFrame, order: str, n: str, out: str) -> DataFrame:
     return df.withColumn(out, F.sum(n).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def count_to_share(df: DataFrame, keys: list[str], n: str, total: str, part: float, out: str) -> DataFrame:
-    """For each key, how many of its rows, largest n first, reach `part` of `total`; all of them if they never do."""
+def ranked_to_share(df: DataFrame, keys: list[str], n: str, total: str, part: float) -> DataFrame:
+    """df with _reached: its rank by n within keys where the sum of n so far, largest first, has reached `part` of `total`; else NULL."""
     w = Window.partitionBy(*keys).orderBy(F.desc(n))
     ranked = df.withColumn("_k", F.row_number().over(w)).withColumn("_sum", F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_sum") >= F.col(total) * part, F.col("_k"))), F.count(F.lit(1))).alias(out))
+    return ranked.withColumn("_reached", F.when(F.col("_sum") >= F.col(total) * part, F.col("_k"))).drop("_k", "_sum")
+
+
+def count_to_share(df: DataFrame, keys: list[str], n: str, total: str, part: float, out: str) -> DataFrame:
+    """For each key, how many of its rows, largest n first, reach `part` of `total`; all of them if they never do."""
+    return ranked_to_share(df, keys, n, total, part).groupBy(*keys).agg(F.coalesce(F.min("_reached"), F.count(F.lit(1))).alias(out))
 
 
 def union_length(df: DataFrame, keys: list[str], start: str, end: str, out: str) -> DataFrame:
