@@ -2,6 +2,11 @@
 
 Each stage takes all documents that the one before kept and returns the columns of documents; the last returns digests
 of the tokens. run() writes every stage's result in the shared folder and reads it again.
+
+In every stage columns besides those of documents are ignored, whatever their names, and repeated rows are rows of their
+own. A null lang teaches nothing; source and n_chars aren't looked at. Rows of one doc_id are one document as to near
+duplicates, and don't cut passages from each other. A null doc_id is never held out, never a near duplicate's other, and
+larger than all others as to passages. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,14 +27,18 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the text has letters and some learned language claims it; learned from the documents that aren't held out."""
+    """Documents of which the text has letters and some learned language claims it; learned from the documents that aren't held out.
+
+    Null and empty texts and texts without letters go; without a labelled document nothing is learned, and all go.
+    """
+    docs = docs.select(*COLUMNS)
     model = language.fit(docs.where(~language.held_out()))
     found = language.predict(docs, model)
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0)).select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that near-duplicate links join, the one of the smallest id; a link is four fifths of the five-word shingles or more."""
+    """Of each group of documents that near-duplicate links join, the one of the smallest id; a link is four fifths of the five-word shingles or more. Texts without words stay."""
     return jaccard.one_of_each(docs, percent=80, size=5).select(*COLUMNS)
 
 
@@ -57,7 +66,7 @@ STAGES = [
     ("tokens", encode),
 ]
 
-#: Kernel machines, suffix arrays and byte-pair merges aren't SQL; the stages are tested against brute force.
+#: Kernel machines, suffix arrays and byte-pair merges aren't SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 

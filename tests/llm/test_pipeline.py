@@ -68,3 +68,115 @@ def test_near_duplicates_whole_rows_against_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = P.keep_one_of_each(spark, df, SF).collect()
     assert sorted(map(tuple, got), key=lambda r: r[0]) == [r for r in rows if up[r[0]] == r[0]]
+
+
+def stage(name):
+    return dict(P.STAGES)[name]
+
+
+def frame(spark, docs):
+    rows = [(i, t, "en", f"s{i}", len(t or ""), 7, "c") for i, t in docs]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, chunk int, raw string")
+
+
+def test_languages_against_plain_predictions(spark):
+    from quartzite.llm import language as L
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = L.fit(docs.where(~L.held_out()))
+    grams, kept = L.Grams(model.alphabet), set()
+    for r in docs.collect():
+        langs, scores = model.predict([r.text], grams)  # one text at a time, on the driver
+        if langs[0] != "und" and scores[0] > 0:
+            kept.add(r.doc_id)
+    assert {r.doc_id for r in stage("language")(spark, docs, SF).collect()} == kept and kept
+
+
+def test_repeated_passages_whole_rows_against_brute_force(spark):
+    from tests.llm.test_substrings import made
+
+    docs = [(i, t) for i, t in made() if i < 170]
+    first, expected = {}, []
+    for i, t in docs:
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            first[b[k : k + 50]] = min(i, first.get(b[k : k + 50], i))
+    for i, t in docs:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        at, out = 0, []
+        for c in t or "":
+            n = len(c.encode())
+            if not all(gone[at : at + n]):
+                out.append(c)
+            at += n
+        text = None if t is None else "".join(out)
+        expected.append((i, text, "en", f"s{i}", len(text or "")))
+    got = sorted(map(tuple, stage("repeated_passages")(spark, frame(spark, docs), SF).collect()))
+    assert got == sorted(expected) and any(a[1] != b[1] for a, b in zip(sorted(docs), sorted(expected), strict=True))
+
+
+def test_benchmark_passages_whole_rows_against_brute_force(spark):
+    import re
+
+    word, rng = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"), random.Random(3)
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = set()
+    for t in items:
+        w = ["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in word.findall(t or "")]
+        n = min(10, len(w))
+        windows |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+    docs, expected = [(0, None), (1, ""), (2, "Nothing of it, here.")], []
+    for i in range(3, 60):
+        t = rng.choice(items) or ""
+        spots = [m.start() for m in word.finditer(t)] or [0]
+        a = rng.choice(spots)
+        docs.append((i, f"Before it, é {i}: " + t[a : a + rng.randint(10, 400)].upper() + rng.choice(["! After.", "", " and so on"])))
+    for i, t in docs:
+        found = [*word.finditer(t or "")]
+        w = ["".join(c.lower() if "A" <= c <= "Z" else c for c in m[0]) for m in found]
+        hit = [False] * len(w)
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit[k : k + n] = [True] * n
+        out, at, k = [], 0, 0
+        while k < len(w):
+            e = k
+            while e < len(w) and hit[e]:
+                e += 1
+            if e > k:
+                out.append(t[at : found[k].start()])
+                at = found[e - 1].end()
+            k = max(e, k + 1)
+        text = None if t is None else "".join(out) + t[at:]
+        expected.append((i, text, "en", f"s{i}", len(text or "")))
+    assert sorted(map(tuple, stage("benchmark")(spark, frame(spark, docs), SF).collect())) == expected
+    assert sum(a[1] != b[1] for a, b in zip(docs, expected, strict=True)) > 10
+
+
+def test_tokens_against_the_library(spark):
+    import hashlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from quartzite.llm.queries import vocabulary
+
+    library, docs = Tokenizer.from_file(vocabulary()), [(0, None), (1, ""), (2, "Some text, and more."), (2, "Some text, and more."), (3, "né \u0558 x" * 50)]
+    expected = []
+    for i, t in docs:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        expected.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(map(tuple, stage("tokens")(spark, frame(spark, docs), SF).collect())) == sorted(expected)
+
+
+def test_stages_on_no_rows(spark):
+    none = frame(spark, near_copies()).limit(0)
+    for name, f in P.STAGES[:-1]:
+        got = f(spark, none, SF)
+        assert got.columns == list(P.COLUMNS) and got.count() == 0, name
+    assert stage("tokens")(spark, none, SF).count() == 0
