@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a task holds as Python objects at a time.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 #: Rows of an Arrow batch between the JVM and Python; long texts make a batch of more rows large.
 ROWS_PER_BATCH = 1_000
 
@@ -50,7 +50,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder: its lineage ends there, and a lost executor costs nothing but a reread."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table that written() gave, when all that is made of it is a table of its own."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartzite.llm.common import components, give_back, row_groups, small_batches, written
+from quartzite.llm.common import components, discard, give_back, row_groups, small_batches, written
 
 #: Largest group of documents with one shingle of which pairs are rows.
 GROUP = 32
 #: A shingle that more than GROUP and more than one in COMMON documents have goes to the end of every order; so there are at
 #: most COMMON times a mean prefix's length of them, about ten megabytes at any size of the corpus. They are counted in
 #: prefixes STRETCH times as long, as what goes to the end makes room for others.
-COMMON, STRETCH = 20_000, 1.5
+COMMON, STRETCH = 20_000, 1.25
 #: Orders, the first one included.
 ORDERS = 3
 #: Documents and shingles of a block of a unit, at most about; documents that all blocks of a unit have.
@@ -306,9 +306,11 @@ def _candidates(classes: DataFrame, docs: DataFrame, common: np.ndarray, percent
     plain = ["n", "p", "late0", "last0"]
     marks = classes.select("id", "n", F.size("tokens0").alias("p"), "late0", "last0").join(shared.groupBy("id").agg(F.count(F.lit(1)).alias("s")), "id")
     marks = marks.where(F.col("s") >= _shared_least(F.ceil(F.col("n") * percent / 100))).select("id", *plain)
-    rows = written(shared.join(marks, "id"), "rows")
-    groups = rows.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("least")).where("c > 1")
-    rows = written(rows.join(groups, "t"), "grouped")
+    known = written(shared.join(marks, "id"), "rows")
+    discard(shared)
+    groups = known.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("least")).where("c > 1")
+    rows = written(known.join(groups, "t"), "grouped")
+    discard(known)
     # a pair that shares a shingle of a large group is in one unit by ties; any other shares enough in small groups
     few = rows.where(F.col("c") <= GROUP).select("t", "id", *plain)
     pairs = few.join(few.select("t", *_other("id", *plain)), "t").where((F.col("id") < F.col("yid")) & _sizes_fit(percent))
@@ -378,8 +380,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = ["n", "f1", "f2"]
     classes = every.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("id"), F.first(F.struct(*_columns([0]))).alias("x")).select("id", *same, "x.*")
     classes = written(classes, "classes")
+    ids = written(every.select("id", *same), "ids")
+    discard(every)
     links = _links(classes, known, common, percent, size, block_docs)
-    ids = every.select("id", *same).join(classes.select(*same, F.col("id").alias("rep")), same, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"))
+    ids = ids.join(classes.select(*same, F.col("id").alias("rep")), same, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"))
     # a class's smallest id stands for it; rows of one id may be in several classes, which then belong together
     more = ids.where("rep is not null").groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     if not more.isEmpty():
