@@ -1,7 +1,8 @@
 """Nearest neighbours by inner product with additive quantisation.
 
 A vector's direction is written as a sum of one codeword from each of several full-dimensional codebooks; codebooks are
-learned on residuals and refitted together on a bounded sample, and every vector is encoded by a beam search over them.
+learned on residuals and refitted together on a bounded sample, then as many more on what those leave; every vector is
+encoded by a beam search over all of them.
 The index keeps the code and one stored norm that scales the sum back to the vector. A query's table of products with
 all codewords scores an entry by as many look-ups as there are codebooks; the best entries are reranked by the exact
 product of the original vectors.
@@ -21,14 +22,14 @@ from pyspark.sql.window import Window
 
 from quartzite.llm.common import partitions, written
 
-#: The fit: sampled vectors, codebooks of at most 256 words, rounds of joint refitting, width of the beam.
-SAMPLE, BOOKS, WORDS, ROUNDS, BEAM = 8_000, 16, 256, 1, 4
+#: The fit: sampled vectors, codebooks of at most 256 words that are refitted together, further ones, rounds of refitting, width of the beam.
+SAMPLE, BOOKS, MORE, WORDS, ROUNDS, BEAM = 8_000, 16, 16, 256, 1, 4
 #: Entries that a query reranks, and the numbers of queries and entries scored at a time.
 RERANK, QUERIES, ENTRIES = 512, 256, 8_192
 
 
 class AdditiveQuantiser:
-    def __init__(self, sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROUNDS, beam: int = BEAM, seed: int = 1):
+    def __init__(self, sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROUNDS, beam: int = BEAM, seed: int = 1, more: int = MORE):
         rng = np.random.default_rng(seed)
         self.beam = beam
         words = max(1, min(words, len(sample) // 4 or 1))
@@ -50,6 +51,11 @@ class AdditiveQuantiser:
             gram = gram.reshape(n, n)
             solved = np.linalg.solve(gram + 1e-2 * np.eye(n), right + 1e-2 * self.books.reshape(n, -1))
             self.books = solved.reshape(self.books.shape).astype(np.float32)
+        left, found = sample - self.sums(self.encode(sample)), [self.books]
+        for _ in range(more):
+            found.append(self._means(left, words, rng)[None].astype(np.float32))
+            left = left - found[-1][0][self._nearest(left, found[-1][0])]
+        self.books = np.concatenate(found)
 
     @staticmethod
     def _nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:

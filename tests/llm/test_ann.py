@@ -30,6 +30,23 @@ def test_recall_ties_and_unusable_vectors(spark):
     assert [i for i, _ in found[100]][:2] == [50, 101]  # copies, by id, without the query itself
 
 
+def test_recall_with_production_parameters(spark):
+    """Vectors without clusters, and thousands that lie close together: more than are reranked."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(9_000, 32))
+    x[4_000:] = x[0] + 0.15 * rng.normal(size=(5_000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(df, df.where("vec_id % 300 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, got in found.items():
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        hits += len(got & {*np.argsort(-exact)[:20].tolist()})
+    assert len(found) == 30 and hits / (20 * 30) > 0.95
+
+
 def test_few_and_no_rows(spark):
     _, df = table(spark, 500)
     few = df.where("vec_id < 5")
@@ -47,7 +64,9 @@ def test_the_tables_dimension_counts_not_that_of_the_queries(spark):
 def test_code_of_a_vector_hangs_on_it_alone():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 8)).astype(np.float32)
-    model = ann.AdditiveQuantiser(x, books=3, words=32, beam=4)
+    model = ann.AdditiveQuantiser(x, books=3, words=32, beam=4, more=0)
+    finer = ann.AdditiveQuantiser(x, books=3, words=32, beam=4, more=3)
+    assert ((x - finer.sums(finer.encode(x))) ** 2).sum() < 0.5 * ((x - model.sums(model.encode(x))) ** 2).sum()
     codes = model.encode(x)
     assert ((x - model.sums(codes)) ** 2).sum() < 0.5 * (x**2).sum()
     assert (model.encode(x[:7]) == codes[:7]).mean() > 0.9
