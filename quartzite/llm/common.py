@@ -77,28 +77,29 @@ def _stage() -> int | None:
     return task.stageId() if task else None
 
 
-def stage_state(key: tuple, make: Callable):
-    """What make() gives, made once for each Python worker and stage: a worker holds one such thing, not those of stages before."""
-    name = (_stage(), key)
-    if _kept.get("name") != name:
-        _kept.clear()
-        _kept.update(name=name, value=make())
-    return _kept["value"]
-
-
-def give_back() -> None:
-    """Ends a task in a Python worker that others will use: drops what an earlier stage kept, and returns free memory to the system."""
-    if _kept and _kept["name"][0] != _stage():
-        _kept.clear()
+def begin_task() -> None:
+    """To be called when a task begins. In the first of a stage in a Python worker, what earlier stages kept there is dropped, and free memory goes back to the system."""
+    stage = _stage()
+    if _kept.get("stage", "") == stage:
+        return
+    _kept.clear()
+    _kept["stage"] = stage
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
 
 
+def stage_state(key: tuple, make: Callable):
+    """What make() gives, made once for each Python worker and stage: a worker holds one such thing, not those of stages before."""
+    begin_task()
+    if _kept.get("key") != key:
+        _kept.update(key=key, value=make())
+    return _kept["value"]
+
+
 def row_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches of about GROUP_CHARS characters, with the column's values; longer single values stand alone."""
-    if _kept and _kept["name"][0] != _stage():
-        _kept.clear()
+    begin_task()
     for batch in batches:
         col = batch.column(column)
         start, held, values = 0, 0, []
@@ -112,7 +113,6 @@ def row_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple
             held += n
         if values:
             yield batch.slice(start, len(values)), values
-    give_back()
 
 
 def sha256(data: bytes) -> str:

@@ -23,7 +23,6 @@ documents are dealt to them once and that exchange serves all three steps.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzite.llm.collection_bwt import smallest_owner
-from quartzite.llm.common import give_back, partitions, sha256, shared_dir
+from quartzite.llm.common import begin_task, partitions, sha256, shared_dir
 
 WINDOW, ANCHOR, RUN = 50, 24, 64
 #: Bytes of text in a chunk, about; and of what is hashed at a time.
@@ -159,6 +158,7 @@ class PrefixHash:
 
 def _parts(docs: pa.Table) -> Iterator[tuple[int, list[bytes], np.ndarray, bytes, np.ndarray]]:
     """Documents of a chunk, PART bytes at a time: number of the first, texts, ids, all bytes, where each begins."""
+    begin_task()
     text, ids = docs.column("raw"), docs.column("id")
     held, size, first = [], 0, 0
     for k in range(docs.num_rows):
@@ -372,23 +372,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "kept_sha256": pa.array([sha256(k) for k in kept], pa.string()),
         })
 
-    def lean(step):
-        """step, after which free memory goes back to the system."""
-        if len(signature(step).parameters) == 2:
-            return lambda left, right: (step(left, right), give_back())[0]
-        return lambda table: (step(table), give_back())[0]
-
     names = docs.columns
     rest = [c for c in names if c != text_col]
-    sent = dealt.groupBy("chunk").applyInArrow(lean(anchors), "bucket int, chunk int, once binary, twice binary")
-    told = sent.groupBy("bucket").applyInArrow(lean(answered), "chunk int, bucket int, repeated binary")
-    held = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lean(strings), "bucket int, chunk int, anchors binary, sizes binary, low binary, high binary, texts binary")
-    owned = held.groupBy("bucket").applyInArrow(lean(owners), "chunk int, keys binary, begin binary, end binary, owner binary")
+    sent = dealt.groupBy("chunk").applyInArrow(anchors, "bucket int, chunk int, once binary, twice binary")
+    told = sent.groupBy("bucket").applyInArrow(answered, "chunk int, bucket int, repeated binary")
+    held = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(strings, "bucket int, chunk int, anchors binary, sizes binary, low binary, high binary, texts binary")
+    owned = held.groupBy("bucket").applyInArrow(owners, "chunk int, keys binary, begin binary, end binary, owner binary")
     if cut:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     else:
         schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return dealt.groupBy("chunk").cogroup(owned.groupBy("chunk")).applyInArrow(lean(applied), schema)
+    return dealt.groupBy("chunk").cogroup(owned.groupBy("chunk")).applyInArrow(applied, schema)
 
 
 def _keys(strings: list[bytes]) -> np.ndarray:
