@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartzite.functions.exprs import ladder, newest, oldest, share, utc_day
-from quartzite.functions.stats import count_where, gated, median_where, once, ordered_values, reasons, sample_label, side, uniform
+from quartzite.functions.stats import count_where, distinct_where, gated, median_where, once, ordered_values, reasons, sample_label, side, uniform
 from quartzite.operators import filters as E
 from quartzite.operators.temporal import LOCALE, daily_last, latest_per, number_sides
 from quartzite.plans.reviews import as_of_day_end, last_scores
