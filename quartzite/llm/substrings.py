@@ -17,7 +17,9 @@ collections are small and independent:
 
 A chunk sends an anchor or a string once, however often its documents have it, so a passage that a third of all
 documents hold costs each bucket one row for each chunk. Chunks are hash buckets of the id, of about CHUNK bytes; the
-documents are dealt to them once and that exchange serves all three steps.
+documents are dealt to them once and that exchange serves all three steps. A chunk sends a row to each bucket that it has
+something for: as many as there are buckets, and never more than it has anchors. Strings are told apart, and found again,
+by 64-bit hashes among those of one chunk only; in a bucket they are compared byte by byte.
 """
 
 from __future__ import annotations
