@@ -193,6 +193,13 @@ def state_of_reviews(t: Bound) -> DataFrame:
     return ingest.current_reviews(seen).select("application_id", "external_review_id", "score", "content", "first_observed_at", "last_observed_at")
 
 
+def expanded(t: Bound) -> DataFrame:
+    """Log lines as text, some of them no JSON, with the service as a label."""
+    line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.lit("inner").alias("service"), F.col("event_type").alias("event"), F.concat(F.lit("m "), "k").alias("message"), F.when(F.col("k") % 3 == 0, F.col("value")).alias("duration_seconds")))
+    raw = t["ev"].select("event_id", F.concat(F.lit("svc"), F.col("user_id") % 7).alias("service"), F.when(F.col("k") % 13 == 0, F.concat(F.lit("plain "), "k")).otherwise(line).alias("line"))
+    return dashboards.expand_logs(raw, labels=("service",)).select("event_id", "timestamp", "service", "event", "message", "duration_seconds")
+
+
 def claimed(t: Bound) -> DataFrame:
     from quartzite.catalog import ingested
 
@@ -226,5 +233,5 @@ RULES: dict[str, Callable[[Bound], DataFrame]] = {
     "dq_cohort_ids": lambda t: quality.with_cohorts(t["faulty_manifest"]).select("capture_id", "file_cohort_id", "comparison_cohort_id"), "dq_default_windows": default_windows, "dq_release_rules": lambda t: quality.check_releases(quality.default_windows(t["faulty_releases"])),
     "dq_release_overlaps": lambda t: quality.check_overlaps(quality.default_windows(t["faulty_releases"])), "dq_gates": gates, "dq_optional_columns": without_sentiment, "dq_fingerprint": fingerprinted,
     "str_consistent": consistent, "str_match_ready": ready, "str_claimable": lambda t: ingest.claimable(t["lifecycle"], now(), 86_400).select("id", "status"), "str_retryable": lambda t: ingest.retryable(t["lifecycle"]).select("id"), "str_reconcile": reconciled, "str_append_observations": appended,
-    "dsh_ledger": claimed, "dq_analysis_results": analyses, "str_current_reviews": state_of_reviews,
+    "dsh_ledger": claimed, "dq_analysis_results": analyses, "log_expanded": expanded, "str_current_reviews": state_of_reviews,
 }

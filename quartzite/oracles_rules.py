@@ -89,6 +89,8 @@ SQL: dict[str, str] = {
     "dq_release_overlaps": f"""WITH {WINDOWED} SELECT release_event_id AS record, 'overlap' AS rule, 'analysis windows overlap' AS message FROM (SELECT *, max(followup_end) OVER (PARTITION BY application_package ORDER BY baseline_start, followup_end, release_event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest
  FROM w WHERE baseline_start IS NOT NULL AND followup_end IS NOT NULL) WHERE latest >= baseline_start""",
     "dq_analysis_results": f"WITH {SPOILED} {broken('s', 'capture_id', ANALYSES)}",
+    "log_expanded": """SELECT event_id, CASE WHEN k % 13 <> 0 THEN ts END AS timestamp, 'svc' || CAST(user_id % 7 AS VARCHAR) AS service, CASE WHEN k % 13 <> 0 THEN event_type END AS event, CASE WHEN k % 13 = 0 THEN 'plain ' ELSE 'm ' END || CAST(k AS VARCHAR) AS message,
+ CASE WHEN k % 13 <> 0 AND k % 3 = 0 THEN value END AS duration_seconds FROM {ev}""",
     "dq_gates": "SELECT unnest(['base', 'network', 'experiment', 'release', 'sentiment']) AS capability, unnest([TRUE, network_state NOT IN ('NETWORK_SCHEMA_MISSING', 'NETWORK_GRANTS_MISSING'), experiment_state = 'VERIFIED_EXPERIMENT_AVAILABLE', release_state = 'RELEASE_METADATA_AVAILABLE', sentiment_state = 'SENTIMENT_DATA_AVAILABLE']) AS enabled FROM {capabilities}",
     "dq_optional_columns": "SELECT crawl_task_id, review_id, CAST(NULL AS VARCHAR) AS sentiment_status, CAST(NULL AS VARCHAR) AS sentiment_label, CAST(NULL AS VARCHAR) AS sentiment_language FROM {review_observations}",
     "dq_fingerprint": """SELECT sha256(string_agg(sha256('{{"new_version":"' || new_version || '","previous_version":"' || previous_version || '","release_event_id":"' || release_event_id || '"}}'), chr(10) ORDER BY release_event_id)) AS fingerprint FROM {release_manifest}""",

@@ -11,6 +11,8 @@ from quartzite.functions.exprs import label, seconds_between, utc_day
 from quartzite.operators.filters import opt, time_range
 from quartzite.operators.temporal import running_total
 from quartzite.plans.store import Tables
+from quartzite.sources.readers import LOG
+
 
 def _n():
     return F.count(F.lit(1))
@@ -212,6 +214,16 @@ def recent_logs(logs: DataFrame, service: str = ".*", level: str = ".*", n: int
     return newest(logs.where(F.col("service").rlike(f"^(?:{service})$") & F.col("level").rlike(f"^(?:{level})$")), "timestamp", n)
 
 
+def expand_logs(lines: DataFrame, text: str = "line", labels: tuple[str, ...] = ()) -> DataFrame:
+    """LOG-03: raw log lines with the fields of their JSON as columns; of a line that is no JSON the whole text is the message. Labels (columns of lines) win over fields of their name."""
+    d = lines.withColumn("_j", F.from_json(text, LOG))
+    names = [c.split(" ")[0] for c in LOG.split(", ")]
+    broken = F.try_parse_json(F.col(text)).isNull()
+    found = {c: F.coalesce(F.col(c), F.col(f"_j.{c}")) if c in labels else F.col(f"_j.{c}") for c in names}
+    found["message"] = F.when(broken, F.col(text)).otherwise(found["message"])
+    return d.select(*(c for c in lines.columns if c not in (text, *names)), *(v.alias(c) for c, v in found.items()))
+
+
 def log_labels(logs: DataFrame) -> DataFrame:
     """LOG-04."""
     return logs.select("service", "level").distinct()

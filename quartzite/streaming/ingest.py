@@ -65,6 +65,8 @@ CONTRACTS: dict[str, tuple[str, str]] = {
 #: The tables of event types that aren't named as their table is.
 TABLES = {"playstore.app_stats.collected": "app_stats_collected", "playstore.review.observed": "review_observed", "network.capture.ready": "network_capture_ready", _ANALYSIS: "network_analysis_collected"}
 OPTIONAL = {"store_updated_on", "version"}
+#: Text fields that may be blank.
+BLANK = {"author_name", "content", "version"}
 #: The reasons for which an event isn't taken, in the order in which they are looked for.
 REASONS = ("missing_value", "invalid_json", "invalid_envelope", "unsupported_event_type", "unsupported_schema_version", "topic_event_mismatch", "invalid_envelope_or_payload", "missing_key", "invalid_utf8_key", "application_key_mismatch")
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -125,7 +127,7 @@ def _payload_ok(event_type: str, schema: str) -> Column:
         text = get(name)
         raw = F.schema_of_variant(get(name, "variant"))
         good = {
-            "string": (raw == "STRING") & (F.trim(text) != ""), "bigint": raw == "BIGINT", "int": raw == "BIGINT", "boolean": raw == "BOOLEAN", "double": raw.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"),
+            "string": (raw == "STRING") & ((F.trim(text) != "") | F.lit(name in BLANK)), "bigint": raw == "BIGINT", "int": raw == "BIGINT", "boolean": raw == "BOOLEAN", "double": raw.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"),
             "timestamp": (raw == "STRING") & text.rlike(AWARE), "date": (raw == "STRING") & text.try_cast("date").isNotNull(),
         }[kind]
         good = F.coalesce(good, F.lit(False))

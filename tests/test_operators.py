@@ -251,7 +251,7 @@ def test_event_types_and_topics_of_the_wire(spark, tmp_path):
     sent = [
         ("playstore.app_stats.collected", "playstore.app-stats.v1", stats), ("playstore.review.observed", "playstore.review-observed.v1", review), ("network.capture.ready", "network.capture-ready.v1", ready),
         (kind, topic, analysis()), (kind, topic, short), (kind, "captures", analysis()), (kind, topic, lost), (kind, topic, analysis(ip={"ip_fragment_rate": 2})), (kind, topic, analysis(dns={"dns_query_count": -1})),
-        (kind, topic, analysis(flow=None)), (kind, topic, analysis(udp={"more": 1})), (kind, topic, analysis(scenario="other")), (kind, topic, analysis(traffic={"network_bytes_total": "5"})),
+        ("playstore.review.observed", "playstore.review-observed.v1", review | {"author_name": "", "content": " "}), ("playstore.app_stats.collected", "playstore.app-stats.v1", stats | {"version": ""}), (kind, topic, analysis(flow=None)), (kind, topic, analysis(udp={"more": 1})), (kind, topic, analysis(scenario="other")), (kind, topic, analysis(traffic={"network_bytes_total": "5"})),
     ]
     rows = [(app, json.dumps({"event_id": f"00000000-0000-4000-8000-{k:012d}", "event_type": e, "schema_version": 1, "occurred_at": at, "payload": p}), t, 0, k) for k, (e, t, p) in enumerate(sent)]
     schema, root = "key string, value string, topic string, partition int, offset long", str(tmp_path / "out")
@@ -259,11 +259,11 @@ def test_event_types_and_topics_of_the_wire(spark, tmp_path):
     stream = spark.readStream.schema(schema).json(f"{tmp_path}/in/*").withColumns({c: F.col(c).cast("binary") for c in ("key", "value")})
     I.run_ingest(stream, root, str(tmp_path / "ck")).awaitTermination()
     bad = {r.offset: r.reason for r in spark.read.parquet(f"{root}/quarantine").collect()}
-    assert bad == {5: "topic_event_mismatch"} | dict.fromkeys(range(6, 13), "invalid_envelope_or_payload")
+    assert bad == {5: "topic_event_mismatch"} | dict.fromkeys([6, 7, 8, 11, 12, 13, 14], "invalid_envelope_or_payload")
     wide = {r.offset: r for r in spark.read.parquet(f"{root}/network_analysis_collected").collect()}
     assert sorted(wide) == [3, 4] and wide[3].flow_count == 3 and wide[3].tcp_reset_count is None and wide[3].quic_versions_seen == ["x"]
     assert wide[4].source_analyzer == "tshark" and wide[4].analysis_warnings == []
-    assert [spark.read.parquet(f"{root}/{t}").count() for t in ("app_stats_collected", "review_observed", "network_capture_ready", "ledger")] == [1, 1, 1, 5]
+    assert [spark.read.parquet(f"{root}/{t}").count() for t in ("app_stats_collected", "review_observed", "network_capture_ready", "ledger")] == [2, 2, 1, 7]
     assert spark.read.parquet(f"{root}/network_capture_ready").first().capture_sha256 == "1" * 64
 
 
