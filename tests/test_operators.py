@@ -36,14 +36,21 @@ def metrics(spark, rows, scenario="upload", size=100, **options):
     return P.capture_metrics(spark.createDataFrame(rows, PACKET), captures, **options).first()
 
 
+#: An upload of seven packets, and what the metrics of it must be.
+SEVEN = [
+    packet(1, 0.0, tcp_syn=True), packet(2, 0.1, "rx", tcp_syn=True, tcp_ack=True, tcp_initial_rtt_seconds=0.1), packet(3, 0.2, tcp_ack=True, tcp_ack_rtt_seconds=0.05), packet(4, 1.0, l4_payload_bytes=100),
+    packet(5, 1.2, "rx", tcp_zero_window=True, tcp_window_size=0), packet(6, 1.5, "rx", tcp_window_size=4096), packet(7, 2.0, l4_payload_bytes=50, tcp_retransmission=True, tcp_fast_retransmission=True, tcp_out_of_order=True),
+]
+OF_SEVEN = {
+    "comparison_ready": True, "tcp_rtt_available": True, "network_bytes_total": 840, "tx_network_bytes": 480, "flow_count": 1, "flows_for_80pct_payload": 1, "top_flow_payload_share": 1, "effective_file_throughput_mbps": 0.0008, "primary_direction_amplification_ratio": 4.8,
+    "total_transfer_amplification_ratio": 8.4, "reverse_path_cost_ratio": 0.75, "tcp_successful_handshake_count": 1, "tcp_initial_rtt_p50_ms": 100, "tcp_ack_rtt_p95_ms": 50, "tcp_retransmission_count": 1, "tcp_recovery_tax": 1 / 3, "tcp_zero_window_duration_ms": 300, "tcp_receiver_stall_ratio": 0.15, "tcp_out_of_order_count": 1,
+}
+
+
 def test_tcp_capture(spark):
-    m = metrics(spark, [
-        packet(1, 0.0, tcp_syn=True), packet(2, 0.1, "rx", tcp_syn=True, tcp_ack=True, tcp_initial_rtt_seconds=0.1), packet(3, 0.2, tcp_ack=True), packet(4, 0.3, tcp_ack=True, l4_payload_bytes=50, tcp_ack_rtt_seconds=0.01),
-        packet(5, 0.4, "rx", tcp_ack=True, tcp_zero_window=True, tcp_window_size=0), packet(6, 0.7, "rx", tcp_ack=True, tcp_window_size=1000), packet(7, 1.3, tcp_ack=True, l4_payload_bytes=50, tcp_retransmission=True),
-    ])
-    assert (m.network_bytes_total, m.total_transfer_amplification_ratio, m.tcp_connection_count, m.tcp_successful_handshake_count) == (840, 8.4, 1, 1)
-    assert math.isclose(m.tcp_zero_window_duration_ms, 300) and math.isclose(m.tcp_initial_rtt_avg_ms, 100) and m.tcp_recovery_tax == 0.5
-    assert math.isclose(m.observed_primary_payload_span_ms, 1000) and m.comparison_ready and m.analysis_warnings == [] and m.quic_versions_seen is None and m.udp_flow_count is None
+    m = metrics(spark, SEVEN)
+    assert all(math.isclose(m[name], value, rel_tol=1e-9) for name, value in OF_SEVEN.items())
+    assert m.analysis_warnings == [] and m.quic_versions_seen is None and m.udp_flow_count is None and m.dns_query_count is None
 
 
 def test_missing_direction_and_acknowledgement(spark):
