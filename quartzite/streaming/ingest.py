@@ -153,9 +153,12 @@ def classify(messages: DataFrame, contracts: dict[str, tuple[str, str]] = CONTRA
     top = F.col("_top")
     topic = F.lit(None).cast("string")
     good = F.lit(False)
+    alike: dict[tuple[str, str], list[str]] = {}  # event types of one table and schema are checked by the same expression
     for name, (where, schema) in contracts.items():
         topic = F.when(F.col("event_type") == name, where).otherwise(topic)
-        good = F.when(F.col("event_type") == name, _payload_ok(name, schema)).otherwise(good)
+        alike.setdefault((TABLES.get(name, name), schema), []).append(name)
+    for (_, schema), names in alike.items():
+        good = F.when(F.col("event_type").isin(*names), _payload_ok(names[0], schema)).otherwise(good)
     envelope = F.col("event_id").rlike(UUID) & F.col("occurred_at").rlike(AWARE)
     utf8 = F.is_valid_utf8(F.col("key").cast("string"))
     no = lambda c: ~F.coalesce(c, F.lit(False))
