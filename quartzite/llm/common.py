@@ -78,12 +78,17 @@ def _stage() -> int | None:
 
 
 def begin_task() -> None:
-    """To be called when a task begins. In the first of a stage in a Python worker, what earlier stages kept there is dropped, and free memory goes back to the system."""
+    """To be called when a task begins. In the first of a stage in a Python worker, what earlier stages kept there is dropped."""
     stage = _stage()
     if _kept.get("stage", "") == stage:
         return
     _kept.clear()
     _kept["stage"] = stage
+    give_back()
+
+
+def give_back() -> None:
+    """Returns free memory to the system: a worker that waits for its next task holds little."""
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
@@ -113,6 +118,7 @@ def row_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple
             held += n
         if values:
             yield batch.slice(start, len(values)), values
+    give_back()
 
 
 def sha256(data: bytes) -> str:
