@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartzite.llm.common import components, discard, row_groups, small_batches, written
+from quartzite.llm.common import components, discard, give_back, row_groups, small_batches, written
 
 #: Largest group of documents with one shingle of which pairs are rows.
 GROUP = 32
@@ -290,6 +290,8 @@ def _forests(places: DataFrame, docs: DataFrame, common: np.ndarray, percent: in
                 i, asked, root, sets = zip(*members, strict=True)
                 links = forest(list(sets), sent.value, percent, np.flatnonzero(asked), np.unique(root, return_inverse=True)[1])
                 found += [(i[a], i[b]) for a, b in links if i[a] != i[b]]
+        held.clear()
+        give_back()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return written(docs.join(placed, "id").groupBy("cell").applyInArrow(run, "a bigint, b bigint"), "links")

@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzite.llm.collection_bwt import smallest_owner
-from quartzite.llm.common import begin_task, partitions, sha256, shared_dir
+from quartzite.llm.common import begin_task, give_back, partitions, sha256, shared_dir
 
 WINDOW, ANCHOR, RUN = 50, 24, 64
 #: Bytes of text in a chunk, about; and of what is hashed at a time.
-CHUNK, PART = 10_000_000, 1_000_000
+CHUNK, PART = 10_000_000, 500_000
 #: Bits of an anchor's hash that are told within its bucket (a clash only makes more strings candidates), and strings of a collection, about.
 TOLD, COLLECTION = 36, 4_096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -374,24 +374,30 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "kept_sha256": pa.array([sha256(k) for k in kept], pa.string()),
         })
 
+    def lean(step):
+        """step, after which a worker gives its memory back; what is grouped alone takes one table, what is cogrouped two."""
+        if step in (strings, applied):
+            return lambda left, right: (step(left, right), give_back())[0]
+        return lambda table: (step(table), give_back())[0]
+
     names = docs.columns
     rest = [c for c in names if c != text_col]
-    sent = dealt.groupBy("chunk").applyInArrow(anchors, "bucket int, chunk int, once binary, twice binary")
-    told = sent.groupBy("bucket").applyInArrow(answered, "chunk int, bucket int, repeated binary")
-    held = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(strings, "bucket int, chunk int, anchors binary, sizes binary, low binary, high binary, texts binary")
-    owned = held.groupBy("bucket").applyInArrow(owners, "chunk int, keys binary, begin binary, end binary, owner binary")
+    sent = dealt.groupBy("chunk").applyInArrow(lean(anchors), "bucket int, chunk int, once binary, twice binary")
+    told = sent.groupBy("bucket").applyInArrow(lean(answered), "chunk int, bucket int, repeated binary")
+    held = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lean(strings), "bucket int, chunk int, anchors binary, sizes binary, low binary, high binary, texts binary")
+    owned = held.groupBy("bucket").applyInArrow(lean(owners), "chunk int, keys binary, begin binary, end binary, owner binary")
     if cut:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     else:
         schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return dealt.groupBy("chunk").cogroup(owned.groupBy("chunk")).applyInArrow(applied, schema)
+    return dealt.groupBy("chunk").cogroup(owned.groupBy("chunk")).applyInArrow(lean(applied), schema)
 
 
 def _keys(strings: list[bytes]) -> np.ndarray:
     """PrefixHash of whole strings, some at a time."""
     out = []
-    for k in range(0, len(strings), 20_000):
-        part = strings[k : k + 20_000]
+    for k in range(0, len(strings), 5_000):
+        part = strings[k : k + 5_000]
         size = np.array([len(s) for s in part], np.int64)
         out.append(PrefixHash(b"".join(part)).of(np.concatenate([[0], np.cumsum(size)[:-1]]), size))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
