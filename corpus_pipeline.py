@@ -19,6 +19,8 @@ from quartzite.llm.common import table, written
 from quartzite.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of text that a task of the passages' stage holds: less than op2's own, as executors here also hold what earlier stages left.
+CHUNK = 4_000_000
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 bytes or more that a document of a smaller id has; no document goes."""
-    return _sized(substrings.repeated_spans(docs.select(*COLUMNS), cut=True))
+    return _sized(substrings.repeated_spans(docs.select(*COLUMNS), cut=True, chunk_bytes=CHUNK))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
