@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzite.llm import ann, bpe, compaction, decontaminate, html_text, jaccard, language, substrings, token_counts, token_files
+from quartzite.llm import ann, bpe, compaction, decontaminate, html_text, jaccard, language, substrings, token_counts, token_files, vector_codes
 from quartzite.llm.common import fresh, table
 
 
@@ -66,9 +66,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_token_counts, op4_jaccard_join, op5_language, op6_token_files, op7_nearest, op8_compaction, op9_html_text, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_token_counts, op4_jaccard_join, op5_language, op6_token_files, op7_nearest, op8_compaction, op9_html_text, op10_bpe, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op2_suffix_dedup": substrings.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL, "op8_compaction": OP8_SQL}
+    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op2_suffix_dedup": substrings.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL, "op8_compaction": OP8_SQL, "op13_vector_codes": vector_codes.ORACLE_SQL}
