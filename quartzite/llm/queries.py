@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzite.llm import ann, bpe, compaction, decontaminate, html_text, jaccard, language, prefix_trie, substrings, token_counts, token_files, vector_codes
+from quartzite.llm import ann, bpe, compaction, decontaminate, html_text, jaccard, language, license_scan, prefix_trie, substrings, token_counts, token_files, vector_codes
 from quartzite.llm.common import fresh, table
 
 
@@ -66,6 +66,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -75,8 +79,8 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_token_counts, op4_jaccard_join, op5_language, op6_token_files, op7_nearest, op8_compaction, op9_html_text, op10_bpe, op12_prefix_trie, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_token_counts, op4_jaccard_join, op5_language, op6_token_files, op7_nearest, op8_compaction, op9_html_text, op10_bpe, op11_license_scan, op12_prefix_trie, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op2_suffix_dedup": substrings.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL, "op8_compaction": OP8_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_vector_codes": vector_codes.ORACLE_SQL}
+    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op2_suffix_dedup": substrings.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL, "op8_compaction": OP8_SQL, "op11_license_scan": license_scan.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_vector_codes": vector_codes.ORACLE_SQL}
