@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,19 @@ PACKET_FIELDS = """frame.time_epoch frame.len frame.cap_len frame.packet_flags_d
 MAGIC = {"D4C3B2A1": "pcap", "A1B2C3D4": "pcap", "4D3CB2A1": "pcap", "A1B23C4D": "pcap", "0A0D0D0A": "pcapng"}
 
 
-def read_events(spark: SparkSession, servers: str, topics: Sequence[str], starting: str = "earliest") -> DataFrame:
+def offset_options(topics: Sequence[str], starting: str | dict[str, dict[int, int]] = "earliest", most: int | None = None) -> dict[str, str]:
+    """Options of an event stream: topics, where each partition starts (earliest, latest, or {topic: {partition: offset}}, -2 and -1 being those two), and how many messages a trigger takes at most. Lost messages are an error."""
+    if isinstance(starting, dict):
+        starting = json.dumps({t: {str(p): o for p, o in at.items()} for t, at in starting.items()})
+    elif starting not in ("earliest", "latest"):
+        raise ValueError("a stream starts at earliest, latest, or an offset for each partition")
+    options = {"subscribe": ",".join(topics), "startingOffsets": starting, "failOnDataLoss": "true"}
+    return options | ({"maxOffsetsPerTrigger": str(most)} if most else {})
+
+
+def read_events(spark: SparkSession, servers: str, topics: Sequence[str], starting: str | dict[str, dict[int, int]] = "earliest", most: int | None = None) -> DataFrame:
     """A stream of keyed events of several topics: key, value, topic, partition, offset, timestamp. Offsets live in the checkpoint."""
-    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("startingOffsets", starting).option("failOnDataLoss", "true").load()
+    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).options(**offset_options(topics, starting, most)).load()
 
 
 def allowlisted(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:

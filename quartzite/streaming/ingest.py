@@ -1,24 +1,28 @@
 """Event ingestion with exactly-once effect: classify, quarantine, claim, route, write; progress is the stream's checkpoint.
 
-A micro-batch writes its data under its batch number before the checkpoint moves on. If it fails or runs again, the same
-rows are found claimed, or the same folder is overwritten, so nothing counts twice.
+A micro-batch is a version of its claims. It writes its data and state under that number before the claims, and the
+claims before the checkpoint moves on. If it fails or runs again, it has the same number, begins from the claims and state
+before it, and overwrites what it left, so nothing counts twice.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from quartzite.operators.temporal import latest_per
 from quartzite.sources.sinks import flatten_analysis
+from quartzite.streaming.folders import Folder
+from quartzite.streaming.keyed import Claims, KeyedTable, insert_new
 
 KEYS = ["event_id", "event_type", "occurred_at", "payload", "schema_version"]
 _ANALYSIS = "network.analysis.collected"
-#: The groups of an analysis: fields by kind; a kind with ? may be null, a ratio is in 0 to 1, no number is negative. The last four groups may be null.
+#: Fixed values, as are CONTRACTS below: the groups of an analysis: fields by kind; a kind with ? may be null, a ratio is in 0 to 1, no number is negative. The last four groups may be null.
 ANALYSIS: dict[str, dict[str, str]] = {
     "capture": {"format": "capture_format", "positive": "capture_size_bytes transfer_file_size_bytes", "float": "capture_duration_ms", "int": "packet_count truncated_packet_count analysis_warning_count", "texts": "analysis_warnings"},
     "capabilities": {"bool": "direction_metadata_available payload_plaintext_available handshake_observed tcp_present quic_present other_udp_present tcp_rtt_available quic_initial_rtt_available quic_spin_rtt_available dns_metrics_available comparison_ready"},
@@ -52,7 +56,7 @@ _ANALYSIS_SCHEMA = ", ".join([
 ])
 _APP_STATS = "crawl_task_id string, application_id string, package_name string, collected_at timestamp, min_installs bigint, score double, ratings_count bigint, reviews_count bigint, store_updated_on date, version string, ad_supported boolean, source_adapter string"
 _REVIEW = "crawl_task_id string, application_id string, package_name string, observed_at timestamp, position int, external_review_id string, source_at timestamp, author_name string, thumbs_up_count bigint, score int, content string, source_adapter string"
-#: event type: (topic, payload schema); the events as they are on the wire, then the short names of messages made from the test tables
+#: Event type: (topic, payload schema); the events as they are on the wire, then the short names of messages made from the test tables
 CONTRACTS: dict[str, tuple[str, str]] = {
     "playstore.app_stats.collected": ("playstore.app-stats.v1", _APP_STATS),
     "playstore.review.observed": ("playstore.review-observed.v1", _REVIEW),
@@ -62,21 +66,38 @@ CONTRACTS: dict[str, tuple[str, str]] = {
     "review_observed": ("reviews", _REVIEW),
     "network_capture_ready": ("captures", "capture_id string, application_id string, package_name string, scenario string, capture_format string, capture_sha256 string, capture_size_bytes bigint, transfer_file_size_bytes bigint, object_key string"),
 }
+#: Payload fields of the wire's events that are UUIDs; the ids of the short names are free.
+UUIDS = {
+    "playstore.app_stats.collected": ("crawl_task_id", "application_id"), "playstore.review.observed": ("crawl_task_id", "application_id"),
+    "network.capture.ready": ("capture_id", "analysis_id", "application_id"), _ANALYSIS: ("analysis_id", "capture_id", "application_id"),
+}
 #: The tables of event types that aren't named as their table is.
 TABLES = {"playstore.app_stats.collected": "app_stats_collected", "playstore.review.observed": "review_observed", "network.capture.ready": "network_capture_ready", _ANALYSIS: "network_analysis_collected"}
 OPTIONAL = {"store_updated_on", "version"}
+#: Text fields of the wire's store events of which white space is enough.
+LENIENT = dict.fromkeys(["playstore.app_stats.collected", "playstore.review.observed"], ("package_name", "external_review_id", "source_adapter"))
 #: Text fields that may be blank.
 BLANK = {"author_name", "content", "version"}
 #: The reasons for which an event isn't taken, in the order in which they are looked for.
 REASONS = ("missing_value", "invalid_json", "invalid_envelope", "unsupported_event_type", "unsupported_schema_version", "topic_event_mismatch", "invalid_envelope_or_payload", "missing_key", "invalid_utf8_key", "application_key_mismatch")
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-AWARE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})$"
+AWARE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
 
 
 def _names(schema: str) -> list[str]:
     return [c.split(" ")[0] for c in schema.split(", ")]
 
 
+def _instant(text: Column) -> Column:
+    """A time as it is on the wire, where seconds may be missing."""
+    return F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?=[Z+-])", "$1:00").try_cast("timestamp")
+
+
+def _untimed(schema: str) -> str:
+    """The schema with times as text: from_json doesn't take all that a cast does."""
+    return re.sub(r"(?<= )timestamp(?=,|$)", "string", schema)
+
+
 def same_keys(text: Column, names: list[str]) -> Column:
     """Does a JSON object have exactly these keys?"""
     return F.array_sort(F.json_object_keys(text)) == F.array(*map(F.lit, sorted(names)))
@@ -104,15 +125,15 @@ def _analysis_ok(schema: str) -> Column:
     def ranges(v: Column) -> Column:
         of = lambda *want: F.array(*(v[g][name].cast("double") for g in ANALYSIS for name, kind in _fields_of(g) if kind.rstrip("?") in want))
         ok = (F.array_min(of("int", "float", "ratio")) >= 0) & (F.array_min(of("positive")) > 0) & F.coalesce(F.array_max(of("ratio")) <= 1, F.lit(True))
-        for c in ("analysis_id", "capture_id", "application_id"):
+        for c in UUIDS[_ANALYSIS]:
             ok = ok & v[c].rlike(UUID)
         for c in ("package_name", "analyzer_version", "tshark_version"):
             ok = ok & (F.trim(v[c]) != "")
         ok = ok & v["scenario"].isin("upload", "download") & v["capture"]["capture_format"].isin("pcap", "pcapng") & v["verified_sha256"].rlike("^[0-9a-f]{64}$") & F.coalesce(v["source_analyzer"] == "tshark", F.lit(True))
-        return ok & v["analyzed_at"].isNotNull() & F.coalesce(F.forall(v["capture"]["analysis_warnings"], lambda x: F.trim(x) != ""), F.lit(True))
+        return ok & _instant(v["analyzed_at"]).isNotNull() & F.coalesce(F.forall(v["capture"]["analysis_warnings"], lambda x: F.trim(x) != ""), F.lit(True))
 
     # parsed once, whatever number of fields is looked at
-    return shape & F.get_json_object(p, "$.analyzed_at").rlike(AWARE) & F.transform(F.array(F.from_json(p, schema)), ranges)[0]
+    return shape & F.get_json_object(p, "$.analyzed_at").rlike(AWARE) & F.transform(F.array(F.from_json(p, _untimed(schema))), ranges)[0]
 
 
 def _payload_ok(event_type: str, schema: str) -> Column:
@@ -127,13 +148,15 @@ def _payload_ok(event_type: str, schema: str) -> Column:
         text = get(name)
         raw = F.schema_of_variant(get(name, "variant"))
         good = {
-            "string": (raw == "STRING") & ((F.trim(text) != "") | F.lit(name in BLANK)), "bigint": raw == "BIGINT", "int": raw == "BIGINT", "boolean": raw == "BOOLEAN", "double": raw.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"),
-            "timestamp": (raw == "STRING") & text.rlike(AWARE), "date": (raw == "STRING") & text.try_cast("date").isNotNull(),
+            "string": (raw == "STRING") & ((F.trim(text) != "") | ((text != "") & F.lit(name in LENIENT.get(event_type, ()))) | F.lit(name in BLANK)), "bigint": raw == "BIGINT", "int": raw == "BIGINT", "boolean": raw == "BOOLEAN", "double": raw.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"),
+            "timestamp": (raw == "STRING") & text.rlike(AWARE) & _instant(text).isNotNull(), "date": (raw == "STRING") & text.try_cast("date").isNotNull(),
         }[kind]
         good = F.coalesce(good, F.lit(False))
         ok = ok & ((good | text.isNull()) if name in OPTIONAL else good)
         if kind in ("bigint", "int"):
             ok = ok & F.coalesce(get(name, "bigint") >= 0, F.lit(True))
+    for name in UUIDS.get(event_type, ()):
+        ok = ok & get(name).rlike(UUID)
     number = lambda name: get(name, "double")
     if event_type == "network.capture.ready":
         ok = ok & get("scenario").isin("upload", "download") & get("capture_format").isin("pcap", "pcapng") & get("expected_sha256").rlike("^[0-9a-f]{64}$") & (number("capture_size_bytes") > 0) & (number("transfer_file_size_bytes") > 0)
@@ -153,13 +176,13 @@ def classify(messages: DataFrame, contracts: dict[str, tuple[str, str]] = CONTRA
     top = F.col("_top")
     topic = F.lit(None).cast("string")
     good = F.lit(False)
-    alike: dict[tuple[str, str], list[str]] = {}  # event types of one table and schema are checked by the same expression
+    alike: dict[tuple, list[str]] = {}  # event types of one table, schema and strictness are checked by the same expression
     for name, (where, schema) in contracts.items():
         topic = F.when(F.col("event_type") == name, where).otherwise(topic)
-        alike.setdefault((TABLES.get(name, name), schema), []).append(name)
-    for (_, schema), names in alike.items():
+        alike.setdefault((TABLES.get(name, name), schema, name in UUIDS), []).append(name)
+    for (_, schema, _), names in alike.items():
         good = F.when(F.col("event_type").isin(*names), _payload_ok(names[0], schema)).otherwise(good)
-    envelope = F.col("event_id").rlike(UUID) & F.col("occurred_at").rlike(AWARE)
+    envelope = F.col("event_id").rlike(UUID) & F.col("occurred_at").rlike(AWARE) & _instant(F.col("occurred_at")).isNotNull()
     utf8 = F.is_valid_utf8(F.col("key").cast("string"))
     no = lambda c: ~F.coalesce(c, F.lit(False))
     conditions = [
@@ -188,7 +211,9 @@ def claim(batch: DataFrame, ledger: DataFrame) -> DataFrame:
 def decoded(events: DataFrame, event_type: str, contracts: dict[str, tuple[str, str]] = CONTRACTS) -> DataFrame:
     """The payloads of one event type as typed columns, beside their event's place; an analysis as one wide row."""
     d = events.where(F.col("event_type") == event_type)
-    d = d.select("event_id", "topic", "partition", "offset", F.from_json("payload", contracts[event_type][1]).alias("p")).select("event_id", "topic", "partition", "offset", "p.*")
+    schema = contracts[event_type][1]
+    d = d.select("event_id", "topic", "partition", "offset", F.from_json("payload", _untimed(schema)).alias("p")).select("event_id", "topic", "partition", "offset", "p.*")
+    d = d.withColumns({c: _instant(F.col(c)) for c in re.findall(r"(\w+) timestamp(?:,|$)", schema)})
     if event_type == _ANALYSIS:
         return flatten_analysis(d).withColumns({"source_analyzer": F.coalesce("source_analyzer", F.lit("tshark")), "analysis_warnings": F.coalesce("analysis_warnings", F.array().cast("array<string>"))})
     return d.withColumnRenamed("expected_sha256", "capture_sha256")
@@ -292,40 +317,101 @@ def dedupe_captures(captures: DataFrame) -> DataFrame:
     return d.where("_k = 1").drop("_k")
 
 
+def task_references(tasks: Callable[[], DataFrame], captures: Callable[[], DataFrame] | None = None) -> dict[str, tuple[Callable[[], DataFrame], list[str]]]:
+    """What run_ingest checks as `references`: snapshots and observations belong to a task of their kind and application, analyses to a capture in the same state.
+
+    tasks has id, application_id and task_type; captures id, analysis_id, application_id, package_name, scenario and
+    verified_sha256. Both are asked for anew in each batch.
+    """
+    of = lambda kind: lambda: tasks().where(F.col("task_type") == kind).select(F.col("id").alias("crawl_task_id"), "application_id")
+    out: dict = {"app_stats_collected": (of("app_details"), ["crawl_task_id", "application_id"]), "review_observed": (of("reviews"), ["crawl_task_id", "application_id"])}
+    if captures is not None:
+        out["network_analysis_collected"] = (lambda: captures().withColumnRenamed("id", "capture_id"), ["capture_id", "analysis_id", "application_id", "package_name", "scenario", "verified_sha256"])
+    return out
+
+
+_REVIEW_KEY = ["application_id", "external_review_id"]
+_REVIEW_STATE = "application_id string, external_review_id string, source_at timestamp, author_name string, thumbs_up_count bigint, score int, content string, source_adapter string, first_observed_at timestamp, last_observed_at timestamp"
+
+
+def review_state(spark: SparkSession, root: str) -> KeyedTable:
+    """The reviews as run_ingest has them now: one row each, by upsert_reviews batch after batch."""
+    return KeyedTable(spark, f"{root}/state/reviews", _REVIEW_STATE, _REVIEW_KEY)
+
+
+def observation_state(spark: SparkSession, root: str) -> KeyedTable:
+    """One observation for each task and review, the first that came."""
+    return KeyedTable(spark, f"{root}/state/observations", "crawl_task_id string, application_id string, external_review_id string, observed_at timestamp, position int, score int, thumbs_up_count bigint, content string, source_at timestamp, source_adapter string", ["crawl_task_id", *_REVIEW_KEY])
+
+
+def snapshot_state(spark: SparkSession, root: str) -> KeyedTable:
+    """One snapshot for each task, the first that came."""
+    return KeyedTable(spark, f"{root}/state/snapshots", _APP_STATS, ["crawl_task_id"])
+
+
+def merge_states(spark: SparkSession, root: str, parts: dict[str, DataFrame], version: int) -> None:
+    """Brings the states to a version by what a batch has for them; of equal keys in a batch the first place counts."""
+    place = ["topic", "partition", "offset"]
+
+    def first(rows: DataFrame, table: KeyedTable) -> DataFrame:
+        columns = [c.split(" ")[0] for c in table.schema.split(", ")]
+        return rows.groupBy(*table.keys).agg(F.min_by(F.struct(*(c for c in columns if c not in table.keys)), F.struct(*place)).alias("_r")).select(*table.keys, "_r.*").select(*columns)
+
+    if "review_observed" in parts:
+        rows = parts["review_observed"]
+        review_state(spark, root).merge(rows, version, upsert_reviews)
+        seen = observation_state(spark, root)
+        seen.merge(first(rows, seen), version, lambda b, c: insert_new(b, c, seen.keys))
+    if "app_stats_collected" in parts:
+        snapshots = snapshot_state(spark, root)
+        snapshots.merge(first(parts["app_stats_collected"], snapshots), version, lambda b, c: insert_new(b, c, snapshots.keys))
+
+
+def _adopt_ledger(spark: SparkSession, claims: Claims, path: str, stream_id: str, number: int) -> None:
+    """Claims what a ledger without claims has: all of it for a new checkpoint, else the batches before this one."""
+    known = spark.read.parquet(path)
+    last = known.agg(F.max("batch")).first()[0]
+    if last is None or number == last == 0:
+        return  # the first batch came no further than its ledger, and runs again
+    before = number - 1 if number else last
+    claims.commit(known.where(F.col("batch") <= before), before, stream_id if number else "", before)
+
+
 def run_ingest(
     stream: DataFrame, root: str, checkpoint: str, handlers: dict[str, Callable[[DataFrame], DataFrame]] | None = None, once: bool = True, references: dict[str, tuple[Callable[[], DataFrame], list[str]]] | None = None
 ) -> StreamingQuery:
-    """Runs a stream of messages into tables under root: ledger, quarantine and one for each kind of event (TABLES).
+    """Runs a stream of messages into tables under root: ledger, quarantine, one for each kind of event (TABLES), claims and states.
 
     handlers may turn an event type's typed rows into what is stored, and raise to stop the batch before it is written.
-    references: for a table, what gives the rows that each of its own must have, and the columns on which; a row without
-    one stops the batch, and leaves no claim. Tables only grow; current_reviews() and kept_observations() are the state.
-    Each batch's rows are in a folder of its number, which a rerun overwrites; the ledger's is written last.
+    references: for a table, what gives the rows that each of its own must have, and the columns on which (see
+    task_references); a row without one stops the batch, and leaves no claim. Event tables only grow, and aren't read
+    again: what is known of earlier batches is in claims and in the states (review_state, observation_state,
+    snapshot_state), of which a batch reads and rewrites the buckets that its keys fall in. Each batch's rows are in a
+    folder of its version, which a rerun overwrites. A ledger without claims, of an earlier release, is claimed first.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
+        stream_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        claims, folder = Claims(spark, f"{root}/claims"), Folder(spark, root)
+        if not claims.ids.versions() and folder.exists("ledger"):
+            _adopt_ledger(spark, claims, f"{root}/ledger", stream_id, number)
+        version = claims.version(stream_id, number)
         classified = classify(df).persist()
         try:
             good, bad = split_invalid(classified)
-            ledger_path = f"{root}/ledger"
-            schema = "event_id string, event_type string, topic string, partition int, offset bigint, batch bigint"
-            try:
-                ledger = spark.read.schema(schema).parquet(ledger_path).where(F.col("batch") != number)
-            except Exception as e:  # the first batch: there is no ledger yet
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                ledger = spark.createDataFrame([], schema)
-            fresh = claim(good, ledger).persist()
+            fresh = claims.fresh(good, version).persist()
             by_table = {TABLES.get(name, name): f for name, f in (handlers or {}).items()}
             parts = {name: by_table.get(name, lambda d: d)(part) for name, part in routed(fresh).items()}
             for name, (rows, on) in (references or {}).items():
                 if name in parts:
                     require_consistent(parts[name], rows(), on)
-            bad.drop("payload").write.mode("overwrite").parquet(f"{root}/quarantine/batch={number}")
+            bad.drop("payload").write.mode("overwrite").parquet(f"{root}/quarantine/batch={version}")
             for name, part in parts.items():
-                part.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
-            fresh.select("event_id", "event_type", "topic", "partition", "offset").write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
+                part.write.mode("overwrite").parquet(f"{root}/{name}/batch={version}")
+            merge_states(spark, root, {name: spark.read.parquet(f"{root}/{name}/batch={version}") for name in ("review_observed", "app_stats_collected") if name not in by_table}, version)
+            fresh.select("event_id", "event_type", "schema_version", "topic", "partition", "offset", F.current_timestamp().alias("ingested_at")).write.mode("overwrite").parquet(f"{root}/ledger/batch={version}")
+            claims.commit(fresh, version, stream_id, number)
             fresh.unpersist()
         finally:
             classified.unpersist()
