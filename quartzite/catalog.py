@@ -156,13 +156,15 @@ def bound(make: Callable[[Bound], DataFrame]) -> Callable[[SparkSession, str], D
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from quartzite.catalog_rules import RULES
+    from quartzite.catalog_streams import STREAMS
 
-    return {name: bound(make) for name, make in (QUESTIONS | PANELS | OTHERS | RULES).items()}
+    return {name: bound(make) for name, make in (QUESTIONS | PANELS | OTHERS | RULES | STREAMS).items()}
 
 
 def oracle_sql() -> dict[str, str]:
     from quartzite.oracles import question_sql
     from quartzite.oracles_more import more_sql
     from quartzite.oracles_rules import rules_sql
+    from quartzite.oracles_streams import stream_sql
 
-    return question_sql() | more_sql() | rules_sql()
+    return question_sql() | more_sql() | rules_sql() | stream_sql()

@@ -47,9 +47,10 @@ class KeyedTable:
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, the last by default."""
-        return self._rows(self.manifest(version) if version is not None else self.before())
+        return self.rows_of(self.manifest(version) if version is not None else self.before())
 
-    def _rows(self, manifest: dict, buckets: Sequence[str] | None = None) -> DataFrame:
+    def rows_of(self, manifest: dict, buckets: Sequence[str] | None = None) -> DataFrame:
+        """The rows that a manifest names, of all buckets or some."""
         files = [f for b, (f, _) in manifest["files"].items() if buckets is None or b in buckets]
         return self.spark.read.schema(self.schema).parquet(*files) if files else self.spark.createDataFrame([], self.schema)
 
@@ -63,7 +64,7 @@ class KeyedTable:
     def slice(self, batch: DataFrame, version: int | None = None) -> DataFrame:
         """The rows, as they were before a version, of the buckets that a batch's keys fall in."""
         manifest = self.before(version)
-        return self._rows(manifest, set(self._touched(batch, manifest)))
+        return self.rows_of(manifest, set(self._touched(batch, manifest)))
 
     def merge(self, batch: DataFrame, version: int, how: Callable[[DataFrame, DataFrame], DataFrame], note: dict | None = None) -> None:
         """Commits a version: how(batch, rows of the touched buckets) gives those buckets' new rows.
@@ -81,7 +82,7 @@ class KeyedTable:
         files = dict(kept)
         if touched:
             folder = f"{self.root}/data/{version:012d}-{uuid.uuid4().hex[:8]}"
-            new = how(batch, self._rows(old, set(touched)))
+            new = how(batch, self.rows_of(old, set(touched)))
             new.withColumn("bucket", self._bucket(n)).repartition("bucket").write.partitionBy("bucket").parquet(folder)
             written = self.spark.read.schema(f"{self.schema}, bucket int").parquet(folder)
             files |= {str(r.bucket): (f"{folder}/bucket={r.bucket}", r.n) for r in written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}

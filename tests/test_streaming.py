@@ -166,3 +166,24 @@ def test_ids_and_times_of_wire_events(spark):
     got = I.classify(df)
     assert {r.offset for r in got.where("reason is null").collect()} == {0, 6}
     assert str(I.decoded(got.where("reason is null"), REVIEW).first().observed_at) == "2026-01-01 00:00:00"
+
+
+def test_a_panel_on_a_stream_is_the_batch_panel_of_what_was_in_time(spark, tmp_path):
+    import datetime
+
+    from quartzite.streaming import windows as W
+
+    schema, start = "timestamp timestamp, level string, service string", datetime.datetime(2024, 1, 1)
+    root, panel = f"file://{tmp_path}/out", W.log_level_panel("1 hour", "30 minutes")
+    at = lambda minutes, level="error": (start + datetime.timedelta(minutes=minutes), level, "s")
+    batches = [[at(5), at(50), at(70)], [at(58, "warning"), at(40, "error"), at(200), (None, "error", "s")], [at(30), at(150), at(400)]]
+    for b, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/in/{b}")
+        stream = spark.readStream.schema(schema).json(f"{tmp_path}/in/*")
+        W.run_panel(stream, panel, root, f"file://{tmp_path}/ck").awaitTermination()
+    got = sorted((r.window_start.hour, r.level, r.records) for r in W.closed_windows(spark, panel, root).collect())
+    # 70 minutes less 30 closes nothing, so 58 and 40 are in time; then 30 is late, and 150 isn't, as its window ends after 200 less 30
+    assert got == [(0, "error", 3), (0, "warning", 1), (1, "error", 1), (2, "error", 1), (3, "error", 1)]
+    assert sorted((r.timestamp - start).total_seconds() / 60 if r.timestamp else -1 for r in W.late_rows(spark, root).collect()) == [-1, 30]
+    W.advance(spark.createDataFrame(batches[2], schema), panel, root, "other", 0)  # all of it is late now, but the newest window
+    assert sorted((r.window_start.hour, r.level, r.records) for r in W.closed_windows(spark, panel, root).collect()) == got
