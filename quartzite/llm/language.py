@@ -10,7 +10,6 @@ kernel x weights.
 from __future__ import annotations
 
 import functools
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +20,10 @@ from pyspark.sql.window import Window
 
 from quartzite.llm.common import row_groups, small_batches
 
-#: Bounds of the fit: labelled texts in all, of them landmarks, and letters told apart.
-SAMPLE, LANDMARKS, LETTERS = 1600, 256, 62
+#: Bounds of the fit: labelled texts in all, of them landmarks, and n-grams of all landmarks together (beyond a landmark for each language).
+SAMPLE, LANDMARKS, GRAMS = 1600, 256, 200_000
+#: Characters of a text that are turned to n-grams at a time, and flags for the n-grams that its letters could make.
+PIECE, FLAGS = 1_000_000, 1 << 22
 RIDGE = 1e-3
 UNKNOWN = "und"
 
@@ -34,29 +35,55 @@ def _letters() -> np.ndarray:
 
 
 class Grams:
-    """Presence of letter n-grams, n = 1 to 3, over an alphabet of classes: 0 for what is no letter, 1 for rare letters."""
+    """Presence of letter n-grams, n = 1 to 3, over an alphabet of classes: 0 for what is no letter, 1 for letters outside the alphabet.
+
+    An n-gram is a number: its classes as digits, behind all shorter ones.
+    """
 
     def __init__(self, alphabet: str):
         self.size = len(alphabet) + 2
-        self.classes = _letters().copy()
+        self.classes = _letters().astype(np.int32)
         for k, c in enumerate(alphabet):
             self.classes[ord(c)] = k + 2
         self.width = self.size + self.size**2 + self.size**3
 
+    def codes(self, text: str) -> np.ndarray:
+        """A text's distinct n-grams, ascending; none if it has no letter. What is all outside letters says nothing and isn't one."""
+        c = self.classes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+        flags = np.zeros(self.size, bool)
+        flags[c] = True
+        here = np.flatnonzero(flags)
+        if not here.any():
+            return np.zeros(0, np.int64)
+        # numbers over the text's own classes are small: flags for all that there could be
+        n, m = self.size, len(here)
+        digit = np.zeros(n, np.int32)
+        digit[here] = np.arange(m, dtype=np.int32)
+        if m**3 <= FLAGS:
+            twos, threes = np.zeros(m * m, bool), np.zeros(m**3, bool)
+            for k in range(0, len(c), PIECE):
+                d = digit[c[k : k + PIECE + 2]]
+                two = d[:-1] * m + d[1:]
+                twos[two] = True
+                threes[two[:-1] * m + d[2:]] = True
+            twos, threes = np.flatnonzero(twos), np.flatnonzero(threes)
+        else:
+            found: list[list[np.ndarray]] = [[], []]
+            for k in range(0, len(c), PIECE):
+                d = digit[c[k : k + PIECE + 2]].astype(np.int64)
+                two = d[:-1] * m + d[1:]
+                found[0].append(np.unique(two))
+                found[1].append(np.unique(two[:-1] * m + d[2:]))
+            twos, threes = (np.unique(np.concatenate(f)) for f in found)
+        a, b = np.divmod(threes, m)
+        twos, threes = here[twos // m] * n + here[twos % m], (here[a // m] * n + here[a % m]) * n + here[b]
+        return np.concatenate([here[here > 0], twos[twos > 0] + n, threes[threes > 0] + n + n * n])
+
     def fill(self, text: str, flags: np.ndarray) -> bool:
         """Sets the flags of a text's n-grams; whether it has a letter."""
-        c = self.classes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
-        if not c.any():
-            return False
-        n = self.size
-        flags[c] = True
-        if len(c) > 1:
-            two = c[:-1] * n + c[1:]
-            flags[two + n] = True
-            if len(c) > 2:
-                flags[two[:-1] * n + c[2:] + n + n * n] = True
-        flags[[0, n, n + n * n]] = False  # what is all outside letters says nothing
-        return True
+        found = self.codes(text)
+        flags[found] = True
+        return len(found) > 0
 
 
 class LanguageModel:
@@ -67,17 +94,18 @@ class LanguageModel:
         order = np.argsort([hash_of(i) for i in range(len(codes))], kind="stable")
         taken: list[int] = []
         rows = {lang: [i for i in order if labels[i] == lang] for lang in self.languages}
-        while len(taken) < min(landmarks, len(codes)):  # in turn, so that each language has its share
-            for lang in self.languages:
+        self.grams = np.zeros(0, np.int64)
+        while len(taken) < min(landmarks, len(codes)) and (len(taken) < len(self.languages) or len(self.grams) < GRAMS):
+            for lang in self.languages:  # in turn, so that each language has its share
                 if rows[lang] and len(taken) < landmarks:
                     taken.append(rows[lang].pop(0))
-        self.grams = np.unique(np.concatenate([codes[i] for i in taken]))
+            self.grams = np.unique(np.concatenate([self.grams, *(codes[i] for i in taken[-len(self.languages) :])]))
         self.rows = self._unit([codes[i] for i in taken])
         kernel = (self.rows @ self.rows.T).astype(np.float64)
         value, vector = np.linalg.eigh(kernel)
         keep = value > 1e-6 * value[-1]
         root = vector[:, keep] / np.sqrt(value[keep])
-        phi = (self._unit(codes) @ self.rows.T).astype(np.float64) @ root
+        phi = np.concatenate([(self._unit(codes[k : k + 64]) @ self.rows.T).astype(np.float64) @ root for k in range(0, len(codes), 64)])
         target = np.array([[label == lang for lang in self.languages] for label in labels], float)
         weight = np.sqrt(1.0 / np.array([labels.count(x) for x in labels]))[:, None]  # languages weigh the same
         left, right = phi * weight, target * weight
@@ -88,23 +116,19 @@ class LanguageModel:
         """Presence rows over the landmarks' n-grams, divided by the root of each text's whole count."""
         out = np.zeros((len(codes), len(self.grams)), np.float32)
         for r, c in zip(out, codes, strict=True):
+            if not len(c):
+                continue
             at = np.minimum(np.searchsorted(self.grams, c), len(self.grams) - 1)
             r[at[self.grams[at] == c]] = 1 / np.sqrt(len(c))
         return out
 
     def predict(self, texts: list[str | None], grams: Grams, step: int = 64) -> tuple[list[str], list[float]]:
         langs, scores = [], []
-        flags = np.zeros((step, grams.width), bool)
         for k in range(0, len(texts), step):
-            part = texts[k : k + step]
-            flags[:] = False
-            has = np.array([bool(t) and grams.fill(t, f) for t, f in zip(part, flags, strict=False)])
-            count = np.maximum(1, np.count_nonzero(flags[: len(part)], axis=1))
-            presence = flags[: len(part), self.grams].astype(np.float32) / np.sqrt(count, dtype=np.float32)[:, None]
-            value = (presence @ self.rows.T) @ self.weights
-            best = value.argmax(1)
-            langs += [self.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
-            scores += [float(min(1.0, max(0.0, v))) if h else 0.0 for v, h in zip(value.max(1), has, strict=True)]
+            codes = [grams.codes(t) if t else np.zeros(0, np.int64) for t in texts[k : k + step]]
+            value = (self._unit(codes) @ self.rows.T) @ self.weights
+            langs += [self.languages[b] if len(c) else UNKNOWN for b, c in zip(value.argmax(1), codes, strict=True)]
+            scores += [float(min(1.0, max(0.0, v))) if len(c) else 0.0 for v, c in zip(value.max(1), codes, strict=True)]
         return langs, scores
 
 
@@ -112,7 +136,7 @@ def hash_of(i: int) -> int:
     return (i * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, letters: int = LETTERS, ridge: float = RIDGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
+def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
     """Fits on at most `sample` labelled texts, the same number of each language as far as there are; None without any.
 
     The choice hangs on a hash of the id alone. Rows whose text or language is null don't take part.
@@ -129,28 +153,24 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, l
     taken = rows.join(share, "lang").where(dice < F.col("share")).withColumn("dice", dice)
     taken = taken.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("dice", "id", "text"))).where(F.col("k") <= each)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for _, texts in row_groups(batches, "text"):
             for t in texts:
-                seen.update({c: 1 for c in set(t.lower()) if c.isalpha()})
-        yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array([*seen.values()], pa.int64())], ["letter", "n"])
+                seen.update(t.lower())
+        yield pa.RecordBatch.from_arrays([pa.array([c for c in seen if c.isalpha()], pa.string())], ["letter"])
 
     taken = taken.select("id", "lang", "text").persist()
-    found = taken.mapInArrow(count, "letter string, n bigint").groupBy("letter").agg(F.sum("n").alias("n"))
-    alphabet = "".join(sorted(r["letter"] for r in found.orderBy(F.desc("n"), "letter").limit(letters).collect()))
+    found = taken.mapInArrow(letters, "letter string").distinct()  # of a bounded sample, and of what Unicode has
+    alphabet = "".join(sorted(r["letter"] for r in found.collect()))
     if not alphabet:
         taken.unpersist()
         return None
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(alphabet)
-        flags = np.zeros(grams.width, bool)
         for part, texts in row_groups(batches, "text"):
-            out = []
-            for t in texts:
-                flags[:] = False
-                out.append(np.flatnonzero(flags).astype("<i4").tobytes() if t and grams.fill(t, flags) else b"")
+            out = [grams.codes(t).astype("<i8").tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), pa.array(out, pa.binary())], ["id", "lang", "codes"])
 
     kind = labelled.schema[id_col].dataType.simpleString()
@@ -158,7 +178,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, l
     taken.unpersist()
     if not got:
         return None
-    return LanguageModel(alphabet, [np.frombuffer(r["codes"], "<i4") for r in got], [r["lang"] for r in got], landmarks, ridge)
+    return LanguageModel(alphabet, [np.frombuffer(r["codes"], "<i8") for r in got], [r["lang"] for r in got], landmarks, ridge)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
@@ -168,7 +188,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
     Columns of docs with the new names are replaced.
     """
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: LANDMARKS rows of at most a few ten thousand n-grams
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: LANDMARKS rows of n-grams, of which there are GRAMS and one text for each language at most
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     base = docs.select(*kept)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.schema.fields)}, lang_pred string, score double"

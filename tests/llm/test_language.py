@@ -91,3 +91,29 @@ def test_presence_kernel_counts_distinct_grams():
     assert grams.fill("abab", flags)
     assert flags.sum() == 2 + 2 + 2  # a, b; ab, ba; aba, bab
     assert not grams.fill("12", np.zeros(grams.width, bool))
+
+
+def test_languages_of_many_scripts(spark):
+    """Six scripts and one with thousands of letters: none is told by the letters of another."""
+    rng = random.Random(8)
+    ranges = {"en": (97, 26), "el": (0x3B1, 17), "ru": (0x430, 32), "hi": (0x915, 35), "ka": (0x10D0, 33), "th": (0xE01, 46), "zh": (0x4E00, 3000)}
+    stems = {lang: ["".join(chr(a + rng.randrange(n)) for _ in range(rng.randint(2, 5))) for _ in range(60)] for lang, (a, n) in ranges.items()}
+    rows = [(i, " ".join(rng.choices(stems[lang], k=rng.randint(5, 40))), lang) for i, lang in enumerate(lang for lang in ranges for _ in range(150))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r.lang, r.lang_pred) for r in L.identify(df).where("held_out").collect()]
+    for lang in ranges:
+        own = [b == a for a, b in got if a == lang]
+        assert len(own) > 20 and sum(own) / len(own) >= 0.95, lang
+
+
+def test_codes_are_those_of_plain_sets():
+    rng = random.Random(9)
+    grams = L.Grams("".join(chr(0x4E00 + i) for i in range(400)))
+    for text in ("".join(chr(0x4E00 + rng.randrange(500)) if rng.random() < 0.9 else " " for _ in range(3000)), "ab一", "一", " "):
+        c = [grams.classes[ord(x)] for x in text]
+        n, plain = grams.size, set()
+        for k in (1, 2, 3):
+            for i in range(len(c) - k + 1):
+                if any(c[i : i + k]):
+                    plain.add(sum(int(x) * n ** (k - 1 - j) for j, x in enumerate(c[i : i + k])) + (n if k > 1 else 0) + (n * n if k > 2 else 0))
+        assert grams.codes(text).tolist() == sorted(plain)
