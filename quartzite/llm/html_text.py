@@ -6,7 +6,8 @@ element; their means over all blocks of a path are fused to the path's own weigh
 so do marks (menu, advert, comments and the like in a class or id). As titles, list items and short lines belong to the
 article that they stand in, a path also inherits: from the element around it, the mean weight of what stands directly in
 that, and ever less from elements further out. Paths of which the weight reaches a share of the page's mean (by text) are
-content, and their blocks are the article.
+content, and their blocks are the article. Below an <article> that has a content path all others are content too, but for
+those that marks speak against: tables, captions, verses and short lines are the article's whatever their ratios are.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*>|</?[a-zA-Z][^>]*>",
     re.S | re.I,
 )
+_CLOSED = re.compile(r"(?:-->|\]\]>|</[a-zA-Z]+\s*>)\Z")
 _MARK = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…،؛؟。、！？；：।]")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,13 +39,16 @@ _BLOCK = frozenset(
 _ENDS_P = _BLOCK - {"button", "caption", "tbody", "thead", "tfoot", "tr", "td", "th", "option", "optgroup", "html", "head", "body"}
 #: What a start tag ends, up to which element.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
-_OTHER_TAGS = frozenset("nav aside footer form button menu dialog head fieldset figcaption".split()) - {"figcaption"}
+_OTHER_TAGS = frozenset("nav aside footer form button menu dialog head fieldset".split())
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 #: Words of class names and ids that mark what isn't the article, and words beside them that say nothing.
 _OTHER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored nav navbar navigation navi menu submenu breadcrumb breadcrumbs pagination pager sidebar aside footer masthead topbar toolbar comment comments commentlist disqus respond reply replies notice notices cookie cookies consent gdpr popup modal overlay alert newsletter subscribe subscription signup login share sharing social related recommended widget widgets form search skip".split()
 )
 _PLAIN_WORDS = frozenset("area bar block bottom box button buttons container content footer global group header holder id inner inline item items left link links list main module outer page panel right row section site small sub text the title top unit wrap wrapper".split()) - _OTHER_WORDS
+#: Of the marks, those that say less of a single line or paragraph than of what holds several.
+_WEAK_WORDS = frozenset("alert aside footer form login notice notices related reply respond search share sharing skip social toolbar widget widgets".split())
+_LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre caption figcaption".split())
 _SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Text length and punctuation marks at which a block's ratios are one half; what is left of a weight for each element
@@ -54,12 +59,13 @@ SHARE = 0.25
 
 
 class _Element:
-    """A block element: its name, its parent, the number of its path, and the factor of its marks and of those around it."""
+    """A block element: its name, its parent, the number of its path, the factor of its marks and of those around it, and the <article> that it is in."""
 
-    __slots__ = ("name", "parent", "path", "factor", "inside")
+    __slots__ = ("name", "parent", "path", "factor", "inside", "article")
 
     def __init__(self, name: str, parent: _Element | None, path: int, factor: float, inside: bool):
         self.name, self.parent, self.path, self.factor, self.inside = name, parent, path, factor, inside
+        self.article: _Element | None = self if name == "article" else parent.article if parent else None
 
 
 class Block:
@@ -88,6 +94,8 @@ def _factor(name: str, marks: str, inside: bool) -> float:
             return 0.0
         for part in value.split() if kind in ("class", "id") else ():
             words = {x.lower() for x in _SPLIT.split(part) if x and not x.isdigit()}
+            if name in _LINES:
+                words -= _WEAK_WORDS
             if words & _OTHER_WORDS:
                 out = min(out, HALF_MARKED if words - _OTHER_WORDS - _PLAIN_WORDS else MARKED)
     return out
@@ -128,12 +136,16 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         if link > height:
             link = 0
 
-    for m in _TOKEN.finditer(page):
+    # where no tag can end, none begins: looking for one at every < would take time in square
+    last = page.rfind(">") + 1
+    for m in _TOKEN.finditer(page, 0, last):
         if m.start() > at:
             take(page[at : m.start()])
         at = m.end()
         name = m[3]
         if name is None:
+            if at == last and (m[1] or m[0].startswith(("<!--", "<![CDATA["))) and not _CLOSED.search(m[0]):
+                at = len(page)  # it goes on to the end
             continue
         name = name.lower()
         if name == "br":
@@ -183,7 +195,7 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         stack.append(_Element(name, top, path, factor, top.inside or name in ("article", "main")))
         open_[name] = open_.get(name, 0) + 1
     if at < len(page):
-        take(page[at:])
+        take(page[at:].partition("<!--")[0])
     flush()
     return out, parents
 
@@ -221,13 +233,15 @@ def path_weights(found: list[Block], parents: list[int]) -> np.ndarray:
 
 def chosen(found: list[Block], parents: list[int], share: float = SHARE) -> list[bool]:
     """Which blocks are content: those whose path's weight reaches `share` of the mean weight, in which each letter counts
-    alike; but for headings with nothing else of the article up to the next heading."""
+    alike, and what stands in an <article> with them; but for headings with nothing else of the article up to the next heading."""
     if not found:
         return []
     weight = path_weights(found, parents)[[b.element.path for b in found]]
     length = np.array([len(b.text) for b in found], float)
     least = share * (weight * weight * length).sum() / max(1e-12, (weight * length).sum())
     out = (weight > 1e-9) & (weight >= least)
+    articles = {id(b.element.article) for b, keep in zip(found, out, strict=True) if keep and b.element.article}
+    out |= [id(b.element.article) in articles and b.element.factor > MARKED for b in found]
     after, any_kept, any_at_all = out.tolist(), False, False
     for k in range(len(found) - 1, -1, -1):
         if found[k].element.name in _HEADINGS:

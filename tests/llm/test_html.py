@@ -135,3 +135,36 @@ def test_deep_nesting_takes_time_in_proportion():
         began = time.time()
         main_text(page)
         assert time.time() - began < 20
+
+
+def article(inside):
+    long = "".join(f"<p>Sentence {k}, with commas, and a stop. Another one follows here, and it is long enough to count.</p>" for k in range(6))
+    text = main_text(f"<body><nav><a href=x>Menu</a></nav><article>{long}{inside}</article><div class=ad>Buy, now.</div></body>").split("\n")
+    assert all(t.startswith("Sentence") for t in text[:6]) and "Buy, now." not in text
+    return text[6:]
+
+
+def test_everything_of_an_article_is_kept():
+    assert article("<table><tr><td>Year</td><td>12</td></tr></table>") == ["Year", "12"]
+    assert article("<dl><dt>Term</dt><dd>Def</dd></dl>") == ["Term", "Def"]
+    assert article("<figure><img src=x><figcaption>A caption</figcaption></figure>") == ["A caption"]
+    assert article("<header><h1>HEADLINE</h1><time>May 2</time></header><p>End.</p>") == ["HEADLINE", "May 2", "End."]
+    assert article("".join(f'<div class="q"><p>Q{k}?</p></div>' for k in range(5))) == [f"Q{k}?" for k in range(5)]
+    assert article("<h2>Poem</h2>" + "".join(f'<p class="l{k}">line {k}' for k in range(8)) + "<p>" + "A note, long and with commas. " * 20)[:9] == ["Poem", *(f"line {k}" for k in range(8))]
+    assert article('<p class="share">The share of the vote, as counted, was a third. It had been less.</p>') == ["The share of the vote, as counted, was a third. It had been less."]
+    assert article("<h2>Sources</h2><ul><li><a href=a>One</a><li><a href=b>Two</a></ul>") == ["Sources", "One", "Two"]
+
+
+def test_what_is_not_the_articles_goes_from_within_it():
+    for inside in ('<div class="ad"><p>Buy, buy. Now, and here.</p></div>', "<form><p>Your name, please.</p></form>", "<nav><ul><li><a>x</a></ul></nav>", "<aside>Side, long and with. Punctuation, many, commas.</aside>", "<footer>Imprint.</footer>", '<section id="comments"><h3>Comments</h3><p>Reader: nice, very nice. I liked it, a lot.</p></section>', '<div class="share"><p>Tell friends, now.</p></div>', "<script>x</script><style>y</style><!-- z -->"):
+        assert article(inside) == [], inside
+
+
+def test_quotes_that_never_close_take_time_in_proportion():
+    import time
+
+    for page in ('<a "' * 80_000, '<a "' * 80_000 + ">", "<a '\"" * 80_000 + "x", "<p>a" + "<" * 300_000, "<script " * 50_000):
+        began = time.time()
+        main_text(page)
+        assert time.time() - began < 1
+    assert main_text("<p>text<script>if (a > b) x") == "text" and main_text("<p>text <!-- a > b") == "text" and main_text("<p>a<!-- b -->c <!-- d") == "ac"
