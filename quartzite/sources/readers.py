@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,9 +63,26 @@ def load_table(spark: SparkSession, path: str, table: str, columns: Sequence[str
     return allowlisted(spark.read.parquet(path), table, columns)
 
 
-def load_jdbc(spark: SparkSession, url: str, table: str, columns: Sequence[str] | None = None, **options: str) -> DataFrame:
-    wanted = columns or ALLOWED[table]
-    return allowlisted(spark.read.format("jdbc").options(url=url, query=f"SELECT {', '.join(wanted)} FROM {table}", **options).load(), table, wanted)
+def key_ranges(column: str, lower: int, upper: int, parts: int) -> list[str]:
+    """Predicates that deal a table's rows by a whole-numbered key: one for each range, the outer ones open, null keys with the first. Each row passes exactly one."""
+    if parts < 1 or upper < lower:
+        raise ValueError("one range or more, from the lower to the upper key")
+    cuts = sorted({lower + (upper - lower + 1) * k // parts for k in range(1, parts)} - {lower})
+    if not cuts:
+        return ["1 = 1"]
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [f"{column} < {cuts[0]} OR {column} IS NULL", *inner, f"{column} >= {cuts[-1]}"]
+
+
+def load_jdbc(spark: SparkSession, url: str, table: str, columns: Sequence[str] | None = None, key: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 1, where: str | None = None, **options: str) -> DataFrame:
+    """The allowed columns of a database's table; with a key, by as many connections as parts, each with its range of keys. `where` is pushed to all of them."""
+    wanted = list(columns or ALLOWED[table])
+    private = [c for c in wanted if c not in ALLOWED[table]]
+    if private:
+        raise ValueError(f"{table}: columns that may not be read: {', '.join(private)}")
+    query = f"(SELECT {', '.join(dict.fromkeys([*wanted, *([key] if key else [])]))} FROM {table}{f' WHERE {where}' if where else ''}) t"
+    found = spark.read.jdbc(url, query, predicates=key_ranges(key, *bounds, parts), properties=options) if key else spark.read.jdbc(url, query, properties=options)
+    return allowlisted(found.select(*wanted), table, wanted)
 
 
 def typed_empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -95,16 +114,51 @@ def read_release_manifest(spark: SparkSession, path: str | None) -> DataFrame:
     return _manifest(spark, path, "release_events", RELEASE)
 
 
-def read_packet_fields(spark: SparkSession, path: str) -> DataFrame:
-    """The dissector's output of many captures, one file each: all fields as text, with capture_id (the file's name) and packet_no.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text files with their number in the file, from 1: path, line_no, value. Files are read in as many splits as they have.
 
-    A file isn't split, so that packet_no follows its lines.
+    A line's number is that of its split's lines before it and of the splits before that: only a row for each split is
+    shuffled, whatever a file's length is.
     """
-    raw = spark.read.option("wholetext", "false").text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("capture_id"), "value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    raw = raw.withColumn("packet_no", F.row_number().over(Window.partitionBy("capture_id").orderBy("_block", "_at")).cast("bigint"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    splits = raw.groupBy("path", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.withColumn("_before", before).drop("_n")
+    return raw.join(splits, ["path", "_block"]).select("path", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line_no"), "value")
+
+
+def read_packet_fields(spark: SparkSession, path: str) -> DataFrame:
+    """The dissector's output of many captures, one file each: all fields as text, with capture_id (the file's name) and packet_no, the number of its line."""
+    lines = numbered_lines(spark, path)
     cells = F.split("value", "\t", -1)
     unquoted = lambda c: F.regexp_replace(c, '^"(.*)"$', "$1")
-    return raw.select("capture_id", "packet_no", *(unquoted(F.get(cells, F.lit(k))).alias(name) for k, name in enumerate(PACKET_FIELDS)))
+    name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return lines.select(name.alias("capture_id"), F.col("line_no").alias("packet_no"), *(unquoted(F.get(cells, F.lit(k))).alias(field) for k, field in enumerate(PACKET_FIELDS)))
+
+
+def list_objects(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
+    """The objects below a folder, object_key (its path from there) and size, without a look at what they hold.
+
+    The driver lists `depth` levels of folders; what is below each of them is listed by a task. root must be an address
+    that pyarrow opens (file, hdfs, s3, gs). A folder that isn't there has no objects.
+    """
+    fs, base = pyarrow.fs.FileSystem.from_uri(root.rstrip("/"))
+    found, level = [], [base]
+    for k in range(depth):
+        below = [i for p in level for i in fs.get_file_info(pyarrow.fs.FileSelector(p, allow_not_found=True))]
+        found += [(i.path, False) for i in below if i.type == pyarrow.fs.FileType.File]
+        level = [i.path for i in below if i.type == pyarrow.fs.FileType.Directory]
+    rows = spark.createDataFrame([*found, *((p, True) for p in level)], "path string, folder boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(root.rstrip("/"))
+        for batch in batches:
+            for r in batch.to_pylist():
+                infos = fs.get_file_info(pyarrow.fs.FileSelector(r["path"], recursive=True) if r["folder"] else [r["path"]])
+                files = [i for i in infos if i.type == pyarrow.fs.FileType.File]
+                yield pa.RecordBatch.from_arrays([pa.array([i.path[len(base) + 1 :] for i in files], pa.string()), pa.array([i.size for i in files], pa.int64())], ["object_key", "size"])
+
+    return rows.repartition(max(1, min(len(level) + 1, spark.sparkContext.defaultParallelism * 4))).mapInArrow(run, "object_key string, size bigint")
 
 
 def verify_captures(files: DataFrame, captures: DataFrame) -> DataFrame:
