@@ -21,6 +21,8 @@ from quartzite.llm.library_tokens import library_encoder
 
 #: Tokens of a sequence, and sequences of a batch.
 SEQUENCE, BATCH = 1024, 512
+#: Bytes of text and documents of a shard, at most about: what a task reads back at a time.
+SHARD_BYTES, SHARD_DOCS = 64 << 20, 1_000_000
 
 
 def sequence_schema(kind: pa.DataType, length: int) -> pa.Schema:
@@ -101,7 +103,9 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = Non
                 x.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/{name}.arrows"], "docs_path": [f"{folder}/{name}.docs.arrows"], "n_docs": [n_docs], "n_tokens": [n_tokens]}, pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs_path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    dealt = docs.select(id_col, text_col).repartitionByRange(partitions(spark), id_col).sortWithinPartitions(id_col, text_col)
+    size = docs.agg(F.sum(F.octet_length(text_col)), F.count(F.lit(1))).first()
+    shards = max(partitions(spark), -(-(size[0] or 0) // SHARD_BYTES), -(-size[1] // SHARD_DOCS))
+    dealt = docs.select(id_col, text_col).repartitionByRange(shards, id_col).sortWithinPartitions(id_col, text_col)
     made = dealt.mapInArrow(run, "shard int, path string, docs_path string, n_docs bigint, n_tokens bigint")
     return written(made.withColumn("id_type", F.lit(docs.schema[id_col].dataType.simpleString())), "token-manifest")
 
