@@ -248,7 +248,10 @@ def pair_comparison_matrix(t: Tables, pairs: dict[str, tuple[str, str]], applica
     r = last_scores(t).groupBy("application_id").agg(F.count(F.lit(1)).alias("unique_sampled_reviews"), F.avg("score").alias("mean_observed_review_stars"))
     keys = [F.col("application_package").alias("package_name"), "experiment_id", "session_id", "scenario", *CONDITION]
     ok = F.col("ok")
-    n = trials(t, own_application=False).withColumn("ok", E.eligible_throughput()).groupBy(*keys).agg(F.count_distinct("capture_id").alias("manifest_capture_count"), distinct_where("capture_id", ok).alias("comparison_ready_n"), median_where("effective_file_throughput_mbps", ok).alias("_median"), F.max("capture_finished_at_utc").alias("network_source_at_utc"))
+    packages = [p for apps in pairs.values() for p in apps]
+    n = trials(t, own_application=False).where(F.col("application_package").isin(packages)).withColumn("ok", E.eligible_throughput())
+    n = once(n, ["application_package", "experiment_id", "session_id", "scenario", *CONDITION], "capture_id", {"_every": F.lit(True), "_ready": ok})
+    n = n.groupBy(*keys).agg(F.count_if("_every").alias("manifest_capture_count"), F.count_if("_ready").alias("comparison_ready_n"), median_where("effective_file_throughput_mbps", ok).alias("_median"), F.max("capture_finished_at_utc").alias("network_source_at_utc"))
     d = a.join(s, "application_id", "left").join(r, "application_id", "left").join(n, "package_name", "left").drop("application_id")
     d = E.opt(E.opt(E.opt(E.opt(d, "package_name", application), "comparison_pair", comparison_pair), "store_country_code", country), "store_language_code", language)
     label = sample_label(F.coalesce("comparison_ready_n", F.lit(0)), "network_comparison_insufficient", "network_descriptive_only_3_to_5", "network_descriptive_sample_over_5")

@@ -133,12 +133,12 @@ def release_user_voice(t: Tables, sentiment: bool = True, country=None, language
     shown = (lambda c: c) if sentiment else (lambda c: F.when(F.lit(False), c))
     aggs = []
     for s in ("before", "after"):
-        n = distinct_where("review_id", _at(s))
+        n = F.count_if(_at(s))  # a review is one row of its release and period
         aggs += [
             F.max(F.when(_at(s), F.col("period_end"))).alias(f"{s}_period_end"), side("as_of_cutoff_exclusive_utc", _at(s)).alias(f"{s}_as_of_cutoff_exclusive_utc"), n.alias(f"{s}_unique_sampled_reviews"), F.avg(F.when(_at(s), F.col("score"))).alias(f"{s}_mean_sampled_review_stars"),
-            share(distinct_where("review_id", _at(s) & (F.col("score") <= 2)), n).alias(f"{s}_low_star_share"), side("observed_at", _at(s)).alias(f"{s}_latest_observation_at_utc"),
-            shown(distinct_where("review_id", _at(s) & ok)).alias(f"{s}_classified_sentiment_reviews"), shown(distinct_where("review_id", _at(s) & ~ok)).alias(f"{s}_historical_sentiment_unavailable_reviews"),
-            shown(share(distinct_where("review_id", _at(s) & bad), distinct_where("review_id", _at(s) & ok))).alias(f"{s}_negative_sentiment_share"),
+            share(F.count_if(_at(s) & (F.col("score") <= 2)), n).alias(f"{s}_low_star_share"), side("observed_at", _at(s)).alias(f"{s}_latest_observation_at_utc"),
+            shown(F.count_if(_at(s) & ok)).alias(f"{s}_classified_sentiment_reviews"), shown(F.count_if(_at(s) & ~ok)).alias(f"{s}_historical_sentiment_unavailable_reviews"),
+            shown(share(F.count_if(_at(s) & bad), F.count_if(_at(s) & ok))).alias(f"{s}_negative_sentiment_share"),
         ]
     g = d.groupBy(*RELEASE, "country_code", "language_code").agg(*aggs)
     g = g.withColumns({f"{out}_after_minus_before": F.col(f"after_{x}") - F.col(f"before_{x}") for out, x in (("sampled_stars", "mean_sampled_review_stars"), ("low_star_share", "low_star_share"), ("negative_sentiment_share", "negative_sentiment_share"))})
@@ -152,19 +152,21 @@ def release_evidence(t: Tables, network: bool = True, **f) -> DataFrame:
     windows = F.broadcast(r.select("release_event_id", "application_package", *WINDOWS))
     s = snapshots(t).join(named, "application_id").withColumn("day", utc_day("collected_at")).join(windows, "application_package").withColumn("period", label_period("day"))
     inside = lambda a, b: F.col("day").between(F.col(a), F.col(b))
-    s = s.where(inside("baseline_start", "baseline_end") | inside("followup_start", "followup_end")).groupBy("release_event_id", F.col("crawl_country_code").alias("store_country_code"), F.col("crawl_language_code").alias("store_language_code")).agg(
-        distinct_where("day", inside("baseline_start", "baseline_end")).alias("store_before_days"), distinct_where("day", inside("followup_start", "followup_end")).alias("store_after_days"), F.max("collected_at").alias("store_latest_source_at"),
-    )
+    before, after = inside("baseline_start", "baseline_end"), inside("followup_start", "followup_end")
+    # days first, so that no more than a row for each is dealt
+    s = s.where(before | after).groupBy("release_event_id", F.col("crawl_country_code").alias("store_country_code"), F.col("crawl_language_code").alias("store_language_code"), "day").agg(F.bool_or(before).alias("_before"), F.bool_or(after).alias("_after"), F.max("collected_at").alias("_at"))
+    s = s.groupBy("release_event_id", "store_country_code", "store_language_code").agg(F.count_if("_before").alias("store_before_days"), F.count_if("_after").alias("store_after_days"), F.max("_at").alias("store_latest_source_at"))
     v = review_states(t, r.select("release_event_id", "application_package", *WINDOWS), True).groupBy("release_event_id", F.col("country_code").alias("store_country_code"), F.col("language_code").alias("store_language_code")).agg(
-        distinct_where("review_id", _at("before")).alias("review_before_n"), distinct_where("review_id", _at("after")).alias("review_after_n"), F.max("observed_at").alias("review_latest_source_at"), F.lit(True).alias("_reviews"),
+        F.count_if(_at("before")).alias("review_before_n"), F.count_if(_at("after")).alias("review_after_n"), F.max("observed_at").alias("review_latest_source_at"), F.lit(True).alias("_reviews"),
     )
     counts = [f"network_{p}_{n}_n" for n in ("manifest", "observed", "analyzed") for p in ("before", "after")] + [f"{p}_{m}_eligible_n" for m in METRICS for p in ("before", "after")]
     d = r.join(s.withColumn("_store", F.lit(True)), "release_event_id", "left").join(v, ["release_event_id", "store_country_code", "store_language_code"], "left")
     if network:
-        n = period_captures(t).groupBy("release_event_id", *NETWORK_CONDITION).agg(
-            *(distinct_where(c, _at(p)).alias(f"network_{p}_{k}_n") for c, k in (("capture_id", "manifest"), ("source_capture_id", "observed"), ("analyzed_capture_id", "analyzed")) for p in ("before", "after")),
-            *(distinct_where("capture_id", _at(p) & F.col(f"{m}_eligible")).alias(f"{p}_{m}_eligible_n") for m in METRICS for p in ("before", "after")), F.max("capture_finished_at_utc").alias("network_latest_source_at"), F.lit(True).alias("_network"),
-        )
+        keys = ["release_event_id", *NETWORK_CONDITION]
+        flags = {f"network_{p}_{k}_n": _at(p) & F.col(c).isNotNull() for c, k in (("capture_id", "manifest"), ("source_capture_id", "observed"), ("analyzed_capture_id", "analyzed")) for p in ("before", "after")}
+        flags |= {f"{p}_{m}_eligible_n": _at(p) & F.col(f"{m}_eligible") for m in METRICS for p in ("before", "after")}
+        n = once(period_captures(t), keys, "capture_id", {f"_{k}": flag for k, flag in flags.items()})
+        n = n.groupBy(*keys).agg(*(F.count_if(f"_{k}").alias(k) for k in flags), F.max("capture_finished_at_utc").alias("network_latest_source_at"), F.lit(True).alias("_network"))
         d = d.join(n, "release_event_id", "left")
     else:
         d = d.withColumns({c: F.lit(None).cast("string") for c in NETWORK_CONDITION} | {c: F.lit(None).cast("bigint") for c in counts} | {"network_latest_source_at": F.lit(None).cast("timestamp"), "_network": F.lit(None).cast("boolean")})
