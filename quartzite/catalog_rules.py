@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quartzite.bindings import Bound
 from quartzite.functions import exprs as X
@@ -219,6 +221,25 @@ def kinds(t: Bound) -> DataFrame:
     return d.select("user_id", F.array_join("kinds", ",").alias("kinds"))
 
 
+def capability_states(t: Bound) -> DataFrame:
+    """The five states where tables are whole, thin, empty or without columns; groups of trials are sessions of an application, and a completed transfer counts."""
+    m, group, ok = t["experiment_manifest"], ["experiment_id", "session_id", "application_package", "scenario"], F.col("transfer_completed")
+    c, r, o = t["network_captures"], t["release_manifest"], t["review_observations"]
+    cases = {
+        "whole": (c, m, r, o), "thin": (c.where("status = 'failed'"), m.where("trial_number = 7"), r.where("release_date_precision = 'month'"), o.where("sentiment_status = 'failed'")),
+        "empty": (c.where("status = 'none'"), m.where("trial_number < 0"), r.where("release_date_precision = 'year'"), o.where("sentiment_status = 'none'")), "no manifest": (c, None, None, o), "no columns": (None, m, r, o.drop("sentiment_status")),
+    }
+    found = [quality.capabilities(*tables, group if tables[1] is not None else (), ok).withColumn("case", F.lit(name)) for name, tables in cases.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def listing_order(t: Bound) -> DataFrame:
+    """The order in which captures and applications are listed, as a rank within each application and each language."""
+    ranked = lambda df, key: df.withColumn("_at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("_at")))
+    captures = ranked(filters.list_captures(t["network_captures"], scenario="upload"), "application_id").select(F.lit("capture").alias("kind"), "id", "place")
+    return captures.unionByName(ranked(filters.list_applications(t["applications"], True), "language_code").select(F.lit("application").alias("kind"), "id", "place"))
+
+
 RULES: dict[str, Callable[[Bound], DataFrame]] = {
     "fn_expressions": expressions, "fn_sorted_set": kinds, "prj_allowlisted": read_tasks, "win_as_of_latest": as_of_release,
     "flt_fixtures": lambda t: filters.exclude_fixture(t["applications"], [f"com.app.n{k}" for k in range(1, 4)]).select("id", "package_name"),
@@ -234,4 +255,5 @@ RULES: dict[str, Callable[[Bound], DataFrame]] = {
     "dq_release_overlaps": lambda t: quality.check_overlaps(quality.default_windows(t["faulty_releases"])), "dq_gates": gates, "dq_optional_columns": without_sentiment, "dq_fingerprint": fingerprinted,
     "str_consistent": consistent, "str_match_ready": ready, "str_claimable": lambda t: ingest.claimable(t["lifecycle"], now(), 86_400).select("id", "status"), "str_retryable": lambda t: ingest.retryable(t["lifecycle"]).select("id"), "str_reconcile": reconciled, "str_append_observations": appended,
     "dsh_ledger": claimed, "dq_analysis_results": analyses, "log_expanded": expanded, "str_current_reviews": state_of_reviews,
+    "dq_capability_states": capability_states, "srt_listing_order": listing_order,
 }

@@ -4,6 +4,19 @@ from __future__ import annotations
 
 from quartzite.bindings import with_roles
 
+
+def _case(name: str, captures: str | None, trials: str | None, releases: str | None, observations: str | None) -> str:
+    """Counts for one case; None: there is no such table, or none with the columns."""
+    n = lambda table, where, none: f"(SELECT count(*) FROM {{{table}}} WHERE {where})" if where else none
+    best = f"(SELECT coalesce(max(n), 0) FROM (SELECT count(*) FILTER (WHERE transfer_completed) AS n FROM {{experiment_manifest}} WHERE {trials} GROUP BY experiment_id, session_id, application_package, scenario))" if trials else "0"
+    return f"SELECT '{name}' AS \"case\", {n('network_captures', captures, 'NULL')} AS c, {n('experiment_manifest', trials, '0')} AS e, {best} AS best, {n('release_manifest', releases, '0')} AS r, {n('review_observations', observations, 'NULL')} AS s"
+
+
+CASES = " UNION ALL ".join([
+    _case("whole", "TRUE", "TRUE", "TRUE", "sentiment_status = 'done'"), _case("thin", "status = 'failed'", "trial_number = 7", "release_date_precision = 'month'", "sentiment_status = 'failed' AND sentiment_status = 'done'"),
+    _case("empty", "status = 'none'", "trial_number < 0", "release_date_precision = 'year'", "sentiment_status = 'none'"), _case("no manifest", "TRUE", None, None, "sentiment_status = 'done'"), _case("no columns", None, "TRUE", "TRUE", None),
+])
+
 UUID = "^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$"
 PACKAGE = r"^[A-Za-z][A-Za-z0-9_]*(\.[A-Za-z][A-Za-z0-9_]*)+$"
 
@@ -94,6 +107,11 @@ SQL: dict[str, str] = {
     "dq_gates": "SELECT unnest(['base', 'network', 'experiment', 'release', 'sentiment']) AS capability, unnest([TRUE, network_state NOT IN ('NETWORK_SCHEMA_MISSING', 'NETWORK_GRANTS_MISSING'), experiment_state = 'VERIFIED_EXPERIMENT_AVAILABLE', release_state = 'RELEASE_METADATA_AVAILABLE', sentiment_state = 'SENTIMENT_DATA_AVAILABLE']) AS enabled FROM {capabilities}",
     "dq_optional_columns": "SELECT crawl_task_id, review_id, CAST(NULL AS VARCHAR) AS sentiment_status, CAST(NULL AS VARCHAR) AS sentiment_label, CAST(NULL AS VARCHAR) AS sentiment_language FROM {review_observations}",
     "dq_fingerprint": """SELECT sha256(string_agg(sha256('{{"new_version":"' || new_version || '","previous_version":"' || previous_version || '","release_event_id":"' || release_event_id || '"}}'), chr(10) ORDER BY release_event_id)) AS fingerprint FROM {release_manifest}""",
+    "dq_capability_states": f"""SELECT "case", CASE WHEN c IS NULL THEN 'NETWORK_SCHEMA_MISSING' WHEN c = 0 THEN 'NETWORK_EMPTY' WHEN best >= 3 THEN 'NETWORK_COMPARISON_READY' WHEN e > 0 THEN 'NETWORK_COMPARISON_INSUFFICIENT' ELSE 'NETWORK_DATA_AVAILABLE' END AS network_state,
+        CASE WHEN e > 0 THEN 'VERIFIED_EXPERIMENT_AVAILABLE' ELSE 'MANIFEST_NOT_SUPPLIED' END AS experiment_state, CASE WHEN r > 0 THEN 'RELEASE_METADATA_AVAILABLE' ELSE 'MANIFEST_NOT_SUPPLIED' END AS release_state,
+        CASE WHEN s IS NULL THEN 'SENTIMENT_SCHEMA_MISSING' WHEN s > 0 THEN 'SENTIMENT_DATA_AVAILABLE' ELSE 'SENTIMENT_EMPTY' END AS sentiment_state, 'ANNOTATIONS_UNAVAILABLE' AS topic_state FROM ({CASES})""",
+    "srt_listing_order": """SELECT 'capture' AS kind, id, row_number() OVER (PARTITION BY application_id ORDER BY created_at DESC, id) AS place FROM {network_captures} WHERE scenario = 'upload'
+        UNION ALL SELECT 'application', id, row_number() OVER (PARTITION BY language_code ORDER BY created_at, id) FROM {applications} WHERE is_active""",
     "str_consistent": "SELECT application_id, count(*) AS tasks FROM {crawl_tasks} WHERE application_id IN (SELECT id FROM {applications}) GROUP BY 1",
     "str_match_ready": "SELECT id AS capture_id, status FROM {lifecycle} WHERE capture_size_bytes % 10 <> 0",
     "str_claimable": f"SELECT id, status FROM {{lifecycle}} WHERE status = 'uploaded' OR ({STALE})",
