@@ -221,6 +221,19 @@ def kinds(t: Bound) -> DataFrame:
     return d.select("user_id", F.array_join("kinds", ",").alias("kinds"))
 
 
+def table_rules(t: Bound) -> DataFrame:
+    """Rules of five tables, of rows some of which break each of them."""
+    k = F.col("ratings_count")
+    snapshots = t["playstore_app_snapshots"].withColumns({"score": k.cast("double") / 15, "crawl_task_id": F.concat(F.lit("t"), F.floor(F.col("id") / 50)), "min_installs": k - 3})
+    observations = t["review_observations"].withColumns({"position": F.col("position") * 11, "sentiment_status": F.when(F.col("thumbs_up_count") % 50 == 7, "lost").otherwise(F.col("sentiment_status"))})
+    reviews = t["reviews"].withColumn("last_observed_at", F.when(F.col("versions") % 3 == 1, F.col("last_observed_at") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("last_observed_at")))
+    n = F.col("id").cast("bigint")
+    applications = t["applications"].withColumns({"country_code": F.when(n % 5 != 0, F.col("country_code")), "deactivated_at": F.when(n % 4 == 0, F.col("created_at"))})
+    captures = t["network_captures"].withColumns({"analysis_id": F.when(F.col("capture_size_bytes") % 2 == 0, F.col("capture_sha256")), "transfer_file_size_bytes": F.col("transfer_file_size_bytes") - 1048576})
+    tables = {"playstore_app_snapshots": snapshots, "review_observations": observations, "reviews": reviews, "applications": applications, "network_captures": captures}
+    return reduce(DataFrame.unionByName, [quality.check_table(df, name).withColumn("source", F.lit(name)) for name, df in tables.items()])
+
+
 def capability_states(t: Bound) -> DataFrame:
     """The five states where tables are whole, thin, empty or without columns; groups of trials are sessions of an application, and a completed transfer counts."""
     m, group, ok = t["experiment_manifest"], ["experiment_id", "session_id", "application_package", "scenario"], F.col("transfer_completed")
@@ -255,5 +268,5 @@ RULES: dict[str, Callable[[Bound], DataFrame]] = {
     "dq_release_overlaps": lambda t: quality.check_overlaps(quality.default_windows(t["faulty_releases"])), "dq_gates": gates, "dq_optional_columns": without_sentiment, "dq_fingerprint": fingerprinted,
     "str_consistent": consistent, "str_match_ready": ready, "str_claimable": lambda t: ingest.claimable(t["lifecycle"], now(), 86_400).select("id", "status"), "str_retryable": lambda t: ingest.retryable(t["lifecycle"]).select("id"), "str_reconcile": reconciled, "str_append_observations": appended,
     "dsh_ledger": claimed, "dq_analysis_results": analyses, "log_expanded": expanded, "str_current_reviews": state_of_reviews,
-    "dq_capability_states": capability_states, "srt_listing_order": listing_order,
+    "dq_capability_states": capability_states, "dq_table_rules": table_rules, "srt_listing_order": listing_order,
 }

@@ -21,6 +21,8 @@ TRIAL = ["experiment_id", "session_id", "application_package", "scenario", "app_
 
 def violations(df: DataFrame, record: str, rules: Sequence[tuple[str, Column, str]]) -> DataFrame:
     """A row for each rule that a row breaks; a condition that is NULL isn't a violation. One scan for all rules."""
+    if not rules:
+        return df.limit(0).select(F.col(record).cast("string").alias("record"), *(F.lit("").alias(c) for c in ("rule", "message")))
     found = F.array_compact(F.array(*(F.when(bad, F.struct(F.lit(rule).alias("rule"), F.lit(message).alias("message"))) for rule, bad, message in rules)))
     return df.select(F.col(record).cast("string").alias("record"), F.inline(found))
 
@@ -131,6 +133,39 @@ def check_constraints(df: DataFrame, record: str, ranges: dict[str, tuple[float
     return violations(df, record, rules)
 
 
+#: What must hold in each table: its record's column, unique keys, ranges, enums, counts that aren't negative, pairs of columns in order, and pairs that are null together.
+TABLE_RULES: dict[str, dict] = {
+    "applications": {"record": "id", "unique": [["package_name"]], "together": [("language_code", "country_code")], "unless": [("is_active", "deactivated_at")]},
+    "categories": {"record": "id", "unique": [["code"]]},
+    "ingested_events": {"record": "event_id", "unique": [["event_id"], ["topic", "partition", "offset"]], "ranges": {"schema_version": (1, None)}, "counts": ["partition", "offset"]},
+    "playstore_app_snapshots": {"record": "id", "unique": [["crawl_task_id"]], "ranges": {"score": (0, 5)}, "counts": ["min_installs", "ratings_count", "reviews_count"]},
+    "reviews": {"record": "id", "unique": [["application_id", "external_review_id"]], "ranges": {"score": (1, 5)}, "counts": ["thumbs_up_count"], "ordered": [("first_observed_at", "last_observed_at")]},
+    "review_observations": {
+        "record": "crawl_task_id", "unique": [["crawl_task_id", "review_id"]], "ranges": {"position": (1, 1000), "score": (1, 5)}, "counts": ["thumbs_up_count"],
+        "enums": {"sentiment_status": ("pending", "done", "skipped", "failed"), "sentiment_label": ("positive", "neutral", "negative")},
+    },
+    "network_captures": {
+        "record": "id", "unique": [["ready_event_id"], ["analysis_id"], ["analysis_event_id"]], "ranges": {"capture_size_bytes": (1, None), "transfer_file_size_bytes": (1, None)}, "counts": ["analysis_attempt_count"],
+        "enums": {"scenario": ("upload", "download"), "capture_format": ("pcap", "pcapng"), "status": ("pending_upload", "uploaded", "analyzing", "analyzed", "failed", "expired")},
+    },
+}
+
+
+def check_table(df: DataFrame, table: str) -> DataFrame:
+    """DQ-11, DQ-12 on one of TABLE_RULES: every row that breaks what must hold there. Rules on columns that df lacks don't count; a NULL key is no key."""
+    r, has = TABLE_RULES[table], lambda *names: all(c in df.columns for c in names)
+    record = r["record"]
+    found = check_constraints(df, record, {c: v for c, v in r.get("ranges", {}).items() if has(c)}, {c: v for c, v in r.get("enums", {}).items() if has(c)}, [c for c in r.get("counts", ()) if has(c)])
+    rules = [("order", F.col(a) > F.col(b), f"{a} is after {b}") for a, b in r.get("ordered", ()) if has(a, b)]
+    rules += [("pair", F.col(a).isNull() != F.col(b).isNull(), f"{a} and {b} go together") for a, b in r.get("together", ()) if has(a, b)]
+    rules += [("state", F.col(a) == F.col(b).isNotNull(), f"{b} is set when {a} isn't") for a, b in r.get("unless", ()) if has(a, b)]
+    found = found.unionByName(violations(df, record, rules))
+    for keys in r.get("unique", ()):
+        if has(*keys):
+            found = found.unionByName(check_unique(df.dropna(subset=keys), keys, record))
+    return found
+
+
 def check_analysis_results(df: DataFrame, record: str = "capture_id") -> DataFrame:
     """DQ-11 on analysis results: of the columns of an analysis that df has, counts, durations and rates aren't negative, shares lie within 0 and 1, sizes are above zero."""
     kinds = {name: kind.rstrip("?") for group in ANALYSIS.values() for kind, names in group.items() for name in names.split() if name in df.columns}

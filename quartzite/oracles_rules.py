@@ -107,6 +107,16 @@ SQL: dict[str, str] = {
     "dq_gates": "SELECT unnest(['base', 'network', 'experiment', 'release', 'sentiment']) AS capability, unnest([TRUE, network_state NOT IN ('NETWORK_SCHEMA_MISSING', 'NETWORK_GRANTS_MISSING'), experiment_state = 'VERIFIED_EXPERIMENT_AVAILABLE', release_state = 'RELEASE_METADATA_AVAILABLE', sentiment_state = 'SENTIMENT_DATA_AVAILABLE']) AS enabled FROM {capabilities}",
     "dq_optional_columns": "SELECT crawl_task_id, review_id, CAST(NULL AS VARCHAR) AS sentiment_status, CAST(NULL AS VARCHAR) AS sentiment_label, CAST(NULL AS VARCHAR) AS sentiment_language FROM {review_observations}",
     "dq_fingerprint": """SELECT sha256(string_agg(sha256('{{"new_version":"' || new_version || '","previous_version":"' || previous_version || '","release_event_id":"' || release_event_id || '"}}'), chr(10) ORDER BY release_event_id)) AS fingerprint FROM {release_manifest}""",
+    "dq_table_rules": f"""WITH s AS (SELECT * REPLACE (CAST(ratings_count AS DOUBLE) / 15 AS score, 't' || CAST(floor(id / 50) AS BIGINT) AS crawl_task_id, ratings_count - 3 AS min_installs) FROM {{playstore_app_snapshots}}),
+        o AS (SELECT * REPLACE (position * 11 AS position, CASE WHEN thumbs_up_count % 50 = 7 THEN 'lost' ELSE sentiment_status END AS sentiment_status) FROM {{review_observations}}),
+        v AS (SELECT * REPLACE (CASE WHEN versions % 3 = 1 THEN last_observed_at - INTERVAL 1 DAY ELSE last_observed_at END AS last_observed_at) FROM {{reviews}}),
+        a AS (SELECT *, CASE WHEN CAST(id AS BIGINT) % 5 <> 0 THEN country_code END AS country, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN created_at END AS deactivated_at FROM {{applications}}),
+        n AS (SELECT *, CASE WHEN capture_size_bytes % 2 = 0 THEN capture_sha256 END AS analysis_id FROM {{network_captures}})
+        SELECT 'playstore_app_snapshots' AS source, * FROM ({broken('s', 'id', [("range", "score > 5", "score is out of range"), ("range", "min_installs < 0", "min_installs is out of range"), ("unique", "crawl_task_id IN (SELECT crawl_task_id FROM s GROUP BY 1 HAVING count(*) > 1)", "crawl_task_id must be unique")])})
+        UNION ALL SELECT 'review_observations', * FROM ({broken('o', 'crawl_task_id', [("range", "position > 1000", "position is out of range"), ("enum", "sentiment_status = 'lost'", "sentiment_status is unknown")])})
+        UNION ALL SELECT 'reviews', * FROM ({broken('v', 'id', [("order", "first_observed_at > last_observed_at", "first_observed_at is after last_observed_at")])})
+        UNION ALL SELECT 'applications', * FROM ({broken('a', 'id', [("pair", "(language_code IS NULL) <> (country IS NULL)", "language_code and country_code go together"), ("state", "is_active = (deactivated_at IS NOT NULL)", "deactivated_at is set when is_active isnt")]).replace("isnt", "isn''t")})
+        UNION ALL SELECT 'network_captures', * FROM ({broken('n', 'id', [("range", "transfer_file_size_bytes <= 1048576", "transfer_file_size_bytes is out of range"), ("unique", "analysis_id IN (SELECT analysis_id FROM n GROUP BY 1 HAVING count(*) > 1)", "analysis_id must be unique")])})""",
     "dq_capability_states": f"""SELECT "case", CASE WHEN c IS NULL THEN 'NETWORK_SCHEMA_MISSING' WHEN c = 0 THEN 'NETWORK_EMPTY' WHEN best >= 3 THEN 'NETWORK_COMPARISON_READY' WHEN e > 0 THEN 'NETWORK_COMPARISON_INSUFFICIENT' ELSE 'NETWORK_DATA_AVAILABLE' END AS network_state,
         CASE WHEN e > 0 THEN 'VERIFIED_EXPERIMENT_AVAILABLE' ELSE 'MANIFEST_NOT_SUPPLIED' END AS experiment_state, CASE WHEN r > 0 THEN 'RELEASE_METADATA_AVAILABLE' ELSE 'MANIFEST_NOT_SUPPLIED' END AS release_state,
         CASE WHEN s IS NULL THEN 'SENTIMENT_SCHEMA_MISSING' WHEN s > 0 THEN 'SENTIMENT_DATA_AVAILABLE' ELSE 'SENTIMENT_EMPTY' END AS sentiment_state, 'ANNOTATIONS_UNAVAILABLE' AS topic_state FROM ({CASES})""",
