@@ -5,7 +5,9 @@ share at least l of their first |A| - ceil(t |A|) + l shingles, and, of the set
 more of its prefix may be missing in the other's than the similarity leaves room for. Each order gives such a filter. A
 pair of documents is a candidate if it passes every one of them, and only candidates are verified by the whole sets.
 
-Orders are: shingles that very many documents have last, all else by a hash that each order has its own. Documents with
+Orders are: shingles that very many documents have last, all else by a hash that each order has its own. Under the first
+order all shingles of more than GROUP documents are last: the most frequent ones as a list that every task has, the others
+as a table that prefixes are joined with, until none has such a shingle that it needn't have. Documents with
 equal sets are one class from the start. Pairs are rows only where at most GROUP documents have a shingle: there they
 are counted under the first order, and what passes is held against the prefixes of the others. A shingle of more documents makes no pairs at all: each
 of its documents is tied to one of them, a row for a document. Documents that candidates and ties join to each other are
@@ -33,7 +35,8 @@ from quartzite.llm.common import components, discard, give_back, row_groups, sma
 #: Largest group of documents with one shingle of which pairs are rows.
 GROUP = 32
 #: A shingle that more than GROUP and more than one in COMMON documents have goes to the end of every order; so there are at
-#: most COMMON times a mean prefix's length of them, about ten megabytes at any size of the corpus. They are counted in
+#: most COMMON times a mean prefix's length of them, about ten megabytes at any size of the corpus. (From COMMON times GROUP
+#: documents on others of more than GROUP documents are left; those go to the first order's end by joins.) They are counted in
 #: prefixes STRETCH times as long, as what goes to the end makes room for others.
 COMMON, STRETCH = 20_000, 1.25
 #: Orders, the first one included.
@@ -126,13 +129,15 @@ def ranks(tokens: np.ndarray, common: np.ndarray, order: int) -> tuple[np.ndarra
         return late, _mix(tokens + np.uint64(order) * _K[0]) if order else tokens
 
 
-def prefix(tokens: np.ndarray, common: np.ndarray, order: int, percent: int, stretch: float = 1) -> tuple[np.ndarray, bool, int]:
-    """The prefix of a set under an order; part and place of its last token, as numbers that sort alike."""
+def prefix(tokens: np.ndarray, common: np.ndarray, order: int, percent: int, stretch: float = 1, more: np.ndarray | None = None) -> tuple[np.ndarray, bool, int]:
+    """The prefix of a set under an order, with more tokens in its last part; part and place of its last token, as numbers that sort alike."""
     n = len(tokens)
     length = min(n, int(stretch * (n - -(-percent * n // 100) + shared_least(n))))
     if not length:
         return tokens[:0], False, 0
     late, rank = ranks(tokens, common, order)
+    if more is not None:
+        late = late | np.isin(tokens, more)
     chosen = np.lexsort((rank, late))[:length]
     end = chosen[-1]
     return tokens[chosen], bool(late[end]), int((rank[end : end + 1] ^ np.uint64(1 << 63)).view(np.int64)[0])
@@ -148,7 +153,7 @@ def _columns(orders: list[int]) -> list[str]:
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, percent: int, size: int, orders: list[int], keep_text: bool = False) -> DataFrame:
-    """id, n, the set's 128 bits f1 and f2, and the prefixes under some orders; the text too if it is to be kept."""
+    """id, n, the set's 128 bits f1 and f2, and the prefixes under some orders; the text too if it is to be kept. docs may have an array `last` of tokens that are to be last."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
     names, kinds = _columns(orders), [pa.list_(pa.int64()), pa.bool_(), pa.int64()] * len(orders)
 
@@ -156,8 +161,10 @@ def _prefixes(docs: DataFrame, common: np.ndarray, percent: int, size: int, orde
         for part, texts in row_groups(batches, "text"):
             sets, prints = shingle_sets(texts, size)
             columns: list[list] = [[] for _ in names]
-            for s in sets:
-                found = [x for o in orders for x in prefix(s, sent.value, o, percent)]
+            last = part.column("last").to_pylist() if "last" in part.schema.names else [None] * len(sets)
+            for s, own in zip(sets, last, strict=True):
+                more = None if own is None else np.array(own, np.int64).view(np.uint64)
+                found = [x for o in orders for x in prefix(s, sent.value, o, percent, more=more)]
                 for column, x in zip(columns, found, strict=True):
                     column.append(_signed(x) if isinstance(x, np.ndarray) else x)
             f = [pa.array(np.ascontiguousarray(_signed(prints)[:, k])) for k in range(2)]
@@ -168,8 +175,13 @@ def _prefixes(docs: DataFrame, common: np.ndarray, percent: int, size: int, orde
     return docs.mapInArrow(run, f"id bigint, n bigint, f1 bigint, f2 bigint{each}" + ", text string" * keep_text)
 
 
-def _common(docs: DataFrame, percent: int, size: int) -> np.ndarray:
-    """The shingles that go to the end of every order, sorted."""
+def _limit(docs: DataFrame) -> int:
+    """Documents of a shingle beyond which it is in the list that every task has."""
+    return max(GROUP, docs.count() // COMMON)
+
+
+def _counts(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """The shingles that more than GROUP documents have in their (longer) prefixes: t, and in how many, c."""
     nothing = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +189,32 @@ def _common(docs: DataFrame, percent: int, size: int) -> np.ndarray:
             chosen = [_signed(prefix(s, nothing, 0, percent, STRETCH)[0]) for s in shingle_sets(texts, size)[0]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen))], ["t"])
 
-    limit = max(GROUP, docs.count() // COMMON)
-    counts = docs.select("text").mapInArrow(run, "t bigint").groupBy("t").agg(F.count(F.lit(1)).alias("c"))
-    return np.sort(counts.where(F.col("c") > limit).select("t").toArrow().column("t").to_numpy().astype(np.int64).view(np.uint64))
+    return docs.select("text").mapInArrow(run, "t bigint").groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP)
+
+
+def _common(docs: DataFrame, percent: int, size: int, counts: DataFrame | None = None) -> np.ndarray:
+    """The shingles that go to the end of every order, sorted."""
+    found = (_counts(docs, percent, size) if counts is None else counts).where(F.col("c") > _limit(docs))
+    return np.sort(found.select("t").toArrow().column("t").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _settled(every: DataFrame, docs: DataFrame, common: np.ndarray, more: DataFrame, percent: int, size: int) -> DataFrame:
+    """every (what _prefixes gives) under the order in which the shingles of `more` are last too.
+
+    A prefix that has such a shingle is made anew with that shingle last, and looked at again, as what moved up may be
+    one as well. In the end each prefix is what it would be if all of its document's shingles had been looked up.
+    """
+    known = None
+    while True:
+        found = every.where("id is not null").select("id", F.explode("tokens0").alias("t")).join(more, "t").distinct()
+        found = written(found if known is None else found.join(known, ["id", "t"], "left_anti"), "last")
+        if found.isEmpty():
+            return every
+        known = written(found if known is None else known.unionByName(found), "known")
+        # a document's shingles are bounded by its text
+        last = known.join(found.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("t").alias("last"))
+        again = _prefixes(docs.join(last.hint("merge"), "id"), common, percent, size, [0])
+        every = written(every.join(found.select("id").distinct(), "id", "left_anti").unionByName(again), "prefixes")
 
 
 def _other(*columns: str) -> list[Column]:
@@ -373,8 +408,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
     known = docs.where("id is not null")
-    common = _common(known, percent, size)
+    counts, limit = _counts(known, percent, size), _limit(known)
+    if limit > GROUP:
+        counts = written(counts, "counts")
+    common = _common(known, percent, size, counts)
     every = written(_prefixes(docs, common, percent, size, [0]), "prefixes")
+    if limit > GROUP:
+        every = _settled(every, known, common, counts.where(F.col("c") <= limit).select("t"), percent, size)
 
     # classes of equal sets; of each, its smallest id goes on
     same = ["n", "f1", "f2"]

@@ -136,3 +136,41 @@ def test_long_chains_are_one_component(spark):
     links = spark.range(500).selectExpr("id as a", "id + 1 as b")
     assert components(links).where("component = 0").count() == 501
     assert components(links.limit(0)).count() == 0
+
+
+def stocked(rng, n):
+    """Documents of own words and stock phrases that about a hundred documents have each; a few near copies among them."""
+    phrases = [[f"p{k}w{i}" for i in range(6)] for k in range(n // 8)]
+    docs = []
+    for i in range(n):
+        text = []
+        for _ in range(12):
+            text += [*(f"w{rng.randrange(10**7)}" for _ in range(4)), *phrases[rng.randrange(len(phrases))]]
+        docs.append((i, " ".join(text)))
+    for k in range(20):
+        words = docs[k * 7][1].split()
+        words[rng.randrange(len(words))] = "changed"
+        docs.append((n + k, " ".join(words)))
+    return docs
+
+
+def test_phrases_of_many_documents_make_no_large_unit(spark, monkeypatch):
+    """As from the number of documents on where the list that tasks have can't hold all shingles of large groups."""
+    shipped, true = [], J._forests
+    monkeypatch.setattr(J, "_forests", lambda places, *rest: (shipped.append(places.count()), true(places, *rest))[1])
+    for n in (1_000, 3_000):
+        monkeypatch.setattr(J, "COMMON", n // 160)
+        shipped.clear()
+        docs = stocked(random.Random(n), n)
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+        got = {r.doc_id: r.component_id for r in J.jaccard_components(df).collect()}
+        assert got == {i: (i if i < n else (i - n) * 7) for i, _ in docs}
+        assert sum(shipped) <= 0.2 * n, shipped
+
+
+def test_the_order_of_joined_shingles_against_brute_force(spark, monkeypatch):
+    docs = family(random.Random(4), 300)
+    monkeypatch.setattr(J, "COMMON", 1)  # nothing is in the list
+    df = spark.createDataFrame([*docs, (None, "a b c d")], "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in J.jaccard_components(df).where("doc_id is not null").collect())
+    assert got == brute(docs)
