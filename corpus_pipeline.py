@@ -23,6 +23,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CHUNK = 4_000_000
 
 
+def _rested(spark: SparkSession) -> None:
+    """Has executors collect garbage, so that they give back the heap that the stage before needed: Python workers of the next one have to live beside it."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def _sized(docs: DataFrame) -> DataFrame:
     """The columns of documents, n_chars being those of the text as it is now."""
     return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(*COLUMNS)
@@ -33,6 +39,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Null and empty texts and texts without letters go; without a labelled document nothing is learned, and all go.
     """
+    _rested(spark)
     docs = docs.select(*COLUMNS)
     model = language.fit(docs.where(~language.held_out()))
     found = language.predict(docs, model)
@@ -41,22 +48,26 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that near-duplicate links join, the one of the smallest id; a link is four fifths of the five-word shingles or more. Texts without words stay."""
+    _rested(spark)
     return jaccard.one_of_each(docs, percent=80, size=5).select(*COLUMNS)
 
 
 def cut_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 bytes or more that a document of a smaller id has; no document goes."""
+    _rested(spark)
     return _sized(substrings.repeated_spans(docs.select(*COLUMNS), cut=True, chunk_bytes=CHUNK))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of ten words that a benchmark item has; no document goes."""
+    _rested(spark)
     found = decontaminate.contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return _sized(decontaminate.without_hits(found))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each document's tokens and of what they decode to."""
+    _rested(spark)
     return bpe.encode_decode(docs, vocabulary())
 
 
