@@ -1,4 +1,4 @@
-"""Queries on ingestion and panels as streams see them: batch after batch, with state between."""
+"""Queries on ingestion and panels as streams see them, batch after batch with state between, and on what is read from files."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzite.bindings import Bound
+from quartzite.operators import packets
 from quartzite.session import shared_folder
-from quartzite.sources import sinks
+from quartzite.sources import readers, sinks
 from quartzite.streaming import ingest, windows
 from quartzite.streaming.keyed import Claims
 
@@ -112,6 +113,34 @@ def task_windows(t: Bound) -> DataFrame:
     return _panel(t, rows, windows.task_duration_panel("1 hour", "1 day"))
 
 
+def packet_files(t: Bound) -> DataFrame:
+    """The dissector's lines, written to files and read back with their numbers as typed packets; some have no time."""
+    path = shared_folder(t.spark, "packets")
+    tcp, n = F.col("event_type").isin("click", "view"), lambda c: c.cast("string")
+    cells = {
+        "frame.time_epoch": F.when(F.col("k") % 25 != 1, F.concat(n(F.col("event_id")), F.lit(".5"))), "frame.len": n(60 + F.col("k")), "frame.cap_len": F.format_string("0x%x", 60 + F.col("k")), "frame.packet_flags_direction": F.when(F.col("event_id") % 2 == 0, "2").when(F.col("k") % 3 > 0, "1"),
+        "ip.len": F.when(F.col("user_id") % 4 > 0, n(40 + F.col("k"))), "ipv6.plen": F.when(F.col("user_id") % 4 == 0, n(F.col("k"))), "ip.src": F.lit("10.0.0.1,10.0.0.2"), "ip.dst": F.lit("1.1.1.1"),
+        "tcp.srcport": F.when(tcp, "5000"), "tcp.dstport": F.when(tcp, "443"), "tcp.len": F.when(tcp, n(F.col("k"))), "tcp.flags.syn": F.when(F.col("k") % 7 == 0, "1"), "udp.srcport": F.when(F.col("event_type") == "signup", "53"), "udp.dstport": F.when(F.col("event_type") == "signup", "5353"), "udp.length": F.when(F.col("event_type") == "signup", n(F.col("k"))),
+    }
+    line = F.concat_ws("\t", *(F.concat(F.lit('"'), F.coalesce(cells.get(c, F.lit("")), F.lit("")), F.lit('"')) for c in readers.PACKET_FIELDS))
+    t["ev"].select(line.alias("value")).write.text(path)
+    lines = readers.read_packet_fields(t.spark, path)
+    found = packets.normalize_packets(lines).groupBy("transport", "direction", "ip_version").agg(F.count(F.lit(1)).alias("packets"), F.sum("network_bytes").alias("network_bytes"), F.sum("l4_payload_bytes").alias("payload_bytes"), F.count_if("tcp_syn").alias("syns"), F.max("captured_len").alias("longest"))
+    numbers = lines.groupBy("capture_id").agg(F.max("packet_no").alias("last"), F.count_distinct("packet_no").alias("n")).agg(F.sum("last").alias("lines"), F.sum("n").alias("numbers"))
+    return found.crossJoin(F.broadcast(numbers))
+
+
+def manifest_files(t: Bound) -> DataFrame:
+    """Experiment manifests of at most some thousand captures, one JSON document a file, read back as one table."""
+    path = shared_folder(t.spark, "manifests")
+    known = [c.split(" ")[0] for c in readers.EXPERIMENT.split(", ")]
+    m = t["experiment_manifest"]
+    body = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.collect_list(F.struct(*(c for c in known if c in m.columns))).alias("captures")))
+    m.groupBy("experiment_id", F.floor(F.regexp_extract("capture_id", r"\d+", 0).cast("bigint") / 2000)).agg(body.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_experiment_manifest(t.spark, path).select("capture_id", "experiment_id", "trial_number", "pair_id", "capture_started_at_utc", "transfer_completed", "test_file_size_bytes", "protocol_notes")
+
+
 STREAMS: dict[str, Callable[[Bound], DataFrame]] = {
     "str_keyed_reviews": keyed_reviews, "str_claimed_batches": claimed_batches, "str_wire_reasons": wire_reasons, "str_wire_routed": wire_routed, "str_log_windows": log_windows, "str_task_windows": task_windows,
+    "src_packet_files": packet_files, "src_manifest_files": manifest_files,
 }
