@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quartzite.bindings import Bound
 from quartzite.operators import packets
 from quartzite.session import shared_folder
-from quartzite.sources import readers, sinks
+from quartzite.sources import event_log, readers, sinks
 from quartzite.streaming import ingest, windows
 from quartzite.streaming.keyed import Claims
 
@@ -85,6 +86,23 @@ def wire_routed(t: Bound) -> DataFrame:
     return reviews.unionByName(stats)
 
 
+def ingest_run(t: Bound) -> DataFrame:
+    """Wire events published in two batches, of which the second repeats some of the first, and ingested by a run of a bounded stream and one without a bound: rows of each table and state."""
+    root = shared_folder(t.spark, "ingest")
+    half = F.pmod(F.xxhash64("value"), F.lit(6))
+    sent, log = wire(t).select("key", "value", "topic"), f"{root}/log"
+    topics = ["playstore.app-stats.v1", "playstore.review-observed.v1"]
+    run = lambda **options: ingest.run_ingest(event_log.read_log(t.spark, log, topics, **options), f"{root}/out", f"{root}/ck").awaitTermination()
+    event_log.publish(sent.where(half < 3), log, "one")
+    run(most=max(1, sent.count() // 4), group="q")
+    event_log.publish(sent.where(half > 1), log, "two")
+    run()
+    read = lambda name: t.spark.read.parquet(f"{root}/out/{name}")
+    one = lambda name, d: d.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("source"), "rows")
+    parts = {"stats": read("app_stats_collected"), "reviews": read("review_observed"), "ledger": read("ledger"), "refused events": read("quarantine").select("event_id").distinct(), "review state": ingest.review_state(t.spark, f"{root}/out").read(), "observations": ingest.observation_state(t.spark, f"{root}/out").read(), "snapshots": ingest.snapshot_state(t.spark, f"{root}/out").read()}
+    return reduce(DataFrame.unionByName, [one(name, d) for name, d in parts.items()])
+
+
 def _panel(t: Bound, rows: DataFrame, panel: windows.Panel) -> DataFrame:
     root = shared_folder(t.spark, "panel")
     for b in range(BATCHES + 1):
@@ -142,5 +160,5 @@ def manifest_files(t: Bound) -> DataFrame:
 
 STREAMS: dict[str, Callable[[Bound], DataFrame]] = {
     "str_keyed_reviews": keyed_reviews, "str_claimed_batches": claimed_batches, "str_wire_reasons": wire_reasons, "str_wire_routed": wire_routed, "str_log_windows": log_windows, "str_task_windows": task_windows,
-    "src_packet_files": packet_files, "src_manifest_files": manifest_files,
+    "str_ingest_run": ingest_run, "src_packet_files": packet_files, "src_manifest_files": manifest_files,
 }

@@ -29,6 +29,9 @@ STREAM_SQL = {
         WHERE event_type IN ('purchase', 'signup', 'click', 'view', 'error') AND k % 10 <> 3 AND CASE WHEN event_type IN ('purchase', 'signup') THEN k % 1002 BETWEEN 1 AND 1000 ELSE k % 60 <= 50 END GROUP BY ALL""",
     "str_log_windows": _windows("SELECT ts AS seen, 'svc' || user_id % 7 AS service, b FROM e", "service", "6 HOURS"),
     "str_task_windows": _windows("SELECT ts AS seen, CASE WHEN event_type IN ('purchase', 'signup') THEN 'reviews' ELSE 'app_details' END AS task_type, CASE WHEN k % 3 = 0 THEN 30 ELSE 90 END AS s, b FROM e WHERE k % 3 < 2", "task_type", "1 DAY", ", CAST(sum(s) FILTER (WHERE NOT too_late) AS DOUBLE) AS seconds", ", seconds"),
+    "str_ingest_run": """WITH w AS (SELECT event_type IN ('purchase', 'signup') AS review, k % 10 <> 3 AND CASE WHEN event_type IN ('purchase', 'signup') THEN k % 1002 BETWEEN 1 AND 1000 ELSE k % 60 <= 50 END AS good FROM {ev} WHERE event_type IN ('purchase', 'signup', 'click', 'view', 'error')),
+        n AS (SELECT count(*) FILTER (WHERE good AND review) AS r, count(*) FILTER (WHERE good AND NOT review) AS s, count(*) FILTER (WHERE NOT good) AS bad FROM w)
+        SELECT unnest(['stats', 'reviews', 'ledger', 'refused events', 'review state', 'observations', 'snapshots']) AS source, unnest([s, r, r + s, bad, r, r, s]) AS rows FROM n""",
     "src_packet_files": """WITH p AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 'tcp' WHEN event_type = 'signup' THEN 'udp' ELSE 'other' END AS transport, CASE WHEN event_id % 2 = 0 THEN 'tx' WHEN k % 3 > 0 THEN 'rx' END AS direction FROM {ev})
         SELECT transport, direction, CASE WHEN user_id % 4 > 0 THEN 4 ELSE 6 END AS ip_version, count(*) AS packets, CAST(sum(40 + k) AS BIGINT) AS network_bytes, CAST(sum(CASE transport WHEN 'tcp' THEN k WHEN 'udp' THEN greatest(0, k - 8) ELSE 0 END) AS BIGINT) AS payload_bytes,
         count(*) FILTER (WHERE k % 7 = 0) AS syns, max(60 + k) AS longest, (SELECT count(*) FROM p) AS lines, (SELECT count(*) FROM p) AS numbers FROM p WHERE k % 25 <> 1 GROUP BY ALL""",
