@@ -75,8 +75,8 @@ def check_pairs(df: DataFrame, cohorts: DataFrame | None = None) -> DataFrame:
 
 
 def with_cohorts(df: DataFrame) -> DataFrame:
-    """Opaque ids: of the file, and of the applications of a capture's pair."""
-    w = Window.partitionBy("pair_id")
+    """Opaque ids: of the file, and of the applications of a capture's pair. Captures without a pair are dealt one by one, as they aren't a group."""
+    w = Window.partitionBy("pair_id", F.when(F.col("pair_id").isNull(), F.col("capture_id")))
     apps = F.when(F.col("pair_id").isNotNull(), F.array_join(F.array_sort(F.collect_set("application_package").over(w)), "\x1f"))
     d = df.withColumn("_apps", apps)
     return d.withColumns({"file_cohort_id": opaque_id("file", "test_file_sha256", "test_file_size_bytes"), "comparison_cohort_id": F.when(F.col("_apps").isNotNull(), opaque_id("cohort", "_apps"))}).drop("_apps")

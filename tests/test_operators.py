@@ -119,6 +119,19 @@ def test_manifest_rules(spark, tmp_path):
     assert ids[0].file_cohort_id.startswith("file_") and {r.comparison_cohort_id is None for r in ids} == {True, False}
 
 
+def test_captures_without_a_pair_are_no_group(spark):
+    m = spark.range(1000).select(F.col("id").alias("capture_id"), F.when(F.col("id") < 4, F.floor(F.col("id") / 2)).alias("pair_id"), F.concat(F.lit("a"), F.col("id") % 4).alias("application_package"), F.lit("f").alias("test_file_sha256"), F.lit(1).alias("test_file_size_bytes"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = Q.with_cohorts(m).withColumn("_task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    ids = {r.capture_id: r.comparison_cohort_id for r in got}
+    assert len(ids) == len(got) == 1000 and ids[0] == ids[1] != ids[2] == ids[3] and not any(ids[k] for k in range(4, 1000))
+    assert len({r._task for r in got if r.capture_id > 3}) == 4
+
+
 def test_release_rules_and_windows(spark):
     rel = spark.createDataFrame([("r", "com.a.b", "1", "1", "2024-02-15", "day", True), ("r", "com.a.b", "1", "2", "2024-02-20", "day", True), ("s", "com.a.b", "1", "2", "2024-02-20", "month", True)], "release_event_id string, application_package string, previous_version string, new_version string, d string, release_date_precision string, release_date_verified boolean")
     rel = Q.default_windows(rel.withColumns({"release_date": F.to_date("d")} | {c: F.lit(None).cast("date") for c in ("baseline_start", "baseline_end", "followup_start", "followup_end")}))
