@@ -100,7 +100,7 @@ def _untimed(schema: str) -> str:
 
 def same_keys(text: Column, names: list[str]) -> Column:
     """Does a JSON object have exactly these keys?"""
-    return F.array_sort(F.json_object_keys(text)) == F.array(*map(F.lit, sorted(names)))
+    return F.sort_array(F.json_object_keys(text)) == F.array(*map(F.lit, sorted(names)))
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -119,8 +119,8 @@ def _analysis_ok(schema: str) -> Column:
 
     null = lambda kind, may: f"({kind}|VOID)" if may else kind
     groups = {g: null(pattern({name: null(kinds[kind.rstrip("?")], kind.endswith("?")) for name, kind in _fields_of(g)}), g in ("tcp", "quic", "udp", "dns")) for g in ANALYSIS}
-    shape = F.schema_of_variant("_p").rlike(f"^{pattern(dict.fromkeys(_ANALYSIS_TEXTS, 'STRING') | groups)}$")
-    p = F.col("payload")
+    shape = F.col("_type").rlike(f"^{pattern(dict.fromkeys(_ANALYSIS_TEXTS, 'STRING') | groups)}$")
+    p = F.to_json("_p")
 
     def ranges(v: Column) -> Column:
         of = lambda *want: F.array(*(v[g][name].cast("double") for g in ANALYSIS for name, kind in _fields_of(g) if kind.rstrip("?") in want))
@@ -136,63 +136,80 @@ def _analysis_ok(schema: str) -> Column:
     return shape & F.get_json_object(p, "$.analyzed_at").rlike(AWARE) & F.transform(F.array(F.from_json(p, _untimed(schema))), ranges)[0]
 
 
-def _payload_ok(event_type: str, schema: str) -> Column:
-    """The payload's keys, types and ranges: no more and no fewer fields, whole numbers as such, times with a zone."""
-    if event_type == _ANALYSIS:
-        return F.coalesce(_analysis_ok(schema), F.lit(False))
-    # _p is parsed already: a field is a look-up in it
-    get = lambda name, kind="string": F.try_variant_get("_p", f"$.{name}", kind)
-    ok = F.col("_fields") == F.array(*map(F.lit, sorted(_names(schema))))
+def _shape(schema: str) -> str:
+    """A pattern over the type of a whole payload: its fields, no more and no fewer, whole numbers as such."""
+    kinds = {"bigint": "BIGINT", "int": "BIGINT", "boolean": "BOOLEAN", "double": r"(BIGINT|DOUBLE|DECIMAL\(\d+, ?\d+\))"}
+    fields = dict(f.split(" ") for f in schema.split(", "))
+    parts = [f"{name}: {f'({kind}|VOID)' if name in OPTIONAL else kind}" for name, kind in sorted((name, kinds.get(kind, "STRING")) for name, kind in fields.items())]
+    return f"^OBJECT<{', '.join(parts)}>$"
+
+
+def _payload_ok(event_type: str, schema: str, v: Column) -> Column:
+    """What a payload of the right shape holds: ranges, texts that aren't blank, times with a zone. v has its fields, each read once."""
+    ok = F.lit(True)
     for field in schema.split(", "):
         name, kind = field.split(" ")
-        text = get(name)
-        raw = F.schema_of_variant(get(name, "variant"))
+        text = v[name]
         good = {
-            "string": (raw == "STRING") & ((F.trim(text) != "") | ((text != "") & F.lit(name in LENIENT.get(event_type, ()))) | F.lit(name in BLANK)), "bigint": raw == "BIGINT", "int": raw == "BIGINT", "boolean": raw == "BOOLEAN", "double": raw.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"),
-            "timestamp": (raw == "STRING") & text.rlike(AWARE) & _instant(text).isNotNull(), "date": (raw == "STRING") & text.try_cast("date").isNotNull(),
-        }[kind]
+            "string": (F.trim(text) != "") | ((text != "") & F.lit(name in LENIENT.get(event_type, ()))) | F.lit(name in BLANK), "bigint": text >= 0, "int": text >= 0,
+            "timestamp": text.rlike(AWARE) & _instant(text).isNotNull(), "date": text.try_cast("date").isNotNull(),
+        }.get(kind, F.lit(True))
         good = F.coalesce(good, F.lit(False))
         ok = ok & ((good | text.isNull()) if name in OPTIONAL else good)
-        if kind in ("bigint", "int"):
-            ok = ok & F.coalesce(get(name, "bigint") >= 0, F.lit(True))
     for name in UUIDS.get(event_type, ()):
-        ok = ok & get(name).rlike(UUID)
-    number = lambda name: get(name, "double")
+        ok = ok & v[name].rlike(UUID)
     if event_type == "network.capture.ready":
-        ok = ok & get("scenario").isin("upload", "download") & get("capture_format").isin("pcap", "pcapng") & get("expected_sha256").rlike("^[0-9a-f]{64}$") & (number("capture_size_bytes") > 0) & (number("transfer_file_size_bytes") > 0)
+        ok = ok & v["scenario"].isin("upload", "download") & v["capture_format"].isin("pcap", "pcapng") & v["expected_sha256"].rlike("^[0-9a-f]{64}$") & (v["capture_size_bytes"] > 0) & (v["transfer_file_size_bytes"] > 0)
     if TABLES.get(event_type, event_type) == "app_stats_collected":
-        ok = ok & number("score").between(0, 5)
+        ok = ok & v["score"].between(0, 5)
     if TABLES.get(event_type, event_type) == "review_observed":
-        ok = ok & number("score").between(1, 5) & number("position").between(1, 1000)
+        ok = ok & v["score"].between(1, 5) & v["position"].between(1, 1000)
     return F.coalesce(ok, F.lit(False))
 
 
+def _fields(schema: str) -> str:
+    """A payload's fields as a struct's type; whole numbers are long, times text."""
+    wide = {"int": "bigint", "timestamp": "string", "date": "string"}
+    return f"struct<{', '.join(f'{name}: {wide.get(kind, kind)}' for name, kind in (f.split(' ') for f in schema.split(', ')))}>"
+
+
 def classify(messages: DataFrame, contracts: dict[str, tuple[str, str]] = CONTRACTS) -> DataFrame:
-    """Messages (key, value, topic, partition, offset) with event_id, event_type, occurred_at, payload and `reason`; NULL where the event is good."""
+    """Messages (key, value, topic, partition, offset) with event_id, event_type, occurred_at, payload and `reason`; NULL where the event is good.
+
+    Each step is compiled to a method of its own, of a size that the JVM compiles in turn (8000 bytes); that is why keys are
+    sorted by sort_array, each kind of payload has a step, and so have analyses, whose check Spark only interprets.
+    """
     get = lambda path, kind="string": F.try_variant_get("_v", path, kind)
     d = _once(messages, _text=F.col("value").cast("string"), _v=F.try_parse_json(F.col("value").cast("string")))
     d = _once(d, event_id=get("$.event_id"), event_type=get("$.event_type"), _version=F.schema_of_variant(get("$.schema_version", "variant")), schema_version=get("$.schema_version", "int"), occurred_at=get("$.occurred_at"), _p=get("$.payload", "variant"))
-    d = _once(d, _top=F.schema_of_variant("_v"), payload=F.to_json("_p"), _fields=F.array_sort(F.json_object_keys(F.to_json("_p"))))
-    top = F.col("_top")
+    d = _once(d, _type=F.schema_of_variant("_p"))
     topic = F.lit(None).cast("string")
-    good = F.lit(False)
     alike: dict[tuple, list[str]] = {}  # event types of one table, schema and strictness are checked by the same expression
     for name, (where, schema) in contracts.items():
         topic = F.when(F.col("event_type") == name, where).otherwise(topic)
         alike.setdefault((TABLES.get(name, name), schema, name in UUIDS), []).append(name)
-    for (_, schema, _), names in alike.items():
-        good = F.when(F.col("event_type").isin(*names), _payload_ok(names[0], schema)).otherwise(good)
+    fields = {schema: f"_f{k}" for k, schema in enumerate(dict.fromkeys(schema for name, (_, schema) in contracts.items() if name != _ANALYSIS))}
+    of = {schema: F.col("event_type").isin(*(name for name, (_, other) in contracts.items() if other == schema)) for schema in fields}
+    d = _once(d, **{at: F.when(of[schema] & F.col("_type").rlike(_shape(schema)), F.try_variant_get("_p", "$", _fields(schema))) for schema, at in fields.items()})
+    good = F.lit(False)
+    for k, ((_, schema, _), names) in enumerate(alike.items()):
+        ok = F.coalesce(_analysis_ok(schema), F.lit(False)) if names[0] == _ANALYSIS else F.col(fields[schema]).isNotNull() & _payload_ok(names[0], schema, F.col(fields[schema]))
+        d = _once(d, **{f"_ok{k}": F.when(F.col("event_type").isin(*names), ok)})
+        good = F.coalesce(F.col(f"_ok{k}"), good)
+    d = _once(d, _good=good)
     envelope = F.col("event_id").rlike(UUID) & F.col("occurred_at").rlike(AWARE) & _instant(F.col("occurred_at")).isNotNull()
     utf8 = F.is_valid_utf8(F.col("key").cast("string"))
     no = lambda c: ~F.coalesce(c, F.lit(False))
+    # what isn't an object has no keys
     conditions = [
-        F.col("value").isNull(), F.col("_v").isNull(), no(top.startswith("OBJECT")) | no(same_keys(F.col("_text"), KEYS)), no(F.col("event_type").isin(*contracts)), no((F.col("_version") == "BIGINT") & (F.col("schema_version") == 1)), no(topic == F.col("topic")),
-        no(envelope) | no(good), F.col("key").isNull(), no(utf8), no(F.get_json_object("payload", "$.application_id") == F.col("key").cast("string")),
+        F.col("value").isNull(), F.col("_v").isNull(), no(same_keys(F.col("_text"), KEYS)), no(F.col("event_type").isin(*contracts)), no((F.col("_version") == "BIGINT") & (F.col("schema_version") == 1)), no(topic == F.col("topic")),
+        no(envelope) | no(F.col("_good")), F.col("key").isNull(), no(utf8), no(F.try_variant_get("_p", "$.application_id", "string") == F.col("key").cast("string")),
     ]
     reason = F.lit(None).cast("string")
     for bad, name in reversed([*zip(conditions, REASONS, strict=True)]):
         reason = F.when(bad, name).otherwise(reason)
-    return _once(d, reason=reason).drop("_text", "_v", "_version", "_p", "_top", "_fields")
+    columns = [*messages.columns, "event_id", "event_type", "schema_version", "occurred_at"]
+    return _once(d, reason=reason).select(*columns, F.to_json("_p").alias("payload"), "reason")
 
 
 def split_invalid(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -208,22 +225,26 @@ def claim(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     return first(first(fresh, place), ["event_id"]).select(*batch.columns)
 
 
-def decoded(events: DataFrame, event_type: str, contracts: dict[str, tuple[str, str]] = CONTRACTS) -> DataFrame:
-    """The payloads of one event type as typed columns, beside their event's place; an analysis as one wide row."""
-    d = events.where(F.col("event_type") == event_type)
-    schema = contracts[event_type][1]
+def decoded(events: DataFrame, event_type: str | list[str], contracts: dict[str, tuple[str, str]] = CONTRACTS) -> DataFrame:
+    """The payloads of one event type, or of some with one schema, as typed columns, beside their event's place; an analysis as one wide row."""
+    names = [event_type] if isinstance(event_type, str) else list(event_type)
+    d = events.where(F.col("event_type").isin(*names))
+    schema = contracts[names[0]][1]
     d = d.select("event_id", "topic", "partition", "offset", F.from_json("payload", _untimed(schema)).alias("p")).select("event_id", "topic", "partition", "offset", "p.*")
     d = d.withColumns({c: _instant(F.col(c)) for c in re.findall(r"(\w+) timestamp(?:,|$)", schema)})
-    if event_type == _ANALYSIS:
+    if names[0] == _ANALYSIS:
         return flatten_analysis(d).withColumns({"source_analyzer": F.coalesce("source_analyzer", F.lit("tshark")), "analysis_warnings": F.coalesce("analysis_warnings", F.array().cast("array<string>"))})
     return d.withColumnRenamed("expected_sha256", "capture_sha256")
 
 
 def routed(events: DataFrame, contracts: dict[str, tuple[str, str]] = CONTRACTS) -> dict[str, DataFrame]:
-    """For each table the typed rows of its event types."""
+    """For each table the typed rows of its event types; those with one schema are read together, as each read works the events out anew."""
+    alike: dict[tuple[str, str], list[str]] = {}
+    for event_type, (_, schema) in contracts.items():
+        alike.setdefault((TABLES.get(event_type, event_type), schema), []).append(event_type)
     parts: dict[str, DataFrame] = {}
-    for event_type in contracts:
-        table, rows = TABLES.get(event_type, event_type), decoded(events, event_type, contracts)
+    for (table, _), names in alike.items():
+        rows = decoded(events, names, contracts)
         parts[table] = parts[table].unionByName(rows, allowMissingColumns=True) if table in parts else rows
     return parts
 

@@ -187,3 +187,37 @@ def test_a_panel_on_a_stream_is_the_batch_panel_of_what_was_in_time(spark, tmp_p
     assert sorted((r.timestamp - start).total_seconds() / 60 if r.timestamp else -1 for r in W.late_rows(spark, root).collect()) == [-1, 30]
     W.advance(spark.createDataFrame(batches[2], schema), panel, root, "other", 0)  # all of it is late now, but the newest window
     assert sorted((r.window_start.hour, r.level, r.records) for r in W.closed_windows(spark, panel, root).collect()) == got
+
+
+def test_events_are_classified_by_compiled_steps(spark):
+    """Only the step of analyses may be interpreted, and no method may be too large for the JVM to compile; a table's event types are read at once."""
+    from quartzite.bindings import Bound
+    from quartzite.catalog_streams import wire
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        d = I.classify(wire(Bound(spark, "/root/testdata/sf0.001")).limit(50))
+        plan = d._jdf.queryExecution()
+        steps = [line for line in plan.executedPlan().toString().splitlines() if "Generate inline" in line]
+        stages = plan.debug().codegenToSeq()
+        assert len(steps) > 5 and sum("*(" not in line for line in steps) <= 1
+        assert max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000
+        parts = I.routed(spark.createDataFrame([("e", "t", 0, 1, "x", "{}")], "event_id string, topic string, partition int, offset bigint, event_type string, payload string"))
+        assert parts["review_observed"]._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_types_of_payload_fields(spark):
+    u = lambda n: f"00000000-0000-4000-8000-{n:012d}"
+    base = {"crawl_task_id": u(1), "application_id": u(2), "package_name": "com.a.b", "collected_at": "2024-01-01T00:00:00Z", "min_installs": 1, "score": 3, "ratings_count": 1, "reviews_count": 1, "store_updated_on": None, "version": None, "ad_supported": True, "source_adapter": "a"}
+    changes = {
+        True: [{}, {"score": 3.5}, {"score": 1e0}, {"version": ""}, {"version": "1"}, {"store_updated_on": "2024-01-02"}, {"package_name": " "}],
+        False: [{"score": "3"}, {"score": None}, {"score": 5.5}, {"version": {"a": 1}}, {"version": 1}, {"store_updated_on": 5}, {"store_updated_on": "soon"}, {"min_installs": 1.0}, {"min_installs": -1}, {"min_installs": 12345678901234567890}, {"min_installs": None}, {"ad_supported": "true"}, {"package_name": ""}, {"package_name": ["a"]}, {"collected_at": "2024-01-01T00:00:00"}, {"collected_at": "2024-13-01T00:00:00Z"}, {"more": 1}, {"crawl_task_id": "t1"}],
+    }
+    sent = [(ok, {**base, **change}) for ok, many in changes.items() for change in many] + [(False, [base]), (False, None), (False, {k: v for k, v in base.items() if k != "version"})]
+    body = lambda p: json.dumps({"event_id": u(9), "event_type": "playstore.app_stats.collected", "schema_version": 1, "occurred_at": "2024-01-01T00:00:00Z", "payload": p})
+    df = spark.createDataFrame([(u(2).encode(), body(p).encode(), "playstore.app-stats.v1", 0, n) for n, (_, p) in enumerate(sent)], event_log.SCHEMA)
+    got = {r.offset: r.reason for r in I.classify(df).collect()}
+    assert [got[n] for n in range(len(sent))] == [None if ok else "invalid_envelope_or_payload" for ok, _ in sent]
