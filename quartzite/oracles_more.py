@@ -37,7 +37,7 @@ NET = f"""WITH pk AS (SELECT *, {FLOW} AS flow, ip_version IN (4, 6) AS ip FROM
   {", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for c, n in (("tcp_zero_window", "zc"), ("tcp_window_full", "wf"), ("tcp_out_of_order", "oo"), ("tcp_duplicate_ack", "da"), ("tcp_lost_segment", "ls")))} FROM tp GROUP BY 1),
  qk AS (SELECT * FROM pk WHERE ip AND quic), qf AS (SELECT capture_id, abs(min(timestamp) FILTER (WHERE direction = 'rx' AND lower(quic_packet_type) IN ('0', 'initial')) - min(timestamp) FILTER (WHERE direction = 'tx' AND lower(quic_packet_type) IN ('0', 'initial'))) * 1000 AS q FROM qk WHERE flow IS NOT NULL GROUP BY capture_id, flow),
  qi AS (SELECT capture_id, avg(q) AS qa, quantile_disc(q, 0.5) AS q5, quantile_disc(q, 0.95) AS q9 FROM qf GROUP BY 1), qs AS (SELECT capture_id, count(*) AS sc, min(g) AS sm, quantile_disc(g, 0.5) AS s5, quantile_disc(g, 0.95) AS s9 FROM (SELECT capture_id, quic_spin_bit AS x, lag(quic_spin_bit) OVER w AS px, greatest(0, (timestamp - lag(timestamp) OVER w)) * 1000 AS g FROM qk WHERE flow IS NOT NULL AND direction IS NOT NULL AND quic_spin_bit IS NOT NULL WINDOW w AS (PARTITION BY capture_id, flow, direction ORDER BY timestamp, packet_no)) WHERE px <> x GROUP BY 1),
- qb AS (SELECT capture_id, count(DISTINCT flow) AS qc, count(DISTINCT quic_version) FILTER (WHERE quic_version NOT IN ('', '0', '0x00000000')) AS vc, list_sort(list(DISTINCT quic_version) FILTER (WHERE quic_version NOT IN ('', '0', '0x00000000'))) AS vs, count(*) FILTER (WHERE lower(quic_packet_type) IN ('3', 'retry')) AS re, count(*) FILTER (WHERE quic_version IN ('0', '0x00000000')) AS ne, count(*) FILTER (WHERE lower(quic_packet_type) IN ('1', '0-rtt', '0rtt', '0_rtt')) AS ze FROM qk GROUP BY 1),
+ qb AS (SELECT capture_id, count(DISTINCT flow) AS qc, count(DISTINCT quic_version) FILTER (WHERE quic_version NOT IN ('', '0', '0x00000000')) AS vc, coalesce(list_sort(list(DISTINCT quic_version) FILTER (WHERE quic_version NOT IN ('', '0', '0x00000000'))), []) AS vs, count(*) FILTER (WHERE lower(quic_packet_type) IN ('3', 'retry')) AS re, count(*) FILTER (WHERE quic_version IN ('0', '0x00000000')) AS ne, count(*) FILTER (WHERE lower(quic_packet_type) IN ('1', '0-rtt', '0rtt', '0_rtt')) AS ze FROM qk GROUP BY 1),
  ud AS (SELECT capture_id, count(DISTINCT flow) AS uf, count(*) AS uc, sum(network_bytes) AS un_, sum(l4_payload_bytes) AS up, quantile_disc(CAST(l4_payload_bytes AS DOUBLE), 0.5) AS u5, quantile_disc(CAST(l4_payload_bytes AS DOUBLE), 0.95) AS u9, coalesce(sum(network_bytes) FILTER (WHERE flow IS NOT NULL AND (src_ip, src_port) <= (dst_ip, dst_port)), 0) AS sa, coalesce(sum(network_bytes) FILTER (WHERE flow IS NOT NULL AND (src_ip, src_port) > (dst_ip, dst_port)), 0) AS sb FROM pk WHERE ip AND transport = 'udp' AND NOT quic GROUP BY 1),
  dn AS (SELECT capture_id, count(*) FILTER (WHERE NOT dns_is_response) AS dq, count(*) FILTER (WHERE dns_is_response) AS dr, count(*) FILTER (WHERE dns_is_response AND dns_response_code <> 0) AS df, quantile_disc(dns_time_seconds * 1000, 0.5) AS d5, quantile_disc(dns_time_seconds * 1000, 0.95) AS d9 FROM pk WHERE dns_is_response IS NOT NULL GROUP BY 1),
  al AS (SELECT c.capture_id, c.scenario, c.transfer_file_size_bytes AS size, ba.* EXCLUDE (capture_id), coalesce(way, false) AS w, coalesce(nb, 0) AS n0, coalesce(pb, 0) AS p0, coalesce(tcpb, 0) + coalesce(qb, 0) + coalesce(ub, 0) AS tr, CASE WHEN way THEN CASE WHEN scenario = 'upload' THEN txs ELSE rxs END END AS span, CASE WHEN way THEN CASE WHEN scenario = 'upload' THEN txn ELSE rxn END END AS pri, CASE WHEN way THEN CASE WHEN scenario = 'upload' THEN rxn ELSE txn END END AS rev,

@@ -51,6 +51,27 @@ def test_same_rows_as_sql(spark, db, name):
     assert rows(df.columns, df.collect()) == rows(columns, found.fetchall())
 
 
+def events_against_sql(spark, folder, events):
+    """net_capture_metrics on events (event_id, user_id, event_type, k), and its SQL's rows; both by capture."""
+    made = [(e, datetime.datetime(2024, 1, 1), u, t, 1.0, f'{{"k": {k}}}') for e, u, t, k in events]
+    spark.createDataFrame(made, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    spark.read.parquet(f"{SF}/nation.parquet").write.parquet(f"{folder}/nation.parquet")
+    c = duckdb.connect()
+    for name in ("events", "nation"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    found = c.execute(catalog.oracle_sql()["net_capture_metrics"])
+    names = [d[0] for d in found.description]
+    sql = {r["capture_id"]: r for r in (dict(zip(names, row)) for row in found.fetchall())}
+    return {r.capture_id: r.asDict() for r in catalog.queries()["net_capture_metrics"](spark, str(folder)).collect()}, sql
+
+
+def test_quic_with_no_known_version_has_an_empty_list(spark, tmp_path):
+    got, sql = events_against_sql(spark, tmp_path, [(0, 2, "purchase", 10), (1, 4, "purchase", 11), (2, 3, "click", 5)])
+    for side in (got, sql):
+        assert [(side[c]["quic_version_count"], side[c]["quic_versions_seen"]) for c in ("cap2", "cap4", "cap3")] == [(0, []), (1, ["0x00000002"]), (None, None)]
+    assert got == sql
+
+
 @pytest.fixture(scope="module")
 def seed(spark):
     """A handful of rows that show where a filter stands."""
