@@ -55,6 +55,12 @@ def ordered_values(value: str, order: list[str], where: Column) -> Column:
     return F.when(F.size(rows) > 0, F.transform(rows, lambda x: x["_v"]))
 
 
+def span_sum(value: Column | str) -> Column:
+    """Sum of lengths of time, not negative. Whole seconds and fractions are added apart, where long ones lose no digits, so that the order of rows doesn't show."""
+    v = col(value)
+    return F.sum(v - v % 1) + F.sum(v % 1)
+
+
 def side(value: Column | str, where: Column) -> Column:
     return F.max(F.when(where, col(value)))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quartzite.functions.exprs import first_float, first_int, first_of, flag, flow_key, ratio
-from quartzite.functions.stats import nearest_rank
+from quartzite.functions.stats import nearest_rank, span_sum
 from quartzite.operators.temporal import flips, islands, ranked_to_share, union_length
 
 SUPPORTED = frozenset({"quic.version", "quic.long.packet_type", "quic.spin_bit"})
@@ -196,7 +196,7 @@ def tcp_connections(packets: DataFrame) -> DataFrame:
     per = per.join(tcp_handshakes(d), [ID, "conn"], "left").join(tcp_stalls(d), [ID, "conn"], "left")
     return per.groupBy(ID).agg(
         F.count(F.lit(1)).alias("tcp_connection_count"), _n("done").alias("tcp_successful_handshake_count"), F.avg("rtt").alias("tcp_initial_rtt_avg_ms"), nearest_rank("rtt", 50).alias("tcp_initial_rtt_p50_ms"), nearest_rank("rtt", 95).alias("tcp_initial_rtt_p95_ms"),
-        (F.sum(F.coalesce("seconds", F.lit(0.0))) * 1000).alias("tcp_zero_window_duration_ms"), (F.sum("active") * 1000).alias("tcp_active_duration_ms"), _n("rst").alias("tcp_reset_count"), F.coalesce(F.bool_or("open"), F.lit(False)).alias("_open"),
+        (span_sum(F.coalesce("seconds", F.lit(0.0))) * 1000).alias("tcp_zero_window_duration_ms"), (span_sum("active") * 1000).alias("tcp_active_duration_ms"), _n("rst").alias("tcp_reset_count"), F.coalesce(F.bool_or("open"), F.lit(False)).alias("_open"),
     )
 
 

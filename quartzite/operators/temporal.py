@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quartzite.functions.exprs import day_end, utc_day
+from quartzite.functions.stats import span_sum
 
 LOCALE = ["application_id", "crawl_country_code", "crawl_language_code"]
 
@@ -108,7 +109,7 @@ def union_length(df: DataFrame, keys: list[str], start: str, end: str, out: str)
     w = Window.partitionBy(*keys).orderBy(start, end)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0.0), F.col(end) - F.greatest(F.col(start), F.coalesce(before, F.col(start))))
-    return df.where(F.col(end) > F.col(start)).withColumn("_fresh", fresh).groupBy(*keys).agg(F.sum("_fresh").alias(out))
+    return df.where(F.col(end) > F.col(start)).withColumn("_fresh", fresh).groupBy(*keys).agg(span_sum("_fresh").alias(out))
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], opens: Column, closes: Column, ts: str) -> DataFrame:

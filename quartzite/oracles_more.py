@@ -13,6 +13,7 @@ REASON = """rs AS (SELECT event_id AS "offset", user_id, event_type, k, ts, CASE
  '00000000-0000-4000-8000-' || lpad(CAST(CASE WHEN k = 5 THEN event_id - event_id % 2 ELSE event_id END AS VARCHAR), 12, '0') AS uid, CASE WHEN event_type IN ('click', 'view', 'error') THEN 'app-stats' ELSE 'reviews' END AS tp FROM {ev}),
  cl AS (SELECT * FROM rs WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY uid ORDER BY tp, user_id % 3, "offset") = 1)"""
 R = lambda n, d: f"CASE WHEN {d} > 0 THEN {n} / ({d}) END"
+SPAN = lambda v: f"(sum({v} - {v} % 1) + sum({v} % 1))"
 FLOW = "CASE WHEN ip_version IS NOT NULL AND src_ip IS NOT NULL AND dst_ip IS NOT NULL AND src_port IS NOT NULL AND dst_port IS NOT NULL AND transport IN ('tcp', 'udp') THEN CAST(ip_version AS VARCHAR) || transport || CASE WHEN (src_ip, src_port) <= (dst_ip, dst_port) THEN src_ip || ':' || src_port || '|' || dst_ip || ':' || dst_port ELSE dst_ip || ':' || dst_port || '|' || src_ip || ':' || src_port END END"
 POS = "(timestamp, packet_no)"
 AGAIN = "(tcp_retransmission OR tcp_fast_retransmission OR tcp_spurious_retransmission)"
@@ -30,8 +31,8 @@ NET = f"""WITH pk AS (SELECT *, {FLOW} AS flow, ip_version IN (4, 6) AS ip FROM
  mk AS (SELECT capture_id, conn, src_ip, src_port, dst_ip, dst_port, timestamp, packet_no, tcp_zero_window AS op, lag(tcp_zero_window) OVER w AS pv, min(CASE WHEN NOT tcp_zero_window THEN timestamp END) OVER (PARTITION BY capture_id, conn, src_ip, src_port, dst_ip, dst_port ORDER BY timestamp, packet_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM tp WHERE conn IS NOT NULL AND (tcp_zero_window OR tcp_window_size > 0) WINDOW w AS (PARTITION BY capture_id, conn, src_ip, src_port, dst_ip, dst_port ORDER BY timestamp, packet_no)),
  co AS (SELECT capture_id, conn, max(timestamp) AS la, max(timestamp) - min(timestamp) AS act, bool_or(tcp_rst) AS rst, arg_min(tcp_initial_rtt_seconds * 1000, {POS}) FILTER (WHERE tcp_initial_rtt_seconds IS NOT NULL) AS rtt FROM tp WHERE conn IS NOT NULL GROUP BY ALL),
  st AS (SELECT m.capture_id, m.conn, timestamp AS b, coalesce(nx, la) AS e, nx IS NULL AS o FROM mk m JOIN co USING (capture_id, conn) WHERE op AND NOT coalesce(pv, false)),
- un AS (SELECT capture_id, conn, sum(greatest(0, e - greatest(b, coalesce(mx, b)))) AS z FROM (SELECT *, max(e) OVER (PARTITION BY capture_id, conn ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx FROM st WHERE e > b) GROUP BY ALL),
- cn AS (SELECT capture_id, count(*) AS cc, count(hs.conn) AS ok, avg(rtt) AS ra, quantile_disc(rtt, 0.5) AS r5, quantile_disc(rtt, 0.95) AS r9, sum(coalesce(z, 0)) * 1000 AS zd, sum(act) * 1000 AS ad, count(*) FILTER (WHERE rst) AS rs FROM co LEFT JOIN hs USING (capture_id, conn) LEFT JOIN un USING (capture_id, conn) GROUP BY 1),
+ un AS (SELECT capture_id, conn, {SPAN('x')} AS z FROM (SELECT capture_id, conn, greatest(0, e - greatest(b, coalesce(mx, b))) AS x FROM (SELECT *, max(e) OVER (PARTITION BY capture_id, conn ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx FROM st WHERE e > b)) GROUP BY ALL),
+ cn AS (SELECT capture_id, count(*) AS cc, count(hs.conn) AS ok, avg(rtt) AS ra, quantile_disc(rtt, 0.5) AS r5, quantile_disc(rtt, 0.95) AS r9, {SPAN('coalesce(z, 0)')} * 1000 AS zd, {SPAN('act')} * 1000 AS ad, count(*) FILTER (WHERE rst) AS rs FROM co LEFT JOIN hs USING (capture_id, conn) LEFT JOIN un USING (capture_id, conn) GROUP BY 1),
  op AS (SELECT capture_id, bool_or(o) AS o FROM st GROUP BY 1),
  tt AS (SELECT capture_id, min(tcp_ack_rtt_seconds * 1000) AS am, quantile_disc(tcp_ack_rtt_seconds * 1000, 0.5) AS a5, quantile_disc(tcp_ack_rtt_seconds * 1000, 0.95) AS a9, count(*) FILTER (WHERE l4_payload_bytes > 0) AS ds, count(*) FILTER (WHERE {AGAIN}) AS rc, count(*) FILTER (WHERE tcp_fast_retransmission) AS fa, count(*) FILTER (WHERE tcp_spurious_retransmission) AS sp, coalesce(sum(l4_payload_bytes) FILTER (WHERE {AGAIN}), 0) AS rb, sum(l4_payload_bytes) AS tb,
   {", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for c, n in (("tcp_zero_window", "zc"), ("tcp_window_full", "wf"), ("tcp_out_of_order", "oo"), ("tcp_duplicate_ack", "da"), ("tcp_lost_segment", "ls")))} FROM tp GROUP BY 1),

@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+import math
 import os
 from datetime import date
 
@@ -72,6 +73,18 @@ def test_quic_with_no_known_version_has_an_empty_list(spark, tmp_path):
     assert got == sql
 
 
+def test_long_durations_add_up_alike_in_any_order(spark, tmp_path):
+    far = 2**52 + 1  # six connections, each from second 0 to far / 64; added one by one they lose their last digits
+    length, plain_sum = far / 64, 0.0
+    for _ in range(6):
+        plain_sum += length
+    assert plain_sum * 1000 != math.fsum([length] * 6) * 1000
+    got, sql = events_against_sql(spark, tmp_path, [(e, 2, "click", k) for e in (0, far) for k in range(1, 7)])
+    assert got["cap2"]["tcp_connection_count"] == 6
+    assert got["cap2"]["tcp_active_duration_ms"] == sql["cap2"]["tcp_active_duration_ms"] == math.fsum([length] * 6) * 1000
+    assert got == sql
+
+
 @pytest.fixture(scope="module")
 def seed(spark):
     """A handful of rows that show where a filter stands."""
