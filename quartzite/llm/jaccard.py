@@ -7,7 +7,8 @@ pair of documents is a candidate if it passes every one of them, and only candid
 
 Orders are: shingles that very many documents have last, all else by a hash that each order has its own. Under the first
 order all shingles of more than GROUP documents are last: the most frequent ones as a list that every task has, the others
-as a table that prefixes are joined with, until none has such a shingle that it needn't have. Documents with
+by a bit at their hash, which every task has too. A shingle that merely shares its bit with one of them is last as well: any
+order will do, if it is the same for all documents. Documents with
 equal sets are one class from the start. Pairs are rows only where at most GROUP documents have a shingle: there they
 are counted under the first order, and what passes is held against the prefixes of the others. A shingle of more documents makes no pairs at all: each
 of its documents is tied to one of them, a row for a document. Documents that candidates and ties join to each other are
@@ -36,9 +37,12 @@ from quartzite.llm.common import components, discard, give_back, row_groups, sma
 GROUP = 32
 #: A shingle that more than GROUP and more than one in COMMON documents have goes to the end of every order; so there are at
 #: most COMMON times a mean prefix's length of them, about ten megabytes at any size of the corpus. (From COMMON times GROUP
-#: documents on others of more than GROUP documents are left; those go to the first order's end by joins.) They are counted in
+#: documents on others of more than GROUP documents are left; those go to the first order's end by bits.) They are counted in
 #: prefixes STRETCH times as long, as what goes to the end makes room for others.
 COMMON, STRETCH = 20_000, 1.25
+#: Bits for each shingle that goes last by its bit, and the most bits there are (16 megabytes); with fewer for each, more of the
+#: rare shingles go last.
+BITS, MOST_BITS = 8, 1 << 27
 #: Orders, the first one included.
 ORDERS = 3
 #: Documents and shingles of a block of a unit, at most about; documents that all blocks of a unit have.
@@ -130,14 +134,15 @@ def ranks(tokens: np.ndarray, common: np.ndarray, order: int) -> tuple[np.ndarra
 
 
 def prefix(tokens: np.ndarray, common: np.ndarray, order: int, percent: int, stretch: float = 1, more: np.ndarray | None = None) -> tuple[np.ndarray, bool, int]:
-    """The prefix of a set under an order, with more tokens in its last part; part and place of its last token, as numbers that sort alike."""
+    """The prefix of a set under an order, with what has its bit in `more` in the last part too; part and place of its last token, as numbers that sort alike."""
     n = len(tokens)
     length = min(n, int(stretch * (n - -(-percent * n // 100) + shared_least(n))))
     if not length:
         return tokens[:0], False, 0
     late, rank = ranks(tokens, common, order)
     if more is not None:
-        late = late | np.isin(tokens, more)
+        at = tokens & np.uint64(64 * len(more) - 1)
+        late = late | ((more[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
     chosen = np.lexsort((rank, late))[:length]
     end = chosen[-1]
     return tokens[chosen], bool(late[end]), int((rank[end : end + 1] ^ np.uint64(1 << 63)).view(np.int64)[0])
@@ -152,24 +157,22 @@ def _columns(orders: list[int]) -> list[str]:
     return [f"{c}{o}" for o in orders for c in ("tokens", "late", "last")]
 
 
-def _prefixes(docs: DataFrame, common: np.ndarray, percent: int, size: int, orders: list[int], keep_text: bool = False) -> DataFrame:
-    """id, n, the set's 128 bits f1 and f2, and the prefixes under some orders; the text too if it is to be kept. docs may have an array `last` of tokens that are to be last."""
-    sent = docs.sparkSession.sparkContext.broadcast(common)
+def _prefixes(docs: DataFrame, common: np.ndarray, percent: int, size: int, orders: list[int], keep_text: bool = False, more: np.ndarray | None = None) -> DataFrame:
+    """id, n, the set's 128 bits f1 and f2, and the prefixes under some orders; the text too if it is to be kept. more: as in prefix(), under all of these orders."""
+    sent = docs.sparkSession.sparkContext.broadcast((common, more))
     names, kinds = _columns(orders), [pa.list_(pa.int64()), pa.bool_(), pa.int64()] * len(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in row_groups(batches, "text"):
             sets, prints = shingle_sets(texts, size)
             columns: list[list] = [[] for _ in names]
-            last = part.column("last").to_pylist() if "last" in part.schema.names else [None] * len(sets)
-            for s, own in zip(sets, last, strict=True):
-                more = None if own is None else np.array(own, np.int64).view(np.uint64)
-                found = [x for o in orders for x in prefix(s, sent.value, o, percent, more=more)]
+            for s in sets:
+                found = [x for o in orders for x in prefix(s, sent.value[0], o, percent, more=sent.value[1])]
                 for column, x in zip(columns, found, strict=True):
                     column.append(_signed(x) if isinstance(x, np.ndarray) else x)
             f = [pa.array(np.ascontiguousarray(_signed(prints)[:, k])) for k in range(2)]
-            more = [part.column("text")] if keep_text else []
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), *f, *map(pa.array, columns, kinds), *more], ["id", "n", "f1", "f2", *names, *["text"] * keep_text])
+            kept = [part.column("text")] if keep_text else []
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), *f, *map(pa.array, columns, kinds), *kept], ["id", "n", "f1", "f2", *names, *["text"] * keep_text])
 
     each = "".join(f", tokens{o} array<bigint>, late{o} boolean, last{o} bigint" for o in orders)
     return docs.mapInArrow(run, f"id bigint, n bigint, f1 bigint, f2 bigint{each}" + ", text string" * keep_text)
@@ -198,23 +201,14 @@ def _common(docs: DataFrame, percent: int, size: int, counts: DataFrame | None =
     return np.sort(found.select("t").toArrow().column("t").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _settled(every: DataFrame, docs: DataFrame, common: np.ndarray, more: DataFrame, percent: int, size: int) -> DataFrame:
-    """every (what _prefixes gives) under the order in which the shingles of `more` are last too.
-
-    A prefix that has such a shingle is made anew with that shingle last, and looked at again, as what moved up may be
-    one as well. In the end each prefix is what it would be if all of its document's shingles had been looked up.
-    """
-    known = None
-    while True:
-        found = every.where("id is not null").select("id", F.explode("tokens0").alias("t")).join(more, "t").distinct()
-        found = written(found if known is None else found.join(known, ["id", "t"], "left_anti"), "last")
-        if found.isEmpty():
-            return every
-        known = written(found if known is None else known.unionByName(found), "known")
-        # a document's shingles are bounded by its text
-        last = known.join(found.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("t").alias("last"))
-        again = _prefixes(docs.join(last.hint("merge"), "id"), common, percent, size, [0])
-        every = written(every.join(found.select("id").distinct(), "id", "left_anti").unionByName(again), "prefixes")
+def _bits(tokens: DataFrame) -> np.ndarray:
+    """Words of 64 bits, a power of two of them, where each t has set the bit that its last digits number."""
+    n = min(MOST_BITS, 1 << max(6, (BITS * tokens.count() - 1).bit_length()))
+    word = F.shiftright(F.col("t").bitwiseAND(n - 1), 6)
+    found = tokens.groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(t & 63 AS INT)))").alias("bits")).toArrow()
+    out = np.zeros(n // 64, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return out
 
 
 def _other(*columns: str) -> list[Column]:
@@ -412,9 +406,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if limit > GROUP:
         counts = written(counts, "counts")
     common = _common(known, percent, size, counts)
-    every = written(_prefixes(docs, common, percent, size, [0]), "prefixes")
+    more = _bits(counts.where(F.col("c") <= limit)) if limit > GROUP else None
+    every = written(_prefixes(docs, common, percent, size, [0], more=more), "prefixes")
     if limit > GROUP:
-        every = _settled(every, known, common, counts.where(F.col("c") <= limit).select("t"), percent, size)
+        discard(counts)
 
     # classes of equal sets; of each, its smallest id goes on
     same = ["n", "f1", "f2"]

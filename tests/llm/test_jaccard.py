@@ -174,3 +174,34 @@ def test_the_order_of_joined_shingles_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([*docs, (None, "a b c d")], "doc_id long, text string").repartition(4)
     got = sorted(tuple(r) for r in J.jaccard_components(df).where("doc_id is not null").collect())
     assert got == brute(docs)
+
+
+def test_a_list_that_cannot_hold_all_costs_no_more_tables(spark, monkeypatch):
+    """Prefixes are written once at any size, and nothing has the texts dealt out for them."""
+    docs, rows, true = stocked(random.Random(2), 1_000), {}, J.written
+
+    def written(df, name):
+        rows[name] = rows.get(name, 0) + (out := true(df, name)).count()
+        return out
+
+    monkeypatch.setattr(J, "written", written)
+    monkeypatch.setattr(J, "COMMON", 6)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert J.jaccard_components(df).where("component_id <> doc_id").count() == 20
+    assert rows["prefixes"] == len(docs)
+
+
+def test_shingles_that_share_bits_lose_no_pair(spark, monkeypatch):
+    import numpy as np
+
+    docs = corpus([60, 45, 3], random.Random(7))
+    monkeypatch.setattr(J, "COMMON", 1)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for most in (64, 256):  # all rare shingles are last as well, or many
+        monkeypatch.setattr(J, "MOST_BITS", most)
+        assert sorted(map(tuple, J.jaccard_components(df).collect())) == brute(docs)
+    tokens = np.array([0, 63, 64, (1 << 64) - 1, 5 << 40], np.uint64)
+    monkeypatch.setattr(J, "MOST_BITS", 1 << 27)
+    bits = J._bits(spark.createDataFrame([(int(t),) for t in tokens[1:].view(np.int64)], "t long"))
+    # 32 bits would do for four shingles: there are 64, of which 0 and 63 are set
+    assert bits.tolist() == [(1 << 63) | 1]
