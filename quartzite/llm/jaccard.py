@@ -38,8 +38,9 @@ GROUP = 32
 #: A shingle that more than GROUP and more than one in COMMON documents have goes to the end of every order; so there are at
 #: most COMMON times a mean prefix's length of them, about ten megabytes at any size of the corpus. (From COMMON times GROUP
 #: documents on others of more than GROUP documents are left; those go to the first order's end by bits.) They are counted in
-#: prefixes STRETCH times as long, as what goes to the end makes room for others.
-COMMON, STRETCH = 20_000, 1.25
+#: prefixes STRETCH times as long, as what goes to the end makes room for others; where there are such others more goes, and
+#: it is DEEP times. What isn't counted ties documents to each other.
+COMMON, STRETCH, DEEP = 20_000, 1.25, 2
 #: Bits for each shingle that goes last by its bit, and the most bits there are (16 megabytes); with fewer for each, more of the
 #: rare shingles go last.
 BITS, MOST_BITS = 8, 1 << 27
@@ -183,13 +184,13 @@ def _limit(docs: DataFrame) -> int:
     return max(GROUP, docs.count() // COMMON)
 
 
-def _counts(docs: DataFrame, percent: int, size: int) -> DataFrame:
+def _counts(docs: DataFrame, percent: int, size: int, stretch: float = STRETCH) -> DataFrame:
     """The shingles that more than GROUP documents have in their (longer) prefixes: t, and in how many, c."""
     nothing = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in row_groups(batches, "text"):
-            chosen = [_signed(prefix(s, nothing, 0, percent, STRETCH)[0]) for s in shingle_sets(texts, size)[0]]
+            chosen = [_signed(prefix(s, nothing, 0, percent, stretch)[0]) for s in shingle_sets(texts, size)[0]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen))], ["t"])
 
     return docs.select("text").mapInArrow(run, "t bigint").groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP)
@@ -402,7 +403,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
     known = docs.where("id is not null")
-    counts, limit = _counts(known, percent, size), _limit(known)
+    limit = _limit(known)
+    counts = _counts(known, percent, size, DEEP if limit > GROUP else STRETCH)
     if limit > GROUP:
         counts = written(counts, "counts")
     common = _common(known, percent, size, counts)

@@ -205,3 +205,15 @@ def test_shingles_that_share_bits_lose_no_pair(spark, monkeypatch):
     bits = J._bits(spark.createDataFrame([(int(t),) for t in tokens[1:].view(np.int64)], "t long"))
     # 32 bits would do for four shingles: there are 64, of which 0 and 63 are set
     assert bits.tolist() == [(1 << 63) | 1]
+
+
+def test_shingles_that_move_up_are_counted(spark, monkeypatch):
+    """Documents of which nearly half are phrases of a hundred documents: what follows those in their prefixes are such phrases too."""
+    rng, n, shipped, true = random.Random(3), 1_000, [], J._forests
+    phrases = [[f"p{k}w{i}" for i in range(8)] for k in range(n * 3 // 10)]
+    docs = [(i, " ".join(w for _ in range(30) for w in [*(f"w{rng.randrange(10**7)}" for _ in range(5)), *phrases[rng.randrange(len(phrases))]])) for i in range(n)]
+    monkeypatch.setattr(J, "_forests", lambda places, *rest: (shipped.append(places.count()), true(places, *rest))[1])
+    monkeypatch.setattr(J, "COMMON", n // 160)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert J.jaccard_components(df).where("component_id <> doc_id").count() == 0
+    assert sum(shipped) <= 0.05 * n, shipped
